@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import line_dedup, near_dedup, packing
+from tallyforge.llm import line_dedup, mixing, near_dedup, packing
 from tallyforge.llm.common import table
 
 
@@ -45,5 +45,78 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_line_dedup": op4_line_dedup, "op9_near_dedup": op9_near_dedup}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+#: Fixed values of the mixing query: sources by domain, and weights in thousandths.
+DOMAINS = {"hub": ["src0"], "web": ["src1", "src2", "src3", "src4", "src5", "src6", "src7"], "forum": ["src8", "src9", "src10", "src11", "src12"]}
+OTHER_DOMAIN = "archive"
+DOMAIN_WEIGHTS = {"hub": 150, "web": 400, "forum": 250, "archive": 200}
+LANG_WEIGHTS = {"en": 450, "fr": 200, "de": 200, "es": 150}
+MIX_SEED = "2024"
+
+
+def domain_of_source():
+    out = F.lit(OTHER_DOMAIN)
+    for name, sources in DOMAINS.items():
+        out = F.when(F.col("source").isin(sources), name).otherwise(out)
+    return out
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(
+        table(spark, sf_dir, "documents"),
+        domain=domain_of_source(),
+        tokens=F.expr("(length(text) + 3) div 4"),
+        budget=F.expr("tokens * 3 div 4"),
+        domain_weights=DOMAIN_WEIGHTS,
+        lang_weights=LANG_WEIGHTS,
+        epochs=2,
+        seed=MIX_SEED,
+    )
+    return out.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"), F.col("_epoch").cast("long").alias("epoch"), F.col("_tokens").alias("tokens"), F.col("_take").alias("take_tokens"))
+
+
+def _shared(of: str, parent: str, name: str) -> str:
+    """One level of the tree in SQL: children of `of` (cap, weight, budget) with their share."""
+    return f"""
+  SELECT *, CASE WHEN NOT is_open THEN cap ELSE part + CASE WHEN place <= first_rest - sum(coalesce(part, 0)) OVER (PARTITION BY {parent}) THEN 1 ELSE 0 END END AS share
+  FROM (SELECT *, CASE WHEN is_open THEN first_rest * weight // first_w END AS part,
+               sum(CASE WHEN is_open THEN 1 ELSE 0 END) OVER (PARTITION BY {parent} ORDER BY {name}) AS place
+        FROM (SELECT *, max(CASE WHEN is_open THEN rest END) OVER (PARTITION BY {parent}) AS first_rest,
+                     max(CASE WHEN is_open THEN w END) OVER (PARTITION BY {parent}) AS first_w
+              FROM (SELECT *, cap * w > rest * weight AS is_open
+                    FROM (SELECT *, budget - coalesce(sum(cap) OVER (PARTITION BY {parent} ORDER BY cap / weight, {name} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+                                 sum(weight) OVER (PARTITION BY {parent} ORDER BY cap / weight, {name} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w
+                          FROM {of}))))"""
+
+
+def _sql_case(column: str, weights: dict[str, int]) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+OP3_SQL = f"""
+WITH t AS (
+  SELECT doc_id, CASE {" ".join(f"WHEN source IN ({', '.join(repr(x) for x in xs)}) THEN '{d}'" for d, xs in DOMAINS.items())} ELSE '{OTHER_DOMAIN}' END AS domain,
+         coalesce(lang, '?') AS leaf_lang, coalesce(source, '?') AS leaf_source, (length(text) + 3) // 4 AS tokens
+  FROM documents WHERE length(text) > 0
+), leaves AS (
+  SELECT domain, leaf_lang, leaf_source, CAST(sum(tokens) * 2 AS BIGINT) AS cap, 1 AS weight FROM t GROUP BY ALL
+), langs AS (
+  SELECT domain, leaf_lang, CAST(sum(cap) AS BIGINT) AS cap, {_sql_case("leaf_lang", LANG_WEIGHTS)} AS weight FROM leaves GROUP BY ALL
+), domains AS (
+  SELECT domain, CAST(sum(cap) AS BIGINT) AS cap, {_sql_case("domain", DOMAIN_WEIGHTS)} AS weight,
+         least((SELECT CAST(sum(tokens) AS BIGINT) * 3 // 4 FROM t), (SELECT CAST(sum(cap) AS BIGINT) FROM leaves)) AS budget FROM langs GROUP BY domain
+), d AS ({_shared("domains", "1", "domain")}
+), lang_in AS (SELECT langs.*, d.share AS budget FROM langs JOIN d USING (domain)
+), g AS ({_shared("lang_in", "domain", "leaf_lang")}
+), leaf_in AS (SELECT leaves.*, g.share AS budget FROM leaves JOIN g USING (domain, leaf_lang)
+), s AS ({_shared("leaf_in", "domain, leaf_lang", "leaf_source")}
+), ordered AS (
+  SELECT t.*, epoch, share, sum(tokens) OVER (PARTITION BY domain, leaf_lang, leaf_source ORDER BY epoch, md5('{MIX_SEED}:' || epoch || ':' || doc_id)) - tokens AS before
+  FROM t JOIN s USING (domain, leaf_lang, leaf_source) CROSS JOIN (SELECT unnest([1, 2]) AS epoch)
+)
+SELECT doc_id, domain, leaf_lang, leaf_source, CAST(epoch AS BIGINT) AS epoch, tokens, CAST(least(tokens, share - before) AS BIGINT) AS take_tokens
+FROM ordered WHERE before < share
+"""
+
+
+QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op9_near_dedup": op9_near_dedup}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL}
