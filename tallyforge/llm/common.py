@@ -60,3 +60,27 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
     """
     few = small.limit(rows + 1).count() <= rows
     return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
+
+
+def map_text(docs: DataFrame, columns: str, per_texts, column: str = "text", rows: int = 1000) -> DataFrame:
+    """All columns of docs and new ones: per_texts turns a list of the column's texts into a list of each new column.
+
+    columns: name and type of the new ones, as in "a double, b long"; same-named columns of docs are replaced.
+    """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    new = StructType.fromDDL(columns)
+    docs = docs.drop(*new.names)
+    arrow = to_arrow_schema(new)
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(column))
+            for lo in range(0, len(texts), rows):
+                own = batch.slice(lo, rows)
+                made = per_texts(texts.slice(lo, rows).to_pylist())
+                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, f.type) for x, f in zip(made, arrow))], [*batch.schema.names, *arrow.names])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import line_dedup, mixing, near_dedup, packing
-from tallyforge.llm.common import table
+from tallyforge.llm import html_text, language, line_dedup, mixing, near_dedup, packing, quality, topk
+from tallyforge.llm.common import fold, table
 
 
 def tokenizer_path() -> str:
@@ -118,5 +118,45 @@ FROM ordered WHERE before < share
 """
 
 
-QUERIES = {"op1_packing": op1_packing, "op3_mixing": op3_mixing, "op4_line_dedup": op4_line_dedup, "op9_near_dedup": op9_near_dedup}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL}
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.learn(docs.where(fold("doc_id") != 0))
+    out = language.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.learn(docs.where(fold("doc_id") != 0), labels.where(fold("doc_id") != 0).select("doc_id", F.col("quality").alias("label")))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), quality_model(spark, sf_dir))
+    return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("_quality").alias("score"), (F.col("_quality") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
+def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
+
+
+OP7_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op6_quality, op7_topk, op9_near_dedup, op10_html)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL}
