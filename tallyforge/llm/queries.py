@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import html_text, language, line_dedup, mixing, near_dedup, packing, quality, topk
+from tallyforge.llm import html_text, language, line_dedup, mixing, near_dedup, packing, pii, quality, topk
 from tallyforge.llm.common import fold, table
 
 
@@ -153,10 +153,16 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("_base", lambda q, i=i: q["k"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
+    return out.select("doc_id", *counts, F.sha2(pii.written("_base").cast("binary"), 256).alias("base_sha256"), pii.written("_spans").alias("spans"))
+
+
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op6_quality, op7_topk, op9_near_dedup, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op6_quality, op7_topk, op8_pii, op9_near_dedup, op10_html)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL}
