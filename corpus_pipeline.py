@@ -5,27 +5,51 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyforge.llm import packing
-from tallyforge.llm.common import shared_folder, table
-from tallyforge.llm.queries import tokenizer_path
+from tallyforge.llm import line_dedup, mixing, near_dedup, packing, quality, queries
+from tallyforge.llm.common import join_checked, cut, shared_folder, table
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that the quality classifier, fitted on labelled documents, rejects."""
+    scored = quality.score(docs, queries.quality_model(spark, sf_dir))
+    return scored.where(F.col("_quality") >= quality.ACCEPT).drop("_quality")
+
+
+def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops lines that at least ten of the documents share; n_chars follows the text."""
+    kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1).drop("_n_lines", "_n_dropped")
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    gone = cut(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    return join_checked(docs, gone, "doc_id", "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents of each leaf's share of three quarters of the tokens; a document on the border stays whole."""
+    return queries.mixed(docs, epochs=1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: windows of 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """Lays the documents' tokens into windows of 4096."""
+    return packing.pack_documents(docs, queries.tokenizer_path())
 
 
-STAGES = [("packing", pack)]
+STAGES = [("quality classifier", classify), ("line dedup", clean_lines), ("near dedup", one_of_each), ("mixing", mix), ("packing", pack)]
 
-#: Scoring, sketching and packing are outside SQL; tests hold run() against a plain version.
+#: Scoring, sketching and packing are outside SQL; tests hold run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{home}/{name}")
-        docs = spark.read.parquet(f"{home}/{name}")
+    for i, (_, stage) in enumerate(STAGES):
+        out = f"{home}/{i}"
+        stage(spark, docs, sf_dir).write.parquet(out)
+        docs = spark.read.parquet(out)
     return docs

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import html_text, language, line_dedup, mixing, near_dedup, packing, pii, quality, topk
+from tallyforge.llm import html_text, language, line_dedup, media, mixing, near_dedup, packing, pii, quality, topk
 from tallyforge.llm.common import fold, table
 
 
@@ -60,17 +60,21 @@ def domain_of_source():
     return out
 
 
-def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(
-        table(spark, sf_dir, "documents"),
+def mixed(docs: DataFrame, epochs: int) -> DataFrame:
+    return mixing.mix(
+        docs,
         domain=domain_of_source(),
         tokens=F.expr("(length(text) + 3) div 4"),
         budget=F.expr("tokens * 3 div 4"),
         domain_weights=DOMAIN_WEIGHTS,
         lang_weights=LANG_WEIGHTS,
-        epochs=2,
+        epochs=epochs,
         seed=MIX_SEED,
     )
+
+
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"), epochs=2)
     return out.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("leaf_lang"), F.col("_source").alias("leaf_source"), F.col("_epoch").cast("long").alias("epoch"), F.col("_tokens").alias("tokens"), F.col("_take").alias("take_tokens"))
 
 
@@ -125,6 +129,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id") == 0).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    return media.prefixed(media.digest(stored))
+
+
 def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.learn(docs.where(fold("doc_id") != 0), labels.where(fold("doc_id") != 0).select("doc_id", F.col("quality").alias("label")))
@@ -164,5 +173,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op6_quality, op7_topk, op8_pii, op9_near_dedup, op10_html)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op5_media, op6_quality, op7_topk, op8_pii, op9_near_dedup, op10_html)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL}
