@@ -143,9 +143,9 @@ def main_text(html: str | None) -> str:
     else:
         line = threshold(smoothed) if len(lines) > 2 else 0.0
         content = [i for i in open_lines if smoothed[i] > line] or [max(open_lines, key=lambda i: smoothed[i])]
-        # A region reaches over the short lines between its first and last long ones.
+        # A region reaches over the short lines between its first and last long ones, and to a heading before it.
         solid = [i for i in content if ratios[i] >= np.expm1(line)] or content
-        content = [i for i in open_lines if solid[0] <= i <= solid[-1] or (i in content and abs(i - solid[0]) <= 2)]
+        content = [i for i in open_lines if solid[0] <= i <= solid[-1] or (solid[0] - 2 <= i < solid[0] and i in content)]
     return " ".join(lines[i][0] for i in content)
 
 

@@ -7,7 +7,8 @@ counted by partial sums, and its hits join back through a counted broadcast or a
 
 Defined results: a null or empty text is one empty line; lines whose key is shorter than `min_chars` stay; rows
 without doc_id count as no document but lose common lines like any other; repeated rows count as one document and
-each is returned; an empty table gives no rows; other columns pass through, whatever their names.
+each is returned; an empty table gives no rows; other columns pass through, but those named as
+the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -44,13 +45,13 @@ def drop_common_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -
     )
     common = cut(lines.groupBy("_a", "_b").agg(F.count_distinct("_doc").alias("_n")).where(F.col("_n") >= min_docs).select("_a", "_b"), "common")
     hits = join_checked(lines, common, ["_a", "_b"]).groupBy("_doc", "_text").agg(F.collect_set("_pos").alias("_drop"))
-    own = [F.col(f"d.`{c}`") for c in docs.columns]
-    joined = docs.withColumn("_key", F.xxhash64(text)).alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h._doc")) & (F.col("d._key") == F.col("h._text")), "left")
-    kept = joined.select(*own, F.split(F.coalesce(F.col("d.text").cast("string"), F.lit("")), "\n", -1).alias("_lines"), F.col("h._drop").alias("_drop"))
-    rest = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_drop")
-    cleaned = F.when(F.col("_drop").isNull(), F.coalesce(F.col("text").cast("string"), F.lit(""))).otherwise(F.array_join(F.transform(rest, lambda p: F.get("_lines", p)), "\n"))
-    return kept.select(
-        *[(cleaned if c == "text" else F.col(f"`{c}`")).alias(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("_n_lines"),
+    # The rows travel as one struct, so no column of theirs can meet one made here.
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), text.alias("whole")).withColumn("key", F.xxhash64("whole"))
+    joined = own.join(hits, F.col("id").eqNullSafe(F.col("_doc")) & (F.col("key") == F.col("_text")), "left").withColumn("lines", F.split("whole", "\n", -1))
+    rest = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "_drop")
+    cleaned = F.when(F.col("_drop").isNull(), F.col("whole")).otherwise(F.array_join(F.transform(rest, lambda p: F.get("lines", p)), "\n"))
+    return joined.select(
+        *[(cleaned if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns if c not in ("_n_lines", "_n_dropped")],
+        F.size("lines").cast("long").alias("_n_lines"),
         F.coalesce(F.size("_drop"), F.lit(0)).cast("long").alias("_n_dropped"),
     )

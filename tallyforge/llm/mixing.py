@@ -14,7 +14,7 @@ the documents themselves aren't shuffled.
 Defined results: null lang or source is the value '?'; null or empty text has no tokens and is never selected; weights
 missing from the tables are 1; a weight of 0 selects nothing; repeated ids stand in one place of the order and, on the
 border, split what is left evenly (rounded down); rows without doc_id are such repeats; an empty table gives no rows;
-other columns pass through, but none may start with an underscore.
+other columns pass through, but those named as the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -101,16 +101,16 @@ def mix(
 
     `budget` is an expression over `tokens` (all tokens there are), such as F.expr("tokens div 2").
     """
-    rows = docs.withColumns(
-        {
-            "_domain": F.coalesce(domain, F.lit("?")),
-            "_lang": F.coalesce(F.col("lang").cast("string"), F.lit("?")),
-            "_source": F.coalesce(F.col("source").cast("string"), F.lit("?")),
-            "_tokens": F.coalesce(tokens, F.lit(0)).cast("long"),
-            "_epoch": F.explode(F.sequence(F.lit(1), F.lit(epochs))),
-        }
+    # The rows travel as one struct, so no column of theirs can meet one made here.
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.coalesce(domain, F.lit("?")).alias("_domain"),
+        F.coalesce(F.col("lang").cast("string"), F.lit("?")).alias("_lang"),
+        F.coalesce(F.col("source").cast("string"), F.lit("?")).alias("_source"),
+        F.coalesce(tokens, F.lit(0)).cast("long").alias("_tokens"),
+        F.explode(F.sequence(F.lit(1), F.lit(epochs))).alias("_epoch"),
     ).where("_tokens > 0")
-    name = F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    name = F.concat_ws(":", F.lit(seed), F.col("_epoch").cast("string"), F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("_key", F.concat(F.lpad(F.col("_epoch").cast("string"), 3, "0"), F.md5(name.cast("binary"))))
     slim = cut(rows.select(*LEAF, "_epoch", "_key", "_tokens"), "order")
     leaves = cut(slim.where("_epoch = 1").groupBy(*LEAF).agg(F.sum("_tokens").alias("tokens")), "leaves")
@@ -119,4 +119,5 @@ def mix(
     taken = join_checked(rows, ends, LEAF).where("_key <= _end")
     take = F.when(F.col("_key") < F.col("_end"), F.col("_tokens")).otherwise(F.least("_tokens", F.expr("_left div _n")))
     out = taken.withColumn("_take", take).where("_take > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *LEAF, "_epoch", "_tokens", "_take")
+    made = [*LEAF, "_epoch", "_tokens", "_take"]
+    return out.select(*[F.col(f"_row.`{c}`") for c in docs.columns if c not in made], *made)
