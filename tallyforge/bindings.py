@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions import profile, scalar
 from tallyforge.functions.scalar import half_up, percent, ratio
-from tallyforge.operators import contest, keys, live, matching, people, quiz, search
+from tallyforge.operators import contest, keys, listing, live, matching, people, quiz, search
 from tallyforge.sources import pages as web
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -549,3 +549,74 @@ def amounts(spark, d):
 def seeded_shuffle(spark, d):
     n = table(spark, d, "nation").agg(F.sort_array(F.collect_list("n_nationkey")).alias("a"))
     return n.select(F.posexplode(F.slice(scalar.shuffled(F.col("a"), F.lit(20000)), 1, 6)).alias("place", "n_nationkey"))
+
+
+# ---------------------------------------------------------------- listings
+
+
+def _numbered(df: DataFrame, order: list) -> DataFrame:
+    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+
+
+@bound(f"""WITH {V_VOTES}, {WON} SELECT ac, row_number() OVER (ORDER BY (ac % 3 = 0) DESC, CASE WHEN ac % 5 <> 0 THEN margin END DESC NULLS LAST, ac) AS place FROM won WHERE yr = {NOW}""")
+def flag_first_order(spark, d):
+    w = won(spark, d, NOW).select("ac", (F.col("ac") % 3 == 0).alias("flag"), F.when(F.col("ac") % 5 != 0, F.col("margin")).alias("value"))
+    return _numbered(w, listing.flagged_first("flag", "value", "ac")).select("ac", "place")
+
+
+@bound(f"""WITH {V_VOTES}, {WON} SELECT ac AS id, row_number() OVER (ORDER BY CASE WHEN ac % 2 = 0 THEN ac % 7 END DESC NULLS LAST, margin DESC, ac) AS place FROM won WHERE yr = {NOW}""")
+def declared_order(spark, d):
+    w = won(spark, d, NOW).select(F.col("ac").alias("id"), "margin", F.when(F.col("ac") % 2 == 0, F.col("ac") % 7).alias("declared_at"))
+    return _numbered(w, listing.newest_declared()).select("id", "place")
+
+
+@bound(f"""WITH {V_CAND}, e AS (SELECT education, count(*) AS n FROM cand GROUP BY 1)
+SELECT education, n, row_number() OVER (ORDER BY CASE education WHEN 'Literate' THEN 1 WHEN '12th Pass' THEN 2 ELSE 3 END, education) AS place FROM e""")
+def listed_order(spark, d):
+    e = cand(spark, d).groupBy("education").agg(F.count("*").alias("n"))
+    return _numbered(e, listing.in_listed_order("education", ["Literate", "12th Pass"]))
+
+
+@bound(f"""WITH {V_DEMO} (SELECT 'top' AS "end", ac, people FROM demo ORDER BY people DESC, ac LIMIT 5) UNION ALL (SELECT 'bottom', ac, people FROM demo ORDER BY people, ac DESC LIMIT 5)""")
+def top_and_bottom(spark, d):
+    return listing.ends(_demo(spark, d).select("ac", "people"), "people", "ac")
+
+
+@bound(f"""WITH {V_CAND} SELECT count(*) FILTER (ac IN (1, 2, 3, 4)) AS inside, count(*) FILTER (ac NOT IN (1, 2, 3, 4)) AS outside FROM cand""")
+def phase_split(spark, d):
+    return listing.split_counts(cand(spark, d), "ac", [1, 2, 3, 4])
+
+
+@bound(f"""WITH {V_CAND} SELECT id, assets - liabilities AS net, CASE WHEN assets < liabilities THEN 'negative' WHEN assets > liabilities THEN 'positive' ELSE 'none' END AS sign, abs(assets - liabilities) AS size FROM cand""")
+def net_assets(spark, d):
+    return cand(spark, d).select("id", listing.net_worth(F.col("assets"), F.col("liabilities")).alias("x")).select("id", "x.*")
+
+
+@bound("""SELECT p_brand AS g, min(p_size) - 35.0 AS "left", min(p_retailprice) - 35.0 AS top, max(p_size) + 35.0 AS "right", max(p_retailprice) + 35.0 AS bottom FROM part GROUP BY 1""")
+def bounding_box(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("g"), F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
+    return listing.frame(p, ["g"])
+
+
+@bound(f"""WITH {V_VOTES} SELECT party, floor(CAST(sum(votes) AS DOUBLE) / (SELECT CAST(sum(votes) AS DOUBLE) FROM votes WHERE yr = {NOW}) * 100 * 100 + 0.5) / 100 AS share FROM votes WHERE yr = {NOW} GROUP BY party ORDER BY share DESC, party LIMIT 1""")
+def top_vote_share(spark, d):
+    return listing.top_share(votes(spark, d, NOW).groupBy("party").agg(F.sum("votes").alias("votes"))).withColumn("share", half_up("share", 2))
+
+
+@bound("""SELECT n_regionkey AS region, string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) AS text FROM nation GROUP BY 1""")
+def joined_ids(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), "n_nationkey")
+    return listing.joined_text(n, ["region"], "n_nationkey", "n_nationkey")
+
+
+@bound(f"""WITH {V_CAND}, m AS (SELECT min(cases) AS c, min(liabilities) AS l FROM cand WHERE id IN (4, 8, 15, 16, 23, 42)) SELECT id, cases = c AS best_cases, liabilities = l AS best_liabilities FROM cand, m WHERE id IN (4, 8, 15, 16, 23, 42)""")
+def compared(spark, d):
+    chosen = people.by_ids(cand(spark, d).select("id", "cases", "liabilities"), [4, 8, 15, 16, 23, 42])
+    return people.best_in_set(chosen, ["cases", "liabilities"]).select("id", "best_cases", "best_liabilities")
+
+
+@bound(f"""WITH {V_CAND} SELECT party, count(*) AS n, count(*) FILTER (cases > 0) AS with_cases, floor(CAST(count(*) FILTER (cases > 0) AS DOUBLE) / count(*) * 100 * 100 + 0.5) / 100 AS case_rate,
+ CAST(floor(coalesce(avg(CAST(assets AS DOUBLE)) FILTER (assets > 0), 0) + 0.5) AS BIGINT) AS avg_assets, CASE party WHEN 'BUILDING' THEN 120.5 WHEN 'MACHINERY' THEN 80.0 ELSE 0 END AS funds FROM cand WHERE party IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') GROUP BY party""")
+def party_profile(spark, d):
+    funds = spark.createDataFrame([("BUILDING", 120.5), ("MACHINERY", 80.0)], "party string, funds double")
+    return people.party_profile(cand(spark, d), funds, MAJORS).withColumn("case_rate", half_up("case_rate", 2)).withColumn("avg_assets", half_up("avg_assets"))
