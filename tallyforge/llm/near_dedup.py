@@ -7,10 +7,13 @@ the similarity. 32 bands of 4 coordinates propose candidates (at a similarity of
 million), and links are confirmed on the full sets.
 
 Documents with equal sets are one class, found by a digest, so copies never meet each other. Within a bucket only
-some members, the centres, are held against all others: first the smallest id, then members outside the bucket's
-largest component, twice as many in each round, until every pair of members that still lies in different
-components has been held against each other. A bucket of near copies thus costs its size times the few centres that
-it needs, and no link between components is lost.
+some members, the centres, are held against all others: first the smallest id; then, where a bucket's members still
+lie in several components, the one that shares most. What a document shares with any other is bounded by its shingles
+that other open documents have at all, so documents of mostly own shingles drop out here, exactly, and pairs whose
+bounds rule a link out are never formed. At last buckets that share documents count as one cluster, so a pair is met
+once and not in every bucket, and members outside a cluster's largest component are centres, four times as many in each
+round, until every pair in different components that could be linked has been held against each other. A group of near
+copies thus costs its size times the few centres that it needs, and no link between components is lost.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than five words: the whole sequence
 is one shingle; a null doc_id takes part in no link and is kept; repeated rows are returned each;
@@ -32,8 +35,8 @@ from tallyforge.llm.common import cut, forget, join_checked
 from tallyforge.llm.graph import components
 
 COORDINATES, ROWS = 128, 4
-#: Centres outside the largest component that a bucket may get in the first round; doubled in each round.
-CENTRES = 4
+#: Centres outside the largest component that a cluster may get in the first round; four times as many in each next one.
+CENTRES = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,6 +121,45 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of the buckets whose members lie in several components, with `root`, the bucket's `largest` and how many lie `outside` it."""
+    rows = rows.drop("root", "largest", "outside")
+    marked = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
+    parts = marked.groupBy("bucket", "root").agg(F.count("*").alias("k"))
+    state = parts.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
+    return cut(marked.join(state.select("bucket", F.col("top.root").alias("largest"), (F.col("m") - F.col("top.k")).alias("outside")), "bucket"), "marked")
+
+
+def _shared_counts(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """rows with `u`, how many of a document's shingles other documents of rows have; without those that can link with none."""
+    ids = cut(rows.select("doc_id").distinct(), "wanted")
+    items = cut(join_checked(texts, ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>").select("doc_id", F.explode("items").alias("item")).distinct(), "items")
+    common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    counts = items.join(common, "item", "left_semi").groupBy("doc_id").agg(F.count("*").alias("u"))
+    return rows.join(counts, "doc_id").where(100 * F.col("u") >= percent * F.col("n"))
+
+
+def _clusters(rows: DataFrame) -> DataFrame:
+    """rows with buckets that share documents as one, each document once in it."""
+    first = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"))
+    joined = components(rows.join(first, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")))
+    return cut(rows.select("doc_id", "n", "u").distinct().join(joined.withColumnsRenamed({"node": "doc_id", "root": "bucket"}), "doc_id").select("bucket", "doc_id", "n", "u"), "clusters")
+
+
+def _round(rows: DataFrame, centres: DataFrame, links: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hold the centres against their buckets' members in other components; links, roots and pairs tried after that."""
+    middle = centres.select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("nc"), F.col("u").alias("uc"), F.col("root").alias("rc"))
+    most = F.least("u", "uc")
+    could = 100 * most >= percent * (F.col("n") + F.col("nc") - most)
+    found = rows.join(middle, "bucket").where((F.col("root") != F.col("rc")) & could).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
+    fresh = cut(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    more = _confirmed(fresh, texts, percent)
+    if more.isEmpty():
+        return links, roots, cut(tried.union(fresh), "tried")
+    links = cut(links.union(more), "links")
+    return links, components(links), cut(tried.union(fresh), "tried")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs; linked at 100 * shared >= percent * union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -134,29 +176,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pairs = in_buckets.where("doc_id > first").join(first, "bucket").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.col("nf").alias("na"), F.col("n").alias("nb"))
     pairs = cut(pairs.where(similar).select("a", "b").distinct(), "pairs")
     links = _confirmed(pairs, texts, percent)
-    tried, centres = pairs, CENTRES
-    roots = components(links)
-    open_rows = cut(in_buckets.where("m > 2").select("bucket", "doc_id", "n"), "open")
+    roots, tried, centres = components(links), pairs, CENTRES
+    open_rows = _unsettled(cut(in_buckets.where("m > 2").select("bucket", "doc_id", "n"), "open"), roots)
+    if not open_rows.isEmpty():
+        open_rows = cut(_shared_counts(open_rows, texts, percent), "open")
+        best = open_rows.groupBy("bucket").agg(F.max(F.struct(F.col("u") / F.col("n"), -F.col("doc_id"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("doc_id"))
+        middle = open_rows.join(best, ["bucket", "doc_id"])
+        links, roots, tried = _round(open_rows, middle, links, roots, tried, texts, percent)
+        open_rows = _clusters(_unsettled(open_rows, roots))
     while True:
-        # Buckets whose members still lie in several components.
-        marked = open_rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "n", F.coalesce("root", "doc_id").alias("root"))
-        parts = marked.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-        state = parts.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-        state = state.select("bucket", F.col("top.root").alias("largest"), (F.col("m") - F.col("top.k")).alias("outside"))
-        marked = cut(marked.join(state, "bucket"), "marked")
-        if marked.isEmpty():
+        open_rows = _unsettled(open_rows, roots)
+        if open_rows.isEmpty():
             break
         chance = F.pmod(F.xxhash64("doc_id", F.lit(centres)), F.col("outside")) < centres
-        middle = marked.where("root <> largest").where(chance).select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("nc"), F.col("root").alias("rc"))
-        found = marked.join(middle, "bucket").where("root <> rc").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"), F.col("nc").alias("na"), F.col("n").alias("nb"))
-        fresh = cut(found.where(similar).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = _confirmed(fresh, texts, percent)
-        if not more.isEmpty():
-            links = cut(links.union(more), "links")
-            roots = components(links)
-        tried = cut(tried.union(fresh), "tried")
-        open_rows = cut(marked.where(F.col("outside") > centres).select("bucket", "doc_id", "n"), "open")
-        centres *= 2
+        links, roots, tried = _round(open_rows, open_rows.where("root <> largest").where(chance), links, roots, tried, texts, percent)
+        open_rows = open_rows.where(F.col("outside") > centres)
+        centres *= 4
     own = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = seen.join(own, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
