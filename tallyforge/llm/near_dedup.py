@@ -12,8 +12,10 @@ lie in several components, the one that shares most. What a document shares with
 that other open documents have at all, so documents of mostly own shingles drop out here, exactly, and pairs whose
 bounds rule a link out are never formed. At last buckets that share documents count as one cluster, so a pair is met
 once and not in every bucket, and members outside a cluster's largest component are centres, four times as many in each
-round, until every pair in different components that could be linked has been held against each other. A group of near
-copies thus costs its size times the few centres that it needs, and no link between components is lost.
+round, until every pair in different components that could be linked has been held against each other. There each
+document carries a bitmap of its set's parities: two bitmaps differ in no more places than the sets do, so the number
+of differing bits bounds what the sets share, exactly, and only pairs that may well be links are formed. A group of
+near copies thus costs its size times the few centres that it needs, and no link between components is lost.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than five words: the whole sequence
 is one shingle; a null doc_id takes part in no link and is kept; repeated rows are returned each;
@@ -24,11 +26,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm.common import cut, forget, join_checked
@@ -37,6 +40,8 @@ from tallyforge.llm.graph import components
 COORDINATES, ROWS = 128, 4
 #: Centres outside the largest component that a cluster may get in the first round; four times as many in each next one.
 CENTRES = 16
+#: Bits of a set's parities.
+BITS = 2048
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -109,6 +114,18 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "items"])
 
 
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document, a bit for each of BITS groups of shingles: whether it has an odd number of them."""
+    for batch in batches:
+        bits = [np.packbits((np.bincount((mix(shingles(text.as_py())) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for text in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "bits"])
+
+
+def _differing(a: str, b: str) -> Column:
+    """In how many bits two bitmaps differ."""
+    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)))
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
@@ -139,11 +156,13 @@ def _shared_counts(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     return rows.join(counts, "doc_id").where(100 * F.col("u") >= percent * F.col("n"))
 
 
-def _clusters(rows: DataFrame) -> DataFrame:
-    """rows with buckets that share documents as one, each document once in it."""
+def _clusters(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """rows with buckets that share documents as one, each document once in it, with its `bits`."""
     first = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"))
     joined = components(rows.join(first, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")))
-    return cut(rows.select("doc_id", "n", "u").distinct().join(joined.withColumnsRenamed({"node": "doc_id", "root": "bucket"}), "doc_id").select("bucket", "doc_id", "n", "u"), "clusters")
+    once = cut(rows.select("doc_id", "n", "u").distinct().join(joined.withColumnsRenamed({"node": "doc_id", "root": "bucket"}), "doc_id").select("bucket", "doc_id", "n", "u"), "clusters")
+    bits = join_checked(texts, cut(once.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi").mapInArrow(_parities, "doc_id long, bits array<long>")
+    return cut(once.join(bits, "doc_id").select("bucket", "doc_id", "n", "u", "bits"), "clusters")
 
 
 def _round(rows: DataFrame, centres: DataFrame, links: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -151,6 +170,10 @@ def _round(rows: DataFrame, centres: DataFrame, links: DataFrame, roots: DataFra
     middle = centres.select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("nc"), F.col("u").alias("uc"), F.col("root").alias("rc"))
     most = F.least("u", "uc")
     could = 100 * most >= percent * (F.col("n") + F.col("nc") - most)
+    if "bits" in rows.columns:
+        middle = centres.select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("nc"), F.col("u").alias("uc"), F.col("root").alias("rc"), F.col("bits").alias("bc"))
+        both = F.col("n") + F.col("nc")
+        could = could & ((100 + percent) * (both - _differing("bits", "bc")) >= 2 * percent * both)
     found = rows.join(middle, "bucket").where((F.col("root") != F.col("rc")) & could).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
     fresh = cut(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
     more = _confirmed(fresh, texts, percent)
@@ -183,7 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         best = open_rows.groupBy("bucket").agg(F.max(F.struct(F.col("u") / F.col("n"), -F.col("doc_id"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("doc_id"))
         middle = open_rows.join(best, ["bucket", "doc_id"])
         links, roots, tried = _round(open_rows, middle, links, roots, tried, texts, percent)
-        open_rows = _clusters(_unsettled(open_rows, roots))
+        open_rows = _clusters(_unsettled(open_rows, roots), texts)
     while True:
         open_rows = _unsettled(open_rows, roots)
         if open_rows.isEmpty():
