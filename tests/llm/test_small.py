@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -230,6 +231,20 @@ def test_sketch_fills_and_estimates(n, seed):
     assert (near_dedup.sketch(np.unique(x)) == s).all()
 
 
+def test_parities_bound_what_sets_share():
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.choice(words, int(rng.integers(1, 300)))) for _ in range(30)] + ["", None, " ".join(words), " ".join(words[:390])]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    made = next(near_dedup._parities(iter([batch]))).column(1).to_pylist()
+    bits = [np.unpackbits(np.array(b, np.int64).view(np.uint8)) for b in made]
+    sets = [set(near_dedup.shingles(t).tolist()) for t in texts]
+    for a, x in zip(sets, bits):
+        for b, y in zip(sets, bits):
+            assert len(x) == near_dedup.BITS and int((x != y).sum()) <= len(a ^ b)
+    assert int((bits[-1] != bits[-2]).sum()) > 0
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (7, 7)], "a long, b long")
     got = {r.node: r.root for r in graph.components(links).collect()}
