@@ -422,6 +422,16 @@ def fuzzy_match(spark, d):
     return matching.token_match(w, p, "g", "wanted", "name", "id").select("wid", F.col("match.id").alias("matched"), "pass")
 
 
+@bound("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS g, string_split(upper(p_name), ' ') AS t FROM part), w AS (SELECT id AS wid, g, list_reverse(t) AS t, array_to_string(list_reverse(t), ' ') AS k FROM p),
+m AS (SELECT wid, id, CASE WHEN k = upper(name) THEN 1 WHEN len(list_filter(w.t, lambda x: NOT list_contains(p.t, x))) = 0 THEN 2 END AS pass FROM w JOIN p USING (g))
+SELECT wid, arg_min(id, (pass, id)) AS matched, CAST(min(pass) AS BIGINT) AS pass FROM m WHERE pass IS NOT NULL GROUP BY wid""")
+def fuzzy_match_all(spark, d):
+    """fuzzy_match for every name; that one's SQL asks for one in fifty."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("g"))
+    w = p.select(F.col("id").alias("wid"), "g", F.array_join(F.reverse(F.split("name", " ")), " ").alias("wanted"))
+    return matching.token_match(w, p, "g", "wanted", "name", "id").select("wid", F.col("match.id").alias("matched"), "pass")
+
+
 @bound("""SELECT s_suppkey AS id, CASE WHEN s_nationkey % 3 = 0 THEN n_nationkey WHEN s_nationkey % 3 = 1 THEN s_nationkey ELSE s_nationkey END AS found FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 def name_cascade(spark, d):
     n = table(spark, d, "nation").select(scalar.name_key("n_name").alias("key"), F.col("n_nationkey").alias("number"), F.col("n_nationkey").alias("found"))
@@ -503,6 +513,19 @@ def declared_vs_leading(spark, d):
     return done.select("key", "party", F.lit("declared").alias("state")).union(open_.select("key", "party", F.lit("leading").alias("state")))
 
 
+#: Keys whose contest is on hold, as the reference lists one.
+ON_HOLD = [152]
+
+
+@bound(f"""WITH l AS (SELECT user_id AS key, event_type AS party, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events)
+SELECT key, party, CASE WHEN party = 'purchase' THEN 'declared' ELSE 'leading' END AS state FROM l WHERE r = 1 AND (party = 'purchase' OR key NOT IN ({", ".join(map(str, ON_HOLD))}))""")
+def declared_vs_leading_all(spark, d):
+    """declared_vs_leading for every key but those leading on hold; that one's SQL leaves out each key that ten divides."""
+    now = live.latest(events(spark, d), "key", "ts", "event_id")
+    on_hold = spark.createDataFrame([(k,) for k in ON_HOLD], "key long")
+    return live.declared_and_leading(now, "key", "declared", on_hold).select("key", "party", "state")
+
+
 @bound("""SELECT event_type AS party, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 148""")
 def majority_crossing(spark, d):
     return live.nth_event(events(spark, d), "party", "ts", "event_id", 148).select("party", "ts", "event_id")

@@ -103,6 +103,13 @@ def tightest(docs: DataFrame, k: int = 10, margin: str = "margin", tie: str = "i
     return docs.where(F.col(margin) >= 0 if zero else F.col(margin) > 0).orderBy(margin, tie).limit(k)
 
 
+def declared_and_leading(now: DataFrame, key: str, declared: str, on_hold: DataFrame) -> DataFrame:
+    """now's declared rows, and the others without those whose key is on hold; `state` tells which."""
+    done = now.where(declared)
+    open_ = now.join(done.select(key), key, "left_anti").join(on_hold.select(key), key, "left_anti")
+    return done.withColumn("state", F.lit("declared")).unionByName(open_.withColumn("state", F.lit("leading")))
+
+
 def won_and_leading(docs: DataFrame, before: DataFrame) -> DataFrame:
     """Per party: contests won, leading beyond those, and the change to its seats before."""
     now = docs.groupBy("party").agg(F.count("*").alias("total"), F.count_if("declared").alias("won"))

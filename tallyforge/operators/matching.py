@@ -11,17 +11,34 @@ from tallyforge.functions.scalar import person_key
 def token_match(wanted: DataFrame, pool: DataFrame, within: str, wanted_name: str, pool_name: str, order: str) -> DataFrame:
     """Each wanted row with the first pool row of its group whose normalised name is equal, else whose tokens hold or lie in its own.
 
-    A name without any token matches nothing.
+    A name without any token matches nothing. Both sides are reduced to the distinct names of a group; equal names meet
+    by an equi-join, and those without one meet by the rarest token of the shorter name.
     """
-    w = wanted.withColumn("_key", person_key(F.col(wanted_name))).withColumn("_tokens", F.split("_key", " "))
-    p = pool.select(within, F.col(order).alias("_order"), F.struct(*[F.col(c) for c in pool.columns]).alias("match"), person_key(F.col(pool_name)).alias("_pool"))
-    p = p.withColumn("_own", F.split("_pool", " ")).where("_pool <> ''")
-    inside = lambda a, b: F.size(F.array_except(a, b)) == 0
-    fits = F.when(F.col("_key") == F.col("_pool"), 1).when(F.when(F.size("_tokens") <= F.size("_own"), inside("_tokens", "_own")).otherwise(inside("_own", "_tokens")), 2)
-    found = w.where("_key <> ''").join(p, within).withColumn("pass", fits).where("pass is not null")
-    keys = [c for c in wanted.columns]
-    best = found.groupBy(*keys).agg(F.min_by(F.struct("match", "pass"), F.struct("pass", "_order")).alias("_best"))
-    return best.select(*keys, "_best.match", F.col("_best.pass").cast("long").alias("pass"))
+    first = lambda rows: F.min_by(rows, F.col(f"{rows}._order")).alias("_first")
+    p = pool.select(F.col(within).alias("_g"), person_key(F.col(pool_name)).alias("_key"), F.struct(F.struct(order).alias("_order"), F.struct(*[F.col(c) for c in pool.columns]).alias("match")).alias("_row"))
+    p = p.where("_key <> ''").groupBy("_g", "_key").agg(first("_row"))
+    keyed = wanted.withColumn("_key", person_key(F.col(wanted_name)))
+    w = keyed.where("_key <> ''").select(F.col(within).alias("_g"), "_key").distinct()
+    equal = w.join(p, ["_g", "_key"]).select("_g", "_key", "_first.match", F.lit(1).cast("long").alias("pass"))
+    # The second pass depends on a name's set of tokens and their number alone.
+    tokens = F.split("_key", " ")
+    w = w.join(p.select("_g", "_key"), ["_g", "_key"], "left_anti").withColumn("_w", F.array_sort(F.array_distinct(tokens))).withColumn("_wn", F.size(tokens))
+    p = p.select("_g", F.array_sort(F.array_distinct(tokens)).alias("_p"), F.size(tokens).alias("_pn"), F.col("_first").alias("_row")).groupBy("_g", "_p", "_pn").agg(first("_row"))
+    sets = w.select("_g", "_w", "_wn").distinct()
+    found = _holding(sets, "_w", p, "_p").where("_wn <= _pn").unionByName(_holding(p, "_p", sets, "_w").where("_pn < _wn"))
+    found = found.groupBy("_g", "_w", "_wn").agg(F.min_by("_first", "_first._order").alias("_first"))
+    inside = w.join(found, ["_g", "_w", "_wn"]).select("_g", "_key", "_first.match", F.lit(2).cast("long").alias("pass"))
+    best = equal.union(inside).withColumnRenamed("_g", within)
+    return keyed.join(best, [within, "_key"]).select(*[keyed[c] for c in wanted.columns], "match", "pass")
+
+
+def _holding(short: DataFrame, s: str, long: DataFrame, l: str) -> DataFrame:
+    """Pairs of a group whose array s lies in array l, both without repeats, found by the token of s that is rarest among long's."""
+    held = long.withColumn("_t", F.explode(l))
+    often = held.groupBy("_g", "_t").agg(F.count("*").alias("_often"))
+    rest = [F.first(c).alias(c) for c in short.columns if c not in ("_g", s, f"{s}n")]
+    rare = short.withColumn("_t", F.explode(s)).join(often, ["_g", "_t"], "left").groupBy("_g", s, f"{s}n").agg(F.min_by("_t", F.struct(F.coalesce("_often", F.lit(0)), "_t")).alias("_t"), *rest)
+    return rare.join(held, ["_g", "_t"]).where(F.size(F.array_except(s, l)) == 0).drop("_t")
 
 
 def any_token_inside(names: str, other: str):

@@ -1,7 +1,9 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
+from tallyforge import bindings
 from tallyforge.operators import keys, live, matching, people
 from tallyforge.streaming.live import State, first_seen, landed, run_available, upsert_latest
 
@@ -44,6 +46,40 @@ def test_token_match(spark):
     assert [(r.who, r.match.ord, r["pass"]) for r in got] == [("Roy, Ann", 3, 1)]
 
 
+def test_token_match_of_every_row(spark):
+    rng = random.Random(3)
+    name = lambda: " ".join(rng.choice("ABCDEFG") for _ in range(rng.randint(0, 4)))
+    wanted, pool = ([(rng.choice("xy"), name(), i) for i in range(300)] for _ in range(2))
+    w, p = spark.createDataFrame(wanted, "ac string, who string, n int"), spark.createDataFrame(pool, "ac string, name string, ord int")
+    # Rows that are equal in all columns are matched one by one.
+    got = matching.token_match(w.union(w), p, "ac", "who", "name", "ord").collect()
+    want = []
+    for ac, who, n in wanted:
+        own, fits = who.split(), []
+        for g, other, o in pool:
+            short, long = sorted((own, other.split()), key=len) if len(own) > len(other.split()) else (own, other.split())
+            if g == ac and own and other and set(short) <= set(long):
+                fits.append((1 if own == other.split() else 2, o))
+        want += [(n, *min(fits))] * 2 if fits else []
+    assert sorted((r.n, r["pass"], r.match.ord) for r in got) == sorted(want) and {x[1] for x in want} == {1, 2}
+
+
+def test_bound_matches_leave_nothing_out(spark, sf):
+    part, events = spark.read.parquet(f"{sf}/part.parquet"), spark.read.parquet(f"{sf}/events.parquet")
+    got = bindings.QUERIES["fuzzy_match_all"](spark, sf)
+    # A name holds its own tokens, so each has a match.
+    assert got.count() == part.count() == got.select("wid").distinct().count()
+    now = bindings.QUERIES["declared_vs_leading_all"](spark, sf)
+    gone = {r.user_id for r in events.select("user_id").distinct().collect()} - {r.key for r in now.collect()}
+    assert gone <= set(bindings.ON_HOLD)
+
+
+def test_on_hold_is_a_list_of_keys(spark):
+    now = spark.createDataFrame([(10, True), (20, False), (152, False), (153, True)], "key long, declared boolean")
+    got = live.declared_and_leading(now, "key", "declared", spark.createDataFrame([(152,), (153,)], "key long")).collect()
+    assert sorted((r.key, r.state) for r in got) == [(10, "declared"), (20, "leading"), (153, "declared")]
+
+
 def test_priority_and_fan_out(spark):
     s = lambda *rows: spark.createDataFrame(rows, "year int, v string")
     got = matching.by_priority([s((2016, "a")), s((2016, "b"), (2021, "b")), s((2021, "c"))], "year").collect()
