@@ -388,6 +388,28 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_articles_in_wrappers():
+    long = "A sentence of the story that goes on for a good while, with many words in it."
+    story = f"<article><h1>Head</h1><p>{long}</p></article>"
+    for outer in ("div class='has-sidebar'", "div class='layout--with-sidebar'", "section class='nav-open'", "div id=page class='share-enabled'", "form id=aspnetForm", "div class='sidebar'", "div class='widget'"):
+        tag = outer.split()[0]
+        for inner in (story, story.replace("article", "main"), f"<div class=content><h1>Head</h1><p>{long}</p></div>"):
+            aside = "<nav>Menu</nav><div class='comments'><article>Nice story</article></div><div class=ad>Buy</div>"
+            assert html_text.main_text(f"<body><{outer}>{inner}{aside}</{tag}><footer>f</footer>") == f"Head {long}"
+        # No mark at all: most of the page's text is in the wrapper.
+        assert html_text.main_text(f"<p>x</p><{outer}><p>{long}</p><p>{long}</p></{tag}>").endswith(f"{long} {long}")
+    # What isn't the page's article stays out, even if it is longer.
+    for other in (f"<div class=comments>{story * 3}</div>", f"<div class=related>{story * 9}</div>", f"<div class=sidebar>{story}</div>", f"<form>{long}</form>"):
+        assert html_text.main_text(f"<article><p>The first. {long}</p></article>{other}") == f"The first. {long}"
+    assert html_text.main_text(f"<div class=comments><p>{long}</p></div>") == long
+    assert html_text.main_text("<nav>Menu</nav>") == ""
+
+
+def test_html_reads_on_past_unknown_sections():
+    for odd in ("<![foo[x]]>", "<![endo x]>", "<![ x]>", "<![[>", "<![CDATA[x]]>", "<!x>"):
+        assert html_text.main_text(f"<article><p>one</p>{odd}<p>two</p></article>") == "one two", odd
+
+
 def test_fold(spark):
     got = spark.range(50).select("id", fold("id").alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 5 for r in got) and Counter(r.f for r in got)[0] > 0
