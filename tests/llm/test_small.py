@@ -116,6 +116,32 @@ def test_language(spark, docs, nothing):
     assert language.learn(nothing).predict(["text"]) == [("und", 0.0)]
 
 
+def test_every_language_and_letter_is_learned(spark):
+    # 70 languages: pairs share a script of 40 letters and differ in its order; the rarer half has two documents each.
+    rng = np.random.default_rng(5)
+    words = {f"l{i}": ["".join(chr(0x4E00 + 40 * (i // 2) + c) for c in rng.integers(0, 40, 4)) for _ in range(12)] for i in range(68)}
+    words |= {"high": ["".join(chr(0x10400 + c) for c in rng.integers(0, 40, 4)) for _ in range(12)], "greek": ["ΛΌΓΟΣ", "ΦΊΛΟΣ", "ΝΌΜΟΣ"]}
+    text = lambda lang, n=60: " ".join(rng.choice(words[lang], n))
+    teach = [(100 * k + i, text(lang), lang) for k, lang in enumerate(words) for i in range(8 if k < 35 else 2)]
+    model = language.learn(spark.createDataFrame(teach, "doc_id long, text string, lang string"))
+    assert model.langs == sorted(words)
+    assert [model.predict([text(lang, 20).lower()])[0][0] for lang in words] == list(words)
+    letters = set("".join(sum(words.values(), [])).lower())
+    assert len({int(model.symbols.codes[ord(c)]) for c in letters}) == len(letters)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 6), min_size=1, max_size=80))
+def test_displaced_edges_are_the_automatons(codes):
+    edges = language.automaton(np.array(codes))
+    place, table = language.displaced(edges, 7)
+    assert len(set(place.tolist())) == len(edges)
+    for s, out in enumerate(edges):
+        for c in range(7):
+            source, target = table[place[s] + c]
+            assert (source == place[s]) == (c in out) and (c not in out or target == place[out[c]])
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.text("abc ", min_size=1, max_size=60), st.text("abcd ", min_size=1, max_size=400))
 def test_phrases_are_greedy_longest_matches(known, text):
