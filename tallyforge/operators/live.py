@@ -84,19 +84,28 @@ def summary(docs: DataFrame, previous: DataFrame, now: Column, reduced: bool = F
     """One row: contests, declared, and maps and lists over the documents of this run (id, leader, leader_party, margin, declared).
 
     A contest keeps the declaration time that `previous` (id, declared_at) has. reduced leaves out names, margins
-    and winners and lets margins of 0 into the tightest.
+    and winners and lets margins of 0 into the tightest. The maps and lists make one row of every document;
+    summary_rows() and tightest() give the same as rows, for any number of them.
     """
-    d = docs.join(previous, "id", "left").withColumn("declared_at", F.when(F.col("declared"), F.coalesce("declared_at", now)))
+    d = summary_rows(docs, previous, now)
     led = F.map_from_entries(F.array_sort(F.collect_list(F.struct("id", "leader_party"))))
-    tight = F.slice(F.array_sort(F.collect_list(F.when(F.lit(reduced) | (F.col("margin") > 0), F.struct("margin", "id", "leader_party")))), 1, 10)
-    out = [F.count("*").alias("contests"), F.count_if("declared").alias("declared"), led.alias("leader_by_contest"), tight.alias("tightest")]
+    out = [F.count("*").alias("contests"), F.count_if("declared").alias("declared"), led.alias("leader_by_contest")]
+    rest = []
     if not reduced:
-        out += [
+        rest = [
             F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("leader").isNotNull(), F.struct("id", "leader"))))).alias("leader_name"),
             F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("margin") > 0, F.struct("id", "margin"))))).alias("margin_by_contest"),
             F.sort_array(F.collect_list(F.when(F.col("declared"), F.struct("declared_at", "id", "leader", "leader_party", "margin"))), asc=False).alias("winners"),
         ]
-    return d.agg(*out)
+    few = d.where(F.lit(True) if reduced else F.col("margin") > 0).orderBy("margin", "id", "leader_party").limit(10)
+    tight = few.agg(F.array_sort(F.collect_list(F.struct("margin", "id", "leader_party"))).alias("tightest"))
+    return d.agg(*out, *rest).crossJoin(tight).select("contests", "declared", "leader_by_contest", "tightest", *[c for c in ("leader_name", "margin_by_contest", "winners") if not reduced])
+
+
+def summary_rows(docs: DataFrame, previous: DataFrame, now: Column) -> DataFrame:
+    """Per document of this run (id, leader, leader_party, margin, declared, declared_at), with the time kept as in summary()."""
+    d = docs.join(previous, "id", "left").withColumn("declared_at", F.when(F.col("declared"), F.coalesce("declared_at", now)))
+    return d.select("id", "leader", "leader_party", "margin", "declared", "declared_at")
 
 
 def tightest(docs: DataFrame, k: int = 10, margin: str = "margin", tie: str = "id", zero: bool = False) -> DataFrame:

@@ -82,9 +82,8 @@ def fanned_out(contests: DataFrame, districts: DataFrame, overrides: DataFrame,
 
 def gaps(ids: DataFrame, key: str, first: int = 1, beyond: int = 50) -> DataFrame:
     """Ids from `first` to `beyond` past the largest that aren't there."""
-    top = ids.agg(F.max(key).alias("top"))
-    # One row, spread to a range without the driver.
-    spine = top.select(F.explode(F.sequence(F.lit(first).cast("long"), F.coalesce("top", F.lit(0)).cast("long") + beyond)).alias(key))
+    top = ids.agg(F.max(F.col(key).cast("long"))).first()[0] or 0
+    spine = ids.sparkSession.range(first, max(first, top + beyond + 1)).withColumnRenamed("id", key)
     return spine.join(ids.select(F.col(key).cast("long").alias(key)), key, "left_anti")
 
 

@@ -80,6 +80,24 @@ def test_on_hold_is_a_list_of_keys(spark):
     assert sorted((r.key, r.state) for r in got) == [(10, "declared"), (20, "leading"), (153, "declared")]
 
 
+def test_gaps_are_no_array(spark):
+    # Far more ids than one array can hold; the join's own work is left out.
+    ids = spark.createDataFrame([(3_000_000_000,), (2,)], "id long")
+    assert matching.gaps(ids, "id", first=2_999_999_990).count() == 60
+    far = matching.gaps(ids, "id")
+    assert "explode" not in far._jdf.queryExecution().toString() and "Range (1, 3000000051" in far._jdf.queryExecution().toString()
+    assert [matching.gaps(ids.limit(0), "id", beyond=n).count() for n in (0, 3)] == [0, 3]
+
+
+def test_summary_takes_ten_and_has_rows(spark):
+    docs = spark.range(1, 41).select(F.col("id").cast("string").alias("id"), F.lit("n").alias("leader"), F.lit("p").alias("leader_party"), (41 - F.col("id")).alias("margin"), (F.col("id") < 3).alias("declared"))
+    before = spark.createDataFrame([("1", "t0")], "id string, declared_at string")
+    s = live.summary(docs, before, F.lit("t1"))
+    assert [t.margin for t in s.first().tightest] == list(range(1, 11)) and len(s.first().leader_by_contest) == 40
+    assert {r.id: r.declared_at for r in live.summary_rows(docs, before, F.lit("t1")).where("declared").collect()} == {"1": "t0", "2": "t1"}
+    assert s.columns == ["contests", "declared", "leader_by_contest", "tightest", "leader_name", "margin_by_contest", "winners"]
+
+
 def test_priority_and_fan_out(spark):
     s = lambda *rows: spark.createDataFrame(rows, "year int, v string")
     got = matching.by_priority([s((2016, "a")), s((2016, "b"), (2021, "b")), s((2021, "c"))], "year").collect()
