@@ -24,9 +24,26 @@ def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, as one row.
+
+    Rows of one doc_id are one document, of which the row with the smallest text digest stays; so are rows without
+    doc_id whose texts are equal.
+    """
     gone = cut(near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
-    return join_checked(docs, gone, "doc_id", "left_anti")
+    return one_row_each(join_checked(docs, gone, "doc_id", "left_anti"))
+
+
+def one_row_each(docs: DataFrame) -> DataFrame:
+    """One row per doc_id, and per text where doc_id is null; only rows that repeat are grouped whole, by partial minima."""
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    key = F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("i"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.when(F.col("text").isNull(), "n").otherwise("t"), digest))
+    rows = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    again = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "again")
+    if again.isEmpty():
+        return docs
+    order = F.struct(F.sha2(F.col("row.text").cast("binary"), 256), F.sha2(F.to_json("row").cast("binary"), 256))
+    first = join_checked(rows, again, "key", "left_semi").groupBy("key").agg(F.min_by("row", order).alias("row"))
+    return join_checked(rows, again, "key", "left_anti").select("row.*").union(first.select("row.*"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

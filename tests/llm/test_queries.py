@@ -48,6 +48,20 @@ def test_near_dedup_against_brute_force(spark, sf):
     assert {r.doc_id: r.component_id for r in queries.op9_near_dedup(spark, sf).collect()} == brute(docs)
 
 
+def test_dedup_stage_keeps_one_row_of_repeated_rows(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, long("a"), "s"), (1, long("a"), "s"), (2, long("a"), "s"), (3, long("b"), "s"), (3, long("c"), "s"), (4, long("d"), "s")]
+    rows += [(None, long("e"), "s"), (None, long("e"), "s"), (None, long("f"), "s"), (None, None, "s"), (None, "", "s"), (5, None, "s"), (5, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.key` string").repartition(4)
+    out = corpus_pipeline.one_of_each(spark, docs, "")
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    texts = {i: sorted(t for d, t in got if d == i) for i in (1, 4)}
+    assert texts == {1: [long("a")], 4: [long("d")]}
+    assert [d for d, _ in got].count(3) == [d for d, _ in got].count(5) == 1 and (5, None) in got and 2 not in [d for d, _ in got]
+    assert sorted((t for d, t in got if d is None), key=str) == sorted([long("e"), long("f"), None, ""], key=str)
+
+
 def test_pipeline(spark, sf):
     docs = table(spark, sf, "documents")
     kept = [docs.count()]
