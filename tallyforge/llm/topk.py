@@ -10,7 +10,7 @@ where the partial sum plus the Cauchy-Schwarz bound of the residuals could still
 Defined results: vectors that are null or hold null or non-finite components take no part; shorter vectors are padded
 with zeros; the query's own row (same vec_id) is left out; fewer than k candidates give fewer rows; ties go to the
 smaller vec_id; repeated ids take part each; scores are exact while |q||c| stays below 2^53; rows without vec_id take
-no part; an empty table gives no rows; other columns are ignored.
+no part; an empty table gives no rows, nor does one without a valid query; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,10 +138,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256) ->
     falling = every.select("vec_id", "v", _norm("v").alias("norm"), F.xxhash64("vec_id").alias("deal")).orderBy(F.desc("norm"), "deal", "vec_id")
     candidates = cut(falling.select(F.lit(0).cast("long").alias("q"), "vec_id", "v").mapInArrow(_blocks(CANDIDATES), _BLOCK), "candidates")
     asked = cut(scaled(queries, scale), "asked")
-    groups = max(1, -(-asked.count() // QUERIES))
-    dealt = asked.select(F.pmod(F.xxhash64("vec_id"), F.lit(groups)).alias("q"), "vec_id", "v").repartition("q").sortWithinPartitions("q", "vec_id")
-    # Without an upper size: a group is one block, whose size is even by the hash.
-    questions = dealt.mapInArrow(_blocks(1 << 62), _BLOCK)
+    n = asked.count()
+    if not n:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Dealt in turn, so an id that repeats spreads as others do; with room for parts that turn out uneven.
+    dealt = asked.select(F.lit(0).cast("long").alias("q"), "vec_id", "v").repartition(-(-4 * n // (3 * QUERIES)))
+    questions = cut(dealt.mapInArrow(_blocks(QUERIES), _BLOCK).withColumn("q", F.monotonically_increasing_id()), "questions")
     width = int(candidates.agg(F.max("d")).first()[0] or 1)
     sample = every.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     m = np.zeros((len(sample), width))
@@ -150,7 +152,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256) ->
     shared = spark.sparkContext.broadcast(basis(m))
     slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
     first = questions.select("q", slices.alias("slice"), F.lit(0).alias("kind"), F.lit(0.0).alias("at"), "ids", "vectors", "n", "d")
-    then = candidates.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("q"), F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "at", "ids", "vectors", "n", "d")
+    then = candidates.drop("q").crossJoin(F.broadcast(questions.select("q"))).select("q", F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "at", "ids", "vectors", "n", "d")
     walks = first.union(then).repartition("q", "slice").sortWithinPartitions("q", "slice", "kind", F.desc("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -346,6 +346,27 @@ def test_topk(spark, nothing):
     assert topk.search(df.where("vec_id < 3"), df.where("vec_id = 0"), 5).count() == 2
 
 
+def test_topk_without_queries_and_with_a_repeated_one(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, rng.normal(0, 1, 4).tolist()) for i in range(1, 40)], "vec_id long, vector array<double>")
+    assert topk.search(df, df.where("vec_id % 50 = 0"), 5).collect() == []
+    assert topk.search(df, spark.createDataFrame([(0, None), (50, [1.0, None])], df.schema), 5).collect() == []
+    monkeypatch.setattr(topk, "QUERIES", 8)
+    sizes = []
+    kept = topk.cut
+    monkeypatch.setattr(topk, "cut", lambda frame, label: (out := kept(frame, label), sizes.extend(r.n for r in out.collect()) if label == "questions" else None)[0])
+    one = df.where("vec_id = 7")
+    want = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.search(df, one, 3).collect()]
+    assert [r[1] for r in sorted(want)] == [1, 2, 3]
+    sizes.clear()
+    asked = one.union(df.where("vec_id = 9")).crossJoin(spark.range(30)).drop("id")
+    got = topk.search(df, asked, 90)
+    # Each copy of a query finds all others; the best 90 of its id are three rows' thirty copies.
+    best = [(r.vec_id, r.score) for r in got.where("query_id = 7").collect()]
+    assert sorted(set(best), key=lambda x: (-x[1], x[0])) == [w[2:] for w in sorted(want)] and len(best) == 90
+    assert sum(sizes) == 60 and max(sizes) <= 8
+
+
 # ---------------------------------------------------------------- personal data
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
