@@ -164,8 +164,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = [F.size(F.filter("_base", lambda q, i=i: q["k"] == i)).cast("long").alias(f"n_{kind}") for i, kind in enumerate(pii.KINDS)]
-    return out.select("doc_id", *counts, F.sha2(pii.written("_base").cast("binary"), 256).alias("base_sha256"), pii.written("_spans").alias("spans"))
+    counts = [pii.counted("_base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    spans = [pii.written("_spans").alias("spans"), F.size("_spans").cast("long").alias("n_spans")]
+    return out.select("doc_id", *counts, F.sha2(pii.written("_base").cast("binary"), 256).alias("base_sha256"), *spans)
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:

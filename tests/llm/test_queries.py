@@ -1,6 +1,7 @@
 """The corpus queries over the smallest tables, and the pipeline against its stages one by one."""
 
 import glob
+import hashlib
 import os
 import re
 
@@ -41,6 +42,20 @@ def test_held_out_accuracy(spark, sf):
     assert (good.predicted == good.quality).mean() > 0.9
 
 
+def test_pii_query_against_plain_spans(spark):
+    from tests.llm.test_small import plain_spans
+
+    whole = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in table(spark, whole, "documents").select("doc_id", "text").collect()}
+    rows = queries.op8_pii(spark, whole).collect()
+    assert len(rows) == len(texts) and sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in rows) > 0
+    for r in rows:
+        base = [s for s in plain_spans(texts[r.doc_id]).split(",") if s]
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s.startswith(k + ":") for s in base) for k in ("email", "ip", "card", "phone")]
+        assert set(base) <= set(r.spans.split(",")) and r.n_spans == len([s for s in r.spans.split(",") if s])
+
+
 def test_near_dedup_against_brute_force(spark, sf):
     from tests.llm.test_small import brute
 

@@ -410,10 +410,23 @@ def test_pii_base_spans(spark, docs, nothing):
 
 def test_pii_trees_add_what_looks_alike(spark):
     rows = [(i, f"call +1 (2{i % 10}4) 555-{1000 + i} now") for i in range(400)] + [(1000 + i, f"on 2024-01-{10 + i % 20} we met") for i in range(200)]
-    got = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written("_spans").alias("s")).collect()
-    assert all(("phone:5:22" in r.s) == (r.doc_id < 1000) for r in got) and all(r.s == "" for r in got if r.doc_id >= 1000)
-    trees = pii.Trees([((1, 0, 0, 0, 0, 0, 0, 0, 0), 50.0, 0.0), ((9, 0, 0, 0, 0, 0, 0, 0, 0), 50.0, 49.0)])
-    assert trees.probability((9,) + (0,) * 8) > 0.9 > 0.1 > trees.probability((1,) + (0,) * 8)
+    # Without a country code: no base span, but of the same body.
+    rows += [(2000 + i, f"call (2{i % 10}4) 555-{1000 + i} now") for i in range(5)]
+    rows += [(3000 + i, f"password=a1b2c3d4e5f60718{i}") for i in range(200)] + [(4000, "a1b2c3d4e5f60718293 lies about")]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.written("_spans").alias("s"), pii.written("_base").alias("b")).collect()}
+    assert all(got[i].s == got[i].b == "phone:5:22" for i in range(400)) and all(got[1000 + i].s == "" for i in range(200))
+    assert all((got[2000 + i].b, got[2000 + i].s) == ("", "phone:5:19") for i in range(5))
+    assert all(got[3000 + i].s.startswith("secret:9:") for i in range(200)) and got[4000].b == ""
+    features = np.array([[1] + [0] * 11, [9] + [0] * 11])
+    trees = pii.Trees(features, np.array([50.0, 50.0]), np.array([0.0, 49.0]))
+    assert trees.probabilities(features)[1] > 0.9 > 0.1 > trees.probabilities(features)[0]
+    assert pii.calibrated(np.array([0.9, 0.6]), np.array([50.0, 50.0]), np.array([50.0, 10.0]), 0.98) == 0.9
+
+
+def test_pii_many_matches_in_one_text(spark):
+    text = " ".join(f"a{i}@b.cc 10.0.{i % 300}.1" for i in range(20_000))
+    row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.written("_base").alias("b"), *[pii.counted("_base", k).alias(k) for k in pii.KINDS]).first()
+    assert row.b == plain_spans(text) and row.email == 20_000 and row.ip == sum(i % 300 <= 255 for i in range(20_000)) and row.phone == 0
 
 
 # ---------------------------------------------------------------- pages
