@@ -1,9 +1,9 @@
 """Media columns of lossless WebP: texts stored as 8-bit samples, read back to pixel arrays and features.
 
-A payload becomes rows of 64 samples, one per pixel in the green channel, in images of at most 96 rows laid end to
-end; each image has prefix codes of its own and back-references, and a palette where it uses so few samples that
-several fit in one pixel (with one coded channel, a palette saves bits only then). Reading decodes the images of many
-rows side by side. Long texts are many small images, so memory is bounded by the batch.
+A payload becomes rows of 64 pixels of three samples, red, green and blue, in images of at most 32 rows laid end to end.
+Each image has prefix codes of its own and back-references, and what its estimate favours of a colour cache, a palette,
+a prediction from the left or the top, and the cross-colour transform. The images of many rows are written side by
+side, and read side by side. Long texts are many small images, so memory is bounded by the batch.
 
 Defined results: null and empty text give one payload of spaces; equal texts give equal bytes; repeated rows are
 stored each; an empty table gives no rows; other columns pass through, but those named as the new ones are replaced.
@@ -21,10 +21,8 @@ from pyspark.sql import functions as F
 from tallyforge.llm import webp
 from tallyforge.llm.common import map_text
 
-#: Bytes a payload is filled up to, samples in a row, rows in an image.
-UNIT, WIDTH, ROWS = 192, 64, 96
-#: Different samples up to which the format puts several pixels in one.
-BUNDLED = 16
+#: Bytes a payload is filled up to (a row of samples), pixels in a row, rows in an image.
+UNIT, WIDTH, ROWS = 192, 64, 32
 
 
 def payload(text: str | None) -> bytes:
@@ -32,23 +30,26 @@ def payload(text: str | None) -> bytes:
     return raw.ljust(max(1, -(-len(raw) // UNIT)) * UNIT, b" ")
 
 
-def write(raw: bytes) -> bytes:
-    samples, out = np.frombuffer(raw, np.uint8).reshape(-1, WIDTH), []
-    for lo in range(0, len(samples), ROWS):
-        own = samples[lo : lo + ROWS]
-        few = np.count_nonzero(np.bincount(own.ravel(), minlength=256)) <= BUNDLED
-        out.append(webp.encode(own.astype(np.uint32) << np.uint32(8) | np.uint32(0xFF000000), ((webp.PALETTE,),) if few else ()))
-    return b"".join(out)
+def write(payloads: list[bytes]) -> list[bytes]:
+    """The stored form of each payload: files of at most ROWS rows laid end to end, all written side by side."""
+    rows = [np.frombuffer(raw, np.uint8).reshape(-1, WIDTH, 3).astype(np.uint32) for raw in payloads]
+    images = [own[lo : lo + ROWS] for own in rows for lo in range(0, len(own), ROWS)]
+    if not images:
+        return []
+    c = np.concatenate(images)
+    pixels = np.uint32(0xFF000000) | c[..., 0] << np.uint32(16) | c[..., 1] << np.uint32(8) | c[..., 2]
+    files = iter(webp.encode(np.split(pixels, np.cumsum([len(p) for p in images])[:-1])))
+    return [b"".join(next(files) for _ in range(0, len(own), ROWS)) for own in rows]
 
 
 def read(values: list[bytes | None]) -> list[np.ndarray]:
-    """The samples (rows, 64) of each value; images of all values are decoded together."""
+    """The samples (rows, 192) of each value; images of all values are decoded together."""
     files = [webp.split(v or b"") for v in values]
     pixels = iter(webp.decode([f for own in files for f in own]))
     out = []
     for own in files:
-        parts = [next(pixels) for _ in own] or [np.zeros((0, WIDTH), np.uint32)]
-        out.append(((np.concatenate(parts) >> np.uint32(8)) & np.uint32(255)).astype(np.uint8))
+        p = np.concatenate([next(pixels) for _ in own] or [np.zeros((0, WIDTH), np.uint32)])
+        out.append(np.stack([(p >> np.uint32(s)).astype(np.uint8) for s in (16, 8, 0)], -1).reshape(len(p), UNIT))
     return out
 
 
@@ -64,7 +65,7 @@ def feature(samples: np.ndarray) -> str:
 
 def _stored(texts: list[str | None]):
     raw = [payload(t) for t in texts]
-    return [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], [write(r) for r in raw]
+    return [len((t or "").encode("utf-8", "surrogatepass")) for t in texts], write(raw)
 
 
 def store(docs: DataFrame) -> DataFrame:

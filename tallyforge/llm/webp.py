@@ -21,7 +21,9 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 #: Neighbours that the first 120 distance codes name, nearest first; to the left before to the right.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 CACHE_FACTOR = 0x1E35A7BD
-MOST_BITS = 11
+MOST_BITS = 10
+#: Of written files: bits of their colour cache, colours up to which they have a palette, images written at a time.
+CACHE_BITS, BUNDLED, MOST_IMAGES = 8, 16, 8192
 _U = np.uint32
 
 
@@ -39,13 +41,50 @@ def _reversed(bits: int) -> np.ndarray:
 _REVERSED = {n: _reversed(n) for n in range(16)}
 
 
+def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
+    """Lengths of complete prefix codes near the entropy, one code a row of counts.
+
+    Rounded-up information, then symbols are shortened, the commonest first, while room is left.
+    """
+    order = np.argsort(-counts, axis=1, kind="stable")
+    ranks = max(1, int((counts > 0).sum(1).max(initial=1)))
+    order = order[:, :ranks]
+    n = np.take_along_axis(counts, order, 1)
+    used = n > 0
+    total = np.maximum(1, n.sum(1, keepdims=True))
+    length = np.where(used, np.clip(np.ceil(-np.log2(np.maximum(n, 1) / total) - 1e-9), 1, most), 0).astype(np.int64)
+    room = (1 << most) - np.where(used, 1 << (most - length), 0).sum(1)
+    if (room < 0).any():  # rare symbols were cut to `most` bits: lengthen others, rarest first
+        for r in range(ranks - 1, -1, -1):
+            for _ in range(most):
+                over = (room < 0) & (length[:, r] > 0) & (length[:, r] < most)
+                if not over.any():
+                    break
+                room += np.where(over, 1 << np.maximum(0, most - length[:, r] - 1), 0)
+                length[:, r] += over
+    live = np.flatnonzero((room > 0) & (used.sum(1) > 1))
+    while len(live):
+        own, left = length[live], room[live]
+        for r in range(int((own > 0).sum(1).max())):
+            x = own[:, r]
+            gain = 1 << (most - x)
+            fits = (x > 1) & (gain <= left)
+            left -= gain * fits
+            own[:, r] -= fits
+        length[live], room[live] = own, left
+        live = live[left > 0]
+    out = np.zeros(counts.shape, np.int64)
+    np.put_along_axis(out, order, length, 1)
+    return out
+
+
 def canonical(lengths: np.ndarray) -> np.ndarray:
-    """Codes for code lengths, bit-reversed as they stand in the stream."""
-    codes = np.zeros(len(lengths), np.int64)
-    used = np.flatnonzero(lengths)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    share = 1 << (15 - lengths[order])
-    codes[order] = _REVERSED[15][(np.cumsum(share) - share) & 0x7FFF]
+    """Codes for code lengths, one code a row, bit-reversed as they stand in the stream."""
+    order = np.argsort(np.where(lengths > 0, lengths, 99), axis=1, kind="stable")
+    own = np.take_along_axis(lengths, order, 1)
+    share = np.where(own > 0, 1 << (15 - own), 0)
+    codes = np.zeros(lengths.shape, np.int64)
+    np.put_along_axis(codes, order, np.where(own > 0, _REVERSED[15][(np.cumsum(share, 1) - share) & 0x7FFF], 0), 1)
     return codes
 
 
@@ -63,60 +102,6 @@ def lookup(lengths: np.ndarray) -> np.ndarray:
     return table[_REVERSED[most]]
 
 
-def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
-    """Lengths of a complete prefix code near the entropy: rounded-up information, then shortened while room is left."""
-    used = np.flatnonzero(counts)
-    out = np.zeros(len(counts), np.int64)
-    if len(used) <= 1:
-        out[used] = 1
-        return out
-    n = counts[used].astype(float)
-    need = np.clip(np.ceil(-np.log2(n / n.sum()) - 1e-9).astype(np.int64), 1, most)
-    order = np.argsort(-n, kind="stable")
-    lengths, room = need[order].tolist(), 1 << most
-    room -= sum(1 << (most - x) for x in lengths)
-    i = len(lengths) - 1
-    while room < 0:  # rare symbols were cut to `most` bits: lengthen others, rarest first
-        if lengths[i] < most:
-            room += 1 << (most - lengths[i] - 1)
-            lengths[i] += 1
-        else:
-            i -= 1
-    while room:
-        for i, x in enumerate(lengths):
-            if x > 1 and 1 << (most - x) <= room:
-                room -= 1 << (most - x)
-                lengths[i] = x - 1
-    out[used[order]] = lengths
-    return out
-
-
-class BitWriter:
-    def __init__(self) -> None:
-        self.values: list[np.ndarray] = []
-        self.sizes: list[np.ndarray] = []
-        self.few: list[tuple[int, int]] = []
-
-    def put(self, value: int, bits: int) -> None:
-        self.few.append((value, bits))
-
-    def many(self, values: np.ndarray, sizes: np.ndarray) -> None:
-        if self.few:
-            few, self.few = np.array(self.few, np.int64), []
-            self.values.append(few[:, 0])
-            self.sizes.append(few[:, 1])
-        self.values.append(values)
-        self.sizes.append(sizes)
-
-    def done(self) -> bytes:
-        self.many(np.zeros(0, np.int64), np.zeros(0, np.int64))
-        values, sizes = np.concatenate(self.values), np.concatenate(self.sizes)
-        values, sizes = values[sizes > 0], sizes[sizes > 0]
-        at = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        bit = np.arange(int(sizes.sum())) - at
-        return np.packbits(((np.repeat(values, sizes) >> bit) & 1).astype(np.uint8), bitorder="little").tobytes()
-
-
 class BitReader:
     def __init__(self, data: bytes, at: int) -> None:
         self.data, self.at = data, at
@@ -161,35 +146,6 @@ class BitReader:
         return lengths
 
 
-def put_code(out: BitWriter, lengths: np.ndarray) -> None:
-    used = np.flatnonzero(lengths).tolist()
-    if len(used) <= 2 and all(s < 256 for s in used):
-        used = used or [0]
-        out.put(1 | (len(used) == 2) << 1 | 1 << 2, 3)
-        for s in used:
-            out.put(s, 8)
-        return
-    out.put(0, 1)
-    edges = [0, *(np.flatnonzero(np.diff(lengths)) + 1).tolist(), len(lengths)]
-    runs: list[tuple[int, int, int]] = []
-    for lo, hi in zip(edges, edges[1:]):
-        value, n = int(lengths[lo]), hi - lo
-        while value == 0 and n >= 3:
-            part = min(n, 138)
-            runs.append((18, part - 11, 7) if part >= 11 else (17, part - 3, 3))
-            n -= part
-        runs += [(value, 0, 0)] * n
-    symbols = np.array([r[0] for r in runs])
-    inner = code_lengths(np.bincount(symbols, minlength=19), 7)
-    out.put(15, 4)
-    for i in LENGTH_ORDER:
-        out.put(int(inner[i]), 3)
-    out.put(0, 1)
-    codes = canonical(inner)
-    single = (inner > 0).sum() == 1
-    out.many(np.stack([codes[symbols], np.array([r[1] for r in runs])], 1).ravel(), np.stack([0 * inner[symbols] if single else inner[symbols], np.array([r[2] for r in runs])], 1).ravel())
-
-
 # ---------------------------------------------------------------- side-by-side reading
 
 
@@ -244,7 +200,8 @@ def read_lanes(words: np.ndarray, lanes: list[Lane]) -> None:
             n += 1
     table = np.concatenate(tables).astype(np.int64)
     places, masks = np.array(places, np.int64), np.array(masks, np.int64)
-    simple = not masks[:, 1:4].any()
+    # Green, red and blue of a literal come from one look at the stream where their codes are short enough.
+    quick = not masks[:, 3].any() and int(np.log2(masks[:, :3] + 1).sum(1).max()) <= 32
     maps = any(lane.map is not None for lane in own)
     caches = any(lane.cache_bits for lane in own)
     count = np.array([lane.count for lane in own])
@@ -259,6 +216,8 @@ def read_lanes(words: np.ndarray, lanes: list[Lane]) -> None:
         cache = np.zeros(int(np.where(bits > 0, 1 << bits, 1).sum()), np.int64)
     group = first.copy()
     place, mask = places[group], masks[group]
+    column, wide = np.ascontiguousarray(place.T), np.ascontiguousarray(mask.T)
+    alpha = (table[place[:, 3]] >> 4) << 24
 
     def take(who: np.ndarray, which: int) -> np.ndarray:
         p = pos[who]
@@ -274,15 +233,23 @@ def read_lanes(words: np.ndarray, lanes: list[Lane]) -> None:
                     y, x = divmod(t, lane.width)
                     group[j] = first[j] + lane.map[y >> lane.map_bits, x >> lane.map_bits]
             place, mask = places[group], masks[group]
+            column, wide, alpha = place.T, mask.T, (table[place[:, 3]] >> 4) << 24
         p = pos[:n]
-        e = table[place[:n, 0] + ((words[p >> 5] >> (p & 31)) & mask[:n, 0])]
+        ahead = words[p >> 5] >> (p & 31)
+        e = table[column[0][:n] + (ahead & wide[0][:n])]
         busy = left[:n] > 0
-        pos[:n] += np.where(busy, 0, e & 15)
         symbol = np.where(busy, 256, e >> 4)
         pixel = symbol << 8
-        if simple:
-            pixel |= (table[place[:n, 1]] >> 4) << 16 | table[place[:n, 2]] >> 4 | (table[place[:n, 3]] >> 4) << 24
+        if quick:
+            size = e & 15
+            red = table[column[1][:n] + (ahead >> size & wide[1][:n])]
+            taken = size + (red & 15)
+            blue = table[column[2][:n] + (ahead >> taken & wide[2][:n])]
+            taken += blue & 15
+            pos[:n] += np.where(symbol < 256, taken, np.where(busy, 0, size))
+            pixel |= (red >> 4) << 16 | blue >> 4 | alpha[:n]
         else:
+            pos[:n] += np.where(busy, 0, e & 15)
             who = np.flatnonzero(symbol < 256)
             red = take(who, 1)
             blue = take(who, 2)
@@ -357,6 +324,12 @@ def predict_inverse(pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndar
     out[0] = np.cumsum(out[0], 0) & 255
     out[:, 0] = np.cumsum(out[:, 0], 0) & 255
     green = channels(modes)[..., 2]
+    if (green == 1).all() or (green == 2).all():  # a sum along one axis
+        if green.flat[0] == 1:
+            out[1:] = np.cumsum(out[1:], 1)
+        else:
+            out[:, 1:] = np.cumsum(out[:, 1:], 0)
+        return joined(out)
     for y, x in _waves(h, w):
         after = np.where(x + 1 < w, x + 1, 0), np.where(x + 1 < w, y - 1, y)
         guess = predictions(out[y, x - 1], out[y - 1, x], out[after[1], after[0]], out[y - 1, x - 1], green[y >> bits, x >> bits])
@@ -364,17 +337,6 @@ def predict_inverse(pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndar
     return joined(out)
 
 
-def predict_forward(pixels: np.ndarray, modes: np.ndarray, bits: int) -> np.ndarray:
-    h, w = pixels.shape
-    c = channels(pixels)
-    left, top, corner, right = np.zeros_like(c), np.zeros_like(c), np.zeros_like(c), np.zeros_like(c)
-    left[:, 1:], top[1:], corner[1:, 1:], right[1:, :-1], right[1:, -1] = c[:, :-1], c[:-1], c[:-1, :-1], c[:-1, 1:], c[1:, 0]
-    mode = channels(modes)[..., 2].repeat(1 << bits, 0).repeat(1 << bits, 1)[:h, :w].copy()
-    mode[0], mode[1:, 0] = 1, 2
-    mode[0, 0] = 0
-    return joined(c - predictions(left, top, right, corner, mode))
-
-
 def _signed(x: np.ndarray) -> np.ndarray:
     return x - 256 * (x > 127)
 
@@ -512,37 +474,91 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
     return out
 
 
-def _matches(flat: np.ndarray, most: int = 4096) -> list[tuple[int, int, int]]:
-    """Non-overlapping (position, length, distance) of runs seen before, by equal windows of twelve pixels."""
-    least = 12
-    n = len(flat) - least + 1
-    if n < 2:
-        return []
-    # Windows of 1, 2, 4, 8 and then 12 pixels, each from two shorter ones.
-    factor = np.uint64(0x9E3779B97F4A7C15)
-    one = (flat.astype(np.uint64) + np.uint64(1)) * factor
-    two = one[:-1] * factor + one[1:]
-    four = (two[:-2] ^ two[:-2] >> np.uint64(29)) * factor + two[2:]
-    key = (four[:n] ^ four[:n] >> np.uint64(31)) * factor + four[4 : 4 + n]
-    key = (key ^ key >> np.uint64(30)) * factor + four[8 : 8 + n]
+# ---------------------------------------------------------------- side-by-side writing
+
+
+class Fields:
+    """Bit fields of many files. Each file's bits are its fields in the order in which they were put."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def put(self, owner: np.ndarray, values, sizes) -> None:
+        self.parts.append((owner, np.broadcast_to(values, owner.shape), np.broadcast_to(sizes, owner.shape)))
+
+    def done(self, files: int) -> list[bytes]:
+        owner = np.concatenate([p[0] for p in self.parts]).astype(np.uint16 if files < 1 << 16 else np.int64)
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order].astype(np.int64)
+        values, sizes = (np.concatenate([p[i] for p in self.parts])[order] for i in (1, 2))
+        after = np.cumsum(sizes)
+        ends = after[np.searchsorted(owner, np.arange(files), side="right") - 1]
+        length = -(-np.diff(ends, prepend=0) // 8)
+        start = np.cumsum(length) - length
+        at = after - sizes + (8 * start - np.concatenate([[0], ends[:-1]]))[owner]
+        wide = values.astype(np.uint64) << (at & 31).astype(np.uint64)
+        n = int(length.sum()) // 4 + 3
+        words = np.bincount(at >> 5, (wide & np.uint64(0xFFFFFFFF)).astype(float), n) + np.bincount((at >> 5) + 1, (wide >> np.uint64(32)).astype(float), n)
+        flat = words.astype(np.uint32).tobytes()
+        return [flat[s : s + k] for s, k in zip(start.tolist(), length.tolist())]
+
+
+def _put_codes(out: Fields, owner: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Write a prefix code for each row of counts; the codes and their lengths in bits."""
+    several = (counts > 0).sum(1) > 1
+    lengths, codes = np.zeros(counts.shape, np.int64), np.zeros(counts.shape, np.int64)
+    one = np.flatnonzero(~several)
+    out.put(owner[one], 5 | counts[one].argmax(1) << 3, 11)
+    rows = np.flatnonzero(several)
+    if not len(rows):
+        return codes, lengths
+    own = lengths[rows] = code_lengths(counts[rows])
+    codes[rows] = canonical(own)
+    # Runs of equal lengths, without the zeros at a row's end.
+    width = own.shape[1]
+    flat = own.ravel()
+    edge = np.flatnonzero((np.diff(flat, prepend=-1) != 0) | (np.arange(len(flat)) % width == 0))
+    size, value, row = np.diff(np.append(edge, len(flat))), flat[edge], edge // width
+    keep = (value > 0) | ((edge + size) % width > 0)
+    size, value, row = size[keep], value[keep], row[keep]
+    whole, rest = size // 138, size % 138
+    tokens = np.where(value > 0, size, whole + np.where(rest >= 3, 1, rest))
+    of = np.repeat(np.arange(len(size)), tokens)
+    nth = np.arange(len(of)) - np.repeat(np.cumsum(tokens) - tokens, tokens)
+    zero, r = value[of] == 0, np.where(nth < whole[of], 138, rest[of])
+    symbol = np.where(~zero, value[of], np.where(r >= 11, 18, np.where(r >= 3, 17, 0)))
+    extra, bits = np.where(symbol == 18, r - 11, np.where(symbol == 17, r - 3, 0)), np.where(symbol == 18, 7, np.where(symbol == 17, 3, 0))
+    at = row[of]
+    inner_counts = np.bincount(at * 19 + symbol, minlength=19 * len(rows)).reshape(-1, 19)
+    inner = code_lengths(inner_counts, 7)
+    inner_codes = canonical(inner)
+    who, listed = owner[rows], inner[:, LENGTH_ORDER]
+    out.put(who, 15 << 1, 5)
+    for lo, hi in ((0, 10), (10, 19)):
+        out.put(who, (listed[:, lo:hi] << (3 * np.arange(hi - lo))).sum(1), 3 * (hi - lo))
+    out.put(who, (np.bincount(at, minlength=len(rows)) - 2) << 4 | 4 << 1 | 1, 14)
+    single = (inner > 0).sum(1) == 1
+    taken = np.where(single[at], 0, inner[at, symbol])
+    out.put(who[at], np.where(single[at], 0, inner_codes[at, symbol]) | extra << taken, taken + bits)
+    return codes, lengths
+
+
+def _references(flat: np.ndarray, image: np.ndarray, least: int = 3, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Non-overlapping (position, length, distance) of runs seen before in the same image, by equal pairs of pixels."""
+    inside = np.flatnonzero(image[1:] == image[:-1])
+    low = (flat & _U(0xFFFFFF)).astype(np.int64)
+    key = image[inside] << 48 | low[inside] << 24 | low[inside + 1]
     order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    same = ranked[1:] == ranked[:-1]
-    if not same.any():
-        return []
-    seen, before = order[1:][same], order[:-1][same]
-    place = np.argsort(seen)
-    out, end = [], 0
-    for i, j in zip(seen[place].tolist(), before[place].tolist()):
-        if i < end:
-            continue
-        top = min(most, len(flat) - i)
-        differ = np.flatnonzero(flat[i : i + top] != flat[j : j + top])
-        size = int(differ[0]) if len(differ) else top
-        if size >= least:
-            out.append((i, size, i - j))
-            end = i + size
-    return out
+    same = key[order[1:]] == key[order[:-1]]
+    back = np.zeros(len(flat), np.int64)
+    back[inside[order[1:][same]]] = inside[order[1:][same]] - inside[order[:-1][same]]
+    # A run keeps its distance; it reaches one pixel beyond its last pair.
+    begins = np.flatnonzero((back > 0) & (back != np.concatenate([[0], back[:-1]])))
+    stops = np.flatnonzero((back > 0) & (back != np.append(back[1:], 0))) + 2
+    start = np.maximum(begins, np.concatenate([[0], np.maximum.accumulate(stops)[:-1]])) if len(begins) else begins
+    size = np.minimum(stops - start, most)
+    kept = size >= least
+    return start[kept], size[kept], back[begins[kept]]
 
 
 def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -554,111 +570,177 @@ def _prefixed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return symbol, np.where(v < 4, 0, v & ((1 << extra) - 1)), extra
 
 
-def _put_image(out: BitWriter, pixels: np.ndarray, main: bool, cache_bits: int = 0, group_bits: int = 0, near: bool = False) -> None:
-    """Entropy-code pixels; group_bits gives every other tile codes of its own, near names neighbours by plane codes."""
-    h, w = pixels.shape
-    flat = pixels.ravel()
-    out.put(cache_bits << 1 | 1 if cache_bits else 0, 5 if cache_bits else 1)
-    areas = None
-    if main:
-        out.put(1 if group_bits else 0, 1)
-        if group_bits:
-            out.put(group_bits - 2, 3)
-            tiles = np.indices((_shrunk(h, group_bits), _shrunk(w, group_bits))).sum(0) % 2
-            _put_image(out, tiles.astype(_U) << _U(8), False)
-            areas = tiles.repeat(1 << group_bits, 0).repeat(1 << group_bits, 1)[:h, :w].ravel()
-    found = _matches(flat) if main else []
-    at = np.arange(len(flat))
+def _counts(image: np.ndarray, symbols: np.ndarray, images: int, size: int) -> np.ndarray:
+    return np.bincount(image * size + symbols, minlength=images * size).reshape(images, size)
+
+
+def _entropy(counts: np.ndarray) -> np.ndarray:
+    """Bits that symbols so often seen take, one set a row."""
+    n = counts.sum(1)
+    return n * np.log2(np.maximum(n, 1)) - (counts * np.log2(np.maximum(counts, 1))).sum(1)
+
+
+def _put_images(out: Fields, owner: np.ndarray, pixels: list[np.ndarray], main: bool, cache_bits: int = CACHE_BITS) -> None:
+    """Entropy-code images, one a file; each uses a colour cache where that takes fewer bits by estimate."""
+    n, sizes = len(pixels), np.array([p.size for p in pixels])
+    flat, image = np.concatenate([p.ravel() for p in pixels]), np.repeat(np.arange(n), sizes)
     size = dist = np.zeros(len(flat), np.int64)
-    if found:
-        copy, size, dist = np.zeros(len(flat), bool), size.copy(), size.copy()
-        for i, n, d in found:
-            copy[i + 1 : i + n] = True
-            size[i], dist[i] = n, d
-        at = np.flatnonzero(~copy)
-        size, dist = size[at], dist[at]
-    c = channels(flat[at])
-    symbols = np.where(size > 0, 0, c[:, 2])
-    plain = size == 0
-    if cache_bits:
-        cache: dict[int, int] = {}
-        key = ((flat.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)
-        hit = np.zeros(len(flat), bool)
-        for i, (k, p) in enumerate(zip(key.tolist(), flat.tolist())):
-            hit[i] = cache.get(k, 0) == p
-            cache[k] = p
-        hit = hit[at] & plain
-        symbols = np.where(hit, 280 + key[at].astype(np.int64), symbols)
-        plain &= ~hit
+    at, hit = np.arange(len(flat)), np.zeros(len(flat), bool)
+    if main:
+        where, long, far = _references(flat, image)
+        size, dist, inside = size.copy(), size.copy(), np.zeros(len(flat) + 1, np.int64)
+        size[where], dist[where] = long, far
+        np.add.at(inside, where + 1, 1)
+        np.add.at(inside, where + long, -1)
+        at = np.flatnonzero(np.cumsum(inside)[:-1] == 0)
+        key = (((flat.astype(np.uint64) * np.uint64(CACHE_FACTOR)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+        slot = image << cache_bits | key
+        order = np.argsort(slot, kind="stable")
+        hit[order[1:]] = (slot[order[1:]] == slot[order[:-1]]) & (flat[order[1:]] == flat[order[:-1]])
+        key = key[at]
+    size, dist, hit, own, c = size[at], dist[at], hit[at], image[at], channels(flat[at])
     ref = size > 0
-    l_symbol, l_extra, l_bits, d_symbol, d_extra, d_bits = np.zeros((6, len(at)), np.int64)
-    codes = dist + 120
-    if near:
-        plane = {max(1, x + y * w): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
-        codes = np.array([plane.get(d, d + 120) for d in dist.tolist()])
-    if found:
-        l_symbol[ref], l_extra[ref], l_bits[ref] = _prefixed(size[ref])
-        d_symbol[ref], d_extra[ref], d_bits[ref] = _prefixed(codes[ref])
-    symbols = np.where(ref, 256 + l_symbol, symbols)
-    # Literals: green, red, blue, alpha. References: length, its extra bits, distance, its extra bits.
-    values, bits = np.zeros((len(at), 5), np.int64), np.zeros((len(at), 5), np.int64)
-    every = np.ones(len(at), bool)
-    for g in range(1 if areas is None else int(areas.max()) + 1):
-        own = every if areas is None else areas[at] == g
-        kinds = [(symbols, own, 280 + (1 << cache_bits if cache_bits else 0)), (c[:, 1], own & plain, 256), (c[:, 3], own & plain, 256), (c[:, 0], own & plain, 256), (d_symbol, own & ref, 40)]
-        for place, (s, who, n) in zip((0, 2, 3, 4, 2), kinds):
-            seen = s[who]
-            if not len(seen) or (seen[0] < 256 and (seen == seen[0]).all()):
-                out.put(5, 3)
-                out.put(int(seen[0]) if len(seen) else 0, 8)
-                continue
-            lengths = code_lengths(np.bincount(seen, minlength=n))
-            put_code(out, lengths)
-            values[who, place] = canonical(lengths)[seen]
-            bits[who, place] = lengths[seen] if (lengths > 0).sum() > 1 else 0
-    if found:
-        values[ref, 1], bits[ref, 1] = l_extra[ref], l_bits[ref]
-        values[ref, 3], bits[ref, 3] = d_extra[ref], d_bits[ref]
-    used = np.flatnonzero(bits.any(0))
-    out.many(values[:, used].ravel(), bits[:, used].ravel())
-
-
-def encode(pixels: np.ndarray, transforms: tuple = (), cache_bits: int = 0, group_bits: int = 0, near: bool = False) -> bytes:
-    """A lossless WebP file of ARGB pixels (height, width).
-
-    transforms, in order: (PREDICTOR, modes, bits), (CROSS_COLOUR, elements, bits), (SUBTRACT_GREEN,) or (PALETTE,).
-    """
-    h, w = pixels.shape
-    out = BitWriter()
-    out.put(w - 1, 14)
-    out.put(h - 1, 14)
-    out.put(1, 1)
-    out.put(0, 3)
-    for kind, *what in transforms:
-        out.put(1 | kind << 1, 3)
-        if kind == PALETTE:
-            colours, index = np.unique(pixels, return_inverse=True)
-            index = index.reshape(h, w)
-            out.put(len(colours) - 1, 8)
-            parts = channels(colours)
-            _put_image(out, joined(np.diff(parts, axis=0, prepend=0 * parts[:1]))[None, :], False)
-            pack = _bundle(len(colours))
-            wide = _shrunk(w, pack) << pack
-            index = np.concatenate([index, np.zeros((h, wide - w), index.dtype)], 1).reshape(h, -1, 1 << pack)
-            pixels = (index << (np.arange(1 << pack) * (8 >> pack))).sum(-1).astype(_U) << _U(8)
-            w = pixels.shape[1]
-        elif kind == SUBTRACT_GREEN:
-            pixels = green_added(pixels, -1)
+    l_symbol, l_extra, l_bits = _prefixed(np.maximum(size, 1))
+    d_symbol, d_extra, d_bits = _prefixed(np.where(ref, dist + 120, 1))
+    hit &= ~ref
+    green, rest = np.where(ref, 256 + l_symbol, c[:, 2]), (1, 3, 0)
+    plain = ~ref
+    tall = 280 + ((1 << cache_bits) if main else 0)
+    by_green = _counts(own, green, n, tall)
+    if main:
+        cached = np.where(hit, 280 + key, green)
+        other = plain & ~hit
+        by_cached = _counts(own, cached, n, tall)
+        # What the used symbols' lengths take in the codes themselves is about four bits each.
+        cost = lambda which, who: sum(_entropy(t) + 4 * (t > 0).sum(1) for t in (which, *(_counts(own[who], c[who, ch], n, 256) for ch in (1, 3))))
+        cache = cost(by_cached, other) < cost(by_green, plain)
+        by_green[cache] = by_cached[cache]
+        green, plain = np.where(cache[own], cached, green), np.where(cache[own], other, plain)
+        out.put(owner, np.where(cache, cache_bits << 1 | 1, 0), np.where(cache, 5, 1))
+    out.put(owner, 0, 1)  # Without a cache in a side image, without a map of code groups in a main one.
+    codes, lengths = _put_codes(out, owner, by_green)
+    value, bits = codes[own, green], lengths[own, green]
+    value, bits = value | np.where(ref, l_extra << bits, 0), bits + np.where(ref, l_bits, 0)
+    late, late_bits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    for ch in rest:
+        codes, lengths = _put_codes(out, owner, _counts(own[plain], c[plain, ch], n, 256))
+        k = np.where(plain, lengths[own, c[:, ch]], 0)
+        if ch:
+            value, bits = value | np.where(plain, codes[own, c[:, ch]] << bits, 0), bits + k
         else:
-            side, bits = what
-            out.put(bits - 2, 3)
-            _put_image(out, side, False)
-            pixels = cross_colour(pixels, side, bits, -1) if kind == CROSS_COLOUR else predict_forward(pixels, side, bits)
-    out.put(0, 1)
-    _put_image(out, pixels, True, cache_bits, group_bits, near)
-    body = bytes([SIGNATURE]) + out.done()
-    chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
-    return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
+            late, late_bits = np.where(plain, codes[own, c[:, ch]], 0), k
+    codes, lengths = _put_codes(out, owner, _counts(own[ref], d_symbol[ref], n, 40))
+    k = lengths[own, d_symbol]
+    late, late_bits = np.where(ref, codes[own, d_symbol] | d_extra << k, late), np.where(ref, k + d_bits, late_bits)
+    # A token's second field, where it has one, follows the first.
+    second = late_bits > 0
+    times = 1 + second
+    place = np.cumsum(times) - times
+    fields = np.zeros((3, int(times.sum())), np.int64)
+    fields[:, place] = owner[own], value, bits
+    fields[:, place[second] + 1] = owner[own[second]], late[second], late_bits[second]
+    out.put(*fields)
+
+
+def _put_constant(out: Fields, owner: np.ndarray, green, red=0, blue=0) -> None:
+    """Side images that are one colour all over: codes of one symbol, so no bits for pixels."""
+    out.put(owner, 0, 1)
+    for symbol in (green, red, blue, 255, 0):
+        out.put(owner, 5 | np.asarray(symbol) << 3, 11)
+
+
+def _chosen(c: np.ndarray, first: np.ndarray, image: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per image the prediction (0 none, 1 left, 2 top) and what red and blue are told from, by estimated bits.
+
+    c: rows of red, green, blue of all images, first: whether a row is an image's first. Returns the residual rows,
+    the predictions, red's choice (1: green) and blue's choice (1: green, 2: red).
+    """
+    left, top = c.copy(), c.copy()
+    left[:, 1:] -= c[:, :-1]
+    left[1:, 0] -= np.where(first[1:, None], 0, c[:-1, 0])
+    top[1:] -= np.where(first[1:, None, None], 0, c[:-1])
+    top[first] = left[first]
+    owner = np.repeat(image, c.shape[1])
+    bits, told, residuals = [], [], (c, left, top)
+    for x in residuals:
+        r, g, b = (x[..., i].ravel() for i in range(3))
+        of = [_entropy(_counts(owner, s, n, 256)) for s in (g, r, r - g, b, b - g, b - r)]
+        red, blue = np.stack(of[1:3]), np.stack(of[3:])
+        # What a transform's own header takes.
+        side = np.where((red.argmin(0) == 0) & (blue.argmin(0) == 0), 0, 62)
+        bits.append(of[0] + red.min(0) + blue.min(0) + side)
+        told.append((red.argmin(0), blue.argmin(0)))
+    bits[1] = bits[1] + 62
+    bits[2] = bits[2] + 62
+    mode = np.stack(bits).argmin(0)
+    red, blue = (np.choose(mode, [t[i] for t in told]) for i in (0, 1))
+    out = np.where((mode[image] == 0)[:, None, None], c, np.where((mode[image] == 1)[:, None, None], left, top))
+    r, g, b = out[..., 0].copy(), out[..., 1], out[..., 2].copy()
+    how = blue[image][:, None]
+    out[..., 2] = b - np.where(how == 1, g, np.where(how == 2, r, 0))
+    out[..., 0] = r - np.where(red[image][:, None] == 1, g, 0)
+    return out, mode, red, blue
+
+
+def encode(images: list[np.ndarray]) -> list[bytes]:
+    """Lossless WebP files of opaque ARGB images (height, width), all of one width, written side by side.
+
+    Each file uses what its own estimate favours: a palette for at most 16 colours, else a prediction from the left or
+    the top, red and blue told from green or red by the cross-colour transform (or by subtracting green), a colour
+    cache; and back-references and prefix codes always.
+    """
+    out: list[bytes] = []
+    for lo in range(0, len(images), MOST_IMAGES):
+        out += _encoded(images[lo : lo + MOST_IMAGES])
+    return out
+
+
+def _encoded(images: list[np.ndarray]) -> list[bytes]:
+    n, width = len(images), images[0].shape[1]
+    height = np.array([len(p) for p in images])
+    image, every = np.repeat(np.arange(n), height), np.arange(n)
+    whole = np.concatenate(images)
+    colour = np.sort(np.repeat(image, width).astype(np.int64) << 32 | whole.ravel())
+    fresh = np.diff(colour, prepend=-1) != 0
+    few = np.bincount(colour[fresh] >> 32, minlength=n) <= BUNDLED
+    fields = Fields()
+    fields.put(every, width - 1, 14)
+    fields.put(every, (height - 1) | 1 << 14, 18)
+    c = np.stack([(whole >> _U(s)).astype(np.uint8) for s in (16, 8, 0)], -1)
+    c, mode, red, blue = _chosen(c, np.diff(image, prepend=-1) != 0, image, n)
+    mode[few] = red[few] = blue[few] = 0
+    who = np.flatnonzero(mode)
+    fields.put(who, 1 | PREDICTOR << 1 | 7 << 3, 6)
+    _put_constant(fields, who, mode[who])
+    green = (red == 1) & (blue == 1)
+    fields.put(np.flatnonzero(green), 1 | SUBTRACT_GREEN << 1, 3)
+    who = np.flatnonzero(~green & ((red > 0) | (blue > 0)))
+    fields.put(who, 1 | CROSS_COLOUR << 1 | 7 << 3, 6)
+    # An element of 32 adds the whole of the other channel.
+    _put_constant(fields, who, 32 * (blue[who] == 1), 32 * (blue[who] == 2), 32 * (red[who] == 1))
+    alpha = np.where(mode > 0, 0, 255)[image].astype(_U)[:, None]
+    left = alpha << _U(24) | c[..., 0].astype(_U) << _U(16) | c[..., 1].astype(_U) << _U(8) | c[..., 2]
+    coded = np.split(left, np.cumsum(height)[:-1])
+    listed = []
+    for i in np.flatnonzero(few).tolist():
+        colours, index = np.unique(images[i], return_inverse=True)
+        parts, pack = channels(colours), _bundle(len(colours))
+        listed.append((i, len(colours), joined(np.diff(parts, axis=0, prepend=0 * parts[:1]))))
+        index = index.reshape(images[i].shape)
+        index = np.pad(index, ((0, 0), (0, (_shrunk(width, pack) << pack) - width))).reshape(len(index), -1, 1 << pack)
+        coded[i] = (index << (np.arange(1 << pack) * (8 >> pack))).sum(-1).astype(_U) << _U(8) | _U(0xFF000000)
+    if listed:
+        who = np.array([i for i, *_ in listed])
+        fields.put(who, np.array([k for _, k, _ in listed]) - 1 << 3 | 1 | PALETTE << 1, 11)
+        _put_images(fields, who, [x for *_, x in listed], False)
+    fields.put(every, 0, 1)
+    _put_images(fields, every, coded, True)
+    out = []
+    for bits in fields.done(n):
+        body = bytes([SIGNATURE]) + bits
+        chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
+        out.append(b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk)
+    return out
 
 
 def split(media: bytes) -> list[bytes]:

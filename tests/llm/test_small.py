@@ -12,6 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.llm import webp_writer
 from tallyforge.llm import graph, html_text, language, line_dedup, media, mixing, near_dedup, packing, pii, quality, topk, webp
 from tallyforge.llm.common import fold
 
@@ -298,14 +299,14 @@ def test_webp_round_trips_with_every_feature(shape):
         (any_, ((webp.PREDICTOR, modes, 2), (webp.CROSS_COLOUR, elements, 2), (webp.SUBTRACT_GREEN,)), {"group_bits": 2, "cache_bits": 3}),
         (np.tile(few, (4, 3)), (), {"near": True}),
     ]
-    files = [webp.encode(p, t, **kw) for p, t, kw in cases]
+    files = [webp_writer.encode(p, t, **kw) for p, t, kw in cases]
     for (p, _, _), got in zip(cases, webp.decode(files)):
         assert np.array_equal(p, got)
 
 
 def test_webp_known_file():
     # One opaque pixel (alpha 255, red 17, green 34, blue 51): five codes of one symbol, no bits of data.
-    w = webp.BitWriter()
+    w = webp_writer.BitWriter()
     w.put(0, 14), w.put(0, 14), w.put(0, 1), w.put(0, 3), w.put(0, 1), w.put(0, 1), w.put(0, 1)
     for s in (34, 17, 51, 255, 0):
         w.put(0b101, 3), w.put(s, 8)
@@ -315,6 +316,53 @@ def test_webp_known_file():
     assert webp.decode([data])[0].tolist() == [[0xFF112233]]
 
 
+def _kinds(file: bytes) -> set:
+    """Which transforms a written file has, and whether it has a colour cache."""
+    parse, image = webp._open(file, 0), None
+    flat = np.frombuffer(file + b"\0" * (16 - len(file) % 4), np.uint8).view("<u4").astype(np.int64)
+    words = flat[:-1] | (flat[1:] & 0x7FFFFFFF) << 32
+    while image is None:
+        try:
+            webp.read_lanes(words, [next(parse)])
+        except StopIteration as done:
+            image = done.value
+    return {k for k, *_ in image.transforms} | ({"cache"} if image.main.cache_bits else set())
+
+
+def test_webp_side_by_side_writing_uses_and_inverts_every_part():
+    rng = np.random.default_rng(5)
+    black = np.uint32(0xFF000000)
+    noise = rng.integers(0, 256, (32, 64), dtype=np.uint32)
+    words = rng.integers(0, 1 << 24, 40, dtype=np.uint32)
+    ramp = np.cumsum(rng.integers(0, 3, (32, 64)) * 0x010000, 1).astype(np.uint32) & np.uint32(0xFF0000)
+    cases = {
+        "grey noise": (noise * np.uint32(0x010101) | black, {webp.SUBTRACT_GREEN}),
+        "red follows green": (noise * np.uint32(0x010100) | rng.integers(0, 9, (32, 64), dtype=np.uint32) | black, {webp.CROSS_COLOUR}),
+        "blue follows red": (noise * np.uint32(0x010001) | black, {webp.CROSS_COLOUR}),
+        "ramp to the right": (ramp | black, {webp.PREDICTOR}),
+        "ramp downwards": (ramp[:, :32].T.repeat(2, 1)[:32, :64] | black, {webp.PREDICTOR}),
+        "few colours": (words[rng.integers(0, 9, (3, 64))] | black, {webp.PALETTE}),
+        "one colour": (np.full((32, 64), 0xFF202020, np.uint32), {webp.PALETTE}),
+        "recurring pixels": (words[rng.integers(0, 40, (32, 64))] | black, {"cache"}),
+        "noise": (rng.integers(0, 1 << 24, (32, 64), dtype=np.uint32) | black, set()),
+        "one row": (words[:1].repeat(64)[None] | black, set()),
+        "repeated rows": (np.tile(rng.integers(0, 1 << 24, (1, 64), dtype=np.uint32), (32, 1)) | black, set()),
+    }
+    files = webp.encode([p for p, _ in cases.values()])
+    for (name, (p, kinds)), file, got in zip(cases.items(), files, webp.decode(files)):
+        assert np.array_equal(p, got), name
+        assert kinds <= _kinds(file), name
+    assert len(files[-1]) < 64 * 3 + 300
+    assert files == [webp.encode([p])[0] for p, _ in cases.values()]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=400), st.text("ab\n", min_size=1500, max_size=7000), st.binary(max_size=300).map(lambda b: b.decode("latin-1") * 30)), min_size=1, max_size=6))
+def test_media_round_trips_any_text(texts):
+    raw = [media.payload(t) for t in texts]
+    assert [a.tobytes() for a in media.read(media.write(raw))] == raw
+
+
 def test_media(docs, nothing):
     got = media.digest(media.store(docs)).collect()
     assert len(got) == len(ROWS)
