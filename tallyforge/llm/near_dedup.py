@@ -6,16 +6,14 @@ round t + i is all for coordinate i, so every coordinate is filled within 2t rou
 the similarity. 32 bands of 4 coordinates propose candidates (at a similarity of 0.75 all bands miss five times in a
 million), and links are confirmed on the full sets.
 
-Documents with equal sets are one class, found by a digest, so copies never meet each other. Within a bucket only
-some members, the centres, are held against all others: first the smallest id; then, where a bucket's members still
-lie in several components, the one that shares most. What a document shares with any other is bounded by its shingles
-that other open documents have at all, so documents of mostly own shingles drop out here, exactly, and pairs whose
-bounds rule a link out are never formed. At last buckets that share documents count as one cluster, so a pair is met
-once and not in every bucket, and members outside a cluster's largest component are centres, four times as many in each
-round, until every pair in different components that could be linked has been held against each other. There each
-document carries a bitmap of its set's parities: two bitmaps differ in no more places than the sets do, so the number
-of differing bits bounds what the sets share, exactly, and only pairs that may well be links are formed. A group of
-near copies thus costs its size times the few centres that it needs, and no link between components is lost.
+Documents with equal sets are one class, found by a digest, so copies never meet each other. Within a bucket two
+members, the centres, are held against all others: first the smallest id; then, where a bucket's members still lie in
+several components, the one that shares most of its set. A group of near copies thus costs its size. What is still
+open after that is joined exactly: shingles are ordered by how many open documents have them, the rarest first, and two
+sets as similar as asked for must meet in the first n - ceil(0.75 n) + 1 shingles of both. Shingles that one document
+alone has come first there and need no join, so documents of mostly own shingles drop out, and so do shingles all of
+whose documents are in one component already. A shingle of many documents is dealt over salts. No link between
+components is lost.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than five words: the whole sequence
 is one shingle; a null doc_id takes part in no link and is kept; repeated rows are returned each;
@@ -26,22 +24,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tallyforge.llm.common import cut, forget, join_checked
 from tallyforge.llm.graph import components
 
 COORDINATES, ROWS = 128, 4
-#: Centres outside the largest component that a cluster may get in the first round; four times as many in each next one.
-CENTRES = 16
-#: Bits of a set's parities.
-BITS = 2048
+#: Documents that a salt of a shingle gets in the exact join.
+SALTED = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,7 +56,7 @@ def shingles(text: str | None, k: int = 5) -> np.ndarray:
     n = len(words)
     if not n:
         return np.empty(0, np.uint64)
-    h = mix(np.fromiter(map(crc32, words), np.uint64, n) * _ODD + np.uint64(1))
+    h = mix(np.fromiter(map(xxh3_64_intdigest, words), np.uint64, n) * _ODD + np.uint64(1))
     k, tag = min(n, k), np.uint64(0 if n >= k else n)
     s = np.full(n - k + 1, tag, np.uint64)
     for j in range(k):
@@ -110,111 +105,100 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = pa.array([shingles(text.as_py()).view(np.int64) for text in batch.column(1)], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), sets], ["doc_id", "items"])
+        found = [shingles(text.as_py()) for text in batch.column(1)]
+        keys = [_long(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]) for s in found]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "key_a", "items"])
 
 
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document, a bit for each of BITS groups of shingles: whether it has an odd number of them."""
-    for batch in batches:
-        bits = [np.packbits((np.bincount((mix(shingles(text.as_py())) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).view(np.int64) for text in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "bits"])
-
-
-def _differing(a: str, b: str) -> Column:
-    """In how many bits two bitmaps differ."""
-    return reduce(lambda x, y: x + y, (F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)))
-
-
-def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = cut(join_checked(texts, ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>"), "sets")
-    left, right = (sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"s{side}")) for side in "ab")
+    own = join_checked(sets, ids, "doc_id", "left_semi")
+    left, right = (own.select(F.col("doc_id").alias(side), F.col("items").alias(f"s{side}")) for side in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    links = cut(links, "confirmed")
-    forget(ids, sets)
+    links = cut(pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "confirmed")
+    forget(ids)
     return links
 
 
 def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows of the buckets whose members lie in several components, with `root`, the bucket's `largest` and how many lie `outside` it."""
-    rows = rows.drop("root", "largest", "outside")
-    marked = rows.join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
-    parts = marked.groupBy("bucket", "root").agg(F.count("*").alias("k"))
-    state = parts.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("top"), F.sum("k").alias("m"), F.count("*").alias("parts")).where("parts > 1")
-    return cut(marked.join(state.select("bucket", F.col("top.root").alias("largest"), (F.col("m") - F.col("top.k")).alias("outside")), "bucket"), "marked")
+    """Rows of the buckets whose members lie in several components, with their `root`.
+
+    The buckets go to the rows, by a counted broadcast, so that no bucket's rows gather in one task.
+    """
+    rows = rows.drop("root")
+    marked = join_checked(rows, roots.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(*rows.columns, F.coalesce("root", "doc_id").alias("root"))
+    several = cut(marked.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket"), "several")
+    return cut(join_checked(marked, several, "bucket", "left_semi"), "open")
 
 
-def _shared_counts(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """rows with `u`, how many of a document's shingles other documents of rows have; without those that can link with none."""
+def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, u, prefix) of the sets that can link at all, over the documents of rows.
+
+    u: how many of a set's shingles other documents have; prefix: of these the rarest, in which every similar set meets it.
+    """
     ids = cut(rows.select("doc_id").distinct(), "wanted")
-    items = cut(join_checked(texts, ids, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, items array<long>").select("doc_id", F.explode("items").alias("item")).distinct(), "items")
-    common = items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    counts = items.join(common, "item", "left_semi").groupBy("doc_id").agg(F.count("*").alias("u"))
-    return rows.join(counts, "doc_id").where(100 * F.col("u") >= percent * F.col("n"))
-
-
-def _clusters(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """rows with buckets that share documents as one, each document once in it, with its `bits`."""
-    first = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"))
-    joined = components(rows.join(first, "bucket").where("doc_id > a").select("a", F.col("doc_id").alias("b")))
-    once = cut(rows.select("doc_id", "n", "u").distinct().join(joined.withColumnsRenamed({"node": "doc_id", "root": "bucket"}), "doc_id").select("bucket", "doc_id", "n", "u"), "clusters")
-    bits = join_checked(texts, cut(once.select("doc_id").distinct(), "wanted"), "doc_id", "left_semi").mapInArrow(_parities, "doc_id long, bits array<long>")
-    return cut(once.join(bits, "doc_id").select("bucket", "doc_id", "n", "u", "bits"), "clusters")
-
-
-def _round(rows: DataFrame, centres: DataFrame, links: DataFrame, roots: DataFrame, tried: DataFrame, texts: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Hold the centres against their buckets' members in other components; links, roots and pairs tried after that."""
-    middle = centres.select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("nc"), F.col("u").alias("uc"), F.col("root").alias("rc"))
-    most = F.least("u", "uc")
-    could = 100 * most >= percent * (F.col("n") + F.col("nc") - most)
-    if "bits" in rows.columns:
-        middle = centres.select("bucket", F.col("doc_id").alias("c"), F.col("n").alias("nc"), F.col("u").alias("uc"), F.col("root").alias("rc"), F.col("bits").alias("bc"))
-        both = F.col("n") + F.col("nc")
-        could = could & ((100 + percent) * (both - _differing("bits", "bc")) >= 2 * percent * both)
-    found = rows.join(middle, "bucket").where((F.col("root") != F.col("rc")) & could).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b"))
-    fresh = cut(found.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-    more = _confirmed(fresh, texts, percent)
-    if more.isEmpty():
-        return links, roots, cut(tried.union(fresh), "tried")
-    links = cut(links.union(more), "links")
-    return links, components(links), cut(tried.union(fresh), "tried")
+    items = cut(join_checked(sets, ids, "doc_id", "left_semi").select("doc_id", "key_a", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
+    common = cut(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    found = join_checked(items, common, "item").groupBy("doc_id", "key_a", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("shared"))
+    least = F.ceil(F.col("n") * percent / 100).cast("int")
+    kept = found.where(F.size("shared") >= least).select("doc_id", "n", F.size("shared").alias("u"), F.slice("shared", F.lit(1), F.size("shared") - least + 1).alias("prefix"))
+    out = cut(kept, "prefixes")
+    forget(ids, items, common)
+    return out
+
+
+def _meeting(rows: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the documents of rows, in different components, that meet in both prefixes."""
+    still = cut(rows.select("doc_id", "root").distinct(), "still")
+    each = cut(join_checked(prefixes, still, "doc_id").select("doc_id", "root", "n", F.explode("prefix.item").alias("item")), "prefix")
+    across = each.groupBy("item").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    each = cut(join_checked(each, cut(across.select("item", "m"), "across"), "item"), "prefix")
+    salts = F.expr(f"1 + cast(m div {SALTED} as int)")
+    left = each.select("item", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    right = each.select("item", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    return left.join(right, ["item", "salt"]).where(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs; linked at 100 * shared >= percent * union."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     seen = cut(texts.mapInArrow(_sketched, "doc_id long, n long, key_a long, key_b long, bands array<long>"), "sketches")
-    classes = cut(seen.where("n > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")), "classes")
-    ids = seen.where("n > 0 and doc_id is not null").select("doc_id", "key_a", "key_b")
+    ids = seen.where("n > 0 and doc_id is not null").select("doc_id", "n", "key_a", "key_b", "bands")
+    classes = cut(ids.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")), "classes")
     member = ids.join(classes, ["key_a", "key_b"]).select("doc_id", "rep")
-    reps = seen.join(classes.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
+    # An id with several texts joins the classes of all of them.
+    many = cut(member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high"), "many")
+    links = cut(join_checked(member, many, "doc_id").where("rep > low").select(F.col("low").alias("a"), F.col("rep").alias("b")).distinct(), "links")
+    again = not ids.groupBy("doc_id", "key_a").agg(F.count("*").alias("times")).where("times > 1").isEmpty()
+    once = lambda rows: rows.dropDuplicates(["doc_id", "key_a"]) if again else rows
+
+    reps = once(ids.join(classes.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi"))
     rows = reps.select("doc_id", "n", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min("doc_id").alias("first")).where("m > 1")
-    in_buckets = cut(rows.join(shared, "bucket").select("bucket", "doc_id", "n", "first", "m"), "buckets")
-    similar = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    first = in_buckets.where("doc_id = first").select("bucket", F.col("n").alias("nf")).distinct()
-    pairs = in_buckets.where("doc_id > first").join(first, "bucket").select(F.col("first").alias("a"), F.col("doc_id").alias("b"), F.col("nf").alias("na"), F.col("n").alias("nb"))
-    pairs = cut(pairs.where(similar).select("a", "b").distinct(), "pairs")
-    links = _confirmed(pairs, texts, percent)
-    roots, tried, centres = components(links), pairs, CENTRES
-    open_rows = _unsettled(cut(in_buckets.where("m > 2").select("bucket", "doc_id", "n"), "open"), roots)
-    if not open_rows.isEmpty():
-        open_rows = cut(_shared_counts(open_rows, texts, percent), "open")
-        best = open_rows.groupBy("bucket").agg(F.max(F.struct(F.col("u") / F.col("n"), -F.col("doc_id"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("doc_id"))
-        middle = open_rows.join(best, ["bucket", "doc_id"])
-        links, roots, tried = _round(open_rows, middle, links, roots, tried, texts, percent)
-        open_rows = _clusters(_unsettled(open_rows, roots), texts)
-    while True:
-        open_rows = _unsettled(open_rows, roots)
-        if open_rows.isEmpty():
-            break
-        chance = F.pmod(F.xxhash64("doc_id", F.lit(centres)), F.col("outside")) < centres
-        links, roots, tried = _round(open_rows, open_rows.where("root <> largest").where(chance), links, roots, tried, texts, percent)
-        open_rows = open_rows.where(F.col("outside") > centres)
-        centres *= 4
+    shared = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "n")).alias("first")).where("m > 1")
+    in_buckets = cut(rows.join(shared, "bucket").select("bucket", "doc_id", "n", F.col("first.doc_id").alias("first"), F.col("first.n").alias("nf"), "m"), "buckets")
+    wanted = cut(in_buckets.select("doc_id").distinct(), "wanted")
+    sets = cut(once(join_checked(texts, wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, key_a long, items array<long>")), "sets")
+
+    similar = f"100 * least(n, nf) >= {percent} * greatest(n, nf)"
+    tried = cut(in_buckets.where("doc_id > first").where(similar).select(F.col("first").alias("a"), F.col("doc_id").alias("b")).distinct(), "pairs")
+    links = cut(links.union(_confirmed(tried, sets, percent)), "links")
+    roots = components(links)
+    left = _unsettled(in_buckets.where("m > 2").select("bucket", "doc_id", "n"), roots)
+    if not left.isEmpty():
+        prefixes = _prefixes(left, sets, percent)
+        left = cut(join_checked(left, prefixes.select("doc_id", "n", "u"), ["doc_id", "n"]), "open")
+        best = left.groupBy("bucket").agg(F.max(F.struct(F.col("u") / F.col("n"), -F.col("doc_id"), "n", "root")).alias("top"))
+        centre = cut(best.select("bucket", (-F.col("top.col2")).alias("c"), F.col("top.n").alias("nf"), F.col("top.root").alias("rc")), "centres")
+        held = join_checked(left, centre, "bucket").where("root <> rc").where(similar).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+        fresh = cut(held.join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = cut(links.union(_confirmed(fresh, sets, percent)), "links")
+        roots, tried = components(links), tried.union(fresh)
+        left = _unsettled(left, roots)
+    if not left.isEmpty():
+        fresh = cut(_meeting(left, prefixes, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        roots = components(cut(links.union(_confirmed(fresh, sets, percent)), "links"))
+    forget(in_buckets, sets)
     own = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
     out = seen.join(own, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

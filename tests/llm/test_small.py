@@ -205,8 +205,12 @@ def test_mixing_by_hand(spark, docs, nothing):
 # ---------------------------------------------------------------- near duplicates
 
 
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def brute(texts, percent=75):
-    sets = {i: set(near_dedup.shingles(t).tolist()) for i, t in texts.items()}
+    words = {i: [w.translate(LOWER) for w in re.split(r"[ \t-\r]+", t or "") if w] for i, t in texts.items()}
+    sets = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if w else set() for i, w in words.items()}
     root = {i: i for i in sets}
 
     def find(x):
@@ -258,18 +262,24 @@ def test_sketch_fills_and_estimates(n, seed):
     assert (near_dedup.sketch(np.unique(x)) == s).all()
 
 
-def test_parities_bound_what_sets_share():
-    rng = np.random.default_rng(8)
-    words = [f"w{i}" for i in range(400)]
-    texts = [" ".join(rng.choice(words, int(rng.integers(1, 300)))) for _ in range(30)] + ["", None, " ".join(words), " ".join(words[:390])]
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
-    made = next(near_dedup._parities(iter([batch]))).column(1).to_pylist()
-    bits = [np.unpackbits(np.array(b, np.int64).view(np.uint8)) for b in made]
-    sets = [set(near_dedup.shingles(t).tolist()) for t in texts]
-    for a, x in zip(sets, bits):
-        for b, y in zip(sets, bits):
-            assert len(x) == near_dedup.BITS and int((x != y).sum()) <= len(a ^ b)
-    assert int((bits[-1] != bits[-2]).sum()) > 0
+def test_near_dedup_of_ids_with_several_texts(spark):
+    long = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    rows = [(1, long("a")), (3, long("b")), (5, long("a")), (5, long("b")), (7, long("c")), (7, long("d")), (9, long("d")), (9, long("d")), (11, long("e"))]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (3, 1), (5, 1), (7, 7), (9, 7), (11, 11)}
+
+
+def test_near_dedup_of_templates_just_under_and_over_the_threshold(spark):
+    # One template, own words from few to many: similar pairs, near misses and chains in the same buckets.
+    rng = np.random.default_rng(9)
+    base, texts = [f"w{i}" for i in range(200)], {}
+    for i in range(150):
+        n = int(rng.integers(8, 60))
+        at = int(rng.integers(0, 200 - n))
+        texts[i] = " ".join(base[:at] + [f"x{i % 40}-{k}" for k in range(n)] + base[at + n :])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()} == brute(texts)
 
 
 def test_components_of_a_chain(spark):
