@@ -3,16 +3,20 @@
 The standard library's streaming parser turns a page into lines, one per block element, each with its characters of
 text and its tags. The ratio of the two is smoothed along the page by a Gaussian, and a threshold between the page's
 low and high ratios clusters the lines into content regions. What elements call navigation, page header or footer,
-aside, script or control, and what is hidden, never becomes content, and where a page marks its article, the regions
-are sought inside it, where a short line, such as a heading, belongs to the region around it. A form, and what class,
-id or role call sidebar, advert, notice, comments and the like, is a wrapper that is left out, unless it holds the
-article, which is then read as if the wrapper weren't there, or most of the page's text. Comments, adverts and notices
-of a page that has other text stay out whatever they hold.
+aside, script or control, and what is hidden, never becomes content. A form, and what class, id or role call sidebar,
+advert, notice, comments and the like, is a wrapper that is left out, unless it holds the article, which is then read
+as if the wrapper weren't there, or most of the page's text. Comments, adverts and notices of a page that has other
+text stay out whatever they hold.
+
+The regions decide on every page. Where most of their text lies in what the page marks as its article, all lines of
+that which aren't left out are content, headings and other short ones too; where it doesn't, the mark counts for
+nothing, and content reaches from the first region to the last and back to a heading before it.
 
 Defined results: null or empty html has the empty text, as has a page whose text is all in elements that never become
 content; broken markup is read as far as it goes, and a marked section of an unknown name is a comment; a page whose
-text is all in wrappers is read as if they weren't there; a page without any content region keeps its best line; text inside a block has its white space collapsed, blocks are joined by one
-space; repeated rows give equal texts; an empty table gives no rows; other columns pass through.
+text is all in wrappers is read as if they weren't there; a page without any content region keeps its best line; text
+inside a block has its white space collapsed, blocks are joined by one space; repeated rows give equal texts; an empty
+table gives no rows; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,9 +31,10 @@ from pyspark.sql import DataFrame
 
 from tallyforge.llm.common import map_text
 
-#: Elements that begin a new line, elements that hold no content, elements without an end tag.
+#: Elements that begin a new line, elements that hold no content, headings, elements without an end tag.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 SKIPPED = frozenset("applet aside audio button canvas datalist dialog embed footer head iframe input map menu nav noscript object script select style svg template textarea title video".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what isn't content.
 CHROME = re.compile(
@@ -54,6 +59,7 @@ class Line(NamedTuple):
     wrappers: tuple[int, ...]
     depth: int
     article: bool
+    heading: bool
 
 
 class Lines(HTMLParser):
@@ -70,11 +76,12 @@ class Lines(HTMLParser):
         #: Of every wrapper, whether it never holds the article.
         self.aside: list[bool] = []
         self.text: list[str] = []
+        self.heading = False
 
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, self.shut > 0, tuple(self.wrappers), self.depth, self.article > 0))
+            self.lines.append(Line(text, self.tags, self.shut > 0, tuple(self.wrappers), self.depth, self.article > 0, self.heading))
             self.tags = 0
         self.text = []
 
@@ -82,6 +89,8 @@ class Lines(HTMLParser):
         if tag in BLOCKS or tag in SKIPPED:
             self.end_line()
         self.tags += 1
+        if tag in BLOCKS:
+            self.heading = tag in HEADINGS
         if tag in VOID:
             return
         shut = tag in SKIPPED or (tag == "header" and not self.article)
@@ -152,8 +161,8 @@ class Lines(HTMLParser):
         self.end_line()
         return self.lines
 
-    def content(self) -> tuple[list[int], bool]:
-        """The lines that may be content, and whether they are a marked article's."""
+    def content(self) -> tuple[list[int], list[int]]:
+        """The lines that may be content, and which of them a marked article holds."""
         marked: dict[int, list[int]] = {}
         free: list[int] = []
         for i, x in enumerate(self.lines):
@@ -166,9 +175,10 @@ class Lines(HTMLParser):
         if marked:
             most = max(map(size, marked.values()))
             if OUTWEIGHS * size(own or free) < most:
-                return marked[min(d for d, at in marked.items() if OUTWEIGHS * size(at) >= most)], True
+                inner = marked[min(d for d, at in marked.items() if OUTWEIGHS * size(at) >= most)]
+                return inner, inner
         if own:
-            return own, True
+            return free, own
         readable = [i for i, x in enumerate(self.lines) if not x.shut]
         if len(free) < len(readable):
             held = Counter()
@@ -176,7 +186,7 @@ class Lines(HTMLParser):
                 held.update({w: len(self.lines[i].text) for w in self.lines[i].wrappers if not self.aside[w]})
             wide = {w for w, n in held.items() if 2 * n > size(readable)}
             free = [i for i in readable if wide.issuperset(self.lines[i].wrappers)]
-        return free or readable, False
+        return free or readable, []
 
 
 def smooth(ratios: np.ndarray, width: float = 1.0) -> np.ndarray:
@@ -203,20 +213,20 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str | None) -> str:
     page = Lines()
     lines = page.read(html or "")
-    open_lines, marked = page.content()
+    open_lines, article = page.content()
     if not open_lines:
         return ""
-    if marked:
-        # Inside a marked article every region is content.
-        return " ".join(lines[i].text for i in open_lines)
     free = set(open_lines)
     ratios = np.array([len(x.text) / max(1, x.tags) if i in free else 0.0 for i, x in enumerate(lines)])
     smoothed = smooth(np.log1p(ratios))
     line = threshold(smoothed) if len(lines) > 2 else 0.0
     content = [i for i in open_lines if smoothed[i] > line] or [max(open_lines, key=lambda i: smoothed[i])]
-    # A region reaches over the short lines between its first and last long ones, and to a heading before it.
     solid = [i for i in content if ratios[i] >= np.expm1(line)] or content
-    content = [i for i in open_lines if solid[0] <= i <= solid[-1] or (solid[0] - 2 <= i < solid[0] and i in content)]
+    size = lambda at: sum(len(lines[i].text) for i in at)
+    if 2 * size(set(solid) & set(article)) > size(solid):
+        return " ".join(lines[i].text for i in article)
+    # A region reaches over the short lines between its first and last long ones, and to a heading before it.
+    content = [i for i in open_lines if solid[0] <= i <= solid[-1] or (solid[0] - 2 <= i < solid[0] and (i in content or lines[i].heading))]
     return " ".join(lines[i].text for i in content)
 
 

@@ -1,6 +1,7 @@
 """Small cases of every corpus operator: nulls, empty and long texts, ties, repeats, empty tables, clashing columns."""
 
 import hashlib
+import html
 import re
 import zlib
 from collections import Counter
@@ -506,6 +507,32 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def plain_article(page: str) -> str:
+    """What lies between the article's tags, cut at block tags."""
+    inside = re.search(r"<article[^>]*>(.*?)</article>", page, re.S)[1]
+    parts = re.split(r"</?(?:p|h[1-6]|br|li|ul|ol|div|blockquote|pre|table|tr|td|th)\b[^>]*>", inside)
+    return " ".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", q)).split()) for q in parts) if x)
+
+
+def test_html_of_all_pages_with_and_without_the_mark(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    right = found = wanted = 0
+    for page in pages:
+        want = plain_article(page)
+        assert html_text.main_text(page) == want
+        # The ratios alone: no word that isn't the article's, and nearly every one that is.
+        got = Counter(html_text.main_text(page.replace("<article", "<div").replace("</article", "</div")).split())
+        right, found, wanted = right + sum((got & Counter(want.split())).values()), found + got.total(), wanted + len(want.split())
+    assert right >= 0.995 * found and right >= 0.995 * wanted
+
+
+def test_html_regions_overrule_a_mark_that_holds_little():
+    long = "A sentence of the story that goes on for a good while, with many words in it."
+    body = f"<div><h1>Head</h1><p>{long}</p><p>{long}</p><p>{long}</p></div>"
+    assert html_text.main_text(f"<article><a href=x>Teaser</a></article>{body}").endswith(f"Head {long} {long} {long}")
+    assert html_text.main_text(f"<div><p>Hi</p></div><article>{body}</article>") == f"Head {long} {long} {long}"
+
+
 def test_html_articles_in_wrappers():
     long = "A sentence of the story that goes on for a good while, with many words in it."
     story = f"<article><h1>Head</h1><p>{long}</p></article>"
