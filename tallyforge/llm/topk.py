@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import cut
 
-#: Vectors in a block of candidates and of queries, slices of the candidate blocks, rows the basis is fitted on.
-CANDIDATES, QUERIES, SLICES, SAMPLE = 1024, 2048, 24, 4000
+#: Vectors in a block of candidates and of queries, candidate blocks in a slice, rows the basis is fitted on. A task holds
+#: one block of queries and the products of one block of each; candidates are copied once for each block of queries.
+CANDIDATES, QUERIES, SLICE, SAMPLE = 512, 16_384, 32, 4000
 #: Share of the sampled length that the leading coordinates hold.
 HELD = 0.8
 _BLOCK = "q long, at double, ids binary, vectors binary, n long, d long"
@@ -150,9 +151,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256) ->
     for i, r in enumerate(sample):
         m[i, : len(r["v"])] = r["v"]
     shared = spark.sparkContext.broadcast(basis(m))
-    slices = F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1)))
+    # As many slices as the candidates ask for; a few at least, so that a small table isn't one task.
+    many = max(4, -(-candidates.count() // SLICE))
+    slices = F.explode(F.sequence(F.lit(0), F.lit(many - 1)))
     first = questions.select("q", slices.alias("slice"), F.lit(0).alias("kind"), F.lit(0.0).alias("at"), "ids", "vectors", "n", "d")
-    then = candidates.drop("q").crossJoin(F.broadcast(questions.select("q"))).select("q", F.pmod(F.xxhash64("ids"), F.lit(SLICES)).cast("int").alias("slice"), F.lit(1).alias("kind"), "at", "ids", "vectors", "n", "d")
+    then = candidates.drop("q").crossJoin(F.broadcast(questions.select("q"))).select("q", F.pmod(F.xxhash64("ids"), F.lit(many)).cast("int").alias("slice"), F.lit(1).alias("kind"), "at", "ids", "vectors", "n", "d")
     walks = first.union(then).repartition("q", "slice").sortWithinPartitions("q", "slice", "kind", F.desc("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
