@@ -135,29 +135,34 @@ def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
 def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(doc_id, n, u, prefix) of the sets that can link at all, over the documents of rows.
 
-    u: how many of a set's shingles other documents have; prefix: of these the rarest, in which every similar set meets it.
+    u: how many of a set's shingles other documents have; prefix: of these the rarest, in which every similar set meets
+    it, each with how many of the u come after it, itself included.
     """
     ids = cut(rows.select("doc_id").distinct(), "wanted")
     items = cut(join_checked(sets, ids, "doc_id", "left_semi").select("doc_id", "key_a", F.size("items").alias("n"), F.explode("items").alias("item")), "items")
     common = cut(items.groupBy("item").agg(F.count("*").alias("df")).where("df > 1"), "common")
     found = join_checked(items, common, "item").groupBy("doc_id", "key_a", "n").agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("shared"))
     least = F.ceil(F.col("n") * percent / 100).cast("int")
-    kept = found.where(F.size("shared") >= least).select("doc_id", "n", F.size("shared").alias("u"), F.slice("shared", F.lit(1), F.size("shared") - least + 1).alias("prefix"))
+    kept = found.where(F.size("shared") >= least).select("doc_id", "n", F.size("shared").alias("u"), F.transform(F.slice("shared", F.lit(1), F.size("shared") - least + 1), lambda x, i: F.struct(x["item"].alias("item"), (F.size("shared") - i).alias("after"))).alias("prefix"))
     out = cut(kept, "prefixes")
     forget(ids, items, common)
     return out
 
 
 def _meeting(rows: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the documents of rows, in different components, that meet in both prefixes."""
+    """Pairs (a, b) of the documents of rows, in different components, that meet in both prefixes.
+
+    Where two sets first meet, they share no more than comes after that in either; so only a meeting after which
+    enough is left counts.
+    """
     still = cut(rows.select("doc_id", "root").distinct(), "still")
-    each = cut(join_checked(prefixes, still, "doc_id").select("doc_id", "root", "n", F.explode("prefix.item").alias("item")), "prefix")
+    each = cut(join_checked(prefixes, still, "doc_id").select("doc_id", "root", "n", F.explode("prefix").alias("p")).select("doc_id", "root", "n", "p.item", "p.after"), "prefix")
     across = each.groupBy("item").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     each = cut(join_checked(each, cut(across.select("item", "m"), "across"), "item"), "prefix")
     salts = F.expr(f"1 + cast(m div {SALTED} as int)")
-    left = each.select("item", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-    right = each.select("item", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-    return left.join(right, ["item", "salt"]).where(f"a < b and ra <> rb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
+    left = each.select("item", F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), F.col("doc_id").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("after").alias("ua"))
+    right = each.select("item", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"), F.col("doc_id").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("after").alias("ub"))
+    return left.join(right, ["item", "salt"]).where(f"a < b and ra <> rb and {100 + percent} * least(ua, ub) >= {percent} * (na + nb)").select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -188,9 +193,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     if not left.isEmpty():
         prefixes = _prefixes(left, sets, percent)
         left = cut(join_checked(left, prefixes.select("doc_id", "n", "u"), ["doc_id", "n"]), "open")
-        best = left.groupBy("bucket").agg(F.max(F.struct(F.col("u") / F.col("n"), -F.col("doc_id"), "n", "root")).alias("top"))
-        centre = cut(best.select("bucket", (-F.col("top.col2")).alias("c"), F.col("top.n").alias("nf"), F.col("top.root").alias("rc")), "centres")
-        held = join_checked(left, centre, "bucket").where("root <> rc").where(similar).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+        best = left.groupBy("bucket").agg(F.max(F.struct(F.col("u") / F.col("n"), -F.col("doc_id"), "n", "root", "u")).alias("top"))
+        centre = cut(best.select("bucket", (-F.col("top.col2")).alias("c"), F.col("top.n").alias("nf"), F.col("top.root").alias("rc"), F.col("top.u").alias("uc")), "centres")
+        could = f"root <> rc and {100 + percent} * least(u, uc) >= {percent} * (n + nf)"
+        held = join_checked(left, centre, "bucket").where(could).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
         fresh = cut(held.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = cut(links.union(_confirmed(fresh, sets, percent)), "links")
         roots, tried = components(links), tried.union(fresh)
