@@ -22,8 +22,8 @@ PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), p[0] < 0))
 CACHE_FACTOR = 0x1E35A7BD
 MOST_BITS = 10
-#: Of written files: bits of their colour cache, colours up to which they have a palette, images written at a time.
-CACHE_BITS, BUNDLED, MOST_IMAGES = 8, 16, 8192
+#: Of written files: bits of their colour cache, colours up to which they have a palette, images written at a time (so many fit the cache of a core).
+CACHE_BITS, BUNDLED, MOST_IMAGES = 8, 16, 128
 _U = np.uint32
 
 
