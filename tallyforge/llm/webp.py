@@ -23,7 +23,7 @@ NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), ke
 CACHE_FACTOR = 0x1E35A7BD
 MOST_BITS = 10
 #: Of written files: bits of their colour cache, colours up to which they have a palette, images written at a time (so many fit the cache of a core).
-CACHE_BITS, BUNDLED, MOST_IMAGES = 8, 16, 128
+CACHE_BITS, BUNDLED, MOST_IMAGES = 8, 16, 64
 _U = np.uint32
 
 
@@ -88,18 +88,21 @@ def canonical(lengths: np.ndarray) -> np.ndarray:
     return codes
 
 
-def lookup(lengths: np.ndarray) -> np.ndarray:
-    """Table by the next bits: symbol << 4 | length. A code with one symbol takes no bits."""
-    used = np.flatnonzero(lengths)
-    if len(used) <= 1:
-        return np.array([(int(used[0]) if len(used) else 0) << 4], np.uint16)
-    order = used[np.argsort(lengths[used], kind="stable")]
-    own = lengths[order]
-    most = int(own[-1])
-    table = np.repeat((order << 4 | own).astype(np.uint16), 1 << (most - own))
-    if len(table) != 1 << most:
+def lookups(lengths: np.ndarray) -> list[np.ndarray]:
+    """A table by the next bits for each row: symbol << 4 | length. A code with one symbol takes no bits."""
+    single = (lengths > 0).sum(1) <= 1
+    most = np.where(single, 0, lengths.max(1, initial=0))
+    at = np.cumsum(1 << most) - (1 << most)
+    flat = np.zeros(int((1 << most).sum()), np.uint16)
+    flat[at[single]] = lengths[single].argmax(1) << 4
+    row, symbol = np.nonzero(np.where(single[:, None], 0, lengths))
+    own = lengths[row, symbol]
+    times = 1 << (most[row] - own)
+    if (np.bincount(row, times, len(lengths))[~single] != (1 << most)[~single]).any():
         raise ValueError("incomplete prefix code")
-    return table[_REVERSED[most]]
+    nth = np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)
+    flat[np.repeat(at[row] + canonical(lengths)[row, symbol], times) + (nth << np.repeat(own, times))] = np.repeat(symbol << 4 | own, times)
+    return np.split(flat, at[1:])
 
 
 class BitReader:
@@ -112,39 +115,6 @@ class BitReader:
         self.at += n
         return got
 
-    def code(self, size: int) -> np.ndarray:
-        """Lengths of the next prefix code over `size` symbols."""
-        lengths = np.zeros(size, np.int64)
-        if self.get(1):
-            two, wide = self.get(1), self.get(1)
-            lengths[self.get(8 if wide else 1)] = 1
-            if two:
-                lengths[self.get(8)] = 1
-            return lengths
-        inner = np.zeros(19, np.int64)
-        for i in LENGTH_ORDER[: 4 + self.get(4)]:
-            inner[i] = self.get(3)
-        left = size
-        if self.get(1):
-            left = 2 + self.get(2 + 2 * self.get(3))
-        table = lookup(inner).tolist()
-        mask, last, i = len(table) - 1, 8, 0
-        while i < size and left:
-            left -= 1
-            first = self.at >> 3
-            entry = table[(int.from_bytes(self.data[first : first + 3], "little") >> (self.at & 7)) & mask]
-            self.at += entry & 15
-            s = entry >> 4
-            if s < 16:
-                lengths[i] = s
-                last, i = s or last, i + 1
-            else:
-                n = 3 + self.get(2) if s == 16 else 3 + self.get(3) if s == 17 else 11 + self.get(7)
-                if s == 16:
-                    lengths[i : i + n] = last
-                i += n
-        return lengths
-
 
 # ---------------------------------------------------------------- side-by-side reading
 
@@ -164,6 +134,68 @@ class Lane:
     end: int = 0
 
 
+@dataclass
+class Code:
+    """A prefix code over `size` symbols, whose bits begin at `at`; reading it gives its table and where it ends."""
+
+    at: int
+    size: int
+    table: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
+    end: int = 0
+
+
+def read_codes(words: np.ndarray, codes: list[Code]) -> None:
+    """Read the lengths of all codes side by side, one token of each at a step."""
+    if not codes:
+        return
+    pos, size = np.array([c.at for c in codes], np.int64), np.array([c.size for c in codes])
+    lengths = np.zeros((len(codes), int(size.max()) + 138), np.int64)
+    ahead = words[pos >> 5] >> (pos & 31)
+    simple = np.flatnonzero(ahead & 1)
+    if len(simple):
+        b = ahead[simple] >> 1
+        two, wide = b & 1, 1 + 7 * (b >> 1 & 1)
+        lengths[simple, (b >> 2) & ((1 << wide) - 1)] = 1
+        other = np.flatnonzero(two)
+        lengths[simple[other], (b[other] >> (2 + wide[other])) & 255] = 1
+        pos[simple] += 3 + wide + 8 * two
+    who = np.flatnonzero(~ahead & 1)
+    if len(who):
+        count = 4 + (ahead[who] >> 1 & 15)
+        p = pos[who, None] + 5 + 3 * np.arange(19)
+        inner = np.zeros((len(who), 19), np.int64)
+        inner[:, LENGTH_ORDER] = np.where(np.arange(19) < count[:, None], (words[p >> 5] >> (p & 31)) & 7, 0)
+        now = pos[who] + 5 + 3 * count
+        b = words[now >> 5] >> (now & 31)
+        wide = 2 + 2 * (b >> 1 & 7)
+        left = np.where(b & 1, 2 + ((b >> 4) & ((1 << wide) - 1)), size[who])
+        now += np.where(b & 1, 4 + wide, 1)
+        tables = lookups(inner)
+        mask = np.array([len(t) - 1 for t in tables])
+        start, table = np.cumsum(mask + 1) - mask - 1, np.concatenate(tables).astype(np.int64)
+        at, last, live = np.zeros(len(who), np.int64), np.full(len(who), 8), np.arange(len(who))
+        while len(live):
+            p = now[live]
+            b = words[p >> 5] >> (p & 31)
+            e = table[start[live] + (b & mask[live])]
+            b, s = b >> (e & 15), e >> 4
+            bits = np.where(s < 16, 0, np.where(s == 16, 2, np.where(s == 17, 3, 7)))
+            times = np.where(s < 16, 1, np.where(s == 18, 11, 3) + (b & ((1 << bits) - 1)))
+            lengths[who[live], at[live]] = np.where(s < 16, s, 0)
+            for i in np.flatnonzero(s == 16).tolist():
+                j = live[i]
+                lengths[who[j], at[j] : at[j] + times[i]] = last[j]
+            last[live] = np.where((s > 0) & (s < 16), s, last[live])
+            at[live] += times
+            now[live] += (e & 15) + bits
+            left[live] -= 1
+            live = live[(at[live] < size[who[live]]) & (left[live] > 0)]
+        pos[who] = now
+    widest = int(size.max())
+    for code, table, end in zip(codes, lookups(lengths[:, :widest]), pos.tolist()):
+        code.table, code.end = table, end
+
+
 def _prefix_value(symbol: np.ndarray, peek, skip) -> np.ndarray:
     """Length or distance of prefix symbols, with their extra bits."""
     extra = np.maximum(0, (symbol - 2) >> 1)
@@ -389,7 +421,7 @@ def _shrunk(n: int, bits: int) -> int:
 
 
 def _open(data: bytes, base: int):
-    """Parse a file's headers. Yields each image inside that must be decoded first; returns the file's own image."""
+    """Parse a file's headers. Yields each code and each image inside that must be read first; returns the file's own image."""
     if data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != SIGNATURE:
         raise ValueError("not a lossless WebP file")
     r = BitReader(data, 21 * 8)
@@ -405,7 +437,14 @@ def _open(data: bytes, base: int):
             inner = yield from inside(_shrunk(w, size), _shrunk(h, size))
             area = ((inner >> _U(8)) & _U(0xFFFF)).astype(np.int64)
             groups = int(area.max()) + 1
-        tables = [[lookup(r.code(n)) for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40)] for _ in range(groups)]
+        tables: list[list[np.ndarray]] = []
+        for _ in range(groups):
+            tables.append([])
+            for n in (280 + (1 << cache if cache else 0), 256, 256, 256, 40):
+                one = Code(base + r.at, n)
+                yield one
+                r.at = one.end - base
+                tables[-1].append(one.table)
         return Lane(base + r.at, w, w * h, tables, cache, area, size)
 
     def inside(w: int, h: int):
@@ -432,10 +471,8 @@ def _open(data: bytes, base: int):
     return _Image(width, height, transforms, main)
 
 
-def decode(files: list[bytes]) -> list[np.ndarray]:
-    """ARGB pixels (height, width) of lossless WebP files, read side by side."""
-    if not files:
-        return []
+def _parsed(files: list[bytes]) -> list[_Image]:
+    """Images with their pixels as coded, before transforms are inverted."""
     # Each stream starts at a whole 32-bit word, with room to read past its end.
     starts, at = [], 0
     for f in files:
@@ -449,15 +486,22 @@ def decode(files: list[bytes]) -> list[np.ndarray]:
     images: list = [None] * len(files)
     waiting = {i: _open(f, 8 * s) for i, (f, s) in enumerate(zip(files, starts))}
     while waiting:
-        inner = []
+        wanted: list = []
         for i, parse in list(waiting.items()):
             try:
-                inner.append(next(parse))
+                wanted.append(next(parse))
             except StopIteration as done:
                 images[i] = done.value
                 del waiting[i]
-        read_lanes(words, inner)
+        read_codes(words, [w for w in wanted if isinstance(w, Code)])
+        read_lanes(words, [w for w in wanted if isinstance(w, Lane)])
     read_lanes(words, [i.main for i in images])
+    return images
+
+
+def decode(files: list[bytes]) -> list[np.ndarray]:
+    """ARGB pixels (height, width) of lossless WebP files, read side by side."""
+    images = _parsed(files) if files else []
     out = []
     for image in images:
         pixels = image.main.pixels.reshape(image.height, image.main.width)
@@ -600,10 +644,11 @@ def _put_images(out: Fields, owner: np.ndarray, pixels: list[np.ndarray], main:
         key = key[at]
     size, dist, hit, own, c = size[at], dist[at], hit[at], image[at], channels(flat[at])
     ref = size > 0
-    l_symbol, l_extra, l_bits = _prefixed(np.maximum(size, 1))
-    d_symbol, d_extra, d_bits = _prefixed(np.where(ref, dist + 120, 1))
+    l_symbol, l_extra, l_bits = _prefixed(size[ref])
+    d_symbol, d_extra, d_bits = _prefixed(dist[ref] + 120)
     hit &= ~ref
-    green, rest = np.where(ref, 256 + l_symbol, c[:, 2]), (1, 3, 0)
+    green, rest = c[:, 2].copy(), (1, 3, 0)
+    green[ref] = 256 + l_symbol
     plain = ~ref
     tall = 280 + ((1 << cache_bits) if main else 0)
     by_green = _counts(own, green, n, tall)
@@ -611,16 +656,18 @@ def _put_images(out: Fields, owner: np.ndarray, pixels: list[np.ndarray], main:
         cached = np.where(hit, 280 + key, green)
         other = plain & ~hit
         by_cached = _counts(own, cached, n, tall)
-        # What the used symbols' lengths take in the codes themselves is about four bits each.
-        cost = lambda which, who: sum(_entropy(t) + 4 * (t > 0).sum(1) for t in (which, *(_counts(own[who], c[who, ch], n, 256) for ch in (1, 3))))
-        cache = cost(by_cached, other) < cost(by_green, plain)
+        # A hit saves what red and blue take on average; the used symbols' lengths take about four bits each.
+        saved = sum(_entropy(t) for t in (_counts(own[plain], c[plain, ch], n, 256) for ch in (1, 3))) / np.maximum(1, np.bincount(own[plain], minlength=n))
+        cost = lambda which: _entropy(which) + 4 * (which > 0).sum(1)
+        cache = cost(by_cached) < cost(by_green) + saved * np.bincount(own[hit], minlength=n)
         by_green[cache] = by_cached[cache]
         green, plain = np.where(cache[own], cached, green), np.where(cache[own], other, plain)
         out.put(owner, np.where(cache, cache_bits << 1 | 1, 0), np.where(cache, 5, 1))
     out.put(owner, 0, 1)  # Without a cache in a side image, without a map of code groups in a main one.
     codes, lengths = _put_codes(out, owner, by_green)
     value, bits = codes[own, green], lengths[own, green]
-    value, bits = value | np.where(ref, l_extra << bits, 0), bits + np.where(ref, l_bits, 0)
+    value[ref] |= l_extra << bits[ref]
+    bits[ref] += l_bits
     late, late_bits = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for ch in rest:
         codes, lengths = _put_codes(out, owner, _counts(own[plain], c[plain, ch], n, 256))
@@ -629,9 +676,9 @@ def _put_images(out: Fields, owner: np.ndarray, pixels: list[np.ndarray], main:
             value, bits = value | np.where(plain, codes[own, c[:, ch]] << bits, 0), bits + k
         else:
             late, late_bits = np.where(plain, codes[own, c[:, ch]], 0), k
-    codes, lengths = _put_codes(out, owner, _counts(own[ref], d_symbol[ref], n, 40))
-    k = lengths[own, d_symbol]
-    late, late_bits = np.where(ref, codes[own, d_symbol] | d_extra << k, late), np.where(ref, k + d_bits, late_bits)
+    codes, lengths = _put_codes(out, owner, _counts(own[ref], d_symbol, n, 40))
+    k = lengths[own[ref], d_symbol]
+    late[ref], late_bits[ref] = codes[own[ref], d_symbol] | d_extra << k, k + d_bits
     # A token's second field, where it has one, follows the first.
     second = late_bits > 0
     times = 1 + second

@@ -329,14 +329,7 @@ def test_webp_known_file():
 
 def _kinds(file: bytes) -> set:
     """Which transforms a written file has, and whether it has a colour cache."""
-    parse, image = webp._open(file, 0), None
-    flat = np.frombuffer(file + b"\0" * (16 - len(file) % 4), np.uint8).view("<u4").astype(np.int64)
-    words = flat[:-1] | (flat[1:] & 0x7FFFFFFF) << 32
-    while image is None:
-        try:
-            webp.read_lanes(words, [next(parse)])
-        except StopIteration as done:
-            image = done.value
+    image = webp._parsed([file])[0]
     return {k for k, *_ in image.transforms} | ({"cache"} if image.main.cache_bits else set())
 
 
