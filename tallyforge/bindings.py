@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -318,10 +319,10 @@ def wealth_rank(spark, d):
     return r.select("id", "place", half_up((1 - F.col("place").cast("double") / F.col("n")) * 100).alias("percentile"))
 
 
-@bound(f"""WITH {V_CAND} SELECT ac, id, row_number() OVER (PARTITION BY ac ORDER BY assets DESC, id) AS place FROM cand""")
+@bound(f"""WITH {V_CAND} SELECT ac, id, CAST(CASE WHEN assets > 0 THEN row_number() OVER (PARTITION BY ac ORDER BY assets DESC, id) END AS DOUBLE) AS place FROM cand""")
 def wealth_rank_in_contest(spark, d):
     w = Window.partitionBy("ac").orderBy(F.desc("assets"), "id")
-    return cand(spark, d).select("ac", "id", F.row_number().over(w).cast("long").alias("place"))
+    return cand(spark, d).select("ac", "id", F.when(F.col("assets") > 0, F.row_number().over(w).cast("double")).alias("place"))
 
 
 @bound(f"""WITH {V_CAND}, g AS (SELECT ac, count(*) AS n, count(*) FILTER (cases > 0) AS hit FROM cand GROUP BY ac)
@@ -357,10 +358,13 @@ def fun_facts_ac(spark, d):
     return people.facts(cand(spark, d), "ac")
 
 
-@bound(f"""WITH {V_CAND}, r AS (SELECT *, CASE WHEN assets > 0 THEN row_number() OVER (PARTITION BY ac, assets > 0 ORDER BY assets DESC, id) END AS rich, CASE WHEN cases > 0 THEN row_number() OVER (PARTITION BY ac, cases > 0 ORDER BY cases DESC, id) END AS bad,
- CASE WHEN party IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') THEN row_number() OVER (PARTITION BY ac, party ORDER BY id) END AS maj FROM cand),
-s AS (SELECT *, CASE WHEN incumbent THEN 1 WHEN rich = 1 THEN 2 WHEN bad = 1 THEN 3 WHEN maj = 1 THEN 4 ELSE 5 END AS reason FROM r)
-SELECT ac, id, CAST(reason AS BIGINT) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY ac ORDER BY reason, id) AS k FROM s) WHERE k <= 5""")
+@bound(f"""WITH {V_CAND}, sat AS (SELECT ac, id, 1 AS reason FROM cand WHERE incumbent),
+rich AS (SELECT ac, arg_min(id, (-assets, id)) AS id, 2 AS reason FROM cand WHERE assets > 0 AND NOT incumbent GROUP BY ac), t2 AS (SELECT * FROM sat UNION ALL SELECT * FROM rich),
+bad AS (SELECT ac, arg_min(id, (-cases, id)) AS id, 3 AS reason FROM cand WHERE cases > 0 AND id NOT IN (SELECT id FROM t2) GROUP BY ac), t3 AS (SELECT * FROM t2 UNION ALL SELECT * FROM bad),
+maj AS (SELECT ac, min(id) AS id, 4 AS reason, CASE party WHEN 'AUTOMOBILE' THEN 1 WHEN 'BUILDING' THEN 2 ELSE 3 END AS o FROM cand WHERE party IN ('AUTOMOBILE', 'BUILDING', 'MACHINERY') AND id NOT IN (SELECT id FROM t3) GROUP BY ac, party),
+rest AS (SELECT ac, id, 5 AS reason, 0 AS o FROM cand WHERE id NOT IN (SELECT id FROM t3) AND id NOT IN (SELECT id FROM maj)),
+every AS (SELECT ac, id, reason, 0 AS o FROM t3 UNION ALL SELECT ac, id, reason, o FROM maj UNION ALL SELECT * FROM rest)
+SELECT ac, id, CAST(reason AS BIGINT) AS reason FROM (SELECT *, row_number() OVER (PARTITION BY ac ORDER BY reason, o, id) AS place FROM every) WHERE reason <= 3 OR place <= 5""")
 def greedy_faces(spark, d):
     return people.faces(cand(spark, d), "ac", MAJORS).select("ac", "id", "reason")
 
@@ -407,10 +411,15 @@ s AS (SELECT id, name, CAST(CASE WHEN t = '{q}' THEN 100 WHEN starts_with(t, '{q
 SELECT id, name, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 50"""
 
 
-@bound(_search_sql("blew"))
+#: One query for each tier: equal, beginning, a word's beginning, inside, by sound, few typing errors.
+ASKED = ("blue anvil", "blue", "gear", "lue gi", "gheer", "wudget", "blew")
+
+
+@bound(" UNION ALL ".join(f"SELECT '{q}' AS query, * FROM ({_search_sql(q)})" for q in ASKED))
 def search_scored(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    return search.ranked_search(p, "blew", {"name": 1.0}, "id", k=50, collapse=False).select("id", "name", "score")
+    found = [search.ranked_search(p, q, {"name": 1.0}, "id", k=50, collapse=False).select(F.lit(q).alias("query"), "id", "name", "score") for q in ASKED]
+    return reduce(DataFrame.unionByName, found)
 
 
 @bound("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS g, string_split(upper(p_name), ' ') AS t FROM part), w AS (SELECT id AS wid, g, list_reverse(t) AS t, array_to_string(list_reverse(t), ' ') AS k FROM p WHERE id % 50 = 0),
@@ -643,3 +652,7 @@ def compared(spark, d):
 def party_profile(spark, d):
     funds = spark.createDataFrame([("BUILDING", 120.5), ("MACHINERY", 80.0)], "party string, funds double")
     return people.party_profile(cand(spark, d), funds, MAJORS).withColumn("case_rate", half_up("case_rate", 2)).withColumn("avg_assets", half_up("avg_assets"))
+
+
+# The rest of the operators, bound one by one.
+from tallyforge import column_bindings  # noqa: E402, F401

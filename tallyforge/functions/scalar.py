@@ -188,11 +188,13 @@ def day_index(at: Column) -> Column:
 
 
 def split_list(x: Column | str) -> Column:
-    return F.filter(F.transform(F.split(_c(x), r"[,/;]+"), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(_c(x), r"[,/;]+"), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def padded_id(x: Column | str, prefix: str = "c", width: int = 4) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_c(x).cast("string"), width, "0"))
+    """A number behind a prefix, with zeros up to a width; longer numbers stay whole."""
+    number = _c(x).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(number) < width, F.lpad(number, width, "0")).otherwise(number))
 
 
 def query_text(name: Column, district: Column, suffix: str) -> Column:

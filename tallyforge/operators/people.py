@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.profile import UNKNOWN, asset_bucket, declared, education_tier, filled_share
 from tallyforge.functions.scalar import amount, half_up, percent, ratio
-from tallyforge.operators.keys import top_per_group
 
 SIX = ("age", "gender", "education", "assets", "url", "occupation")
 FIVE = ("age", "education", "assets", "url", "gender")
@@ -129,18 +128,25 @@ def fact_text(kind: Column, who: Column, value: Column) -> Column:
 
 
 def faces(people: DataFrame, group: str, majors: list[str], k: int = 5) -> DataFrame:
-    """Picks per group without repeats: incumbents, the richest, most cases, one of each major party, then others.
+    """Picks per group without repeats, with the reason of each: 1 every incumbent, 2 the richest, 3 most cases, 4 the
+    first of each major party in the list's order, 5 others by id. 4 and 5 fill up to k.
 
-    Each person stands in one reason, the earliest that picks them; a later reason then takes its next best, so the
-    reasons are filled in order of an overall rank.
+    Each step takes from those that no step before it has taken.
     """
-    own = lambda cond, *order: F.row_number().over(Window.partitionBy(group, cond).orderBy(*order, "id"))
-    richest, accused = F.col("assets") > 0, F.col("cases") > 0
-    p = people.withColumns({"_rich": F.when(richest, own(richest, F.desc("assets"))), "_bad": F.when(accused, own(accused, F.desc("cases")))})
-    major = F.col("party").isin(majors)
-    p = p.withColumn("_major", F.when(major, F.row_number().over(Window.partitionBy(group, "party").orderBy("id"))))
-    reason = F.when(F.col("incumbent"), 1).when(F.col("_rich") == 1, 2).when(F.col("_bad") == 1, 3).when(F.col("_major") == 1, 4).otherwise(5)
-    return top_per_group(p.withColumn("reason", reason.cast("long")).drop("_rich", "_bad", "_major"), [group], [F.asc("reason"), F.asc("id")], k)
+
+    def first(own: Column, *order: Column, within: tuple[str, ...] = ()) -> Column:
+        return own & (F.row_number().over(Window.partitionBy(group, *within, own).orderBy(*order, "id")) == 1)
+
+    reason = lambda at, cond: F.when(F.col("reason") > 0, F.col("reason")).when(cond, at).otherwise(0)
+    free = F.col("reason") == 0
+    p = people.withColumn("reason", F.when(F.coalesce("incumbent", F.lit(False)), 1).otherwise(0))
+    p = p.withColumn("reason", reason(2, first(free & (F.col("assets") > 0), F.desc("assets"))))
+    p = p.withColumn("reason", reason(3, first(free & (F.col("cases") > 0), F.desc("cases"))))
+    p = p.withColumn("reason", reason(4, first(free & F.col("party").isin(majors), within=("party",))))
+    listed = F.array_position(F.array(*[F.lit(m) for m in majors]), F.col("party"))
+    p = p.withColumn("reason", F.when(free, 5).otherwise(F.col("reason")).cast("long"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy("reason", F.when(F.col("reason") == 4, listed), "id"))
+    return p.withColumn("_place", place).where((F.col("reason") <= 3) | (F.col("_place") <= k)).drop("_place")
 
 
 def facets(people: DataFrame, text: str = "", party: str = "", district: str = "", cases_only: bool = False) -> DataFrame:
@@ -186,9 +192,9 @@ def not_chosen(df: DataFrame, ids: list, key: str = "id", most: int = 6) -> Data
 def patched(df: DataFrame, changes: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
     """df with the fields of changes (key, field, value) applied; names that start with _ and unknown ids are ignored.
 
-    `_applied` counts the changes of a row.
+    `_applied` counts the changes of a row; of several changes to one field the largest value counts.
     """
-    own = changes.where(~F.startswith("field", F.lit("_")) & F.col("field").isin(fields)).groupBy(key).pivot("field", fields).agg(F.last("value"))
+    own = changes.where(~F.startswith("field", F.lit("_")) & F.col("field").isin(fields)).groupBy(key).pivot("field", fields).agg(F.max("value"))
     wide = own.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
     count = sum((F.col(f"_new_{f}").isNotNull().cast("int") for f in fields), F.lit(0))
     joined = df.join(wide, key, "left").withColumn("_applied", count.cast("long"))
@@ -203,6 +209,16 @@ def best_in_set(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.join(F.broadcast(low)).select(df["*"], *[(F.col(f) == F.col(f"_low_{f}")).alias(f"best_{f}") for f in fields])
 
 
+def distinct_values(df: DataFrame, value: str) -> DataFrame:
+    """The different values of a column that aren't missing or empty, in order."""
+    return df.where(F.col(value).isNotNull() & (F.col(value) != "")).select(value).distinct().orderBy(value)
+
+
+def quality_of_six(people: DataFrame, group: list[str]) -> DataFrame:
+    """Per group: whole per cent of six fields that are declared."""
+    return people.groupBy(*group).agg(filled_share([F.col(c) for c in SIX]).alias("quality"))
+
+
 def secured(df: DataFrame, active: str = "is_active") -> DataFrame:
     return df.where(F.col(active))
 

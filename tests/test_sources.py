@@ -89,3 +89,5 @@ def test_seeded_round_repeats(spark):
     make = lambda: synthetic.seeded_round(spark, ["a", "b"], {"a": {"P": 60.0, "Q": 40.0}, "b": {"P": 10.0, "Q": 90.0}}, {"Q": 2.0}).collect()
     assert make() == make()
     assert spark.createDataFrame(make()).groupBy("contest").agg(F.sum("votes").alias("v")).where("v between 180000 and 240001").count() == 2
+    # The draws are 206659, 190736, 223713, 179590 of 233280: declared, then a point up or down for each, then the votes cast.
+    assert [tuple(r) for r in make()[:2]] == [("a", "P", 132148, True), ("a", "Q", 94043, True)]
