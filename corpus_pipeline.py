@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.llm import line_dedup, mixing, near_dedup, packing, quality, queries
-from tallyforge.llm.common import join_checked, cut, shared_folder, table
+from tallyforge.llm.common import cut, forget, join_checked, table
+
+
+# Every stage takes any columns beside those of documents, whatever their names, and returns an empty table for one.
+# A null text counts as an empty one; what else a stage does with it, and with nulls and repeats, its docstring says.
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality classifier, fitted on labelled documents, rejects."""
+    """Drops documents that the quality classifier, fitted on labelled documents, rejects.
+
+    Rows are judged one by one by their text alone, so repeated rows and rows without an id stay or go by it.
+    """
     scored = quality.score(docs, queries.quality_model(spark, sf_dir))
     return scored.where(F.col("_quality") >= quality.ACCEPT).drop("_quality")
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that at least ten of the documents share; n_chars follows the text."""
+    """Drops lines that at least ten of the documents share; n_chars follows the text.
+
+    Repeated rows count as one document and all stay; rows without an id count as none and lose common lines too; a
+    null text becomes the empty one.
+    """
     kept = line_dedup.drop_common_lines(docs, min_docs=10, min_chars=1).drop("_n_lines", "_n_dropped")
     return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
@@ -47,26 +56,30 @@ def one_row_each(docs: DataFrame) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents of each leaf's share of three quarters of the tokens; a document on the border stays whole."""
+    """Keeps the documents of each leaf's share of three quarters of the tokens; a document on the border stays whole.
+
+    A document without text has no tokens and isn't chosen; without a language or source it belongs to the leaf of that.
+    """
     return queries.mixed(docs, epochs=1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lays the documents' tokens into windows of 4096."""
+    """Lays the documents' tokens into windows of 4096; a document without text is its end token alone."""
     return packing.pack_documents(docs, queries.tokenizer_path())
 
 
 STAGES = [("quality classifier", classify), ("line dedup", clean_lines), ("near dedup", one_of_each), ("mixing", mix), ("packing", pack)]
 
-#: Scoring, sketching and packing are outside SQL; tests hold run() against plain versions of the stages.
+#: Scoring, sketching and packing are outside SQL; tests hold run() against a plain version of every stage.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    home = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        out = f"{home}/{i}"
-        stage(spark, docs, sf_dir).write.parquet(out)
-        docs = spark.read.parquet(out)
+    """The stages over documents; a stage's output is removed once the next one is written, the last when Spark ends."""
+    source = docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        after = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        if docs is not source:
+            forget(docs)
+        docs = after
     return docs
