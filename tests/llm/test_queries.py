@@ -4,13 +4,18 @@ import glob
 import hashlib
 import os
 import re
+import zlib
+from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
-from tallyforge.llm import queries
+from tallyforge.llm import quality, queries
 from tallyforge.llm.common import table
+from tests.llm.test_small import LOWER, brute
 
 
 @pytest.fixture(scope="module")
@@ -57,8 +62,6 @@ def test_pii_query_against_plain_spans(spark):
 
 
 def test_near_dedup_against_brute_force(spark, sf):
-    from tests.llm.test_small import brute
-
     docs = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
     assert {r.doc_id: r.component_id for r in queries.op9_near_dedup(spark, sf).collect()} == brute(docs)
 
@@ -77,17 +80,91 @@ def test_dedup_stage_keeps_one_row_of_repeated_rows(spark):
     assert sorted((t for d, t in got if d is None), key=str) == sorted([long("e"), long("f"), None, ""], key=str)
 
 
-def test_pipeline(spark, sf):
-    docs = table(spark, sf, "documents")
-    kept = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns
-        out = out.cache()
-        kept.append(out.count())
-        assert kept[-1] <= kept[-2] and kept[-1] > 0
-        docs = out
-    last = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    run = corpus_pipeline.run(spark, sf)
-    key = lambda df: sorted((r.doc_id, r.start, r.doc_tokens) for r in df.where("start = 0").collect())
-    assert key(run) == key(last) and len(key(run)) == kept[-1]
+def plain_good(model, text: str) -> bool:
+    """The factorisation machine with every pair of columns multiplied out."""
+    columns, values = quality.features(text)
+    pairs = model.v[columns] @ model.v[columns].T * np.outer(values, values)
+    margin = model.bias + (model.w[columns] * values).sum() + np.triu(pairs, 1).sum()
+    return 1 / (1 + np.exp(-margin)) >= quality.ACCEPT
+
+
+def plain_lines(docs: dict[int, str]) -> dict[int, str]:
+    """Texts without the lines that ten documents share."""
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    shared = Counter(k for t in docs.values() for k in {key(x) for x in t.split("\n")})
+    return {i: "\n".join(x for x in t.split("\n") if not key(x) or shared[key(x)] < 10) for i, t in docs.items()}
+
+
+def test_pipeline_against_plain_stages(spark, sf, duck):
+    rows = {r.doc_id: r for r in table(spark, sf, "documents").collect()}
+    model = queries.quality_model(spark, sf)
+    texts = plain_lines({i: r.text for i, r in rows.items() if plain_good(model, r.text)})
+    assert 0 < len(texts) < len(rows)
+    root = brute(texts)
+    texts = {i: t for i, t in texts.items() if root[i] == i}
+    assert len(texts) < len(rows)
+    # The SQL of the mixing query over what is left, for one epoch.
+    left = pd.DataFrame([(i, t, rows[i].lang, rows[i].source) for i, t in texts.items()], columns=["doc_id", "text", "lang", "source"])
+    con = duckdb.connect()
+    con.register("documents", left)
+    once = queries.OP3_SQL.replace("sum(tokens) * 2", "sum(tokens)").replace("unnest([1, 2])", "unnest([1])")
+    chosen = {i: texts[i] for i in con.sql(once).df()["doc_id"].tolist()}
+    assert 0 < len(chosen) < len(texts)
+    hold_packed(corpus_pipeline.run(spark, sf).collect(), chosen)
+
+
+def hold_packed(pieces, texts: dict[int, str]) -> None:
+    """Every token of every text in exactly one piece, pieces of a window side by side from 0, little padding."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    ids = {i: np.array(tokenizer.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in texts.items()}
+    of, windows = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        of[p.doc_id].append(p)
+        windows[p.sequence_id].append(p)
+    assert set(of) == set(ids)
+    for i, own in of.items():
+        at = 0
+        for p in sorted(own, key=lambda p: p.start):
+            assert p.start == at and p.length > 0 and p.doc_tokens == len(ids[i])
+            assert p.ids_crc32 == zlib.crc32(ids[i][at : at + p.length].tobytes())
+            at += p.length
+        assert at == len(ids[i])
+    room = 0
+    for own in windows.values():
+        at = 0
+        for p in sorted(own, key=lambda p: p.offset):
+            assert p.offset == at
+            at += p.length
+        assert at <= 4096
+        room += at if at & (at - 1) == 0 else 4096
+    assert sum(map(len, ids.values())) > 0.97 * room
+
+
+def test_packing_query_holds_every_token(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    hold_packed(queries.op1_packing(spark, sf).collect(), texts)
+
+
+def test_media_query_against_the_payload(spark, sf):
+    texts = {r.doc_id: r.text for r in table(spark, sf, "documents").select("doc_id", "text").collect()}
+    got = queries.op5_media(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        raw = texts[r.doc_id].encode()
+        whole = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-16:]))
+        assert r.media_bytes > 0 and len(r.media_sha256) == 64 and r.feature
+
+
+def test_stages_of_odd_tables(spark, sf):
+    """Nulls, repeats, ids that are missing and columns that clash, and no rows at all."""
+    long = "Ann went home over the hill and saw the sea. " * 5
+    rows = [(1, long, "en", "s1", 9, "x"), (1, long, "en", "s1", 9, "x"), (2, None, None, None, None, None), (3, "", "en", "s2", 0, ""), (None, long + "more", "fr", "s1", 1, "y"), (4, "word " * 3000, "de", None, 5, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string")
+    for some in (docs, docs.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, some, sf)
+            assert name == "packing" or sorted(out.columns) == sorted(docs.columns)
+            assert out.count() >= 0
