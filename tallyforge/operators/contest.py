@@ -5,6 +5,8 @@ Votes are rows (contest, contestant, votes, order); the order column settles tie
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,9 +96,10 @@ def historical_result(votes: DataFrame, contest: list[str], name: str, place: st
 
 def others_collapsed(shares: DataFrame, party: str, value: str, share: str, after: int = 4, below: float = 2.0) -> DataFrame:
     """Small parties after the first places become one row, Others."""
-    w = Window.orderBy(F.desc(value), party)
-    small = (F.row_number().over(w) > after) & (F.col(share) < below)
-    return shares.withColumn("_name", F.when(small, "Others").otherwise(F.col(party))).groupBy(F.col("_name").alias(party)).agg(F.sum(value).alias(value), F.sum(share).alias(share))
+    first = shares.orderBy(F.desc(value), party).limit(after).select(party, F.lit(True).alias("_first"))
+    small = F.col("_first").isNull() & (F.col(share) < below)
+    marked = shares.join(F.broadcast(first), party, "left")
+    return marked.withColumn("_name", F.when(small, "Others").otherwise(F.col(party))).groupBy(F.col("_name").alias(party)).agg(F.sum(value).alias(value), F.sum(share).alias(share))
 
 
 def sweeps(winners_df: DataFrame, contests: DataFrame, district: str, contest: str, party: str, least: int = 3) -> DataFrame:
@@ -120,14 +123,27 @@ def notable_wins(now_rows: DataFrame, now: DataFrame, before: DataFrame, contest
     return big.select(columns).union(small.select(columns)).union(few(beaten).select(columns)).union(few(fresh).select(columns))
 
 
+#: Ranges of values, about equal in rows, that the exact quartiles are sought in.
+RANGES, QUARTILES = 64, (0.25, 0.5, 0.75)
+
+
 def quartile_cuts(df: DataFrame, value: str) -> DataFrame:
     """One row q1, q2, q3: the values at places floor(n q) of the sorted non-null values."""
+    # Exact order statistics without gathering the column: counts of distinct values over ranges that a quantile sketch
+    # makes about equal; only the ranges in which the places lie are sorted.
     n = df.where(F.col(value).isNotNull())
-    # Exact order statistics without gathering the column: distinct values with running counts.
-    runs = n.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("v")))
-    total = n.agg(F.count("*").alias("n"))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("n") * q), F.col("v")))
-    return runs.join(F.broadcast(total)).agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
+    sketch = n.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)]).alias("splits"), F.count("*").alias("n"))
+    runs = n.groupBy(F.col(value).alias("v")).agg(F.count("*").alias("k")).join(F.broadcast(sketch))
+    runs = runs.select("v", "k", "n", F.size(F.filter("splits", lambda s: s < F.col("v"))).alias("part"))
+    sums = runs.groupBy("part").agg(F.sum("k").alias("t"), F.first("n").alias("n"))
+    # One row for each range.
+    before = sums.withColumn("before", F.sum("t").over(Window.orderBy("part")) - F.col("t"))
+    place = lambda q: F.floor(F.col("n") * q)
+    holds = reduce(lambda x, y: x | y, ((F.col("before") <= place(q)) & (place(q) < F.col("before") + F.col("t")) for q in QUARTILES))
+    inside = runs.join(F.broadcast(before.where(holds).select("part", "before")), "part")
+    inside = inside.withColumn("upto", F.col("before") + F.sum("k").over(Window.partitionBy("part").orderBy("v")))
+    at = lambda q: F.min(F.when(F.col("upto") > place(q), F.col("v")))
+    return inside.agg(*[at(q).alias(f"q{i}") for i, q in enumerate(QUARTILES, 1)])
 
 
 def quartile_name(value: Column) -> Column:

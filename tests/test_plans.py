@@ -44,3 +44,17 @@ def test_codec_and_sets(spark):
     assert df.select(listing.decoded(F.col("t"), "array<struct<q:string>>")[0]["q"]).first()[0] == "a b"
     assert spark.range(1).select(listing.decoded(F.lit("%zz"), "array<string>")).first()[0] is None
     assert listing.without(spark.range(4), [1, 2]).count() == 2
+
+
+def test_quartile_cuts_are_exact_whatever_the_ranges_hold(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tallyforge.operators import contest
+
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 10**9, 5000).tolist(), [7] * 900 + list(range(100)), [5], rng.integers(0, 3, 1000).tolist()):
+        row = contest.quartile_cuts(spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double"), "x").first()
+        assert list(row) == [sorted(values)[int(len(values) * q)] for q in (0.25, 0.5, 0.75)]
+    shares = spark.createDataFrame([(p, v, v / 10) for p, v in (("a", 500), ("b", 300), ("c", 100), ("d", 60), ("e", 25), ("f", 10), ("g", 5))], "party string, votes long, share double")
+    assert {r.party: r.votes for r in contest.others_collapsed(shares, "party", "votes", "share").collect()} == {"a": 500, "b": 300, "c": 100, "d": 60, "e": 25, "Others": 15}
