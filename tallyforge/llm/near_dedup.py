@@ -35,7 +35,7 @@ from tallyforge.llm.common import cut, forget, join_checked
 from tallyforge.llm.graph import components
 
 COORDINATES, ROWS = 128, 4
-#: Documents that a salt of a shingle gets in the exact join.
+#: Documents that a salt of a shingle gets in the exact join, and pairs that a salt of a document gets.
 SALTED = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -110,15 +110,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "key_a", "items"])
 
 
+def _with_sets(joined: DataFrame, pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """joined, the pairs so far, with the sets of one side; a document of many pairs, as a bucket's centre, is dealt over salts."""
+    salts = cut(pairs.groupBy(side).agg((1 + F.floor(F.count("*") / SALTED)).cast("int").alias("salts")), "salts")
+    other = "b" if side == "a" else "a"
+    dealt = join_checked(joined, salts, side).withColumn("salt", F.pmod(F.xxhash64(other), F.col("salts")).cast("int")).drop("salts")
+    own = join_checked(sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"s{side}")), salts, side)
+    spread = own.select(side, f"s{side}", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return dealt.join(spread, [side, "salt"]).drop("salt")
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    own = join_checked(sets, ids, "doc_id", "left_semi")
-    left, right = (own.select(F.col("doc_id").alias(side), F.col("items").alias(f"s{side}")) for side in "ab")
+    """The pairs (a, b) of a cut table whose full sets are similar enough."""
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = cut(pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "confirmed")
-    forget(ids)
-    return links
+    both = _with_sets(_with_sets(pairs, pairs, "b", sets), pairs, "a", sets)
+    return cut(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "confirmed")
 
 
 def _unsettled(rows: DataFrame, roots: DataFrame) -> DataFrame:
