@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +12,34 @@ from tallyforge.functions.scalar import csv_field, decimal_value, digits_value
 from tallyforge.operators.matching import by_priority
 
 
-def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, removed when Spark ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        shared = tempfile.mkdtemp(prefix="tallyforge-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    path = f"{shared}/{label}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.getParent())
+    files.deleteOnExit(hadoop)
+    return path
+
+
+def json_rows(spark: SparkSession, path: str, schema: str, arrays: bool = True) -> DataFrame:
+    """Rows of files that hold one JSON array each, or one JSON document a line."""
+    return spark.read.schema(schema).option("multiLine", arrays).json(path)
 
 
 def array_literal(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """Rows of a JSON array that a source file assigns to a name, up to the bracket that ends a line on its own."""
+    """Rows of the JSON array that a source file exports under a name.
+
+    The JSON reader itself finds the bracket that closes the array, past brackets in texts, and leaves the rest.
+    """
     text = spark.read.text(path, wholetext=True)
-    body = F.regexp_extract("value", rf"(?s)\b{name}\b[^=]*=\s*(\[.*?\n\])", 1)
+    body = F.regexp_extract("value", rf"(?s)\bconst\s+{name}\b[^=]*=\s*(\[.*)", 1)
     return text.select(F.explode(F.from_json(body, f"array<struct<{schema}>>")).alias("x")).select("x.*")
 
 
