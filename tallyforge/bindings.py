@@ -655,4 +655,4 @@ def party_profile(spark, d):
 
 
 # The rest of the operators, bound one by one.
-from tallyforge import column_bindings, source_bindings  # noqa: E402, F401
+from tallyforge import column_bindings, live_bindings, source_bindings  # noqa: E402, F401

@@ -60,6 +60,28 @@ def amount(x: Column | str) -> Column:
     )
 
 
+def short_number(x: Column | str, steps: list[tuple[float, int, str]]) -> Column:
+    """A count in the first unit (size, places, mark) that it reaches, from the largest down; a dash for none."""
+    v = _c(x).cast("double")
+    out = _c(x).cast("string")
+    for size, places, mark in sorted(steps):
+        out = F.when(v >= size, F.concat(fixed(v / size, places), F.lit(mark))).otherwise(out)
+    return blank_as_dash(x, out)
+
+
+def crores(x: Column | str, none: str | None = None) -> Column:
+    """An amount in crores with the rupee's sign; `none` stands for amounts that aren't positive, if given."""
+    v = _c(x).cast("double")
+    out = F.when(v >= 1000, F.concat(F.lit("₹"), fixed(v / 1000, 1), F.lit("K Cr")))
+    shown = F.concat(F.lit("₹"), _c(x).cast("string"), F.lit(" Cr"))
+    return out.when(v > 0, shown).otherwise(F.lit(none)) if none else out.otherwise(shown)
+
+
+def percent_text(x: Column | str, digits: int = 1) -> Column:
+    """A share with a fixed number of places; a dash where it is missing."""
+    return F.when(_c(x).isNull(), F.lit("—")).otherwise(F.concat(fixed(_c(x), digits), F.lit("%")))
+
+
 def blank_as_dash(x: Column | str, shown: Column) -> Column:
     """A dash where x is null, zero or empty."""
     return F.when(_c(x).isNull() | (_c(x).cast("string").isin("", "0", "0.0")), F.lit("—")).otherwise(shown)
@@ -155,22 +177,24 @@ def reservation(name: Column | str) -> Column:
     return F.when(_c(name).rlike(r"(?i)\(SC\)"), "SC").when(_c(name).rlike(r"(?i)\(ST\)"), "ST").otherwise("General")
 
 
-def listed_class(name: Column | str, titles: dict[str, str], first_names: dict[str, list[str]]) -> Column:
-    """A class by a title pattern, else by first names; null where neither says."""
+def listed_class(name: Column | str, titles: dict[str, str], first_names: dict[str, list[str]], unless_second: tuple[str, ...] = ()) -> Column:
+    """A class by a title pattern, else by first names; null where neither says, or a second word speaks against the first."""
     out = F.lit(None).cast("string")
-    first = F.lower(F.element_at(F.split(F.trim(_c(name)), r"\s+"), 1))
+    words = F.split(F.lower(F.trim(_c(name))), r"\s+")
+    against = F.coalesce(F.get(words, F.lit(1)).isin(*unless_second), F.lit(False)) if unless_second else F.lit(False)
     for kind, names in first_names.items():
-        out = F.when(first.isin(names), kind).otherwise(out)
+        out = F.when(F.get(words, F.lit(0)).isin(names) & ~against, kind).otherwise(out)
     for pattern, kind in titles.items():
         out = F.when(_c(name).rlike(pattern), kind).otherwise(out)
     return out
 
 
-def age_text(then: Column | str, now: Column) -> Column:
-    """How long ago: just now, minutes, hours or days."""
+def age_text(then: Column | str, now: Column, just_now: bool = True, dates: bool = False) -> Column:
+    """How long ago: just now (if asked for), minutes, hours, and from a day on days or the date; empty for no time."""
     s = F.unix_timestamp(now) - F.unix_timestamp(_c(then))
     part = lambda n, unit: F.concat(F.expr(n).cast("string") if isinstance(n, str) else n.cast("string"), F.lit(unit))
-    return F.when(s < 60, F.lit("just now")).when(s < 3600, part(F.floor(s / 60), "m ago")).when(s < 86400, part(F.floor(s / 3600), "h ago")).otherwise(part(F.floor(s / 86400), "d ago"))
+    old = F.date_format(_c(then), "d/M/yyyy") if dates else part(F.floor(s / 86400), "d ago")
+    return F.when(_c(then).isNull(), F.lit("")).when(F.lit(just_now) & (s < 60), F.lit("just now")).when(s < 3600, part(F.floor(s / 60), "m ago")).when(s < 86400, part(F.floor(s / 3600), "h ago")).otherwise(old)
 
 
 def remaining(then: Column, now: Column) -> Column:

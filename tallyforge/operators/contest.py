@@ -166,6 +166,12 @@ def majority(seats: DataFrame, least: int, party: str = "party", value: str = "s
     return seats.where(F.col(value) >= least).orderBy(F.desc(value), party).limit(1)
 
 
+def majority_state(parties: DataFrame, least: int) -> DataFrame:
+    """The party ahead in most contests (party, seats, won) once it leads or has won a majority, and which of both."""
+    top = parties.orderBy(F.desc("seats"), "party").limit(1)
+    return top.select("party", "seats", "won", (F.col("seats") >= least).alias("projected"), (F.col("won") >= least).alias("confirmed")).where("projected or confirmed")
+
+
 def extremes(df: DataFrame, value: str, tie: str) -> DataFrame:
     """The largest gainer and loser: rows kind, tie, value; only rises and falls count."""
     up = df.where(F.col(value) > 0).orderBy(F.desc(value), tie).limit(1).select(F.lit("gainer").alias("kind"), tie, value)

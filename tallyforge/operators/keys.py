@@ -12,6 +12,12 @@ def keep_one(df: DataFrame, key: list[str], order: str, keep: str = "first") ->
     return df.groupBy(*key).agg(best.alias("_row")).select("_row.*")
 
 
+def kept_few(df: DataFrame, key: list[str], order: str, k: int, keep: str = "first") -> DataFrame:
+    """The first k rows by an ordinal (the last k, newest first) after repeats of a key are dropped."""
+    one = keep_one(df, key, order, keep)
+    return one.orderBy(F.asc(order) if keep == "first" else F.desc(order), *key).limit(k)
+
+
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group; Spark limits each task's groups before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))

@@ -79,6 +79,12 @@ def joined_text(df: DataFrame, group: list[str], value: str, order: str, by: str
     return df.groupBy(*group).agg(F.array_join(F.transform(got, lambda x: x["_v"].cast("string")), by).alias("text"))
 
 
+def nested(df: DataFrame, group: list[str], order: str, fields: list[str]) -> DataFrame:
+    """Each group's rows as one list of structs in order; for groups that are small by nature, as contests of a district."""
+    got = F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*fields).alias("_v"))))
+    return df.groupBy(*group).agg(F.transform(got, lambda x: x["_v"]).alias("items"))
+
+
 def encoded(rows: Column) -> Column:
     """Structs as JSON fit for a URL."""
     return F.url_encode(F.to_json(rows))

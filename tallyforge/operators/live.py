@@ -133,7 +133,7 @@ def run_status(written: Column, unmatched: Column) -> Column:
 
 def checked(updates: DataFrame, known: DataFrame) -> DataFrame:
     """Updates (id, contestants) with the reason to reject each, null if it is valid; contestants without a vote count are dropped."""
-    u = updates.join(F.broadcast(known.select("id").distinct().withColumn("_known", F.lit(True))), "id", "left")
+    u = updates.join(known.select("id").distinct().withColumn("_known", F.lit(True)), "id", "left")
     good = F.filter("contestants", lambda c: c["votes"].isNotNull() & (c["votes"] >= 0))
     why = F.when(F.col("_known").isNull(), "unknown contest").when(F.coalesce(F.size("contestants"), F.lit(0)) <= 0, "no contestants").when(F.size(good) == 0, "no valid contestant")
     return u.withColumn("reason", why).withColumn("contestants", F.coalesce(good, "contestants")).drop("_known")
@@ -143,6 +143,27 @@ def banner(declared: Column, is_leader: Column) -> Column:
     return F.when(declared & is_leader, "win").when(declared, "lose").when(is_leader, "lead").otherwise("trail")
 
 
+def behind(leader_votes: Column, own_votes: Column) -> Column:
+    """By how much a contestant is behind the leader."""
+    return F.greatest(F.lit(0), leader_votes - own_votes)
+
+
+def counting_state(total: Column, margin: Column, before: Column, now: Column) -> Column:
+    """Of a contest: whether a margin came before its votes, the margin's share of them, flipped or retained."""
+    return F.struct(((total == 0) & (margin > 0)).alias("pending"), ratio(margin, total, 100.0).alias("margin_share"), F.coalesce(before != now, F.lit(False)).alias("flipped"), F.coalesce(before == now, F.lit(False)).alias("retained"))
+
+
+def entered(updates: DataFrame) -> DataFrame:
+    """Documents of updates that checked() passed (id, contestants of name, party, votes; declared), most votes first."""
+    by_votes = F.array_sort(F.transform("contestants", lambda c, i: F.struct((-c["votes"]).alias("_o"), i.alias("_i"), c["name"].alias("name"), c["party"].alias("party"), c["votes"].alias("votes"))))
+    u = updates.withColumn("_s", by_votes).withColumn("total", F.aggregate("contestants", F.lit(0).cast("long"), lambda a, c: a + c["votes"]))
+    rows = F.transform("_s", lambda c, i: F.struct(contestant_id(F.col("id").cast("string"), c["name"], c["party"], i).alias("contestant_id"), c["name"].alias("name"), c["party"].alias("party"), c["votes"].alias("votes"), ratio(c["votes"], F.col("total"), 100.0).alias("share")))
+    u = u.withColumn("contestants", rows)
+    first, second = F.get("contestants", F.lit(0)), F.get("contestants", F.lit(1))
+    margin = first["votes"] - F.coalesce(second["votes"], F.lit(0))
+    return u.select("id", "contestants", first["party"].alias("leader_party"), first["name"].alias("leader"), margin.alias("margin"), "total", F.coalesce("declared", F.lit(False)).alias("declared"))
+
+
 def declared_runs(events: DataFrame, key: str, at: str, declared: str, tie: str) -> DataFrame:
     """Start and length of each run of declared rows per key: contiguous in time, ended by a row that isn't."""
     w = Window.partitionBy(key).orderBy(at, tie)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import name_key
-from tallyforge.operators import live
+from tallyforge.operators import keys, live
 from tallyforge.sources import pages
 
 
@@ -18,6 +18,18 @@ def contest_documents(state_pages: DataFrame, card_pages: DataFrame, party_pages
     return live.documents(found, cards, pages.partywise(party_pages))
 
 
+def entered(updates: DataFrame, known: DataFrame, stored: DataFrame, now: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Updates by hand (id, at, contestants, declared): the documents after them, the rejected rows with reasons, the reduced summary.
+
+    The last valid update of a contest counts; stored documents without one stay.
+    """
+    seen = live.checked(updates, known)
+    new = live.entered(keys.keep_one(seen.where("reason is null"), ["id"], "at", "last"))
+    after = stored.join(new.select("id"), "id", "left_anti").unionByName(new)
+    none = stored.select("id", F.lit(None).cast("string").alias("declared_at")).limit(0)
+    return after, seen.where("reason is not null").select("id", "at", "reason"), live.summary(after, none, now, reduced=True)
+
+
 def run(documents: DataFrame, previous: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
     """The summary over this run's documents, and the run's status row."""
     status = documents.agg(F.count("*").alias("written"), F.count_if(F.col("id").isNull()).alias("unmatched"))

@@ -51,19 +51,20 @@ def dissected(middle: Column) -> Column:
     """Name, sex, age, category and party of the middle of a contestant's line, each the last that stands before the next."""
     party = "(?:" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in PARTIES) + ")"
     none = middle.rlike(r"(?i)^\s*NOTA\b|\bNOTA\s+NOTA\s+NOTA\b")
-    last = lambda text, word: (F.regexp_extract(text, rf"(?s)^(.*(?:^|\s)){word}(?=\s|$)", 1), F.regexp_extract(text, rf"(?s)^.*(?:^|\s)({word})(?=\s|$)", 1))
-
-    def strip(text: Column, word: str) -> tuple[Column, Column]:
-        rest, found = last(text, word)
-        return F.when(found != "", rest).otherwise(text), found
-
-    rest, p = strip(middle, party)
-    rest, category = strip(rest, "(?:GENERAL|GEN|SC|ST|NOTA)")
-    rest, age = strip(F.rtrim(rest), r"\d{2,3}")
-    rest, sex = strip(F.rtrim(rest), "(?:MALE|FEMALE|M|F)")
-    name = F.regexp_replace(F.trim(F.element_at(F.split(F.rtrim(rest), r"\s{8,}"), 1)), r"\s+", " ")
-    pick = lambda v, other: F.when(none, F.lit(other)).otherwise(v)
-    return F.struct(pick(name, "NOTA").alias("candidate"), pick(sex, "").alias("sex"), pick(age, "").alias("age"), pick(category, "NOTA").alias("category"), pick(p, "NOTA").alias("party"))
+    words = {"party": party, "category": "(?:GENERAL|GEN|SC|ST|NOTA)", "age": r"\d{2,3}", "sex": "(?:MALE|FEMALE|M|F)"}
+
+    def strip(text: Column, *names: str, **found: Column) -> Column:
+        """Takes the names' words off the end one after the other; each rest is bound once, so no text is read again."""
+        if not names:
+            name = F.regexp_replace(F.trim(F.element_at(F.split(F.rtrim(text), r"\s{8,}"), 1)), r"\s+", " ")
+            return F.struct(name.alias("candidate"), *[found[n].alias(n) for n in ("sex", "age", "category", "party")])
+        parts = F.regexp_extract_all(text, F.lit(rf"(?s)^(.*(?:^|\s))({words[names[0]]})(?=\s|$)"), F.lit(1))
+        one = F.regexp_extract(text, rf"(?s)^.*(?:^|\s)({words[names[0]]})(?=\s|$)", 1)
+        state = F.struct(F.rtrim(F.coalesce(F.get(parts, F.lit(0)), text)).alias("rest"), one.alias("word"))
+        return F.get(F.transform(F.array(state), lambda s: strip(s["rest"], *names[1:], **found, **{names[0]: s["word"]})), F.lit(0))
+
+    pick = {n: F.lit(v) for n, v in (("candidate", "NOTA"), ("sex", ""), ("age", ""), ("category", "NOTA"), ("party", "NOTA"))}
+    return F.when(none, F.struct(*[v.alias(n) for n, v in pick.items()])).otherwise(strip(middle, *words))
 
 
 def results(files: DataFrame) -> DataFrame:
