@@ -261,7 +261,7 @@ def majority_banner(spark, d):
 SELECT district, coalesce(CAST(sum(seats) FILTER (r = 1) AS BIGINT), 0) AS first, coalesce(CAST(sum(seats) FILTER (r = 2) AS BIGINT), 0) AS second FROM s JOIN t USING (party) GROUP BY district""")
 def top_parties_matrix(spark, d):
     s = won(spark, d, NOW).groupBy("district", "party").agg(F.count("*").alias("seats"))
-    t = s.groupBy("party").agg(F.sum("seats").alias("n")).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "party"))).where("r <= 5")
+    t = s.groupBy("party").agg(F.sum("seats").alias("n")).orderBy(F.desc("n"), "party").limit(5).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "party")))
     wide = s.join(F.broadcast(t), "party").groupBy("district").pivot("r", [1, 2]).agg(F.sum("seats"))
     return wide.select("district", F.coalesce("1", F.lit(0)).alias("first"), F.coalesce("2", F.lit(0)).alias("second"))
 
@@ -321,8 +321,10 @@ def wealth_rank(spark, d):
 
 @bound(f"""WITH {V_CAND} SELECT ac, id, CAST(CASE WHEN assets > 0 THEN row_number() OVER (PARTITION BY ac ORDER BY assets DESC, id) END AS DOUBLE) AS place FROM cand""")
 def wealth_rank_in_contest(spark, d):
-    w = Window.partitionBy("ac").orderBy(F.desc("assets"), "id")
-    return cand(spark, d).select("ac", "id", F.when(F.col("assets") > 0, F.row_number().over(w).cast("double")).alias("place"))
+    c = cand(spark, d).select("ac", "id", "assets")
+    own = keys.placed(c.where("assets > 0"), ["ac"], -F.col("assets").cast("double"), [F.desc("assets"), F.col("id")])
+    none = c.where("coalesce(assets, 0) <= 0").withColumn("place", F.lit(None).cast("double"))
+    return own.withColumn("place", F.col("place").cast("double")).unionByName(none).select("ac", "id", "place")
 
 
 @bound(f"""WITH {V_CAND}, g AS (SELECT ac, count(*) AS n, count(*) FILTER (cases > 0) AS hit FROM cand GROUP BY ac)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,6 +43,50 @@ def ranked(df: DataFrame, by: str, tie: str, name: str = "rank", parts: int = 25
     return cut.join(F.broadcast(before), "_range").withColumn(name, (own + F.col("_before")).cast("long")).drop("_range", "_before")
 
 
+def _ranges(df: DataFrame, at: Column, parts: int) -> Column:
+    """The range of a number, of ranges that hold about equal parts of df's rows."""
+    cuts = sorted(set(df.select(at.alias("_at")).approxQuantile("_at", [i / parts for i in range(1, parts)], 0.5 / parts)))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
+
+
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    """Condition: equal keys, nulls too; b's columns carry a leading underscore."""
+    return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_{c}"]) for c in columns))
+
+
+def _offsets(sizes: DataFrame, group: list[str]) -> DataFrame:
+    """Per group and range (at most `parts` rows of a group): rows before it and rows of the group."""
+    by = Window.partitionBy(*group)
+    before = F.sum("n").over(by.orderBy("_range")) - F.col("n")
+    return sizes.select(*[F.col(c).alias(f"_{c}") for c in [*group, "_range"]], F.col("n").alias("_in"), before.alias("_before"), F.sum("n").over(by).alias("_all"))
+
+
+def placed(df: DataFrame, group: list[str], at: Column, order: list[Column], name: str = "place", parts: int = 256) -> DataFrame:
+    """1-based places within each group by rising order; `at` is a number that rises with it.
+
+    Ranges of `at` that hold about equal parts of all rows are sorted on their own and counts give their offsets, so a
+    group that holds most rows is spread too; only rows of one value of `at` stay together.
+    """
+    cut = df.withColumn("_range", _ranges(df, at, parts))
+    before = _offsets(cut.groupBy(*group, "_range").agg(F.count("*").alias("n")), group)
+    own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
+    return own.join(before, _same(own, before, [*group, "_range"])).select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
+
+
+def medians(df: DataFrame, group: list[str], value: str, parts: int = 256) -> DataFrame:
+    """The exact median of each group's values, nulls left out: counts of values by range, then only the middle ranges in order."""
+    have = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"))
+    runs = have.groupBy(*group, "v").agg(F.count("*").alias("k")).withColumn("_range", _ranges(have, F.col("v"), parts))
+    sizes = _offsets(runs.groupBy(*group, "_range").agg(F.sum("k").alias("n")), group)
+    low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)
+    holds = reduce(lambda x, y: x | y, ((F.col("_before") <= at) & (at < F.col("_before") + F.col("_in")) for at in (low, high)))
+    middle = sizes.where(holds)
+    inside = runs.join(middle, _same(runs, middle, [*group, "_range"]))
+    inside = inside.withColumn("_upto", F.col("_before") + F.sum("k").over(Window.partitionBy(*group, "_range").orderBy("v")))
+    at = lambda place: F.min(F.when(F.col("_upto") > place, F.col("v"))).cast("double")
+    return inside.groupBy(*group).agg(((at(low) + at(high)) / 2).alias("median"))
+
+
 def paged(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
     """One page of a sorted table, by offset."""
     return df.orderBy(*order).offset((page - 1) * size).limit(size)

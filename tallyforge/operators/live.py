@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import ratio, same_name
+from tallyforge.operators.keys import placed
 
 
 def cascade(rows: DataFrame, dim: DataFrame, name_key: Column, number: str, aliases: dict[str, str], dim_name: str = "key", dim_number: str = "number", dim_id: str = "id") -> DataFrame:
@@ -178,9 +179,9 @@ def latest(events: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 
 def nth_event(events: DataFrame, group: str, at: str, tie: str, n: int) -> DataFrame:
-    """When each group had its n-th row."""
-    w = Window.partitionBy(group).orderBy(at, tie)
-    return events.withColumn("_k", F.row_number().over(w)).where(F.col("_k") == n).drop("_k")
+    """When each group had its n-th row; a group of most rows is spread over ranges of time."""
+    rows = placed(events, [group], F.col(at).cast("timestamp").cast("double"), [F.col(at), F.col(tie)], "_k")
+    return rows.where(F.col("_k") == n).drop("_k")
 
 
 def phase(value: str | None) -> str:

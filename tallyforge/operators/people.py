@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.profile import UNKNOWN, asset_bucket, declared, education_tier, filled_share
 from tallyforge.functions.scalar import amount, half_up, percent, ratio
+from tallyforge.operators.keys import medians
 
 SIX = ("age", "gender", "education", "assets", "url", "occupation")
 FIVE = ("age", "education", "assets", "url", "gender")
@@ -25,19 +26,26 @@ def mean_positive(x: str) -> Column:
 
 
 def insights(people: DataFrame, group: list[str]) -> DataFrame:
-    """Per group: counts, mean and median assets, genders, data quality, in one aggregation."""
-    return people.groupBy(*group).agg(
+    """Per group: counts, mean and median assets, genders, data quality; all but the median from one aggregation."""
+    out = people.groupBy(*group).agg(
         F.count("*").alias("n"),
         F.count_if(F.col("cases") > 0).alias("with_cases"),
         F.count_if(F.col("gender") == "Female").alias("women"),
         F.count_if("incumbent").alias("incumbents"),
         F.avg(F.col("assets").cast("double")).alias("avg_assets"),
-        F.coalesce(F.median("assets"), F.lit(0.0)).alias("median_assets"),
         mean_positive("age").alias("avg_age"),
         # A missing gender counts as the first of the list.
         F.count_if(F.coalesce("gender", F.lit(GENDERS[0])) == GENDERS[0]).alias("men"),
         filled_share([F.col(c) for c in FIVE]).alias("quality"),
     )
+    return with_median(out, people, group, "assets").withColumn("median", F.coalesce("median", F.lit(0.0))).withColumnRenamed("median", "median_assets")
+
+
+def with_median(groups: DataFrame, rows: DataFrame, group: list[str], value: str) -> DataFrame:
+    """groups (one row each) with the exact median of their rows' values; null where none has one."""
+    m = medians(rows, group, value).withColumnsRenamed({c: f"_{c}" for c in group})
+    same = reduce(lambda x, y: x & y, (groups[c].eqNullSafe(m[f"_{c}"]) for c in group))
+    return groups.join(m, same, "left").drop(*[f"_{c}" for c in group])
 
 
 def mean_of_rates(groups: DataFrame, count: str, hit: str) -> DataFrame:
@@ -91,7 +99,6 @@ def facts(people: DataFrame, group: str) -> DataFrame:
         first(F.struct(-F.col("assets"), "id")).alias("richest"),
         F.max("assets").alias("most"),
         F.avg(F.col("assets").cast("double")).alias("mean"),
-        F.median("assets").alias("median"),
         first(F.struct(-F.col("cases"), "id")).alias("accused"),
         F.max("cases").alias("cases"),
         F.count_if(F.col("cases") == 0).alias("clean"),
@@ -105,6 +112,7 @@ def facts(people: DataFrame, group: str) -> DataFrame:
         F.count_if("incumbent").alias("sitting"),
         F.count_distinct("party").alias("parties"),
     )
+    g = with_median(g, people, [group], "assets")
     spread = half_up(ratio("mean", "median"), 1)
     none = F.lit(None).cast("string")
     kinds = [
