@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import html_text, language, line_dedup, media, mixing, near_dedup, packing, pii, quality, topk
+from tallyforge.llm import alignment, audit, html_text, language, line_dedup, media, mixing, near_dedup, packing, pii, quality, topk, warc
 from tallyforge.llm.common import fold, table
 
 
@@ -174,5 +174,57 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op5_media, op6_quality, op7_topk, op8_pii, op9_near_dedup, op10_html)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL}
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write(pages.select("page_id", "url", "html"))
+    found = archive.fetch(archive.lookup(pages.select("url")))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP11_SQL = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), k AS (SELECT html, max(page_id) AS keeper FROM p GROUP BY html)
+SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN strlen(html) >= {warc.REVISIT_BYTES} AND page_id IS DISTINCT FROM keeper AND keeper IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN strlen(html) >= {warc.REVISIT_BYTES} AND page_id IS DISTINCT FROM keeper THEN keeper END AS refers_to
+FROM p JOIN k USING (html)
+"""
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), a, b)
+
+
+def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+  FROM d LEFT JOIN l USING (doc_id)
+), c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask
+), s(filter_order, step, bit, before) AS (VALUES {", ".join(map(repr, audit.steps(list(audit.FILTERS))))}
+), f AS (
+  SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (mask & (bit | before) = 0), 0) AS kept,
+         coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS removed, coalesce(sum(n) FILTER (mask & bit <> 0 AND mask & before <> 0), 0) AS redundant,
+         coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails, coalesce(sum(good) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS good_lost,
+         coalesce(sum(toxic) FILTER (mask & bit <> 0 AND mask & before = 0), 0) AS toxic_lost
+  FROM c CROSS JOIN s GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, {", ".join(f"CAST({x} AS BIGINT) AS {x}" for x in ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost"))},
+       CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM f
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_language, op3_mixing, op4_line_dedup, op5_media, op6_quality, op7_topk, op8_pii, op9_near_dedup, op10_html, op11_warc, op12_alignment, op13_audit)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": OP3_SQL, "op4_line_dedup": OP4_SQL, "op7_topk": OP7_SQL, "op11_warc": OP11_SQL, "op13_audit": OP13_SQL}
