@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions import profile, scalar
@@ -88,6 +88,11 @@ def cand(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def job() -> Column:
+    return F.when(F.col("id") % 4 == 0, "Not declared").when(F.col("id") % 9 == 0, "").otherwise("Farmer")
+
+
+V_JOB = "CASE WHEN id % 4 = 0 THEN 'Not declared' WHEN id % 9 = 0 THEN '' ELSE 'Farmer' END"
 V_CAND = f"""cand AS (
   SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS ac, c_mktsegment AS party,
          CAST(floor(greatest(c_acctbal, 0) * 10000) AS BIGINT) AS assets, CAST(floor(greatest(-c_acctbal, 0) * 10000) AS BIGINT) AS liabilities,
@@ -258,12 +263,12 @@ def majority_banner(spark, d):
 
 
 @bound(f"""WITH {V_VOTES}, {WON}, s AS (SELECT district, party, count(*) AS seats FROM won WHERE yr = {NOW} GROUP BY ALL), t AS (SELECT party, row_number() OVER (ORDER BY sum(seats) DESC, party) AS r FROM s GROUP BY party)
-SELECT district, coalesce(CAST(sum(seats) FILTER (r = 1) AS BIGINT), 0) AS first, coalesce(CAST(sum(seats) FILTER (r = 2) AS BIGINT), 0) AS second FROM s JOIN t USING (party) GROUP BY district""")
+SELECT district, {", ".join(f"coalesce(CAST(sum(seats) FILTER (r = {i}) AS BIGINT), 0) AS top_{i}" for i in range(1, 6))} FROM s LEFT JOIN t USING (party) GROUP BY district""")
 def top_parties_matrix(spark, d):
     s = won(spark, d, NOW).groupBy("district", "party").agg(F.count("*").alias("seats"))
     t = s.groupBy("party").agg(F.sum("seats").alias("n")).orderBy(F.desc("n"), "party").limit(5).withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "party")))
-    wide = s.join(F.broadcast(t), "party").groupBy("district").pivot("r", [1, 2]).agg(F.sum("seats"))
-    return wide.select("district", F.coalesce("1", F.lit(0)).alias("first"), F.coalesce("2", F.lit(0)).alias("second"))
+    wide = s.join(F.broadcast(t), "party", "left").groupBy("district").pivot("r", [1, 2, 3, 4, 5]).agg(F.sum("seats"))
+    return wide.select("district", *[F.coalesce(str(i), F.lit(0)).alias(f"top_{i}") for i in range(1, 6)])
 
 
 # ---------------------------------------------------------------- people
@@ -292,10 +297,10 @@ def validation(spark, d):
 
 
 @bound(f"""WITH {V_CAND} SELECT ac, count(*) AS n, count(*) FILTER (cases > 0) AS with_cases, count(*) FILTER (gender = 'Female') AS women, count(*) FILTER (incumbent) AS incumbents,
- CAST(floor(avg(CAST(assets AS DOUBLE)) + 0.5) AS BIGINT) AS avg_assets, median(assets) AS median_assets, count(*) FILTER (coalesce(gender, 'Male') = 'Male') AS men,
- CAST(floor(CAST(sum((age > 0)::INT + (education <> 'Not declared')::INT + (assets > 0)::INT + (url <> '')::INT + (gender IS NOT NULL)::INT) AS DOUBLE) / (count(*) * 5) * 100 + 0.5) AS BIGINT) AS quality FROM cand GROUP BY ac""")
+ CAST(floor(avg(CAST(assets AS DOUBLE)) + 0.5) AS BIGINT) AS avg_assets, median(assets) AS median_assets, count(*) FILTER (gender IS NULL OR gender NOT IN ('Female', 'Other')) AS men, count(*) FILTER (gender = 'Other') AS others,
+ CAST(floor(CAST(sum((age > 0)::INT + (education NOT IN ('', 'Not declared'))::INT + ({V_JOB} NOT IN ('', 'Not declared'))::INT + (assets <> 0)::INT + (url <> '')::INT + (gender IS NOT NULL)::INT) AS DOUBLE) / (count(*) * 6) * 100 + 0.5) AS BIGINT) AS quality FROM cand GROUP BY ac""")
 def ac_insights(spark, d):
-    return people.insights(cand(spark, d), ["ac"]).withColumn("avg_assets", half_up("avg_assets")).drop("avg_age")
+    return people.insights(cand(spark, d).withColumn("occupation", job()), ["ac"]).withColumn("avg_assets", half_up("avg_assets")).drop("avg_age")
 
 
 @bound(f"""WITH {V_CAND}, s AS (SELECT unnest(['None', 'School', 'Graduate', 'Post Graduate', 'Doctorate']) AS bucket), a AS (SELECT DISTINCT ac FROM cand)
@@ -420,8 +425,22 @@ ASKED = ("blue anvil", "blue", "gear", "lue gi", "gheer", "wudget", "blew")
 @bound(" UNION ALL ".join(f"SELECT '{q}' AS query, * FROM ({_search_sql(q)})" for q in ASKED))
 def search_scored(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    found = [search.ranked_search(p, q, {"name": 1.0}, "id", k=50, collapse=False).select(F.lit(q).alias("query"), "id", "name", "score") for q in ASKED]
-    return reduce(DataFrame.unionByName, found)
+    return search.ranked_searches(p, list(ASKED), {"name": 1.0}, "id", k=50, collapse=False).select("query", "id", "name", "score")
+
+
+@bound(f"""WITH q AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS query FROM part UNION SELECT DISTINCT left(string_split(p_name, ' ')[2], 3) || 'x' FROM part),
+p AS (SELECT p_partkey AS id, p_name AS name, lower(p_name) AS t, string_split(lower(p_name), ' ') AS ws, {_fold('lower(p_name)')} AS pt FROM part),
+n AS (SELECT DISTINCT t, ws, pt FROM p), a AS (SELECT query, {_fold('lower(query)')} AS pq, CAST(floor(length(query) * 0.35) AS INT) AS m FROM q),
+s AS (SELECT query, t, CAST(CASE WHEN t = query THEN 100 WHEN starts_with(t, query) THEN 90 WHEN len(list_filter(ws, lambda w: starts_with(w, query))) > 0 THEN 82 WHEN contains(t, query) THEN 75 WHEN contains(pt, pq) THEN 60
+ WHEN len(list_filter(string_split(pt, ' '), lambda w: starts_with(w, pq))) > 0 THEN 55 WHEN len(list_filter(ws, lambda w: abs(length(w) - length(query)) <= m + 1 AND levenshtein(w, query) <= m)) > 0 THEN 45
+ WHEN len(list_filter(string_split(pt, ' '), lambda w: abs(length(w) - length(pq)) <= m + 1 AND levenshtein(w, pq) <= m)) > 0 THEN 40 ELSE 0 END AS DOUBLE) AS score FROM n, a)
+SELECT query, id, name, score FROM (SELECT query, id, name, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS r FROM s JOIN p USING (t) WHERE score > 0) WHERE r <= 20""")
+def search_indexed(spark, d):
+    """A table of questions: every first word of a name, and every second word's beginning with a wrong letter after it."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    word = lambda i: F.get(F.split("name", " "), F.lit(i))
+    asked = p.select(word(0).alias("query")).union(p.select(F.concat(F.substring(word(1), 1, 3), F.lit("x"))))
+    return search.indexed_searches(p, asked, "name", "id", k=20, collapse=False).select("query", "id", "name", "score")
 
 
 @bound("""WITH p AS (SELECT p_partkey AS id, p_name AS name, p_brand AS g, string_split(upper(p_name), ' ') AS t FROM part), w AS (SELECT id AS wid, g, list_reverse(t) AS t, array_to_string(list_reverse(t), ' ') AS k FROM p WHERE id % 50 = 0),
@@ -589,7 +608,7 @@ def seeded_shuffle(spark, d):
 
 
 def _numbered(df: DataFrame, order: list) -> DataFrame:
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("long"))
+    return keys.numbered(df, order)
 
 
 @bound(f"""WITH {V_VOTES}, {WON} SELECT ac, row_number() OVER (ORDER BY (ac % 3 = 0) DESC, CASE WHEN ac % 5 <> 0 THEN margin END DESC NULLS LAST, ac) AS place FROM won WHERE yr = {NOW}""")

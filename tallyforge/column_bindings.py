@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyforge.bindings import MAJORS, ORACLE_SQL, QUERIES, V_CAND, _fold, _numbered, bound, cand, table
+from tallyforge.bindings import MAJORS, ORACLE_SQL, QUERIES, V_CAND, V_JOB, _fold, _numbered, bound, cand, job, table
 from tallyforge.functions import scalar
 from tallyforge.operators import listing, live, matching, people, quiz, search
 
@@ -76,17 +76,10 @@ event("day_indexes", lambda: scalar.day_index(_at()).cast("long"), "date_diff('d
 # ---------------------------------------------------------------- people
 
 
-def _job() -> Column:
-    return F.when(F.col("id") % 4 == 0, "Not declared").when(F.col("id") % 9 == 0, "").otherwise("Farmer")
-
-
-V_JOB = "CASE WHEN id % 4 = 0 THEN 'Not declared' WHEN id % 9 = 0 THEN '' ELSE 'Farmer' END"
-
-
 @bound(f"""WITH {V_CAND}, f AS (SELECT ac, (age > 0)::INT + (gender IS NOT NULL)::INT + (education <> 'Not declared')::INT + (assets <> 0)::INT + (url <> '')::INT + ({V_JOB} = 'Farmer')::INT AS n FROM cand)
 SELECT ac, CAST(floor(CAST(sum(n) AS DOUBLE) / (count(*) * 6) * 100 + 0.5) AS BIGINT) AS quality FROM f GROUP BY ac""")
 def quality_of_six(spark, d):
-    return people.quality_of_six(cand(spark, d).withColumn("occupation", _job()), ["ac"])
+    return people.quality_of_six(cand(spark, d).withColumn("occupation", job()), ["ac"])
 
 
 @bound(f"""WITH {V_CAND} SELECT DISTINCT gender FROM cand WHERE gender IS NOT NULL""")
@@ -120,7 +113,7 @@ def without_financials(spark, d):
 
 @bound(f"""WITH {V_CAND} SELECT id FROM cand WHERE {V_JOB} <> 'Farmer'""")
 def without_occupation(spark, d):
-    return people.missing_occupation(cand(spark, d).withColumn("occupation", _job())).select("id")
+    return people.missing_occupation(cand(spark, d).withColumn("occupation", job())).select("id")
 
 
 @bound(f"""WITH {V_CAND} SELECT id FROM cand WHERE id % 2 = 0""")
@@ -128,26 +121,30 @@ def active_rows(spark, d):
     return people.secured(cand(spark, d).withColumn("is_active", F.col("id") % 2 == 0)).select("id")
 
 
-@bound(f"""WITH {V_CAND} SELECT c.id, p.name AS party_name, n.n_name AS contest_name FROM cand c LEFT JOIN (VALUES ('BUILDING', 'Builders')) p(id, name) ON c.party = p.id LEFT JOIN nation n ON c.ac = n.n_nationkey AND n.n_nationkey < 20""")
+@bound(f"""WITH {V_CAND} SELECT c.id, coalesce(p.name, 'Independent') AS party_name, coalesce(p.color, '#546E7A') AS color, n.n_name AS contest_name FROM cand c LEFT JOIN (VALUES ('BUILDING', 'Builders', '#112233')) p(id, name, color) ON c.party = p.id LEFT JOIN nation n ON c.ac = n.n_nationkey AND n.n_nationkey < 20""")
 def denormalised_people(spark, d):
-    parties = spark.createDataFrame([("BUILDING", "Builders")], "id string, name string")
+    parties = spark.createDataFrame([("BUILDING", "Builders", "#112233")], "id string, name string, color string")
     contests = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
     out = people.denormalised(cand(spark, d).withColumn("contest", F.col("ac")), parties, contests)
-    return out.select("id", F.col("party_info.name").alias("party_name"), F.col("contest_info.name").alias("contest_name"))
+    return out.select("id", F.col("party_info.name").alias("party_name"), F.col("party_info.color").alias("color"), F.col("contest_info.name").alias("contest_name"))
 
 
 # ---------------------------------------------------------------- quiz
 
 _WEIGHTS = [(1, "a", "BUILDING", 8), (1, "a", "MACHINERY", 2), (1, "b", "FURNITURE", 7), (2, "a", "BUILDING", 3), (2, "b", "AUTOMOBILE", 9)]
 V_ALIGN = f"""w AS (SELECT * FROM (VALUES {", ".join(map(str, _WEIGHTS))}) t(question, option, party, weight)),
-a AS (SELECT id AS session, ac, q AS question, CASE WHEN (id + q) % 2 = 0 THEN 'a' ELSE 'b' END AS option FROM cand, (SELECT unnest([1, 2, 3]) AS q) WHERE id % 10 = 0),
+a AS (SELECT id AS session, id // 50 AS ac, q AS question, CASE WHEN (id + q) % 2 = 0 THEN 'a' ELSE 'b' END AS option FROM cand, (SELECT unnest([1, 2, 3]) AS q)),
 scores AS (SELECT session, ac, party, CAST(floor(CAST(sum(weight) AS DOUBLE) / 30 * 100 + 0.5) AS BIGINT) AS score FROM a JOIN w USING (question, option) GROUP BY ALL)"""
 
 
+def _fifties(spark, d):
+    return cand(spark, d).withColumn("ac", F.floor(F.col("id") / 50))
+
+
 def _scores(spark, d):
-    """Every tenth contestant answers three questions, of which the quiz knows two."""
+    """Every contestant answers three questions, of which the quiz knows two; a contest is fifty keys."""
     weights = spark.createDataFrame(_WEIGHTS, "question int, option string, party string, weight int")
-    own = cand(spark, d).where("id % 10 = 0")
+    own = _fifties(spark, d)
     answers = own.select(F.col("id").alias("session"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("question"))
     found = quiz.alignment(answers.withColumn("option", F.when((F.col("session") + F.col("question")) % 2 == 0, "a").otherwise("b")), weights)
     return found.join(own.select(F.col("id").alias("session"), "ac"), "session")
@@ -159,10 +156,10 @@ def quiz_top_pick(spark, d):
 
 
 @bound(f"""WITH {V_CAND}, {V_ALIGN}, asked AS (SELECT DISTINCT session, ac FROM scores),
-f AS (SELECT a.session, t.id, CAST(floor(coalesce(s.score, 0) * 0.6::DOUBLE + t.integrity * 0.4::DOUBLE + 0.5) AS BIGINT) AS final FROM asked a JOIN tiered t USING (ac) LEFT JOIN scores s ON s.session = a.session AND s.party = t.party)
+f AS (SELECT a.session, t.id, CAST(floor(coalesce(s.score, 0) * 0.6::DOUBLE + t.integrity * 0.4::DOUBLE + 0.5) AS BIGINT) AS final FROM asked a JOIN tiered t ON a.ac = t.id // 50 LEFT JOIN scores s ON s.session = a.session AND s.party = t.party)
 SELECT session, id, final, row_number() OVER (PARTITION BY session ORDER BY final DESC, id) AS place FROM f""")
 def quiz_rank(spark, d):
-    return quiz.ranked_people(cand(spark, d), _scores(spark, d), "ac").select("session", "id", "final", "place")
+    return quiz.ranked_people(_fifties(spark, d), _scores(spark, d), "ac").select("session", "id", "final", "place")
 
 
 # ---------------------------------------------------------------- listings, matching, live

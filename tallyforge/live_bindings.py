@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
-from tallyforge.bindings import NOW, V_CAND, V_VOTES, WON, bound, cand, events, table, won
+from tallyforge.bindings import NOW, V_CAND, V_JOB, V_VOTES, WON, bound, cand, events, job, table, won
 from tallyforge.column_bindings import event, part
 from tallyforge.functions import scalar
 from tallyforge.operators import contest, keys, listing, live, matching, people, quiz
 from tallyforge.plans import api
 from tallyforge.plans import live as plan
 from tallyforge.source_bindings import V_CUST, V_LINES, customers, lines, pages_of, said
-from tallyforge.sources import files
-from tallyforge.streaming.live import State, first_seen, landed, run_available, upsert_latest
+from tallyforge.sources import files, keyed
+from tallyforge.streaming.live import Summary, first_seen, first_seen_state, landed, latest_state, pages_until_failure, run_available, upsert_latest
+from tallyforge.streaming.state import State
 
 # ---------------------------------------------------------------- documents
 
@@ -282,9 +285,24 @@ def api_contests(spark, d):
     return api.contests(n, "1", "1").select(F.get_json_object("data", "$.id").alias("id"), "total")
 
 
-@bound(f"""WITH {V_CAND} SELECT count(*) AS n, count(*) FILTER (cases > 0) AS with_cases, count(*) FILTER (incumbent) AS incumbents FROM cand WHERE ac = 3""")
+_TIERS, _CLASSES = ["None", "School", "Graduate", "Post Graduate", "Doctorate"], ["Low", "Medium", "High", "Very High"]
+
+
+@bound(f"""WITH {V_CAND}, own AS (SELECT * FROM tiered WHERE ac = 3), s AS (SELECT count(*) AS n, count(*) FILTER (cases > 0) AS c, avg(CAST(assets AS DOUBLE)) AS a, median(assets) AS m, count(*) FILTER (gender = 'Female') AS f, count(*) FILTER (gender IS NULL OR gender NOT IN ('Female', 'Other')) AS h,
+floor(CAST(sum((age > 0)::INT + (education NOT IN ('', 'Not declared'))::INT + ({V_JOB} NOT IN ('', 'Not declared'))::INT + (assets <> 0)::INT + (url <> '')::INT + (gender IS NOT NULL)::INT) AS DOUBLE) / (count(*) * 6) * 100 + 0.5) AS q FROM own)
+SELECT 'figure' AS kind, unnest(['n', 'with_cases', 'avg_assets', 'median_assets', 'women', 'men', 'others', 'quality']) AS name, unnest([n, c, floor(a + 0.5), m, f, h, 0, q]) AS value FROM s
+UNION ALL SELECT 'education', b, CAST((SELECT count(*) FROM own WHERE {_TIERS!r}[tier + 1] = b) AS DOUBLE) FROM (SELECT unnest({_TIERS!r}) AS b)
+UNION ALL SELECT 'assets', b, CAST((SELECT count(*) FROM own WHERE bucket = b) AS DOUBLE) FROM (SELECT unnest({_CLASSES!r}) AS b)
+UNION ALL SELECT 'fact', 'clean-record', floor(CAST(count(*) FILTER (cases = 0) AS DOUBLE) / count(*) * 100 + 0.5) FROM own UNION ALL SELECT 'fact', 'party-count', CAST(count(DISTINCT party) AS DOUBLE) FROM own""")
 def api_insights(spark, d):
-    return api.insights(cand(spark, d).withColumn("contest", F.col("ac")), 3)[0].select("n", "with_cases", "incumbents")
+    """One contest's whole answer as rows; of the facts, which fun_facts_ac holds to SQL one by one, the two that are always there."""
+    figures, histograms, facts = api.insights(cand(spark, d).withColumn("contest", F.col("ac")).withColumn("occupation", job()), 3)
+    figures = figures.withColumn("avg_assets", scalar.half_up("avg_assets"))
+    names = ["n", "with_cases", "avg_assets", "median_assets", "women", "men", "others", "quality"]
+    rows = figures.select(F.explode(F.array(*[F.struct(F.lit("figure").alias("kind"), F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in names])).alias("x")).select("x.*")
+    bars = histograms.select(F.col("of").alias("kind"), F.col("bucket").alias("name"), F.col("n").cast("double").alias("value"))
+    said_of = facts.where(F.col("kind").isin("clean-record", "party-count")).select(F.lit("fact").alias("kind"), F.col("kind").alias("name"), "value")
+    return rows.union(bars).union(said_of)
 
 
 @bound(f"""WITH {V_CUST.format(size=100)}, p AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY k) AS place FROM c) SELECT 'contest' AS kind, url, name AS title FROM p WHERE place <= 10 UNION ALL SELECT 'all', url, name FROM p WHERE place <= 6""")
@@ -308,40 +326,187 @@ def api_live_result(spark, d):
 # ---------------------------------------------------------------- streams
 
 
+def _events(e):
+    return e.select(F.col("user_id").alias("key"), "event_id", "ts", F.col("event_type").alias("party"), "value", (F.col("event_type") == "purchase").alias("declared"))
+
+
 def _landed(spark, d):
     """The events as snapshots that have landed."""
-    e = landed(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
-    return e.select(F.col("user_id").alias("key"), "event_id", "ts", F.col("event_type").alias("party"), "value", (F.col("event_type") == "purchase").alias("declared"))
+    return _events(landed(spark, f"{d}/events*.parquet", table(spark, d, "events").schema))
+
+
+def _schema(stream) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema)
+
+
+class _Halves:
+    """The events, landed half by half: first those with an even number."""
+
+    def __init__(self, spark, d) -> None:
+        self.spark, self.events = spark, table(spark, d, "events")
+        self.folder, self.progress, self.at = files.scratch(spark, "landing"), files.scratch(spark, "progress"), 0
+
+    def land(self, each) -> None:
+        self.events.where(F.col("event_id") % 2 == self.at).write.mode("append").parquet(self.folder)
+        self.at += 1
+        run_available(_events(landed(self.spark, self.folder, self.events.schema)), self.progress, each)
 
 
-V_LAST = "last AS (SELECT user_id AS key, event_id, event_type AS party FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1)"
+def _newest(where: str = "true") -> str:
+    return f"(SELECT user_id AS key, event_id, event_type AS party, event_type = 'purchase' AS declared, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events WHERE {where}) WHERE r = 1)"
+
+
+V_LAST = f"last AS (SELECT key, event_id, party FROM {_newest()})"
+
+
+def _state(spark, d, **more) -> State:
+    return latest_state(spark, files.scratch(spark, "latest"), _schema(_events(table(spark, d, "events"))), "key", "ts", "event_id", **more)
 
 
 def _latest(spark, d) -> State:
-    stream = _landed(spark, d)
-    state = State(spark, files.scratch(spark, "latest"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema))
-    run_available(stream, files.scratch(spark, "progress"), upsert_latest(state, "key", "ts", "event_id"))
+    state = _state(spark, d)
+    run_available(_landed(spark, d), files.scratch(spark, "progress"), upsert_latest(state, "ts", "event_id"))
     return state
 
 
+_SHOWN = ("key", "event_id", "party")
+
+
 @bound(f"""WITH {V_LAST} SELECT * FROM last""")
 def stream_latest(spark, d):
-    return _latest(spark, d).read().select("key", "event_id", "party")
+    return _latest(spark, d).read().select(*_SHOWN)
 
 
 @bound(f"""WITH {V_LAST} SELECT * FROM last WHERE party <> 'purchase'""")
 def stream_keys_dropped(spark, d):
     """The state after every declared key is deleted from it."""
     state = _latest(spark, d)
-    state.drop_keys(state.read().where("declared").select("key"), "key")
-    return state.read().select("key", "event_id", "party")
+    state.drop_keys(state.read().where("declared"))
+    return state.read().select(*_SHOWN)
+
+
+@bound(f"""WITH a AS {_newest("event_id % 2 = 0")}, b AS {_newest("event_id % 2 = 1")}, w AS {_newest()}
+SELECT key, event_id, party FROM w WHERE key NOT IN (SELECT key FROM a WHERE declared) UNION ALL SELECT key, event_id, party FROM b WHERE key IN (SELECT key FROM a WHERE declared)""")
+def stream_dropped_then_landed(spark, d):
+    """Keys that are declared after the first half are deleted; the second half starts them anew and brings no other back."""
+    state, halves = _state(spark, d), _Halves(spark, d)
+    halves.land(upsert_latest(state, "ts", "event_id"))
+    state.drop_keys(state.read().where("declared"))
+    halves.land(upsert_latest(state, "ts", "event_id"))
+    return state.read().select(*_SHOWN)
+
+
+@bound(f"""WITH {V_LAST} SELECT * FROM last""")
+def stream_two_writers(spark, d):
+    """Four writers land a quarter of the events each at the same time, and each of them twice."""
+    state = _state(spark, d)
+    own = _events(table(spark, d, "events"))
+
+    def land(part: int) -> None:
+        quarter = live.latest(own.where(F.col("event_id") % 4 == part), "key", "ts", "event_id")
+        for _ in range(2):
+            State(spark, state.folder, _schema(own), "key", state.merge).commit(quarter, source=f"writer {part}", batch=0)
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(land, range(4)))
+    return state.read().select(*_SHOWN)
+
+
+@bound(f"""WITH w AS {_newest()}, now AS (SELECT max(ts) AS t FROM events) SELECT key, event_id, party FROM w, now WHERE ts + to_hours(CAST(event_id % 40 + 1 AS INT)) > t""")
+def stream_expired(spark, d):
+    """A row lasts one to forty hours of the data's own clock."""
+    kind = table(spark, d, "events").schema["ts"].dataType
+    lasting = lambda e: e.withColumn("until", (F.col("ts") + F.make_interval(hours=F.col("event_id") % 40 + 1)).cast(kind))
+    state = latest_state(spark, files.scratch(spark, "lasting"), _schema(lasting(_events(table(spark, d, "events")))), "key", "ts", "event_id", until="until")
+    land = upsert_latest(state, "ts", "event_id")
+    run_available(lasting(_landed(spark, d)), files.scratch(spark, "progress"), land)
+    return state.read().select(*_SHOWN)
+
+
+@bound(f"""WITH w AS {_newest()} SELECT key, event_id, CASE WHEN key % 3 = 0 THEN 'set by hand' ELSE party END AS party, CASE WHEN key % 3 = 0 AND key % 2 = 0 THEN -1 ELSE value END AS value FROM w""")
+def stream_patched(spark, d):
+    """Columns of every third key are set in place; keys that the state doesn't hold stay out."""
+    state = _latest(spark, d)
+    keys_ = state.read().select("key").union(spark.range(10**9, 10**9 + 5).select("id"))
+    state.patch(keys_.where("key % 3 = 0").select("key", F.lit("set by hand").alias("party"), F.when(F.col("key") % 2 == 0, -1.0).alias("value")))
+    return state.read().select(*_SHOWN, "value")
+
+
+_SUMS = {"declared": lambda r: r["declared"].cast("long"), "votes": lambda r: F.floor(F.abs(r["value"]))}
+
+
+def _summarised(spark, d) -> Summary:
+    """The totals after both halves and a deletion, each taken in as a change."""
+    state, halves = latest_state(spark, files.scratch(spark, "latest"), _schema(_events(table(spark, d, "events"))) + ", margin long", "key", "ts", "event_id"), _Halves(spark, d)
+    summary = Summary(state, files.scratch(spark, "totals"), "party", _SUMS, "margin", lambda r: r["margin"] > 0)
+
+    def each(batch, number: int) -> None:
+        upsert_latest(state, "ts", "event_id")(batch.withColumn("margin", F.floor(F.abs("value"))), number)
+        summary.update(state.version_of("stream", number))
+
+    halves.land(each)
+    summary.update(state.drop_keys(state.read().where("key % 5 = 0")))
+    halves.land(each)
+    return summary
+
+
+V_SUMMED = f"""b AS {_newest("event_id % 2 = 1")}, w AS {_newest()}, s AS (SELECT * FROM w WHERE key % 5 <> 0 UNION ALL SELECT * FROM b WHERE key % 5 = 0)"""
+
+
+@bound(f"""WITH {V_SUMMED} SELECT party, count(*) AS contests, count(*) FILTER (declared) AS declared, CAST(sum(floor(abs(value))) AS BIGINT) AS votes FROM s GROUP BY party""")
+def stream_totals(spark, d):
+    return _summarised(spark, d).read()
+
+
+@bound(f"""WITH {V_SUMMED} SELECT key, CAST(floor(abs(value)) AS BIGINT) AS margin FROM s WHERE floor(abs(value)) > 0 ORDER BY margin, key LIMIT 10""")
+def stream_tightest(spark, d):
+    return spark.createDataFrame([(i, m) for m, i in _summarised(spark, d).tightest()], "key long, margin long")
 
 
 @bound("""WITH e AS (SELECT user_id AS key, ts, event_id, event_type = 'purchase' AS dec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), b AS (SELECT key, coalesce(max(i) FILTER (NOT dec), 0) AS broke FROM e GROUP BY 1)
 SELECT key, max(event_id) FILTER (i = n) AS last_event, min(ts) FILTER (dec AND i > broke) AS declared_at FROM (SELECT *, max(i) OVER (PARTITION BY key) AS n FROM e) JOIN b USING (key) GROUP BY key HAVING declared_at IS NOT NULL""")
 def stream_first_seen(spark, d):
     stream = _landed(spark, d)
-    kind = stream.schema["ts"].dataType.simpleString()
-    state = State(spark, files.scratch(spark, "seen"), f"key long, last_at {kind}, last_tie long, declared_at {kind}")
-    run_available(stream, files.scratch(spark, "progress"), first_seen(state, "key", "ts", "declared", "event_id"))
+    state = first_seen_state(spark, files.scratch(spark, "seen"), "key", "long", stream.schema["ts"].dataType.simpleString(), "long")
+    run_available(stream, files.scratch(spark, "progress"), first_seen(state, "ts", "declared", "event_id"))
     return state.read().where("declared_at is not null").select("key", F.col("last_tie").alias("last_event"), "declared_at")
+
+
+@bound("""WITH p AS (SELECT l_orderkey AS run, l_linenumber AS page, CASE WHEN l_partkey % 6 = 0 THEN 404 ELSE 200 END AS status FROM lineitem WHERE l_suppkey % 11 <> 0), n AS (SELECT run, page FROM p WHERE status = 200),
+f AS (SELECT run, page, row_number() OVER (PARTITION BY run ORDER BY page) AS place FROM (SELECT DISTINCT run, page FROM n WHERE (run, page) NOT IN (SELECT run, page FROM p WHERE status <> 200)))
+SELECT run, page FROM f WHERE page = place AND page <= 5""")
+def pages_before_failure(spark, d):
+    """Pages of a run up to the first that failed or never landed, five at most."""
+    l = table(spark, d, "lineitem").where("l_suppkey % 11 <> 0").select(F.col("l_orderkey").alias("run"), F.col("l_linenumber").cast("int").alias("page"), F.when(F.col("l_partkey") % 6 == 0, 404).otherwise(200).alias("status"))
+    return pages_until_failure(l, limit=5).select("run", F.col("page").cast("long").alias("page")).distinct()
+
+
+# ---------------------------------------------------------------- keyed storage
+
+
+_WANTED = [7 * i + 1 for i in range(40)]
+
+
+@bound(f"""SELECT o_orderkey AS key, o_custkey AS cust, o_orderstatus AS status FROM orders WHERE o_orderkey IN ({", ".join(map(str, _WANTED))})""")
+def keyed_point_reads(spark, d):
+    """All orders in folders by a hash of their key; a few are read from the folders they lie in."""
+    path = files.scratch(spark, "keyed")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status"))
+    keyed.write(orders, path, "key", 16)
+    return keyed.read(spark, path, "key", _WANTED)
+
+
+@bound("""SELECT o_orderkey AS key, CAST(floor(o_totalprice) AS BIGINT) AS price FROM orders ORDER BY price DESC, o_orderkey LIMIT 30 OFFSET 3000""")
+def sorted_page(spark, d):
+    """Page 101 of the orders by price, read from the ranges that hold it."""
+    path = files.scratch(spark, "sorted")
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.floor("o_totalprice").alias("price"))
+    keyed.write_sorted(orders, path, [F.desc("price"), F.asc("key")], 32)
+    return keyed.page(spark, path, 101, 30)
+
+
+@bound(f"""WITH {V_CAND} SELECT party, count(*) AS n FROM cand WHERE id % 2 = 0 GROUP BY party""")
+def policy_view(spark, d):
+    """A published table shows what its policy lets through, whatever a reader asks."""
+    keyed.publish(cand(spark, d).withColumn("is_active", F.col("id") % 2 == 0), "open_contestants", F.col("is_active"))
+    return spark.sql("SELECT party, count(*) AS n FROM open_contestants GROUP BY party")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyforge.sources.scratch import scratch
+
 
 def keep_one(df: DataFrame, key: list[str], order: str, keep: str = "first") -> DataFrame:
     """The first or last row of each key by an ordinal, from partial extremes: no sort, no window over a hot key."""
@@ -26,21 +28,44 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int)
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 
 
-def ranked(df: DataFrame, by: str, tie: str, name: str = "rank", parts: int = 256) -> DataFrame:
-    """1-based places over the whole table by falling `by`, ties by `tie`.
+def _sorted(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
+    """df with `_part` and `_at`: its range in the order and its place there, from 0; written, so that both stay.
 
-    Rows are cut into ranges at approximate quantiles; counts of the ranges before give each range's offset, so no
-    task sees more than one range.
+    Ranges are cut by all columns of the order, so rows that share the first ones are spread too, and nulls have the
+    place that the order gives them.
     """
-    cuts = sorted(set(df.approxQuantile(by, [i / parts for i in range(1, parts)], 0.5 / parts)), reverse=True)
-    # One literal list, not a chain of comparisons: generated code stays small.
-    places = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: F.col(by) <= c)) if cuts else F.lit(0)
-    cut = df.withColumn("_range", places)
-    sizes = cut.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(by), tie))
-    # As many rows as ranges: bounded by `parts`.
-    return cut.join(F.broadcast(before), "_range").withColumn(name, (own + F.col("_before")).cast("long")).drop("_range", "_before")
+    ranged = df.repartitionByRange(*([parts] if parts else []), *order).sortWithinPartitions(*order)
+    path = scratch(df.sparkSession, "sorted")
+    # Columns of the frame may have any name but the two made here.
+    ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
+    kept = df.sparkSession.read.schema(df.schema.add("_id", "long")).parquet(path)
+    return kept.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+
+
+def _before(sizes: DataFrame, n: str) -> DataFrame:
+    """(_part, _before) of (_part, n): what lies in the ranges before each; as many rows as ranges."""
+    total = F.sum(n).over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    return sizes.select("_part", F.coalesce(total, F.lit(0)).alias("_before"))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str = "place", parts: int | None = None) -> DataFrame:
+    """1-based places over the whole table by an order: sorted ranges and counts of the ranges before, no single sorted partition."""
+    rows = _sorted(df, order, parts)
+    before = _before(rows.groupBy("_part").agg(F.count("*").alias("n")), "n")
+    return rows.join(F.broadcast(before), "_part").withColumn(name, (F.col("_at") + F.col("_before") + 1).cast("long")).drop("_part", "_at", "_before")
+
+
+def ranked(df: DataFrame, by: str, tie: str, name: str = "rank", parts: int | None = None) -> DataFrame:
+    """1-based places over the whole table by falling `by`, ties by `tie`; rows without a value come last."""
+    return numbered(df, [F.desc_nulls_last(by), F.asc(tie)], name, parts)
+
+
+def running(df: DataFrame, order: list[Column], value: str, name: str, parts: int | None = None) -> DataFrame:
+    """The sum of `value` over the rows before each in an order, whole table, nulls as 0; only the ranges' sums meet."""
+    rows = _sorted(df, order, parts)
+    own = F.coalesce(F.sum(value).over(Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = _before(rows.groupBy("_part").agg(F.coalesce(F.sum(value), F.lit(0)).alias("n")), "n")
+    return rows.withColumn(name, own).join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_at", "_before")
 
 
 def _ranges(df: DataFrame, at: Column, parts: int) -> Column:

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from tallyforge.functions.profile import UNKNOWN, asset_bucket, declared, education_tier, filled_share
 from tallyforge.functions.scalar import amount, half_up, percent, ratio
-from tallyforge.operators.keys import medians
+from tallyforge.operators.keys import medians, running
 
 SIX = ("age", "gender", "education", "assets", "url", "occupation")
 FIVE = ("age", "education", "assets", "url", "gender")
+#: What stands for a party that isn't known.
+NO_PARTY = {"id": "IND", "name": "Independent", "color": "#546E7A"}
 GENDERS, EDUCATIONS, BUCKETS = ("Male", "Female", "Other"), ("None", "School", "Graduate", "Post Graduate", "Doctorate"), ("Low", "Medium", "High", "Very High")
 
 
@@ -34,9 +36,10 @@ def insights(people: DataFrame, group: list[str]) -> DataFrame:
         F.count_if("incumbent").alias("incumbents"),
         F.avg(F.col("assets").cast("double")).alias("avg_assets"),
         mean_positive("age").alias("avg_age"),
-        # A missing gender counts as the first of the list.
-        F.count_if(F.coalesce("gender", F.lit(GENDERS[0])) == GENDERS[0]).alias("men"),
-        filled_share([F.col(c) for c in FIVE]).alias("quality"),
+        # Whatever isn't one of the others counts as the first of the list.
+        F.count_if(~F.coalesce(F.col("gender").isin(*GENDERS[1:]), F.lit(False))).alias("men"),
+        F.count_if(F.col("gender") == "Other").alias("others"),
+        filled_share([F.col(c) for c in SIX]).alias("quality"),
     )
     return with_median(out, people, group, "assets").withColumn("median", F.coalesce("median", F.lit(0.0))).withColumnRenamed("median", "median_assets")
 
@@ -76,11 +79,9 @@ def party_profile(people: DataFrame, funding: DataFrame, parties: list[str]) ->
 
 def funding_shares(funding: DataFrame, value: str) -> DataFrame:
     """Shares of the largest and of all, and where each slice of a ring starts (degrees, from -90)."""
-    every = Window.partitionBy()
-    order = Window.orderBy(F.desc(value), "party")
-    total = F.sum(value).over(every)
-    before = F.coalesce(F.sum(value).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return funding.select("*", ratio(F.col(value), F.max(value).over(every)).alias("of_max"), half_up(ratio(F.col(value), total, 100.0), 1).alias("pct"), (ratio(before, total, 360.0) - 90).alias("start"))
+    every = funding.agg(F.max(value).alias("_max"), F.sum(value).alias("_total"))
+    rows = running(funding, [F.desc_nulls_last(value), F.asc("party")], value, "_before_it").join(F.broadcast(every))
+    return rows.select(*funding.columns, ratio(F.col(value), F.col("_max")).alias("of_max"), half_up(ratio(F.col(value), F.col("_total"), 100.0), 1).alias("pct"), (ratio(F.col("_before_it"), F.col("_total"), 360.0) - 90).alias("start"))
 
 
 def hot_seats(people: DataFrame, group: str, majors: list[str]) -> DataFrame:
@@ -197,12 +198,14 @@ def not_chosen(df: DataFrame, ids: list, key: str = "id", most: int = 6) -> Data
     return df.where(~F.col(key).isin(ids)) if 0 < len(ids) < most else df.limit(0) if len(ids) >= most else df
 
 
-def patched(df: DataFrame, changes: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
+def patched(df: DataFrame, changes: DataFrame, fields: list[str], key: str = "id", order: str | None = None) -> DataFrame:
     """df with the fields of changes (key, field, value) applied; names that start with _ and unknown ids are ignored.
 
-    `_applied` counts the changes of a row; of several changes to one field the largest value counts.
+    `_applied` counts the changes of a row. Of several changes to one field the last by the column `order` counts, and
+    of those without an order, or with the same, the largest value as a text.
     """
-    own = changes.where(~F.startswith("field", F.lit("_")) & F.col("field").isin(fields)).groupBy(key).pivot("field", fields).agg(F.max("value"))
+    last = F.max_by("value", F.struct(F.col(order), F.col("value")) if order else F.col("value"))
+    own = changes.where(~F.startswith("field", F.lit("_")) & F.col("field").isin(fields)).groupBy(key).pivot("field", fields).agg(last)
     wide = own.select(key, *[F.col(f).alias(f"_new_{f}") for f in fields])
     count = sum((F.col(f"_new_{f}").isNotNull().cast("int") for f in fields), F.lit(0))
     joined = df.join(wide, key, "left").withColumn("_applied", count.cast("long"))
@@ -240,7 +243,11 @@ def missing_occupation(df: DataFrame) -> DataFrame:
 
 
 def denormalised(people: DataFrame, parties: DataFrame, contests: DataFrame) -> DataFrame:
-    """People with their party and contest as structs; unmatched ones stay with nulls."""
+    """People with their party and contest as structs; unmatched contests stay null, unmatched parties become NO_PARTY.
+
+    Of NO_PARTY's fields those count that the parties have; Spark broadcasts either side where its size allows.
+    """
     p = parties.select(F.col("id").alias("party"), F.struct("*").alias("party_info"))
     c = contests.select(F.col("id").alias("contest"), F.struct("*").alias("contest_info"))
-    return people.join(F.broadcast(p), "party", "left").join(c, "contest", "left")
+    none = F.struct(*[F.lit(NO_PARTY.get(f.name)).cast(f.dataType).alias(f.name) for f in parties.schema])
+    return people.join(p, "party", "left").join(c, "contest", "left").withColumn("party_info", F.coalesce("party_info", none))

@@ -23,10 +23,12 @@ def contests(rows: DataFrame, q: str = "", district: str = "") -> DataFrame:
     return envelope(search.contains_either(rows, q, "name", "name_bn", district=district))
 
 
-def insights(rows: DataFrame, contest: str) -> tuple[DataFrame, DataFrame]:
-    """Figures and facts of one contest."""
+def insights(rows: DataFrame, contest: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Figures, histograms (of: education or assets, bucket, n) and facts of one contest; nothing for an unknown one."""
     own = rows.where(F.col("contest") == contest)
-    return people.insights(own, ["contest"]), people.facts(own, "contest")
+    named = lambda df, of: df.select("contest", F.lit(of).alias("of"), "bucket", "n")
+    histograms = named(people.education_histogram(own, ["contest"]), "education").unionByName(named(people.asset_histogram(own, ["contest"]), "assets"))
+    return people.insights(own, ["contest"]), histograms, people.facts(own, "contest")
 
 
 def questions(rows: DataFrame) -> DataFrame:

@@ -164,6 +164,8 @@ def report_rows(spark, d):
     body = lines(spark, d).groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v", row.alias("_piece")))), lambda x: x["_piece"]), "").alias("_rows"))
     head = said("DETAILED RESULTS\n  %d. SEAT %s (SC) TOTAL ELECTORS : %d\n\n%sTURN OUT  TOTAL: 10 2 12 %d.25\n  Page 3 of 9\n", F.col("o") % 20 + 1, F.char(F.col("o") % 20 + 65), F.col("o") + 1000, "_rows", F.col("o") % 60 + 20)
     made = pages_of(body, said("r%d", F.floor(F.col("o") / 20)), ["o"], head)
+    # Few small texts: dealt over as many tasks as there are cores, which one read from files would be by itself.
+    made = made.repartition(spark.sparkContext.defaultParallelism, "url")
     got = reports.results(made.select(F.col("url").alias("report"), F.col("html").alias("text")))
     return got.withColumns({"ac_number": F.col("ac_number").cast("long"), "age": F.coalesce(F.col("age").cast("long"), F.lit(0)), "position": F.col("position").cast("long")})
 

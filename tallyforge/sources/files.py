@@ -2,30 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import csv_field, decimal_value, digits_value
 from tallyforge.operators.matching import by_priority
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share, removed when Spark ends."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="tallyforge-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    path = f"{shared}/{label}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.mkdirs(hadoop.getParent())
-    files.deleteOnExit(hadoop)
-    return path
+from tallyforge.sources.scratch import scratch as scratch
 
 
 def json_rows(spark: SparkSession, path: str, schema: str, arrays: bool = True) -> DataFrame:

@@ -11,20 +11,23 @@ from pyspark.sql import functions as F
 from tallyforge.functions.scalar import WHITE, cell_text, digits_value, money, ratio, strip_markup
 
 ROW, CELL, ANY_CELL, TABLE = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<td[^>]*>(.*?)</td>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", r"(?is)<table[^>]*>(.*?)</table>"
-#: Tables inside cells are reduced to their first cell this many times.
-NESTING = 3
-
 
 def all_of(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
 def flattened(html: Column) -> Column:
-    """Without tooltips, and with tables inside cells as the text of their first cell."""
-    out = F.regexp_replace(html, r"(?s)<div class=['\"]tooltip['\"][^>]*>.*?</div>", "")
-    for _ in range(NESTING):
-        out = F.regexp_replace(out, r"(?s)(<td[^>]*>)\s*<table[^>]*>(?:(?!<table|<td).)*(?:<td[^>]*>((?:(?!<table|<td|</td>).)*)</td>)?(?:(?!<table).)*?</table>\s*(</td>)", "$1$2$3")
-    return out
+    """Without tooltips, and with tables inside cells, however deep, as the text of their first cell.
+
+    The tags tell how deep a page's tables go; the innermost are flattened as many times, less one.
+    """
+    bare = F.regexp_replace(html, r"(?s)<div class=['\"]tooltip['\"][^>]*>.*?</div>", "")
+    tags = all_of(bare, r"(?i)<table\b|</table\s*>", 0)
+    inside = lambda s, tag: F.greatest(F.lit(0), s["now"] + F.when(F.startswith(tag, F.lit("</")), -1).otherwise(1))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(tags, start, lambda s, tag: F.struct(inside(s, tag).alias("now"), F.greatest(s["most"], inside(s, tag)).alias("most")))["most"]
+    once = lambda text: F.regexp_replace(text, r"(?s)(<td[^>]*>)\s*<table[^>]*>(?:(?!<table|<td).)*(?:<td[^>]*>((?:(?!<table|<td|</td>).)*)</td>)?(?:(?!<table).)*?</table>\s*(</td>)", "$1$2$3")
+    return F.when(deepest > 1, F.aggregate(F.sequence(F.lit(2), F.greatest(deepest, F.lit(2))), bare, lambda text, _: once(text))).otherwise(bare)
 
 
 def table_rows(pages: DataFrame, html: Column, cell: str = CELL) -> DataFrame:

@@ -1,11 +1,15 @@
-"""Plain-text result reports to rows, by windows over line numbers.
+"""Plain-text result reports to rows: one pass over each report's lines, carrying its header, turnout and open row.
 
-A report is rows (report, line_no, line); all windows are per report, the natural size of a file.
+A report is a row (report, text) of the size of a file; Spark deals the reports over tasks, and a task reads one at a time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lines that are page furniture, party and category words, in the order in which they are tried.
@@ -13,92 +17,126 @@ NOISE = (
     r"(?i)Election Commission of India|DETAILED RESULTS|CANDIDATE NAME|VALID VOTES POLLED|%\s*VOTES|VOTES\s*POLLED|STATISTICAL REPORT"
     r"|^\s*Page\s+\d+|^\s*ST\d+|^\s*GENERAL ELECTION|^\s*LEGISLATIVE ASSEMBLY|^\s*WEST BENGAL\s*$|^\s*NEW DELHI"
 )
-PARTIES = ("CPI(M)", "SUCI(C)", "JD(S)", "JD(U)", "SP(I)", "DSP(P)", "AITC", "BJP", "CPM", "CPI", "INC", "BSP", "AIFB", "AIMIM", "NCP", "SUCI", "RSP", "SP", "JMM", "SHS", "RJD", "AAP", "ISF", "GJM", "IND", "NOTA")
+PARTIES = (
+    "CPI(M)", "SUCI(C)", "JD(S)", "JD(U)", "SP(I)", "DSP(P)", "RSSCMJP", "JSTDVPMTP", "GOJAM", "AITC", "BJP", "CPM", "CPI", "INC",
+    "BSP", "AIFB", "AIMIM", "NCP", "SUCI", "RSP", "SP", "RLSP", "AIMF", "WPOI", "KPPU", "AMB", "IUML", "JMM",
+    "BLSP", "BMF", "ABHM", "SHS", "RJD", "PDCI", "RPI", "PDS", "AAP", "HUMP", "ISF", "GJM", "IND", "NOTA",
+)
 TAIL = r"\s(\d+)\s+(\d+)\s+(\d+)\s+(\d+(?:\.\d+)?)\s*$"
 LEAD = r"^\s+(\d+)\s+(.+)$"
-HEADER = r"(?i)^\s*(?:Constituency\s+)?(\d{1,3})\s*\.\s*(.+?)\s+TOTAL\s+ELECTORS\s*:?\s*(\d+)\s*$"
+HEADER = r"(?i)^\s*(Constituency\s+)?(\d{1,3})\s*\.\s*(.+?)\s+TOTAL\s+ELECTORS\s*:?\s*(\d+)\s*$"
 TURNOUT = r"(?i)TURN\s*OUT.+?TOTAL:\s*(\d+)\s+(\d+)\s+(\d+)\s+(\d+(?:\.\d+)?)"
+#: Contests of a report; a header that lacks its first word counts for these numbers alone, and once.
+SEATS = 294
+PAGE = r"(?i)\s+Page\s+\d+(\s+of\s+\d+)?(\s|$)"
 
+_NOISE, _TAIL, _LEAD, _HEADER, _TURNOUT, _PAGE = (re.compile(p, re.ASCII) for p in (NOISE, TAIL, LEAD, HEADER, TURNOUT, PAGE))
+#: Each line that NOISE matches holds one of these.
+_MAY_BE_NOISE = ("ELECTION", "RESULTS", "CANDIDATE NAME", "VOTES", "REPORT", "PAGE", "ST", "ASSEMBLY", "BENGAL", "DELHI")
+_SHORT, _LONE, _FRESH = re.compile(r"\s\d+\s+\d+\s+\d+\s*$"), re.compile(r"^\s*\d+(?:\.\d+)?\s*$"), re.compile(r"^\s+\d+\s+[A-Z]")
+_SEAT = re.compile(r"(?i)\s*\(\s*(?:SC|ST|GEN|GENERAL)\s*\)\s*$")
+_WORDS = re.compile(r"^(?!PAGE\b)[A-Za-z][A-Za-z .'()\-]{1,40}$", re.IGNORECASE)
+_NONE = re.compile(r"(?i)^\s*NOTA\b|\bNOTA\s+NOTA\s+NOTA\b")
+_CATEGORY, _AGE, _SEX = re.compile(r"\b(GENERAL|GEN|SC|ST|NOTA)\b"), re.compile(r"\s(\d{2,3})\s*$"), re.compile(r"\b(MALE|FEMALE|M|F)\b")
 
-def noise(line: Column) -> Column:
-    return line.rlike(NOISE)
-
+SCHEMA = "report string, ac_number int, constituency string, electors long, turnout double, position int, candidate string, sex string, age int, category string, party string, votes_general long, votes_postal long, votes long, vote_share_pct double"
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """(report, line_no, line) of whole files (report, text), without page marks inside lines and without blank and noise lines."""
-    lines = files.select("report", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"(?i)\s+Page\s+\d+(\s+of\s+\d+)?(\s|$)", " "))
-    return lines.where((F.trim("line") != "") & ~noise(F.col("line")))
 
-
-def merged(lines: DataFrame) -> DataFrame:
-    """Lines with a share or a tail that stands on the next line fused to them."""
-    w = Window.partitionBy("report").orderBy("line_no")
-    end = F.rtrim("line")
-    lone = lambda x: x.rlike(r"^\s*\d+(?:\.\d+)?\s*$")
-    short = F.col("line").rlike(r"\s\d+\s+\d+\s+\d+\s*$") & ~F.col("line").rlike(TAIL)
-    near = F.lead("line_no").over(w) - F.col("line_no")
-    a = lines.withColumn("_next", F.when(near <= 3, F.lead("line").over(w))).withColumn("_take", F.coalesce(short & lone(F.col("_next")), F.lit(False)))
-    a = a.withColumn("_gone", F.coalesce(F.lag("_take").over(w), F.lit(False))).withColumn("line", F.when(F.col("_take"), F.concat(end, F.lit("  "), F.trim("_next"))).otherwise(F.col("line"))).where("not _gone").select("report", "line_no", "line")
-    opens = F.col("line").rlike(LEAD) & ~F.col("line").rlike(TAIL)
-    fresh = F.col("_next").rlike(r"^\s+\d+\s+[A-Z]")
-    b = a.withColumn("_next", F.when(F.lead("line_no").over(w) - F.col("line_no") <= 2, F.lead("line").over(w))).withColumn("_take", F.coalesce(opens & F.col("_next").rlike(TAIL) & ~fresh, F.lit(False)))
-    b = b.withColumn("_gone", F.coalesce(F.lag("_take").over(w), F.lit(False)))
-    return b.withColumn("line", F.when(F.col("_take"), F.concat(end, F.lit("  "), F.ltrim("_next"))).otherwise(F.col("line"))).where("not _gone").select("report", "line_no", "line")
+def noise(line: Column) -> Column:
+    return line.rlike(NOISE)
 
 
-def dissected(middle: Column) -> Column:
+def party_words(parties: tuple[str, ...]) -> re.Pattern:
+    return re.compile(r"(?:^|\s)(" + "|".join(map(re.escape, parties)) + r")(?=\s|$)")
+
+
+def _kept(text: str) -> Iterator[tuple[int, str]]:
+    """Numbered lines without page marks, blank lines and furniture; few lines hold a word of those, and only they are searched."""
+    for number, line in enumerate(text.split("\n")):
+        if line.isspace() or not line:
+            continue
+        large = line.upper()
+        if "PAGE" in large:
+            line = _PAGE.sub(" ", line)
+        if not (any(map(large.__contains__, _MAY_BE_NOISE)) and _NOISE.search(line)) and line.strip():
+            yield number, line
+
+
+def _fused(lines: Iterator[tuple[int, str]], within: int, opens: Callable, closes: Callable) -> Iterator[tuple[int, str]]:
+    """Lines that lack their end, fused with the next one where that is an end and not far."""
+    held = None
+    for number, line in lines:
+        if held and number - held[0] <= within and closes(line):
+            yield held[0], f"{held[1].rstrip()}  {line.strip()}"
+            held = None
+            continue
+        if held:
+            yield held
+        held = (number, line) if opens(line) else None
+        if not held:
+            yield number, line
+    if held:
+        yield held
+
+
+def _last(pattern: re.Pattern, text: str) -> tuple[str, str]:
+    """What the pattern's last match holds, and the text before it."""
+    found = None
+    for found in pattern.finditer(text):
+        pass
+    return (found[1], text[: found.start()]) if found else ("", text)
+
+
+def dissected(middle: str, party: re.Pattern) -> tuple[str, str, str, str, str]:
     """Name, sex, age, category and party of the middle of a contestant's line, each the last that stands before the next."""
-    party = "(?:" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in PARTIES) + ")"
-    none = middle.rlike(r"(?i)^\s*NOTA\b|\bNOTA\s+NOTA\s+NOTA\b")
-    words = {"party": party, "category": "(?:GENERAL|GEN|SC|ST|NOTA)", "age": r"\d{2,3}", "sex": "(?:MALE|FEMALE|M|F)"}
-
-    def strip(text: Column, *names: str, **found: Column) -> Column:
-        """Takes the names' words off the end one after the other; each rest is bound once, so no text is read again."""
-        if not names:
-            name = F.regexp_replace(F.trim(F.element_at(F.split(F.rtrim(text), r"\s{8,}"), 1)), r"\s+", " ")
-            return F.struct(name.alias("candidate"), *[found[n].alias(n) for n in ("sex", "age", "category", "party")])
-        parts = F.regexp_extract_all(text, F.lit(rf"(?s)^(.*(?:^|\s))({words[names[0]]})(?=\s|$)"), F.lit(1))
-        one = F.regexp_extract(text, rf"(?s)^.*(?:^|\s)({words[names[0]]})(?=\s|$)", 1)
-        state = F.struct(F.rtrim(F.coalesce(F.get(parts, F.lit(0)), text)).alias("rest"), one.alias("word"))
-        return F.get(F.transform(F.array(state), lambda s: strip(s["rest"], *names[1:], **found, **{names[0]: s["word"]})), F.lit(0))
-
-    pick = {n: F.lit(v) for n, v in (("candidate", "NOTA"), ("sex", ""), ("age", ""), ("category", "NOTA"), ("party", "NOTA"))}
-    return F.when(none, F.struct(*[v.alias(n) for n, v in pick.items()])).otherwise(strip(middle, *words))
-
-
-def results(files: DataFrame) -> DataFrame:
-    """One row per contestant: contest number, name, electors and turnout carried down and up from its header and turnout lines."""
-    w = Window.partitionBy("report").orderBy("line_no")
-    n = merged(lines_of(files)).withColumn("_h", F.regexp_replace("line", r"(?i)\s+Page\s+\d+(\s+of\s+\d+)?\s*$", ""))
-    head = F.col("_h").rlike(HEADER)
-    n = n.withColumn("_new", F.when(head, F.struct(F.regexp_extract("_h", HEADER, 1).cast("int").alias("ac_number"), F.trim(F.regexp_replace(F.regexp_extract("_h", HEADER, 2), r"(?i)\s*\(\s*(?:SC|ST|GEN|GENERAL)\s*\)\s*$", "")).alias("name"), F.regexp_extract("_h", HEADER, 3).cast("long").alias("electors"))))
-    n = n.withColumn("_ac", F.last("_new", ignorenulls=True).over(w)).where("_ac is not null")
-    block = Window.partitionBy("report", "_ac.ac_number")
-    n = n.withColumn("turnout", F.max(F.when(F.col("line").rlike(TURNOUT), F.regexp_extract("line", TURNOUT, 4).cast("double"))).over(block))
-    row = F.col("line").rlike(TAIL) & F.col("line").rlike(LEAD) & ~head & ~F.col("line").rlike(TURNOUT)
-    # A line of letters alone, not far to the right, goes on with the name above it.
-    word = F.trim("line").rlike(r"^[A-Za-z][A-Za-z .'()\-]{1,40}$")
-    indent = F.length("line") - F.length(F.ltrim("line"))
-    n = n.withColumn("_row", F.when(row, F.col("line_no"))).withColumn("_of", F.last("_row", ignorenulls=True).over(w)).withColumn("_indent", F.last(F.when(row, indent), ignorenulls=True).over(w))
-    more = n.where(F.col("_row").isNull() & word & (indent <= F.col("_indent") + 8)).groupBy("report", "_of").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("t")))), lambda x: x["t"]), " ").alias("_more"))
-    middle = F.regexp_replace(F.regexp_replace("line", TAIL, ""), r"^\s+\d+\s+", "")
-    rows = n.where("_row is not null").withColumn("_d", dissected(middle)).join(more.withColumnRenamed("_of", "_row"), ["report", "_row"], "left")
-    number = lambda g, t="long": F.regexp_extract("line", TAIL, g).cast(t)
-    return rows.select(
-        "report",
-        "_ac.ac_number",
-        F.col("_ac.name").alias("constituency"),
-        F.col("_ac.electors").alias("electors"),
-        "turnout",
-        F.regexp_extract("line", LEAD, 1).cast("int").alias("position"),
-        F.concat_ws(" ", "_d.candidate", "_more").alias("candidate"),
-        "_d.sex",
-        F.col("_d.age").try_cast("int").alias("age"),
-        "_d.category",
-        "_d.party",
-        number(1).alias("votes_general"),
-        number(2).alias("votes_postal"),
-        number(3).alias("votes"),
-        number(4, "double").alias("vote_share_pct"),
-    )
+    if _NONE.search(middle):
+        return "NOTA", "", "", "NOTA", "NOTA"
+    side, rest = _last(party, middle)
+    category, rest = _last(_CATEGORY, rest)
+    age, rest = _last(_AGE, rest)
+    sex, rest = _last(_SEX, rest)
+    return " ".join(re.split(r"\s{8,}", rest)[0].split()), sex, age, category, side
+
+
+def contests(text: str, party: re.Pattern) -> list[dict]:
+    """The contests of a report with their contestants; a header that comes again starts its contest anew."""
+    lines = _fused(_kept(text), 3, lambda x: _SHORT.search(x) and not _TAIL.search(x), _LONE.match)
+    lines = _fused(lines, 2, lambda x: _LEAD.match(x) and not _TAIL.search(x), lambda x: _TAIL.search(x) and not _FRESH.match(x))
+    found: dict[int, dict] = {}
+    now, row, indent = None, None, 0
+    for _, line in lines:
+        head = _HEADER.match(line) if "." in line and "ELECTORS" in line.upper() else None
+        if head and (head[1] or 1 <= int(head[2]) <= SEATS and int(head[2]) not in found):
+            now, row = {"number": int(head[2]), "name": _SEAT.sub("", head[3].strip()).strip(), "electors": int(head[4]), "turnout": None, "rows": []}, None
+            found[now["number"]] = now
+        elif now is None:
+            continue
+        elif ":" in line and (turnout := _TURNOUT.search(line)):
+            now["turnout"], row = float(turnout[4]), None
+        elif (tail := _TAIL.search(line)) and (lead := _LEAD.match(line)):
+            row = [int(lead[1]), *dissected(re.sub(r"^\s+\d+\s+", "", line[: tail.start()]), party), *map(int, tail.groups()[:3]), float(tail[4])]
+            now["rows"].append(row)
+            indent = len(line) - len(line.lstrip())
+        elif row and not tail and len(line) - len(line.lstrip()) <= indent + 8 and _WORDS.match(line.strip()):
+            # A line of letters alone, not far to the right, goes on with the name above it.
+            row[1] = " ".join(f"{row[1]} {line}".split())
+    return list(found.values())
+
+
+def results(files: DataFrame, parties: tuple[str, ...] = PARTIES) -> DataFrame:
+    """One row per contestant of reports (report, text), with its contest's number, name, electors and turnout. A null text has none."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([pa.field(n, kinds[t]) for n, t in (x.split() for x in SCHEMA.split(", "))])
+    words = party_words(parties)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for report, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = []
+                for c in contests(text.as_py() or "", words):
+                    for position, name, sex, age, category, side, *votes in c["rows"]:
+                        rows.append((report, c["number"], c["name"], c["electors"], c["turnout"], position, name, sex, int(age) if age else None, category, side, *votes))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
+    return files.select(F.col("report").cast("string"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

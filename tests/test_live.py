@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tallyforge import bindings
 from tallyforge.operators import keys, live, matching, people
-from tallyforge.streaming.live import State, first_seen, landed, run_available, upsert_latest
+from tallyforge.streaming.live import first_seen, first_seen_state, landed, latest_state, pages_until_failure, run_available, upsert_latest
 
 
 def test_documents(spark):
@@ -115,18 +115,26 @@ def test_streams_equal_their_batch_twins(spark, tmp_path):
     for i in range(0, 6, 2):
         spark.createDataFrame(rows[i : i + 2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = landed(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema, 1)
-    last = State(spark, str(tmp_path / "last"), schema)
-    run_available(stream, str(tmp_path / "c1"), upsert_latest(last, "key", "ts", "id"))
+    last = latest_state(spark, str(tmp_path / "last"), schema, "key", "ts", "id")
+    run_available(stream, str(tmp_path / "c1"), upsert_latest(last, "ts", "id"))
     every = spark.createDataFrame(rows, schema)
     assert sorted(last.read().collect()) == sorted(live.latest(every, "key", "ts", "id").collect())
-    seen = State(spark, str(tmp_path / "seen"), "key string, last_at timestamp, last_tie long, declared_at timestamp")
-    run_available(stream, str(tmp_path / "c2"), first_seen(seen, "key", "ts", "declared", "id"))
+    seen = first_seen_state(spark, str(tmp_path / "seen"), "key", "string", "timestamp", "long")
+    run_available(stream, str(tmp_path / "c2"), first_seen(seen, "ts", "declared", "id"))
     assert {r.key: r.declared_at for r in seen.read().collect()} == {"a": at(4), "b": at(3)}
-    last.drop_keys(spark.createDataFrame([("a",)], "key string"), "key")
+    last.drop_keys(spark.createDataFrame([("a",)], "key string"))
     assert [r.key for r in last.read().collect()] == ["b"]
     last.reset()
     assert last.read().count() == 0
 
 
+def test_pages_until_failure(spark):
+    pages = [("a", 1, 200), ("a", 2, 200), ("a", 3, 404), ("a", 4, 200), ("b", 1, 200), ("b", 3, 200), ("c", 1, None), (None, 1, 200), ("d", 1, 200), ("d", 1, 200), ("d", 2, 200)]
+    got = pages_until_failure(spark.createDataFrame(pages, "run string, page int, status int")).collect()
+    assert sorted((r.run or "", r.page) for r in got) == [("", 1), ("a", 1), ("a", 2), ("b", 1), ("d", 1), ("d", 1), ("d", 2)]
+    many = spark.range(1, 41).select(F.lit("x").alias("run"), F.col("id").alias("page"), F.lit(200).alias("status"))
+    assert pages_until_failure(many).count() == 20 and pages_until_failure(many.limit(0)).count() == 0
+
+
 def test_phase_gate(spark):
     assert [live.gated(spark.range(2), p).count() for p in ("LIVE ", "post", None)] == [2, 0, 0]

@@ -16,6 +16,16 @@ def test_statewise_with_nested_table(spark):
     assert (r.ac_number, r.ac_name, r.lead_party, r.margin, r.round, r.rounds, r.declared) == (12, "North", "Party A", 1234, 3, 9, True)
 
 
+def test_statewise_tables_of_any_depth(spark):
+    def cell(depth):
+        return f"<td>Deep {depth}</td>" if depth == 0 else f"<td> <table class='t{depth}'><tr>{cell(depth - 1)}<td>i</td></tr></table> </td>"
+
+    rows = "".join(f"<tr><td>North {n}</td><td>{n}</td><td>Ann</td>{cell(n - 1)}<td>Bob</td><td>B</td><td>1</td><td>3/9</td><td>x</td></tr>" for n in range(1, 9))
+    got = pages.statewise(page(spark, f"<table>{rows}</table>")).orderBy("ac_number").collect()
+    assert [(r.ac_number, r.lead_party) for r in got] == [(n, "Deep 0") for n in range(1, 9)]
+    assert pages.statewise(page(spark, "</table></table><table>")).count() == pages.statewise(page(spark, None)).count() == 0
+
+
 def test_cards(spark):
     card = "<div class='cand-box'><div class='status {s}'><div>{s}</div><div>{v} (+ 5)</div></div><h5>{n}</h5><h6>{p}</h6></div>"
     got = pages.cards(page(spark, "x" + card.format(s="won", v="1,200", n="Ann", p="A") + card.format(s="lost", v="900", n="Bob", p="B") + "<div class='cand-box'><h5>NOTA</h5></div>")).orderBy("ord").collect()
@@ -70,6 +80,16 @@ def test_report(spark):
     ]
 
 
+def test_report_headers_and_parties(spark):
+    row = "  {0} NAME{0}   M 40 GEN {1}     5 1 6 {0}.5"
+    lines = ["3 . EARLY TOTAL ELECTORS : 9", row.format(1, "RLSP"), "3 . AGAIN TOTAL ELECTORS : 8", row.format(2, "BMF"), "295 . FAR TOTAL ELECTORS : 7", row.format(3, "PDS"), "Constituency 4 . OTHER TOTAL ELECTORS : 6 Page 2 of 9", row.format(4, "NEWP")]
+    files_ = spark.createDataFrame([("r", "\n".join(lines)), ("none", None), ("empty", "")], "report string, text string")
+    got = reports.results(files_).orderBy("position").collect()
+    assert [(r.ac_number, r.constituency, r.position, r.party) for r in got] == [(3, "EARLY", 1, "RLSP"), (3, "EARLY", 2, "BMF"), (3, "EARLY", 3, "PDS"), (4, "OTHER", 4, "")]
+    assert reports.results(files_, parties=("NEWP",)).where("position = 4").first().party == "NEWP"
+    assert len(reports.PARTIES) == 42
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text('"AC Name", No.\nNorth , 1\nSouth\n')
     assert [tuple(r) for r in files.plain_csv(spark, str(tmp_path / "a.csv"), ["name", "no"]).collect()] == [("North", "1"), ("South", "")]
