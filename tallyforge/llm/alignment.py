@@ -6,9 +6,11 @@ link. How often a pair of ids is linked is counted over all texts: per document
 a salt, then per pair. The counts go back to the documents' pairs: those of the commonest pairs by a broadcast of bounded
 size, the others by a join, so a pair that every document holds gathers nowhere.
 
-Texts are taken in pieces that start with a space after a character that is no white space and before any other. Neither tokenizer has tokens
-across such a place (the second one's pieces are looked through for it), so the pieces' tokens are the whole text's,
-and memory is bounded by a piece and by a document's distinct pairs.
+Texts are cut into words that start with a space after a character that is no white space and before any other. Neither
+tokenizer has tokens across such a place (the second one's pieces are looked through for it), so it is a common cut, and
+the words' tokens, groups and links are the whole text's. A task aligns the words that it doesn't remember end to end,
+and lays the texts out of them; long texts are taken in pieces, so memory is bounded by a piece, by the words remembered
+and by a document's distinct pairs.
 
 Defined results: null and empty texts, and texts whose tokens don't spell the text in either tokenizer, have no tokens:
 zeros and an empty digest. Rows are told apart by themselves, so a repeated row, or a null or repeated doc_id, is a row
@@ -30,7 +32,9 @@ from pyspark.sql import functions as F
 from tallyforge.llm.common import cut
 
 #: Characters of a piece, about; texts are gathered to about as many before they are aligned.
-PIECE = 1 << 18
+PIECE = 1 << 20
+#: Words whose alignment a task remembers; texts that are laid out at once.
+KNOWN, TEXTS = 1 << 19, 4096
 #: Salts under which a pair is counted before it is counted whole; rows of counts that are broadcast.
 SALTS, COMMON_PAIRS = 16, 200_000
 _ID_BITS = 31
@@ -93,22 +97,29 @@ def pieces(text: str, cuts: bool, size: int = PIECE) -> Iterator[str]:
 
 
 class Aligner:
+    """Aligns the words of texts end to end, and lays texts out of the words that it remembers."""
+
     def __init__(self, path_a: str, path_b: str, piece: int = PIECE) -> None:
         self.a, self.b, self.piece = BytePairs(path_a), Pieces(path_b), piece
         self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (self.a, self.b)]
         # An id as it is written inside a group, and as the last of its side.
-        self.written = [[np.array([f"{i}{end}" for i in range(len(t.bytes))], object) for end in ends] for t, ends in ((self.a, ",|"), (self.b, ",;"))]
+        self.shown = [[np.array([f"{i}{end}" for i in range(len(t.bytes))], object) for end in ends] for t, ends in ((self.a, ",|"), (self.b, ",;"))]
+        self.forget()
+
+    def forget(self) -> None:
+        #: The place of each word, and by place: tokens of both sides, groups and links; groups written out; links laid end to end.
+        self.place: dict[str, int] = {}
+        self.figures, self.written = np.zeros((4, 0), np.int64), []
+        self.linked, self.start = np.empty(0, np.int64), np.zeros(1, np.int64)
 
     def encoded(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
-        """The ids of both sides of each piece, or None where they don't spell it."""
+        """The ids of both sides of each text, or None where they don't spell it."""
         for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
             raw = text.encode()
             yield (a, b) if b"".join(map(self.a.bytes.__getitem__, a)) == raw == b"".join(map(self.b.bytes.__getitem__, b)) else None
 
-    def aligned(self, both: list[tuple[list[int], list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-        """Of pieces laid end to end: groups and links of each, the links as (piece, pair of ids), groups written out."""
-        ids = [np.concatenate([np.asarray(x[side], np.int64) for x in both]) for side in (0, 1)]
-        tokens = [np.concatenate(([0], np.cumsum([len(x[side]) for x in both]))) for side in (0, 1)]
+    def aligned(self, ids: list[np.ndarray], bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """Of texts laid end to end, up to their bounds in bytes: figures of each, its links as pairs of ids, groups written out."""
         sizes = [self.sizes[side][ids[side]] for side in (0, 1)]
         ends = [np.cumsum(s) for s in sizes]
         common = np.intersect1d(*ends, assume_unique=True)
@@ -118,21 +129,50 @@ class Aligner:
         times = high - low + 1
         at_a = np.repeat(np.arange(len(times)), times)
         at_b = np.arange(len(at_a)) - np.repeat(np.cumsum(times) - times - low, times)
-        piece = np.searchsorted(tokens[0], at_a, "right") - 1
         pair = (ids[0][at_a] << _ID_BITS) | ids[1][at_b]
         # Groups in order, the first side's tokens of each before the second's.
         out = np.empty(len(ids[0]) + len(ids[1]), object)
         before_b, before_a = np.searchsorted(group[1], group[0]), np.searchsorted(group[0], group[1], "right")
         for side, place in ((0, np.arange(len(ids[0])) + before_b), (1, np.arange(len(ids[1])) + before_a)):
             last = np.append(group[side][1:] != group[side][:-1], True)
-            out[place] = np.where(last, self.written[side][1][ids[side]], self.written[side][0][ids[side]])
-        bounds = (tokens[0] + tokens[1]).tolist()
-        text = ["".join(out[lo:hi].tolist()) for lo, hi in zip(bounds, bounds[1:])]
-        groups = np.diff(np.searchsorted(common, np.concatenate(([0], ends[0]))[tokens[0]], "right"))
-        return groups, piece, pair, text
+            out[place] = np.where(last, self.shown[side][1][ids[side]], self.shown[side][0][ids[side]])
+        upto = [np.concatenate(([0], np.searchsorted(e, bounds) + 1)) for e in (*ends, common)]
+        links = np.concatenate(([0], np.cumsum(times)))[upto[0]]
+        tokens = (upto[0] + upto[1]).tolist()
+        text = ["".join(out[lo:hi].tolist()) for lo, hi in zip(tokens, tokens[1:])]
+        return np.array([np.diff(x) for x in (*upto, links)]), links, pair, text
+
+    def learn(self, words: set[str]) -> None:
+        """Aligns words that aren't remembered yet; those that a tokenizer doesn't spell get the place -1."""
+        new = [w for w in words if w not in self.place]
+        if len(self.place) + len(new) > KNOWN:
+            self.forget()
+            new = list(words)
+        if not new:
+            return
+        # Words end before a space that starts the next one, so that their tokens stay their own side by side.
+        open_end = [w for w in new if w[-1:].isspace()]
+        closed = [w for w in new if not w[-1:].isspace()]
+        both = next(self.encoded([" " + " ".join(closed)])) if closed and self.b.cuts else None
+        if both is not None:
+            self._keep(closed, [np.array(x, np.int64) for x in both])
+            closed = []
+        single = closed + open_end
+        each = list(self.encoded([" " + w for w in single]))
+        self.place.update((w, -1) for w, x in zip(single, each) if x is None)
+        good = [(w, x) for w, x in zip(single, each) if x is not None]
+        if good:
+            self._keep([w for w, _ in good], [np.concatenate([np.array(x[side], np.int64) for _, x in good]) for side in (0, 1)])
+
+    def _keep(self, words: list[str], ids: list[np.ndarray]) -> None:
+        figures, links, pair, written = self.aligned(ids, np.cumsum([len(w.encode()) + 1 for w in words]))
+        self.place.update(zip(words, range(len(self.written), len(self.written) + len(words))))
+        self.start = np.concatenate((self.start, links[1:] + self.start[-1]))
+        self.figures, self.linked = np.concatenate((self.figures, figures), axis=1), np.concatenate((self.linked, pair))
+        self.written += written
 
     def documents(self, texts: Iterator[str | None]) -> Iterator[tuple]:
-        """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text, many short ones aligned at once."""
+        """(n_a, n_b, n_groups, n_links, groups_sha256, pairs, times) of each text, many short ones laid out at once."""
         waiting, size = [], 0
         for text in texts:
             if text and len(text) > self.piece:
@@ -142,43 +182,55 @@ class Aligner:
                 continue
             waiting.append(text or "")
             size += len(text or "")
-            if size > self.piece:
+            if size > self.piece or len(waiting) >= TEXTS:
                 yield from self._short(waiting)
                 waiting, size = [], 0
         yield from self._short(waiting)
 
-    def _short(self, texts: list[str]) -> Iterator[tuple]:
-        have = [i for i, t in enumerate(texts) if t]
-        both = dict(zip(have, self.encoded([" " + texts[i] for i in have])))
-        good = [i for i in have if both[i]]
-        if good:
-            groups, piece, pair, written = self.aligned([both[i] for i in good])
-            bounds = np.searchsorted(piece, np.arange(len(good) + 1))
-        place = {i: k for k, i in enumerate(good)}
+    def _words(self, text: str) -> list[str]:
+        """The words of a text, each without the space that it starts with."""
+        return _CUT.split(text) if self.b.cuts and text else [text] if text else []
+
+    def _laid(self, texts: list[list[str]]) -> Iterator[tuple[np.ndarray, str, np.ndarray, np.ndarray] | None]:
+        """Of texts as words: figures, groups written out, distinct pairs and how often each occurs; None if not spelled."""
+        self.learn(set().union(*texts))
+        place = np.fromiter((self.place[w] for own in texts for w in own), np.int64)
+        bounds = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        bad = np.zeros(len(texts), bool)
+        bad[text[place < 0]] = True
+        times = np.where(place < 0, 0, self.start[place + 1] - self.start[place])
+        at = np.repeat(self.start[place] - np.cumsum(times) + times, times) + np.arange(times.sum())
+        # Pairs of one text lie side by side: its number stands above their bits.
+        high = int(self.linked.max()).bit_length() if len(self.linked) else 0
+        keys, counts = np.unique((np.repeat(text, times) << high) | self.linked[at], return_counts=True)
+        edges = np.searchsorted(keys, np.arange(len(texts) + 1) << high)
+        pairs = keys & ((1 << high) - 1)
+        sums = np.concatenate((np.zeros((4, 1), np.int64), np.cumsum(self.figures[:, place], axis=1)), axis=1)
+        figures = np.diff(sums[:, bounds], axis=1)
+        places = place.tolist()
         for i in range(len(texts)):
-            if i not in place:
-                yield _NOTHING
-                continue
-            k = place[i]
-            pairs, times = np.unique(pair[bounds[k] : bounds[k + 1]], return_counts=True)
-            yield len(both[i][0]), len(both[i][1]), int(groups[k]), int(bounds[k + 1] - bounds[k]), hashlib.sha256(written[k][:-1].encode()).hexdigest(), pairs, times
+            own = slice(edges[i], edges[i + 1])
+            # Every word's groups end with a separator; the text's last has none.
+            yield None if bad[i] else (figures[:, i], "".join(map(self.written.__getitem__, places[bounds[i] : bounds[i + 1]]))[:-1], pairs[own], counts[own])
+
+    def _short(self, texts: list[str]) -> Iterator[tuple]:
+        for text, made in zip(texts, self._laid([self._words(t) for t in texts])):
+            yield (*made[0].tolist(), hashlib.sha256(made[1].encode()).hexdigest(), *made[2:]) if text and made else _NOTHING
 
     def _long(self, text: str) -> tuple:
-        counts, digest, held = np.zeros(4, np.int64), hashlib.sha256(), ""
+        figures, digest, more = np.zeros(4, np.int64), hashlib.sha256(), b""
         pairs = times = np.empty(0, np.int64)
         for part in pieces(text, self.b.cuts, self.piece):
-            both = next(self.encoded([part]))
-            if both is None:
+            made = next(self._laid([self._words(part[1:])]))
+            if made is None:
                 return _NOTHING
-            groups, _, pair, written = self.aligned([both])
-            counts += (len(both[0]), len(both[1]), groups[0], len(pair))
-            # The last separator waits until it is known to have a group behind it.
-            digest.update((held + written[0][:-1]).encode())
-            held = written[0][-1]
-            new, n = np.unique(pair, return_counts=True)
-            pairs, where = np.unique(np.concatenate((pairs, new)), return_inverse=True)
-            times = np.bincount(where, np.concatenate((times, n)).astype(float)).astype(np.int64)
-        return (*counts.tolist(), digest.hexdigest(), pairs, times)
+            figures += made[0]
+            digest.update(more + made[1].encode())
+            more = b";"
+            pairs, where = np.unique(np.concatenate((pairs, made[2])), return_inverse=True)
+            times = np.bincount(where, np.concatenate((times, made[3])).astype(float)).astype(np.int64)
+        return (*figures.tolist(), digest.hexdigest(), pairs, times)
 
 
 _NOTHING = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
