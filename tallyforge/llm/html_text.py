@@ -8,9 +8,11 @@ advert, notice, comments and the like, is a wrapper that is left out, unless it
 as if the wrapper weren't there, or most of the page's text. Comments, adverts and notices of a page that has other
 text stay out whatever they hold.
 
-The regions decide on every page. Where most of their text lies in what the page marks as its article, all lines of
-that which aren't left out are content, headings and other short ones too; where it doesn't, the mark counts for
-nothing, and content reaches from the first region to the last and back to a heading before it.
+The regions decide on every page, and no mark of the page adds to them. From the page's root down, the element that holds
+nearly all of the regions' text is looked for. Where it is the very element that the regions' blocks stand in, its other
+blocks belong to the region too, headings and short lines that fall under the threshold; elsewhere content reaches from
+the first region to the last, over the short lines between, and back to a heading before it. Marks leave out: an article
+inside a wrapper tells which wrapper is the page itself.
 
 Defined results: null or empty html has the empty text, as has a page whose text is all in elements that never become
 content; broken markup is read as far as it goes, and a marked section of an unknown name is a comment; a page whose
@@ -44,6 +46,9 @@ CHROME = re.compile(
 ASIDE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|comment|comments|consent|cookie|cookies|disqus|modal|newsletter|popup|promo|promoted|related|replies|reply|sponsor|sponsored)(?:$|[\s_-])")
 #: Parts of names that tell what a layout has or which state it is in, not what an element is.
 LAYOUT = re.compile(r"(?<![^\s_-])(?:has|no|with|without)[_-]\S*|\S+[_-](?:active|closed|disabled|enabled|open|opened|visible)(?!\S)")
+#: Elements that blocks stand in; what share of the regions' text one holds, to be gone into.
+HOMES = frozenset("article blockquote body center dd div fieldset figure form li main section td".split())
+HOLDS = 0.8
 #: How many times the text of the open lines an article inside a wrapper needs, to be taken in their place.
 OUTWEIGHS = 3
 ARTICLE = re.compile(r"(?:^|[\s_-])(?:article|articlebody|content|entry|main|post|story)(?:$|[\s_-])")
@@ -60,6 +65,8 @@ class Line(NamedTuple):
     depth: int
     article: bool
     heading: bool
+    #: The elements that the line's block stands in, outermost first.
+    homes: tuple[int, ...]
 
 
 class Lines(HTMLParser):
@@ -70,7 +77,9 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[Line] = []
-        self.open: list[tuple[str, bool, bool, bool, int]] = []
+        self.open: list[tuple[str, bool, bool, bool, int, bool]] = []
+        self.homes: list[int] = []
+        self.made = 0
         self.shut = self.article = self.tags = self.depth = 0
         self.wrappers: list[int] = []
         #: Of every wrapper, whether it never holds the article.
@@ -81,7 +90,7 @@ class Lines(HTMLParser):
     def end_line(self) -> None:
         text = _SPACE.sub(" ", "".join(self.text)).strip()
         if text:
-            self.lines.append(Line(text, self.tags, self.shut > 0, tuple(self.wrappers), self.depth, self.article > 0, self.heading))
+            self.lines.append(Line(text, self.tags, self.shut > 0, tuple(self.wrappers), self.depth, self.article > 0, self.heading, tuple(self.homes)))
             self.tags = 0
         self.text = []
 
@@ -114,7 +123,11 @@ class Lines(HTMLParser):
             # A paragraph or list item left open ends where the next one begins.
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
                 self.leave(len(self.open) - 1)
-            self.open.append((tag, shut, wraps, article, self.depth))
+            home = tag in HOMES
+            self.open.append((tag, shut, wraps, article, self.depth, home))
+            if home:
+                self.made += 1
+                self.homes.append(self.made)
             self.shut += shut
             self.article += article
             if wraps:
@@ -124,7 +137,9 @@ class Lines(HTMLParser):
                 self.depth = len(self.wrappers)
 
     def leave(self, at: int) -> None:
-        for _, shut, wraps, article, _ in self.open[at:]:
+        for _, shut, wraps, article, _, home in self.open[at:]:
+            if home:
+                self.homes.pop()
             self.shut -= shut
             self.article -= article
             if wraps:
@@ -161,8 +176,8 @@ class Lines(HTMLParser):
         self.end_line()
         return self.lines
 
-    def content(self) -> tuple[list[int], list[int]]:
-        """The lines that may be content, and which of them a marked article holds."""
+    def content(self) -> list[int]:
+        """The lines that may be content."""
         marked: dict[int, list[int]] = {}
         free: list[int] = []
         for i, x in enumerate(self.lines):
@@ -175,10 +190,9 @@ class Lines(HTMLParser):
         if marked:
             most = max(map(size, marked.values()))
             if OUTWEIGHS * size(own or free) < most:
-                inner = marked[min(d for d, at in marked.items() if OUTWEIGHS * size(at) >= most)]
-                return inner, inner
+                return marked[min(d for d, at in marked.items() if OUTWEIGHS * size(at) >= most)]
         if own:
-            return free, own
+            return free
         readable = [i for i, x in enumerate(self.lines) if not x.shut]
         if len(free) < len(readable):
             held = Counter()
@@ -186,7 +200,7 @@ class Lines(HTMLParser):
                 held.update({w: len(self.lines[i].text) for w in self.lines[i].wrappers if not self.aside[w]})
             wide = {w for w, n in held.items() if 2 * n > size(readable)}
             free = [i for i in readable if wide.issuperset(self.lines[i].wrappers)]
-        return free or readable, []
+        return free or readable
 
 
 def smooth(ratios: np.ndarray, width: float = 1.0) -> np.ndarray:
@@ -210,10 +224,24 @@ def threshold(values: np.ndarray) -> float:
     return cut
 
 
+def holder(lines: list[Line], solid: list[int]) -> tuple[int, ...]:
+    """The path of elements down to the last that holds nearly all text of the solid lines."""
+    size = {i: len(lines[i].text) for i in solid}
+    total, path = sum(size.values()), ()
+    while True:
+        below: Counter = Counter()
+        for i in solid:
+            if len(lines[i].homes) > len(path) and lines[i].homes[: len(path)] == path:
+                below[lines[i].homes[len(path)]] += size[i]
+        if not below or (most := below.most_common(1)[0])[1] < HOLDS * total:
+            return path
+        path += (most[0],)
+
+
 def main_text(html: str | None) -> str:
     page = Lines()
     lines = page.read(html or "")
-    open_lines, article = page.content()
+    open_lines = page.content()
     if not open_lines:
         return ""
     free = set(open_lines)
@@ -222,11 +250,15 @@ def main_text(html: str | None) -> str:
     line = threshold(smoothed) if len(lines) > 2 else 0.0
     content = [i for i in open_lines if smoothed[i] > line] or [max(open_lines, key=lambda i: smoothed[i])]
     solid = [i for i in content if ratios[i] >= np.expm1(line)] or content
+    path = holder(lines, solid)
+    inside = [i for i in open_lines if lines[i].homes[: len(path)] == path]
+    solid = [i for i in solid if lines[i].homes[: len(path)] == path]
     size = lambda at: sum(len(lines[i].text) for i in at)
-    if 2 * size(set(solid) & set(article)) > size(solid):
-        return " ".join(lines[i].text for i in article)
+    # The blocks of the regions stand side by side in one element, and not in the page's body itself.
+    if len(path) > 1 and 2 * size([i for i in solid if lines[i].homes == path]) > size(solid):
+        return " ".join(lines[i].text for i in inside)
     # A region reaches over the short lines between its first and last long ones, and to a heading before it.
-    content = [i for i in open_lines if solid[0] <= i <= solid[-1] or (solid[0] - 2 <= i < solid[0] and (i in content or lines[i].heading))]
+    content = [i for i in inside if solid[0] <= i <= solid[-1] or (solid[0] - 2 <= i < solid[0] and (i in content or lines[i].heading))]
     return " ".join(lines[i].text for i in content)
 
 
