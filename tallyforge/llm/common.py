@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +63,28 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
     return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
+def slices(texts, rows: int = 1000, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of an Arrow array of texts: at most `rows` of them and about `size` bytes, one at least."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_null(texts.type):
+        ends = [0] * len(texts)
+    else:
+        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())).to_pylist()
+    at, before = 0, 0
+    while at < len(texts):
+        to = at + 1
+        while to < len(texts) and to - at < rows and ends[to] - before <= size:
+            to += 1
+        yield at, to - at
+        at, before = to, ends[to - 1]
+
+
 def map_text(docs: DataFrame, columns: str, per_texts, column: str = "text", rows: int = 1000) -> DataFrame:
     """All columns of docs and new ones: per_texts turns a list of the column's texts into a list of each new column.
 
-    columns: name and type of the new ones, as in "a double, b long"; same-named columns of docs are replaced.
+    The texts come in slices of at most `rows` and a few MB. columns: name and type of the new ones, as in "a double, b long"; same-named columns of docs are replaced.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -78,9 +97,9 @@ def map_text(docs: DataFrame, columns: str, per_texts, column: str = "text", row
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column))
-            for lo in range(0, len(texts), rows):
-                own = batch.slice(lo, rows)
-                made = per_texts(texts.slice(lo, rows).to_pylist())
+            for lo, n in slices(texts, rows):
+                own = batch.slice(lo, n)
+                made = per_texts(texts.slice(lo, n).to_pylist())
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, f.type) for x, f in zip(made, arrow))], [*batch.schema.names, *arrow.names])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *new.fields]))

@@ -31,11 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tallyforge.llm.common import cut, forget, join_checked
+from tallyforge.llm.common import cut, forget, join_checked, slices
 from tallyforge.llm.graph import components
 
 COORDINATES, ROWS = 128, 4
-#: Documents that a salt of a shingle gets in the exact join.
+#: Documents that a salt of a shingle gets in the exact join, and pairs that a salt of a document gets.
 SALTED = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,19 +104,35 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [shingles(text.as_py()) for text in batch.column(1)]
-        keys = [_long(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]) for s in found]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "key_a", "items"])
+    for whole in batches:
+        for lo, n in slices(whole.column(1)):
+            batch = whole.slice(lo, n)
+            found = [shingles(text.as_py()) for text in batch.column(1)]
+            keys = [_long(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]) for s in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "key_a", "items"])
+
+
+def _with_sets(joined: DataFrame, pairs: DataFrame, side: str, sets: DataFrame) -> DataFrame:
+    """joined, the pairs with what they have so far, and the sets of one side.
+
+    A document of many pairs, as a bucket's centre, sends its set to as many salts as its pairs need; there are few
+    such documents, no more than pairs over SALTED, and the others are joined as they are.
+    """
+    hot = cut(pairs.groupBy(side).agg(F.count("*").alias("m")).where(F.col("m") > SALTED).select(side, F.expr(f"1 + cast(m div {SALTED} as int)").alias("salts")), "hot")
+    other = "b" if side == "a" else "a"
+    dealt = join_checked(joined, hot, side, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    own = join_checked(sets.select(F.col("doc_id").alias(side), F.col("items").alias(f"s{side}")), hot, side, "left")
+    spread = own.select(side, f"s{side}", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+    return dealt.join(spread, [side, "salt"]).drop("salt")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The pairs (a, b) of a cut table whose full sets are similar enough."""
     ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     own = join_checked(sets, ids, "doc_id", "left_semi")
-    left, right = (own.select(F.col("doc_id").alias(side), F.col("items").alias(f"s{side}")) for side in "ab")
     shared = F.size(F.array_intersect("sa", "sb"))
-    links = cut(pairs.join(right, "b").join(left, "a").where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "confirmed")
+    both = _with_sets(_with_sets(pairs, pairs, "b", own), pairs, "a", own)
+    links = cut(both.where(100 * shared >= percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct(), "confirmed")
     forget(ids)
     return links
 
