@@ -40,8 +40,8 @@ from tallyforge.llm.common import BROADCAST_ROWS, cut, shared_folder
 REVISIT_BYTES = 1000
 #: An archive file is closed beyond so many bytes; lines of an index block; lines of an index range, about.
 FILE_BYTES, BLOCK_LINES, RANGE_LINES = 1 << 30, 3000, 1_000_000
-#: Records that lie side by side are read together up to so many bytes.
-READ_BYTES = 4 << 20
+#: Records that lie side by side are read together up to so many bytes; a task reads about so many.
+READ_BYTES, TASK_BYTES = 4 << 20, 256 << 20
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -174,10 +174,10 @@ def with_copies(pages: DataFrame, min_bytes: int = REVISIT_BYTES) -> DataFrame:
 
 
 class Archive:
-    """Archive files and their index in one folder; ranges: (first key, last key, index file), in order."""
+    """Archive files and their index in one folder; ranges: (first key, last key, index file), in order; size: bytes of all records."""
 
-    def __init__(self, spark: SparkSession, folder: str, ranges: list[tuple[str, str, str]]) -> None:
-        self.spark, self.folder, self.ranges = spark, folder, ranges
+    def __init__(self, spark: SparkSession, folder: str, ranges: list[tuple[str, str, str]], size: int) -> None:
+        self.spark, self.folder, self.ranges, self.size = spark, folder, ranges, size
 
     def lookup(self, urls: DataFrame) -> DataFrame:
         """The captures of all URLs of a table (url), each capture once."""
@@ -240,7 +240,9 @@ class Archive:
                     i = j
                 yield _batch(rows, schema)
 
-        spans = captures.select("file", "offset", "length").repartition("file", F.floor(F.col("offset") / (4 * READ_BYTES)))
+        # The spans are small beside the records behind them, so their size is no measure of a task's work.
+        tasks = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(self.size / TASK_BYTES))
+        spans = captures.select("file", "offset", "length").repartition(tasks, "file", F.floor(F.col("offset") / READ_BYTES))
         return spans.sortWithinPartitions("file", "offset").mapInArrow(read, ddl)
 
 
@@ -352,4 +354,5 @@ def write(pages: DataFrame, folder: str | None = None, date: str = "2024-01-01T0
     store, path = _store(folder)
     store.create_dir(path, recursive=True)
     captures = write_records(pages, folder, date, min_bytes, file_bytes)
-    return Archive(spark, folder, write_index(captures, folder, block_lines, range_lines))
+    size = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return Archive(spark, folder, write_index(captures, folder, block_lines, range_lines), size)
