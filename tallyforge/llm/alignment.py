@@ -34,7 +34,7 @@ from tallyforge.llm.common import cut
 #: Characters of a piece, about; texts are gathered to about as many before they are aligned.
 PIECE = 1 << 20
 #: Words whose alignment a task remembers; texts that are laid out at once.
-KNOWN, TEXTS = 1 << 19, 4096
+KNOWN, TEXTS = 1 << 18, 4096
 #: Salts under which a pair is counted before it is counted whole; rows of counts that are broadcast.
 SALTS, COMMON_PAIRS = 16, 200_000
 _ID_BITS = 31
