@@ -158,13 +158,85 @@ def test_media_query_against_the_payload(spark, sf):
         assert r.media_bytes > 0 and len(r.media_sha256) == 64 and r.feature
 
 
-def test_stages_of_odd_tables(spark, sf):
-    """Nulls, repeats, ids that are missing and columns that clash, and no rows at all."""
+def odd_documents(spark, sf):
+    """Nulls, empty and long texts, repeated rows, a missing id, and columns named as those that stages make."""
     long = "Ann went home over the hill and saw the sea. " * 5
-    rows = [(1, long, "en", "s1", 9, "x"), (1, long, "en", "s1", 9, "x"), (2, None, None, None, None, None), (3, "", "en", "s2", 0, ""), (None, long + "more", "fr", "s1", 1, "y"), (4, "word " * 3000, "de", None, 5, "z")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string")
-    for some in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, some, sf)
-            assert name == "packing" or sorted(out.columns) == sorted(docs.columns)
-            assert out.count() >= 0
+    rows = [(1, long, "en", "src0", 9, "x"), (1, long, "en", "src0", 9, "x"), (2, None, None, None, None, None), (3, "", "en", "src1", 0, ""), (None, long + "more", "fr", "src9", 1, "y"), (4, "word " * 30_000, "de", None, 5, "z")]
+    # A line that ten documents share, one of them twice, and by white space and case one more.
+    rows += [(10 + i, f"own {i}\n Shared LINE\t\nshared line\nkept {i}", None, "src2", None, "_key") for i in range(10)] + [(30, "nine\nonly nine", "es", "src1", 3, "k")]
+    rows += [(40 + i, f"only nine\nbut {i}", "es", "src1", 3, "k") for i in range(8)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, _row string").repartition(3)
+
+
+def bag(df) -> Counter:
+    return Counter(tuple(r) for r in df.collect())
+
+
+def test_stages_of_an_empty_table(spark, sf):
+    none = odd_documents(spark, sf)[1].limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, none, sf)
+        assert out.count() == 0 and (name == "packing" or sorted(out.columns) == sorted(none.columns))
+
+
+def test_quality_stage_of_odd_rows(spark, sf):
+    rows, docs = odd_documents(spark, sf)
+    model = queries.quality_model(spark, sf)
+    got = bag(corpus_pipeline.classify(spark, docs, sf))
+    assert got == Counter(r for r in rows if plain_good(model, r[1] or "")) and len(got) < len(set(rows))
+
+
+def test_line_stage_of_odd_rows(spark, sf):
+    rows, docs = odd_documents(spark, sf)
+    want = Counter()
+    for i, text, lang, source, n, row in rows:
+        kept = "\n".join(x for x in (text or "").split("\n") if x.strip().lower() != "shared line")
+        want[i, kept, lang, source, len(kept), row] += 1
+    out = corpus_pipeline.clean_lines(spark, docs, sf)
+    assert bag(out.select(*docs.columns)) == want and sorted(out.columns) == sorted(docs.columns)
+
+
+def test_near_dedup_stage_of_odd_rows(spark, sf):
+    rows, docs = odd_documents(spark, sf)
+    # The long text is one document, its copy without an id is in no group; nothing else is alike.
+    want = Counter({r: 1 for r in rows})
+    root = brute({r[0]: r[1] or "" for r in rows if r[0] is not None})
+    want = Counter({r: 1 for r in want if r[0] is None or root[r[0]] == r[0]})
+    assert bag(corpus_pipeline.one_of_each(spark, docs, sf)) == want
+
+
+def test_mixing_stage_of_odd_rows(spark, sf):
+    rows, docs = odd_documents(spark, sf)
+    got = bag(corpus_pipeline.mix(spark, docs, sf))
+    tokens = lambda r: (len(r[1] or "") + 3) // 4
+    every = Counter(rows)
+    total = sum(tokens(r) * n for r, n in every.items())
+    assert not got - every and all(r[1] for r in got)
+    # Whole documents up to three quarters of the tokens: no leaf's last one reaches beyond by more than itself.
+    leaf = lambda r: (r[2], r[3])
+    last = sum(max(tokens(r) for r in got if leaf(r) == own) for own in {leaf(r) for r in got})
+    taken = sum(tokens(r) * n for r, n in got.items())
+    assert total * 3 // 4 <= taken <= total * 3 // 4 + last
+    # Nothing is scarce but room: the same rows in any order of partitions.
+    assert got == bag(corpus_pipeline.mix(spark, docs.repartition(7), sf))
+
+
+def test_packing_stage_of_odd_rows(spark, sf):
+    rows, docs = odd_documents(spark, sf)
+    texts = {r[0]: r[1] for r in rows if r[0] not in (1, None)}
+    out = corpus_pipeline.pack(spark, docs, sf).collect()
+    single = [p for p in out if p.doc_id not in (1, None)]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    for i, text in texts.items():
+        ids = np.array(tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        at = 0
+        for p in sorted((p for p in single if p.doc_id == i), key=lambda p: p.start):
+            assert (p.start, p.doc_tokens, p.ids_crc32) == (at, len(ids), zlib.crc32(ids[at : at + p.length].tobytes()))
+            at += p.length
+        assert at == len(ids)
+    # A repeated row is laid twice, one without an id once.
+    twice = len(tokenizer.encode(rows[0][1], add_special_tokens=False).ids) + 1
+    once = len(tokenizer.encode(rows[4][1], add_special_tokens=False).ids) + 1
+    assert sum(p.length for p in out if p.doc_id == 1) == 2 * twice and sum(p.length for p in out if p.doc_id is None) == once

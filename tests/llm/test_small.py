@@ -469,12 +469,39 @@ def test_pii_trees_add_what_looks_alike(spark):
     assert all(got[i].s == got[i].b == "phone:5:22" for i in range(400)) and all(got[1000 + i].s == "" for i in range(200))
     assert all((got[2000 + i].b, got[2000 + i].s) == ("", "phone:5:19") for i in range(5))
     assert all(got[3000 + i].s.startswith("secret:9:") for i in range(200)) and got[4000].b == ""
-    features = np.array([[1] + [0] * 11, [9] + [0] * 11])
+    # What looks like the assigned ones is found where it stands alone.
+    assert got[4000].s == "secret:0:19"
+    rest = len(pii.FEATURES) - 1
+    features = np.array([[1] + [0] * rest, [9] + [0] * rest])
     trees = pii.Trees(features, np.array([50.0, 50.0]), np.array([0.0, 49.0]))
     assert trees.probabilities(features)[1] > 0.9 > 0.1 > trees.probabilities(features)[0]
     assert pii.calibrated(np.array([0.9, 0.6]), np.array([50.0, 50.0]), np.array([50.0, 10.0]), 0.98) == 0.9
 
 
+def test_pii_secrets_are_found_by_their_format(spark):
+    rng = np.random.default_rng(3)
+    token = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(i, f'set token = "{token(40)}" here') for i in range(300)]
+    alone = [(1000 + i, f"see {token(40)} there") for i in range(20)] + [(1100 + i, f"key ghp_{token(36)} there") for i in range(3)]
+    plain = [(2000 + i, f"order ORDER-2024-000{i:09d} of page/item-{i:012d}/more and {i:020d}") for i in range(300)]
+    df = spark.createDataFrame(rows + alone + plain, "doc_id long, text string")
+    got = {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.written("_spans").alias("s")).collect()}
+    # A base span inside a token stays, and nothing is added over it.
+    assert all(got[i] == "secret:13:53" or "card:" in got[i] for i, _ in rows) and sum("secret" in got[i] for i, _ in rows) > 290
+    assert all(got[1000 + i] == "secret:4:44" for i in range(20))
+    assert not any("secret" in got[i] for i, _ in plain)
+    # The trees of secrets see no context.
+    trees = pii.Trees(np.zeros((2, len(pii.FEATURES))) + [[0], [5]], np.array([50.0, 50.0]), np.array([0.0, 49.0]), pii.SEES["secret"])
+    assert all(tree[0] < len(pii.FORMATS) for tree in trees.trees)
+
+
+def test_pii_descriptions_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(pii, "DESCRIPTIONS", 4)
+    rows = [(i, f"call +1 (2{i % 10}4) 555-{1000 + i} now, {'x' * (i % 30)}{i} a{i}@b{i % 7}.example") for i in range(200)]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.count() == 200 and out.where("size(_spans) < size(_base)").count() == 0
+
+
 def test_pii_many_matches_in_one_text(spark):
     text = " ".join(f"a{i}@b.cc 10.0.{i % 300}.1" for i in range(20_000))
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.written("_base").alias("b"), *[pii.counted("_base", k).alias(k) for k in pii.KINDS]).first()
@@ -507,14 +534,35 @@ def plain_article(page: str) -> str:
     return " ".join(x for x in (" ".join(html.unescape(re.sub(r"<[^>]*>", "", q)).split()) for q in parts) if x)
 
 
+def test_html_text_comes_from_the_regions():
+    long = "There is a way home over the hill, and another one by the sea. " * 4
+    body = f"<h1>Head</h1><p>{long}</p><p>Short.</p><ul><li>one</li><li>two</li></ul><p>{long}</p><p>End.</p>"
+    want = " ".join(f"Head {long} Short. one two {long} End.".split())
+    # The same with any element or none around the blocks: what marks call an article adds nothing.
+    for around in ("div", "article", "section", "main", "td"):
+        page = f"<body><div class=nav><a href=x>Menu</a></div><div><p>Teaser</p></div><{around}>{body}</{around}><div><p>More</p><a href=y>Next</a></div></body>"
+        assert " ".join(html_text.main_text(page).split()) == want, around
+    assert " ".join(html_text.main_text(f"<body><article><p>Teaser</p></article><div>{body}</div></body>").split()) == want
+
+
+def test_html_odd_pages(spark):
+    long = "Words of a long page. " * 50_000
+    rows = [(1, "u", f"<article><p>{long}</p></article>", "x"), (2, None, "<p>same</p>", "y"), (2, None, "<p>same</p>", "y"), (None, None, None, None), (3, "v", "<div>" * 5000 + "deep", "z")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, _text string")
+    got = html_text.extract(df)
+    assert sorted(got.columns) == sorted(df.columns) and sorted((len(r._text) for r in got.collect())) == [0, 4, 4, 4, len(long.strip())]
+
+
 def test_html_of_all_pages_with_and_without_the_mark(spark):
     pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
     right = found = wanted = 0
     for page in pages:
         want = plain_article(page)
         assert html_text.main_text(page) == want
-        # The ratios alone: no word that isn't the article's, and nearly every one that is.
-        got = Counter(html_text.main_text(page.replace("<article", "<div").replace("</article", "</div")).split())
+        # The regions find the same without the mark.
+        assert html_text.main_text(page.replace("<article", "<div").replace("</article", "</div")) == want
+        # Without any element around the blocks: no word that isn't the article's, and nearly every one that is.
+        got = Counter(html_text.main_text(re.sub("</?article[^>]*>", "", page)).split())
         right, found, wanted = right + sum((got & Counter(want.split())).values()), found + got.total(), wanted + len(want.split())
     assert right >= 0.995 * found and right >= 0.995 * wanted
 
