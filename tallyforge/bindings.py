@@ -598,7 +598,10 @@ def amounts(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), scalar.amount(v).alias("shown"))
 
 
-@bound()
+@bound("""WITH RECURSIVE n AS (SELECT list_sort(list(n_nationkey)) AS a FROM nation), s(i, seed, a) AS (SELECT len(a) - 1, CAST(20000 AS BIGINT), a FROM n
+UNION ALL SELECT i - 1, t, list_transform(range(len(a)), lambda k: CASE WHEN k = i THEN a[j + 1] WHEN k = j THEN a[i + 1] ELSE a[k + 1] END)
+FROM (SELECT i, a, t, CAST(floor(t / 4294967296.0::DOUBLE * (i + 1)) AS BIGINT) AS j FROM (SELECT i, a, (seed * 1664525 + 1013904223) % 4294967296 AS t FROM s WHERE i >= 1)))
+SELECT unnest(range(6)) AS place, unnest(a[1:6]) AS n_nationkey FROM s WHERE i = 0""")
 def seeded_shuffle(spark, d):
     n = table(spark, d, "nation").agg(F.sort_array(F.collect_list("n_nationkey")).alias("a"))
     return n.select(F.posexplode(F.slice(scalar.shuffled(F.col("a"), F.lit(20000)), 1, 6)).alias("place", "n_nationkey"))

@@ -240,6 +240,49 @@ def mean_winning_share(spark, d):
     return contest.scorecard(won(spark, d, BEFORE), won(spark, d, NOW), votes(spark, d, NOW)).select("party", scalar.half_up("avg_share", 3).alias("avg_share"))
 
 
+def _sorted_page(spark, d, how: str):
+    c = cand(spark, d)
+    return keys.paged(c, people.sorted_by(c, how), 3, 30).select("id", "cases", "age")
+
+
+@bound(f"""WITH {V_CAND} SELECT id, cases, age FROM cand ORDER BY cases DESC, id LIMIT 30 OFFSET 60""")
+def cases_page(spark, d):
+    return _sorted_page(spark, d, "cases-desc")
+
+
+@bound(f"""WITH {V_CAND} (SELECT 'up' AS way, id, cases, age FROM cand ORDER BY age, id LIMIT 30 OFFSET 60) UNION ALL (SELECT 'down', id, cases, age FROM cand ORDER BY age DESC, id LIMIT 30 OFFSET 60)""")
+def age_pages(spark, d):
+    return _sorted_page(spark, d, "age-asc").withColumn("way", F.lit("up")).unionByName(_sorted_page(spark, d, "age-desc").withColumn("way", F.lit("down")))
+
+
+@bound("""SELECT year, n, row_number() OVER (ORDER BY year DESC) AS place FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n FROM orders GROUP BY 1)""")
+def year_order(spark, d):
+    years = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("year")).agg(F.count("*").alias("n"))
+    return keys.numbered(years, [F.desc("year")])
+
+
+@bound(f"""WITH {V_CAND} SELECT id, name AS contest, CAST(ac AS VARCHAR) AS district FROM cand""")
+def packed_fields(spark, d):
+    """The parts of a field that holds several, by their place."""
+    part_of = F.split("place", r"\|")
+    return cand(spark, d).select("id", F.get(part_of, F.lit(0)).alias("contest"), F.get(part_of, F.lit(1)).alias("district"))
+
+
+@bound(f"""WITH {V_CAND}, p(party, label, color) AS (VALUES ('BUILDING', 'Builders', '#112233'), ('MACHINERY', 'Makers', '#445566')) SELECT label, color, count(*) AS n FROM cand JOIN p USING (party) GROUP BY ALL""")
+def constant_dimension(spark, d):
+    parties = files.constant_table(spark, "party string, label string, color string", [("BUILDING", "Builders", "#112233"), ("MACHINERY", "Makers", "#445566")])
+    return cand(spark, d).join(parties, "party").groupBy("label", "color").agg(F.count("*").alias("n"))
+
+
+@bound("""SELECT n_nationkey AS id, n_name AS name FROM nation""")
+def optional_files(spark, d):
+    """A file that is there and one that isn't, read the same way."""
+    path = files.scratch(spark, "json")
+    files.write_json(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")), path)
+    read = lambda p: files.json_rows(spark, p, "id long, name string", arrays=False, optional=True)
+    return read(path).union(read(f"{path}-absent"))
+
+
 @bound(f"""WITH {V_CAND} SELECT id, name FROM cand ORDER BY name, id LIMIT 30 OFFSET 30""")
 def name_page(spark, d):
     c = cand(spark, d)
@@ -432,6 +475,39 @@ def stream_patched(spark, d):
     return state.read().select(*_SHOWN, "value")
 
 
+@bound(f"""WITH w AS {_newest("value >= 0 AND event_type <> 'error'")} SELECT key, event_id, party FROM w""")
+def stream_last_good(spark, d):
+    """Rows that can't be right leave the last good row of their key."""
+    state = _state(spark, d)
+    good = (F.col("value") >= 0) & (F.col("party") != "error")
+    run_available(_landed(spark, d), files.scratch(spark, "progress"), upsert_latest(state, "ts", "event_id", good=good))
+    return state.read().select(*_SHOWN)
+
+
+def _run(spark, d, state, half: int, **how):
+    rows = _events(table(spark, d, "events").where(F.col("event_id") % 2 == half)).withColumn("key", F.when(F.col("key") % 7 != 0, F.col("key")))
+    return plan.scheduled(state, rows, how.pop("phase", "live"), half, "ts", "event_id", **how)
+
+
+@bound("""WITH e AS (SELECT event_id % 2 AS half, user_id % 7 = 0 AS lost, user_id FROM events), h AS (SELECT half, count(*) AS rows, count(*) FILTER (lost) AS unmatched FROM e GROUP BY half)
+SELECT 'skipped' AS status, 0 AS reset, 0 AS rows, 0 AS unmatched, 0 AS written UNION ALL SELECT 'dry', 0, rows, unmatched, 0 FROM h WHERE half = 0 UNION ALL SELECT 'partial', 0, rows, unmatched, rows - unmatched FROM h WHERE half = 0
+UNION ALL SELECT 'partial', (SELECT count(DISTINCT user_id) FROM e WHERE half = 0 AND NOT lost), rows, unmatched, rows - unmatched FROM h WHERE half = 1""")
+def scheduled_runs(spark, d):
+    """A run outside the live phase, a dry one, a real one, and one that resets before it writes."""
+    state = _state(spark, d)
+    made = [_run(spark, d, state, 0, phase="pre"), _run(spark, d, state, 0, dry=True), _run(spark, d, state, 0), _run(spark, d, state, 1, reset=True)]
+    return made[0].union(made[1]).union(made[2]).union(made[3])
+
+
+@bound(f"""WITH b AS {_newest("event_id % 2 = 1")} SELECT key, event_id, party FROM b WHERE key % 7 <> 0""")
+def run_after_reset(spark, d):
+    """What a run that resets leaves is its own rows."""
+    state = _state(spark, d)
+    _run(spark, d, state, 0)
+    _run(spark, d, state, 1, reset=True)
+    return state.read().select(*_SHOWN)
+
+
 _SUMS = {"declared": lambda r: r["declared"].cast("long"), "votes": lambda r: F.floor(F.abs(r["value"]))}
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyforge.sources.scratch import scratch
 
@@ -38,7 +39,7 @@ def _sorted(df: DataFrame, order: list[Column], parts: int | None) -> DataFrame:
     path = scratch(df.sparkSession, "sorted")
     # Columns of the frame may have any name but the two made here.
     ranged.withColumn("_id", F.monotonically_increasing_id()).write.parquet(path)
-    kept = df.sparkSession.read.schema(df.schema.add("_id", "long")).parquet(path)
+    kept = df.sparkSession.read.schema(StructType([*df.schema.fields]).add("_id", "long")).parquet(path)
     return kept.select(*[F.col(f"`{c}`") for c in df.columns], F.shiftright("_id", 33).cast("int").alias("_part"), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
 
 
@@ -98,6 +99,17 @@ def placed(df: DataFrame, group: list[str], at: Column, order: list[Column], nam
     return own.join(before, _same(own, before, [*group, "_range"])).select(*df.columns, (F.col("_own") + F.col("_before")).cast("long").alias(name))
 
 
+def cumulated(df: DataFrame, group: list[str], at: Column, order: list[Column], value: Column, name: str, parts: int = 256) -> DataFrame:
+    """The sum of `value` up to each row within its group, by rising order; `at` is a number that rises with it.
+
+    As in placed(), ranges are summed on their own, and the sums of the ranges before a row's are added.
+    """
+    cut = df.withColumn("_range", _ranges(df, at, parts)).withColumn("_value", value)
+    before = _offsets(cut.groupBy(*group, "_range").agg(F.sum("_value").alias("n")), group)
+    own = cut.withColumn("_own", F.sum("_value").over(Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    return own.join(before, _same(own, before, [*group, "_range"])).select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
+
+
 def medians(df: DataFrame, group: list[str], value: str, parts: int = 256) -> DataFrame:
     """The exact median of each group's values, nulls left out: counts of values by range, then only the middle ranges in order."""
     have = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import ratio, same_name
-from tallyforge.operators.keys import placed
+from tallyforge.operators.keys import cumulated, placed
 
 
 def cascade(rows: DataFrame, dim: DataFrame, name_key: Column, number: str, aliases: dict[str, str], dim_name: str = "key", dim_number: str = "number", dim_id: str = "id") -> DataFrame:
@@ -166,9 +166,12 @@ def entered(updates: DataFrame) -> DataFrame:
 
 
 def declared_runs(events: DataFrame, key: str, at: str, declared: str, tie: str) -> DataFrame:
-    """Start and length of each run of declared rows per key: contiguous in time, ended by a row that isn't."""
-    w = Window.partitionBy(key).orderBy(at, tie)
-    runs = events.withColumn("_gap", F.sum(F.when(F.col(declared), 0).otherwise(1)).over(w))
+    """Start and length of each run of declared rows per key: contiguous in time, ended by a row that isn't.
+
+    Rows that end runs are counted over ranges of time, so a key of most rows is spread too.
+    """
+    ends = F.when(F.col(declared), 0).otherwise(1)
+    runs = cumulated(events, [key], F.col(at).cast("timestamp").cast("double"), [F.col(at), F.col(tie)], ends, "_gap")
     return runs.where(declared).groupBy(key, "_gap").agg(F.min(at).alias("declared_at"), F.count("*").alias("seen")).drop("_gap")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.functions.scalar import person_key
+from tallyforge.operators.keys import numbered
 
 
 def token_match(wanted: DataFrame, pool: DataFrame, within: str, wanted_name: str, pool_name: str, order: str) -> DataFrame:
@@ -105,11 +106,4 @@ def by_priority(sources: list[DataFrame], per: str) -> DataFrame:
 
 def chunks(df: DataFrame, order: str, size: int = 50) -> DataFrame:
     """Rows with the number of their batch, in order within ranges of the sort key."""
-    from tallyforge.operators.keys import ranked
-
-    return ranked(df.withColumn("_neg", -F.col(order)), "_neg", order, "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_neg", "_place")
-
-
-def last_wins(df: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    return numbered(df, [F.asc_nulls_last(order)], "_place").withColumn("chunk", F.floor((F.col("_place") - 1) / size).cast("long")).drop("_place")

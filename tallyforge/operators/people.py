@@ -74,7 +74,7 @@ def education_histogram(people: DataFrame, group: list[str]) -> DataFrame:
 def party_profile(people: DataFrame, funding: DataFrame, parties: list[str]) -> DataFrame:
     """Per listed party: people, case rate, mean assets and funds."""
     own = people.where(F.col("party").isin(parties)).groupBy("party").agg(F.count("*").alias("n"), F.count_if(F.col("cases") > 0).alias("with_cases"), mean_positive("assets").alias("avg_assets"))
-    return own.join(F.broadcast(funding), "party", "left").withColumn("case_rate", ratio("with_cases", "n", 100.0)).na.fill(0)
+    return own.join(funding, "party", "left").withColumn("case_rate", ratio("with_cases", "n", 100.0)).na.fill(0)
 
 
 def funding_shares(funding: DataFrame, value: str) -> DataFrame:

@@ -20,7 +20,7 @@ def alignment(answers: DataFrame, weights: DataFrame, session: str = "session")
     answers: session, question, option; weights: question, option, party, weight. Unknown answers add nothing but count.
     """
     counts = answers.groupBy(session).agg(F.count("*").alias("_n"))
-    total = answers.join(F.broadcast(weights), ["question", "option"]).groupBy(session, "party").agg(F.sum("weight").alias("_t"))
+    total = answers.join(weights, ["question", "option"]).groupBy(session, "party").agg(F.sum("weight").alias("_t"))
     return total.join(counts, session).select(session, "party", half_up(F.col("_t") / (F.col("_n") * 10) * 100).alias("score"))
 
 

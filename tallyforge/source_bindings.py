@@ -105,6 +105,26 @@ def detail_rows(spark, d):
     return pages.detail(c.select(said("x%d", "id").alias("url"), F.concat(photo, sex, work, side).alias("html")))
 
 
+@bound(f"""WITH {V_CAND} SELECT 'x' || id AS url, 'Ann Lee ' || id AS name, CASE WHEN id % 3 = 0 THEN party WHEN id % 3 = 1 THEN 'XYZ)' ELSE 'IND' END AS party, 'c' || lpad(CAST(ac AS VARCHAR), 4, '0') AS contest, age,
+CASE WHEN id % 5 = 0 THEN 'Male' WHEN id % 2 = 0 THEN 'Female' ELSE 'Male' END AS gender, CASE WHEN id % 4 <> 0 THEN 'Farmer & Co' ELSE '' END AS occupation, cases FROM cand WHERE id % 11 <> 0""")
+def titled_detail_rows(spark, d):
+    c = cand(spark, d)
+    i = F.col("id")
+    title = F.when(i % 3 == 1, said("ANN LEE %d(Some Party(XYZ)):Seat", i)).otherwise(said("ann lee %d(a party):Seat", i))
+    labels = F.concat(
+        F.when(i % 3 == 0, said("<div><b>Party:</b> %s </div>", "party")).otherwise(""),
+        said("<a href='index.php?constituency_id=%d'>SEAT</a> &rarr; <b>name</b><b>Age:</b> %d", "ac", "age"),
+        F.when(i % 2 == 0, "<b>S/o|D/o|W/o:</b> Somebody<br>").otherwise(""),
+        F.when(i % 5 == 0, "<b title=Gender> Male</b>").otherwise(""),
+        F.when(i % 4 != 0, "<b>Self Profession:</b> Farmer  &&nbsp;Co<br>").otherwise(""),
+        said("Number of Criminal Cases: <span class=x>%d</span>", "cases"),
+    )
+    # Every eleventh page is an error page: short, or without a title.
+    html = F.when(i % 22 == 11, "<title>gone(x)</title>").when(i % 11 == 0, F.repeat(F.lit("error "), 100)).otherwise(F.concat(F.lit("<title>"), title, F.lit("</title>"), labels, F.repeat(F.lit(" "), 500)))
+    got = pages.titled_detail(c.select(said("x%d", i).alias("url"), html.alias("html"))).drop("photo", "spouse_occupation")
+    return got.withColumns({n: F.col(n).cast("long") for n in ("age", "cases")})
+
+
 @bound(f"""WITH {V_CAND} SELECT 'x' || id AS url, CASE WHEN id % 7 <> 0 THEN assets ELSE 0 END AS total, liabilities FROM cand""")
 def finance_rows(spark, d):
     c = cand(spark, d)

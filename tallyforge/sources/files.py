@@ -10,8 +10,20 @@ from tallyforge.operators.matching import by_priority
 from tallyforge.sources.scratch import scratch as scratch
 
 
-def json_rows(spark: SparkSession, path: str, schema: str, arrays: bool = True) -> DataFrame:
-    """Rows of files that hold one JSON array each, or one JSON document a line."""
+def present(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
+
+
+def constant_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
+    """A table that the program itself declares, as the parties and districts of a contest; a few rows, in one partition."""
+    return spark.createDataFrame(rows, schema).coalesce(1)
+
+
+def json_rows(spark: SparkSession, path: str, schema: str, arrays: bool = True, optional: bool = False) -> DataFrame:
+    """Rows of files that hold one JSON array each, or one JSON document a line; none for an optional path that isn't there."""
+    if optional and not present(spark, path):
+        return spark.createDataFrame([], schema)
     return spark.read.schema(schema).option("multiLine", arrays).json(path)
 
 

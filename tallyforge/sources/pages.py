@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyforge.functions.scalar import WHITE, cell_text, digits_value, money, ratio, strip_markup
+from tallyforge.functions.scalar import WHITE, cell_text, digits_value, money, padded_id, ratio, strip_markup, title_case
 
 ROW, CELL, ANY_CELL, TABLE = r"(?is)<tr[^>]*>(.*?)</tr>", r"(?is)<td[^>]*>(.*?)</td>", r"(?is)<t[dh][^>]*>(.*?)</t[dh]>", r"(?is)<table[^>]*>(.*?)</table>"
 
@@ -127,6 +127,32 @@ def detail(pages: DataFrame, photo: str = r"(?i)(https?://\S+?/images_candidate/
     return pages.select("url", first(photo).alias("photo"), F.coalesce(first(r"(?i)Gender[^<]*<[^>]+>\s*(Male|Female)"), F.lit("Male")).alias("gender"), F.when(~work.isin("NIL", "-"), work).alias("occupation"), F.when(~party.isin("N/A", "-"), party).alias("party"))
 
 
+def titled_detail(pages: DataFrame, photo: str = r"(?i)(https?://\S+?/images_candidate/\S+?\.jpg)") -> DataFrame:
+    """A contestant's page read by its title, name(party(short)):contest, and by its labels; pages without those give no row.
+
+    The page's text names sons, daughters and wives in one label, so a page with that label is of a woman, unless it
+    states a gender. A page of fewer than 500 characters is an error page.
+    """
+    one = lambda p, g=1, of="html": F.nullif(F.trim(F.regexp_replace(F.regexp_replace(strip_markup(F.regexp_extract(of, p, g)), "&nbsp;", " "), f"{WHITE}+", " ")), F.lit(""))
+    read = pages.where(F.length("html") >= 500).withColumn("_title", F.regexp_extract("html", r"(?i)<title>([^<]+)</title>", 1))
+    seat = F.regexp_extract("html", r"(?i)constituency_id=(\d+).*?>([^<]+)</a>\s*&rarr;\s*<b>", 1)
+    related = F.col("html").rlike(r"(?i)<b>S/o\|D/o\|W/o:</b>\s*[^<]+")
+    number = lambda p: F.coalesce(F.regexp_extract("html", p, 1).try_cast("int"), F.lit(0))
+    out = read.where(F.col("_title").rlike(r"^[^(]+\(") & (seat != "")).select(
+        "url",
+        title_case(F.trim(F.regexp_extract("_title", r"^([^(]+)\(", 1))).alias("name"),
+        F.coalesce(one(r"(?i)<b>Party:</b>\s*([^<\s][^<]*?)\s*</div>"), F.nullif(F.trim(F.regexp_extract("_title", r"\(([A-Z()\s\-]+)\)\s*:", 1)), F.lit("")), F.lit("IND")).alias("party"),
+        padded_id(F.regexp_replace(seat, "^0+(?=.)", "")).alias("contest"),
+        F.nullif(F.regexp_extract("html", photo, 1), F.lit("")).alias("photo"),
+        number(r"(?i)<b>Age:</b>\s*(\d+)").alias("age"),
+        F.coalesce(F.nullif(F.regexp_extract("html", r"(?i)Gender[^<]*>\s*(Male|Female)", 1), F.lit("")), F.when(related, "Female").otherwise("Male")).alias("gender"),
+        F.coalesce(one(r"(?i)<b>Self Profession:</b>\s*([^<\n\r]+)"), F.lit("")).alias("occupation"),
+        one(r"(?i)<b>Spouse Profession:</b>\s*([^<\n\r]+)").alias("spouse_occupation"),
+        number(r"(?i)Number of Criminal Cases:\s*<span[^>]*>(\d+)</span>").alias("cases"),
+    )
+    return out
+
+
 def finances(pages: DataFrame, section: str, until: str) -> DataFrame:
     """The last amount in purple between two headings of a page."""
     part = F.regexp_extract("html", f"(?s){section}(.*?)(?:{until}|$)", 1)

@@ -37,10 +37,11 @@ def latest_state(spark: SparkSession, folder: str, schema: str, key: str, at: st
     return State(spark, folder, schema, key, merge=newer(at, tie), **more)
 
 
-def upsert_latest(state: State, at: str, tie: str, source: str = "stream") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch that lands the newest row of each key; an empty batch leaves the state as it is."""
+def upsert_latest(state: State, at: str, tie: str, source: str = "stream", good: Column | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch that lands the newest good row of each key; a batch without one leaves the state as it is."""
 
     def run(batch: DataFrame, number: int) -> None:
+        batch = batch if good is None else batch.where(F.coalesce(good, F.lit(False)))
         if not batch.isEmpty():
             clock = batch.agg(F.max(micros(F.col(at)))).first()[0] if state.until else None
             state.commit(latest(batch, state.key, at, tie), source=source, batch=number, clock=clock)
