@@ -125,7 +125,7 @@ def active_rows(spark, d):
 def denormalised_people(spark, d):
     parties = spark.createDataFrame([("BUILDING", "Builders", "#112233")], "id string, name string, color string")
     contests = table(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
-    out = people.denormalised(cand(spark, d).withColumn("contest", F.col("ac")), parties, contests)
+    out = people.denormalised(cand(spark, d).withColumn("contest", F.col("ac")), parties, contests, people.NO_PARTY)
     return out.select("id", F.col("party_info.name").alias("party_name"), F.col("party_info.color").alias("color"), F.col("contest_info.name").alias("contest_name"))
 
 

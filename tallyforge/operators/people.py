@@ -13,7 +13,7 @@ from tallyforge.operators.keys import medians, running
 
 SIX = ("age", "gender", "education", "assets", "url", "occupation")
 FIVE = ("age", "education", "assets", "url", "gender")
-#: What stands for a party that isn't known.
+#: What a page shows for a party that isn't known.
 NO_PARTY = {"id": "IND", "name": "Independent", "color": "#546E7A"}
 GENDERS, EDUCATIONS, BUCKETS = ("Male", "Female", "Other"), ("None", "School", "Graduate", "Post Graduate", "Doctorate"), ("Low", "Medium", "High", "Very High")
 
@@ -242,12 +242,15 @@ def missing_occupation(df: DataFrame) -> DataFrame:
     return df.where(F.coalesce(F.col("occupation"), F.lit("")).isin("", UNKNOWN))
 
 
-def denormalised(people: DataFrame, parties: DataFrame, contests: DataFrame) -> DataFrame:
-    """People with their party and contest as structs; unmatched contests stay null, unmatched parties become NO_PARTY.
+def denormalised(people: DataFrame, parties: DataFrame, contests: DataFrame, instead: dict[str, str] | None = None) -> DataFrame:
+    """People with their party and contest as structs; unmatched ones stay null, but for what a page shows `instead` of a party.
 
-    Of NO_PARTY's fields those count that the parties have; Spark broadcasts either side where its size allows.
+    Spark broadcasts either side where its size allows.
     """
     p = parties.select(F.col("id").alias("party"), F.struct("*").alias("party_info"))
     c = contests.select(F.col("id").alias("contest"), F.struct("*").alias("contest_info"))
-    none = F.struct(*[F.lit(NO_PARTY.get(f.name)).cast(f.dataType).alias(f.name) for f in parties.schema])
-    return people.join(p, "party", "left").join(c, "contest", "left").withColumn("party_info", F.coalesce("party_info", none))
+    joined = people.join(p, "party", "left").join(c, "contest", "left")
+    if instead is None:
+        return joined
+    none = F.struct(*[F.lit(instead.get(f.name)).cast(f.dataType).alias(f.name) for f in parties.schema])
+    return joined.withColumn("party_info", F.coalesce("party_info", none))
