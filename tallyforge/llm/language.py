@@ -7,7 +7,8 @@ its own unseen text needs, wins. The automata are built from a bounded, seeded s
 out by displacement: a state is the place from which its edges are counted by symbol, and no two states share one. A
 missing edge leads to the root's and counts a phrase; many stretches of text then walk through the table side by side in
 NumPy, for all languages at once. Stretches have a fixed length, so a very long text is many short walks, and every
-character of it counts. The table grows with the languages, by a MB or two each, and so does the work a character.
+character of it counts. The table grows with the languages, by a MB or two each, up to what MODEL_CHARS gives; of more
+languages less of each is learned. The work a character grows with their number.
 
 Defined results: null text and text without a letter are `und` with score 0; so is everything if no labelled row can
 be learned from; ties go to the language first in order; repeated rows get equal results; an empty table gives no
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm.common import map_text
 
-#: Labelled documents read and characters learned per language.
-SAMPLE_DOCS, LEARN_CHARS = 160, 36_000
+#: Labelled documents read and characters learned per language, and characters learned of all languages together.
+SAMPLE_DOCS, LEARN_CHARS, MODEL_CHARS = 160, 36_000, 9_000_000
 #: Characters per walk, and walks of all languages side by side.
 STRETCH, LANES = 256, 65_536
 UNKNOWN = "und"
@@ -153,12 +154,13 @@ class Model:
         self.langs = sorted(samples)
         self.symbols = Symbols([t for ts in samples.values() for t in ts])
         tables, begins, roots, own, at = [], [], [], [], 0
+        most = min(LEARN_CHARS, MODEL_CHARS // max(1, len(self.langs)))
         for lang in self.langs:
             codes = [c for c in map(self.symbols.encode, samples[lang]) if len(c)]
             learn, held, n = [], [], 0
             for i, c in enumerate(codes):
-                if n < LEARN_CHARS and (i % 4 < 3 or len(codes) < 4):
-                    learn.append(c[: LEARN_CHARS - n])
+                if n < most and (i % 4 < 3 or len(codes) < 4):
+                    learn.append(c[: most - n])
                     n += len(learn[-1])
                 else:
                     held.append(c[:2000])
@@ -237,7 +239,8 @@ def learn(labelled: DataFrame, docs: int = SAMPLE_DOCS) -> Model:
     counts = rows.groupBy("lang").count().collect()
     highest = [(r["lang"], min(2**63 - 1, int(-(2**63) + min(1.0, 2 * docs / r["count"]) * (2**64 - 1)))) for r in counts]
     pick = labelled.sparkSession.createDataFrame(highest, "lang string, highest long")
-    kept = rows.join(F.broadcast(pick), "lang").where("h <= highest").select("lang", "h", F.substring("text", 1, 2 * LEARN_CHARS // docs + 2000).alias("text")).limit(4 * docs * max(1, len(counts))).collect()
+    chars = 2 * min(LEARN_CHARS, MODEL_CHARS // max(1, len(counts))) // docs + 2000
+    kept = rows.join(F.broadcast(pick), "lang").where("h <= highest").select("lang", "h", F.substring("text", 1, chars).alias("text")).limit(4 * docs * max(1, len(counts))).collect()
     samples: dict[str, list[str]] = {r["lang"]: [] for r in counts}
     for r in sorted(kept, key=lambda r: (r["h"], r["text"])):
         if len(samples[r["lang"]]) < docs and r["text"] not in samples[r["lang"]]:
