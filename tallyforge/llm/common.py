@@ -63,15 +63,19 @@ def join_checked(big: DataFrame, small: DataFrame, on, how: str = "inner", rows:
     return big.join(F.broadcast(small) if few else small.hint("merge"), on, how)
 
 
-def slices(texts, rows: int = 1000, size: int = 1 << 22) -> Iterator[tuple[int, int]]:
-    """(start, length) of slices of an Arrow array of texts: at most `rows` of them and about `size` bytes, one at least."""
+def slices(texts, rows: int = 1000, size: int = 1 << 22, sizes=None) -> Iterator[tuple[int, int]]:
+    """(start, length) of slices of an Arrow array of texts: at most `rows` of them and about `size` bytes, one at least.
+
+    sizes: an array of how many bytes each text counts for, its own where that is null.
+    """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    if pa.types.is_null(texts.type):
-        ends = [0] * len(texts)
-    else:
-        ends = pc.cumulative_sum(pc.cast(pc.fill_null(pc.binary_length(texts), 0), pa.int64())).to_pylist()
+    if not len(texts):
+        return
+    own = pa.nulls(len(texts), pa.int64()) if pa.types.is_null(texts.type) else pc.cast(pc.binary_length(texts), pa.int64())
+    weight = own if sizes is None else pc.coalesce(pc.cast(sizes, pa.int64()), own)
+    ends = pc.cumulative_sum(pc.fill_null(weight, 0)).to_pylist()
     at, before = 0, 0
     while at < len(texts):
         to = at + 1
@@ -81,10 +85,11 @@ def slices(texts, rows: int = 1000, size: int = 1 << 22) -> Iterator[tuple[int,
         at, before = to, ends[to - 1]
 
 
-def map_text(docs: DataFrame, columns: str, per_texts, column: str = "text", rows: int = 1000) -> DataFrame:
+def map_text(docs: DataFrame, columns: str, per_texts, column: str = "text", rows: int = 1000, size: str | None = None) -> DataFrame:
     """All columns of docs and new ones: per_texts turns a list of the column's texts into a list of each new column.
 
-    The texts come in slices of at most `rows` and a few MB. columns: name and type of the new ones, as in "a double, b long"; same-named columns of docs are replaced.
+    The texts come in slices of at most `rows` and a few MB, by their own length or the column `size`, if docs has that.
+    columns: name and type of the new ones, as in "a double, b long"; same-named columns of docs are replaced.
     """
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -97,7 +102,8 @@ def map_text(docs: DataFrame, columns: str, per_texts, column: str = "text", row
     def run(batches):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(column))
-            for lo, n in slices(texts, rows):
+            sizes = batch.column(batch.schema.get_field_index(size)) if size in batch.schema.names else None
+            for lo, n in slices(texts, rows, sizes=sizes):
                 own = batch.slice(lo, n)
                 made = per_texts(texts.slice(lo, n).to_pylist())
                 yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array(x, f.type) for x, f in zip(made, arrow))], [*batch.schema.names, *arrow.names])

@@ -81,7 +81,7 @@ def _loaded(values: list[bytes | None]):
 
 def load(media: DataFrame) -> DataFrame:
     """All columns of media, `_payload` as read back from `_media`, and `_feature`."""
-    return map_text(media, "_payload binary, _feature string", _loaded, column="_media", rows=1000)
+    return map_text(media, "_payload binary, _feature string", _loaded, column="_media", rows=1000, size="_n_bytes")
 
 
 def digest(media: DataFrame) -> DataFrame:
@@ -94,7 +94,7 @@ def digest(media: DataFrame) -> DataFrame:
         return [len(r) for r in raw], [sha(r) for r in raw], [zlib.crc32(r[-16:]) for r in raw], [len(v or b"") for v in values], [sha(v or b"") for v in values], [feature(a) for a in arrays]
 
     names = "_payload_bytes long, _payload_sha256 string, _tail_crc32 long, _media_bytes long, _media_sha256 string, _feature string"
-    return map_text(media, names, per_values, column="_media", rows=1000).drop("_media")
+    return map_text(media, names, per_values, column="_media", rows=1000, size="_n_bytes").drop("_media")
 
 
 def prefixed(media: DataFrame) -> DataFrame:
