@@ -95,7 +95,11 @@ def test_closest_fill_is_the_best(lengths, capacity):
 # ---------------------------------------------------------------- lines, languages, quality
 
 
-def test_line_dedup(docs, nothing):
+@pytest.mark.parametrize("few", [False, True])
+def test_line_dedup(docs, nothing, monkeypatch, few):
+    if few:
+        # More common lines than are sent to the tasks: they are joined.
+        monkeypatch.setattr(line_dedup, "COMMON", 0)
     got = line_dedup.drop_common_lines(docs, min_docs=3)
     assert got.columns == [*docs.columns, "_n_lines", "_n_dropped"]
     kept = {r.doc_id: (r.text, r._n_lines, r._n_dropped, r._key) for r in got.collect()}
