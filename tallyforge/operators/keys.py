@@ -10,6 +10,9 @@ from pyspark.sql.types import StructType
 
 from tallyforge.sources.scratch import scratch
 
+#: Rows of a group that one task may sort.
+SMALL = 100_000
+
 
 def keep_one(df: DataFrame, key: list[str], order: str, keep: str = "first") -> DataFrame:
     """The first or last row of each key by an ordinal, from partial extremes: no sort, no window over a hot key."""
@@ -75,6 +78,11 @@ def _ranges(df: DataFrame, at: Column, parts: int) -> Column:
     return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= at)) if cuts else F.lit(0)
 
 
+def _large(df: DataFrame, group: list[str]) -> bool:
+    """Whether a group has more rows than one task should sort."""
+    return not df.groupBy(*group).agg(F.count("*").alias("n")).where(F.col("n") > SMALL).isEmpty()
+
+
 def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
     """Condition: equal keys, nulls too; b's columns carry a leading underscore."""
     return reduce(lambda x, y: x & y, (a[c].eqNullSafe(b[f"_{c}"]) for c in columns))
@@ -91,8 +99,11 @@ def placed(df: DataFrame, group: list[str], at: Column, order: list[Column], nam
     """1-based places within each group by rising order; `at` is a number that rises with it.
 
     Ranges of `at` that hold about equal parts of all rows are sorted on their own and counts give their offsets, so a
-    group that holds most rows is spread too; only rows of one value of `at` stay together.
+    group that holds most rows is spread too; only rows of one value of `at` stay together. Where every group is small,
+    it is sorted by itself.
     """
+    if not _large(df, group):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*group).orderBy(*order)).cast("long"))
     cut = df.withColumn("_range", _ranges(df, at, parts))
     before = _offsets(cut.groupBy(*group, "_range").agg(F.count("*").alias("n")), group)
     own = cut.withColumn("_own", F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*order)))
@@ -104,6 +115,8 @@ def cumulated(df: DataFrame, group: list[str], at: Column, order: list[Column],
 
     As in placed(), ranges are summed on their own, and the sums of the ranges before a row's are added.
     """
+    if not _large(df, group):
+        return df.withColumn(name, F.sum(value).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
     cut = df.withColumn("_range", _ranges(df, at, parts)).withColumn("_value", value)
     before = _offsets(cut.groupBy(*group, "_range").agg(F.sum("_value").alias("n")), group)
     own = cut.withColumn("_own", F.sum("_value").over(Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
@@ -111,8 +124,14 @@ def cumulated(df: DataFrame, group: list[str], at: Column, order: list[Column],
 
 
 def medians(df: DataFrame, group: list[str], value: str, parts: int = 256) -> DataFrame:
-    """The exact median of each group's values, nulls left out: counts of values by range, then only the middle ranges in order."""
+    """The exact median of each group's values, nulls left out.
+
+    Values of small groups are aggregated at once; where a group is large, values are counted by range, and only the
+    middle ranges are put in order.
+    """
     have = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("v"))
+    if not _large(have, group):
+        return have.groupBy(*group).agg(F.percentile(F.col("v").cast("double"), 0.5).alias("median"))
     runs = have.groupBy(*group, "v").agg(F.count("*").alias("k")).withColumn("_range", _ranges(have, F.col("v"), parts))
     sizes = _offsets(runs.groupBy(*group, "_range").agg(F.sum("k").alias("n")), group)
     low, high = F.floor((F.col("_all") - 1) / 2), F.floor(F.col("_all") / 2)

@@ -12,6 +12,13 @@ from tallyforge.sources import keyed
 SCHEMA = "g string, v long, id long"
 
 
+@pytest.fixture(params=[False, True], ids=["small", "large"])
+def groups(request, monkeypatch):
+    """Every test with groups that one task sorts and with groups that are spread over ranges."""
+    if request.param:
+        monkeypatch.setattr(keys, "SMALL", 50)
+
+
 @pytest.fixture(scope="module")
 def rows():
     rng = random.Random(5)
@@ -19,6 +26,7 @@ def rows():
     return hot + [(rng.choice(["a", "b", None]), rng.choice([None, rng.randrange(40)]), i) for i in range(700, 900)] + [("none", None, 900)]
 
 
+@pytest.mark.usefixtures("groups")
 def test_medians(spark, rows):
     got = {r.g: r.median for r in keys.medians(spark.createDataFrame(rows, SCHEMA), ["g"], "v", 16).collect()}
     own = {}
@@ -28,6 +36,7 @@ def test_medians(spark, rows):
     assert got == {g: float(median(vs)) for g, vs in own.items()}
 
 
+@pytest.mark.usefixtures("groups")
 def test_placed(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).where("v is not null")
     got = {r.id: r.place for r in keys.placed(df, ["g"], -F.col("v").cast("double"), [F.desc("v"), F.col("id")], parts=16).collect()}
@@ -38,6 +47,7 @@ def test_placed(spark, rows):
     assert got == want
 
 
+@pytest.mark.usefixtures("groups")
 def test_nth_event(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA).where("v is not null")
     got = {r.g: r.id for r in live.nth_event(df, "g", "v", "id", 30).collect()}
@@ -45,6 +55,20 @@ def test_nth_event(spark, rows):
     assert got == {g: vs[29][1] for g, vs in own.items() if len(vs) >= 30}
 
 
+@pytest.mark.usefixtures("groups")
+def test_cumulated(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA).where("v is not null")
+    got = {r.id: r.upto for r in keys.cumulated(df, ["g"], F.col("v").cast("double"), [F.col("v"), F.col("id")], F.col("id") % 3, "upto", parts=16).collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        total = 0
+        for r in sorted((r for r in rows if r[0] == g and r[1] is not None), key=lambda r: (r[1], r[2])):
+            total += r[2] % 3
+            want[r[2]] = total
+    assert got == want
+
+
+@pytest.mark.usefixtures("groups")
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert keys.medians(df, ["g"], "v").count() == keys.placed(df, ["g"], F.col("v").cast("double"), [F.col("v")]).count() == 0
