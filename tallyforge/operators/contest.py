@@ -27,8 +27,16 @@ def standings(votes: DataFrame, contest: list[str], votes_col: str = "votes", or
 
 
 def winners(votes: DataFrame, contest: list[str], votes_col: str = "votes", order: list[str] | None = None, single: str = "votes") -> DataFrame:
-    """The leading row of each contest with `margin`; without a second, the margin is the leader's `votes` or `zero`."""
-    first = standings(votes, contest, votes_col, order).where("place = 1")
+    """The leading row of each contest with `margin`; without a second, the margin is the leader's `votes` or `zero`.
+
+    Each task keeps a contest's first two rows and its sum before the shuffle, so a contest of most rows is no task's.
+    """
+    by = Window.partitionBy(*contest).orderBy(F.desc(votes_col), *(order or []))
+    two = votes.withColumn("place", F.row_number().over(by).cast("long")).where("place <= 2")
+    totals = votes.groupBy(*[F.col(c).alias(f"_{c}") for c in contest]).agg(F.sum(votes_col).alias("total"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in contest))
+    first = two.withColumn("next_votes", F.lead(votes_col).over(by)).where("place = 1").join(totals, same).drop(*[f"_{c}" for c in contest])
+    first = first.withColumn("share", ratio(votes_col, "total", 100.0))
     alone = F.col(votes_col) if single == "votes" else F.lit(0)
     return first.withColumn("margin", F.when(F.col("next_votes").isNull(), alone).otherwise(F.col(votes_col) - F.col("next_votes"))).drop("place", "next_votes")
 

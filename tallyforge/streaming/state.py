@@ -1,7 +1,7 @@
 """A keyed table that streams and writers by hand keep together: small commits, folded by key when read.
 
-A commit lands only its own rows, spread over folders by a hash of the key, and one numbered file in the log, which names
-every folder that makes up the table from then on. The file is put only where its number is free, so of two writers
+A commit lands only its own rows, as they come, and one numbered file in the log, which names every folder that makes up
+the table from then on; the base, into which they are folded, is spread over folders by a hash of the key. The file is put only where its number is free, so of two writers
 one lands and the other takes the next number; numbers are the table's own, and the number of a stream's batch stands
 inside, so that a batch that runs again changes nothing. Rows wait behind the base until they amount to half of it, and
 are then folded in; before that, small folders are laid together. What is written thus follows what came in, and the
@@ -137,19 +137,23 @@ class State:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, prefix: str) -> dict:
-        """Rows (key, _v, _clock, _kind, _row) in folders by bucket; each key's rows in one file."""
-        name = f"{prefix}-{uuid.uuid4().hex}"
-        spread = rows.withColumn("_bucket", self._bucket()).repartition("_bucket").sortWithinPartitions("_bucket", self.key)
-        spread.write.partitionBy("_bucket").parquet(f"{self.folder}/{name}")
-        buckets = [int(s.getPath().getName()[8:]) for s in self.files.listStatus(self._path(name)) if s.getPath().getName().startswith("_bucket=")]
-        return {"path": name, "rows": self._stored({"path": name, "buckets": buckets}, None).count() if buckets else 0, "buckets": buckets}
+        """Rows (key, _v, _clock, _kind, _row) of a base (b) in folders by bucket, of a commit (d) as they come, sorted by key."""
+        name, rows = f"{prefix}-{uuid.uuid4().hex}", rows.withColumn("_bucket", self._bucket())
+        if prefix == "b":
+            rows.repartition("_bucket").sortWithinPartitions("_bucket", self.key).write.partitionBy("_bucket").parquet(f"{self.folder}/{name}")
+        else:
+            rows.sortWithinPartitions(self.key).write.parquet(f"{self.folder}/{name}")
+        held = self.spark.read.schema(self._layout()).parquet(f"{self.folder}/{name}").agg(F.count("*"), F.sort_array(F.collect_set("_bucket"))).first()
+        return {"path": name, "rows": held[0], "buckets": held[1]}
 
-    def _stored(self, entry: dict, only: list[int] | None) -> DataFrame:
+    def _layout(self) -> StructType:
         key = self.schema[self.key]
-        kinds = StructType().add(key.name, key.dataType).add("_v", "long").add("_clock", "long").add("_kind", "string").add("_row", self.schema).add("_bucket", "integer")
+        return StructType().add(key.name, key.dataType).add("_v", "long").add("_clock", "long").add("_kind", "string").add("_row", self.schema).add("_bucket", "integer")
+
+    def _stored(self, entry: dict, only: list[int] | None) -> DataFrame:
         if not entry["buckets"]:
-            return self.spark.createDataFrame([], kinds).drop("_bucket")
-        df = self.spark.read.schema(kinds).parquet(f"{self.folder}/{entry['path']}")
+            return self.spark.createDataFrame([], self._layout()).drop("_bucket")
+        df = self.spark.read.schema(self._layout()).parquet(f"{self.folder}/{entry['path']}")
         df = df if only is None else df.where(F.col("_bucket").isin(only))
         # Rows of one commit bear its number and clock only in the log.
         return df.select(self.key, F.coalesce("_v", F.lit(entry.get("version", 0))).alias("_v"), F.coalesce("_clock", F.lit(entry.get("clock")).cast("long")).alias("_clock"), "_kind", "_row")
@@ -198,7 +202,7 @@ class State:
         return self._rows(self.snapshot(version)).select("_row.*")
 
     def get(self, *keys) -> DataFrame:
-        """The rows of a few keys, from the folders they lie in."""
+        """The rows of a few keys, from the folders they lie in, and from commits that wait, where files are sorted by key."""
         kind = self.schema[self.key].dataType
         wanted = self.spark.createDataFrame([(k,) for k in keys], StructType().add(self.key, kind))
         only = [r["b"] for r in wanted.select(self._bucket().alias("b")).distinct().collect()]

@@ -86,7 +86,7 @@ def test_fifty_batches_against_plain(spark, tmp_path):
         for k, at, v in rows:
             want[k] = max(want.get(k, (-1, "")), (at, v))
         most = max(most, len(folders(state)))
-        if n % 9 == 0:
+        if n % 16 == 0:
             assert held(state) == {k: v for k, (_, v) in want.items()}, n
     assert held(state) == {k: v for k, (_, v) in want.items()}
     # Folders of the last few commits, and no more however many have been.
@@ -164,8 +164,8 @@ def test_totals_follow_every_change(spark, tmp_path):
     state = latest_state(spark, str(tmp_path / "s"), schema, "key", "at", "party", buckets=2)
     sums = {"declared": lambda r: r["declared"].cast("long"), "votes": lambda r: r["votes"]}
     summary = Summary(state, str(tmp_path / "t"), "party", sums, "margin", lambda r: r["margin"] > 0, k=3, spare=2)
-    for n in range(14):
-        if n % 5 == 4:
+    for n in range(8):
+        if n % 4 == 3:
             version = state.drop_keys(state.read().orderBy("margin").limit(4))
         else:
             rows = [(rng.randrange(25), n, rng.choice("ABC"), rng.randrange(100), rng.randrange(60), rng.random() < 0.4) for _ in range(rng.randint(1, 9))]
@@ -174,7 +174,8 @@ def test_totals_follow_every_change(spark, tmp_path):
             run = {r.party: r.contests for r in summary.of_run(version).collect()}
             assert sum(run.values()) == len({r[0] for r in rows})
         summary.update(version)
-        summary.update(version)
+        if n == 2:
+            summary.update(version)
         now = state.read()
         want = now.groupBy("party").agg(F.count("*").alias("contests"), F.count_if("declared").alias("declared"), F.sum("votes").alias("votes"))
         assert sorted(summary.read().collect()) == sorted(want.collect()), n
