@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct words a Python worker keeps with their ids (about 250 MB at most).
+#: Distinct words a Python worker keeps with their ids (about 85 MB at most).
 CACHE_WORDS = 300_000
 #: Runs and tokens that may wait before windows are closed.
 WAITING_RUNS, WAITING_TOKENS = 4096, 4_000_000
