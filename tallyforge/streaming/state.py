@@ -12,7 +12,7 @@ that aren't null replace the key's, keys without a row stay without) and reset (
 column, a row ends when the table's clock, the latest time that any commit told, reaches it: readers don't see it, later
 rows don't merge with it, and folding removes it. Rows without a key have no place and are left out.
 
-The log needs a folder whose renames are atomic, as the checkpoints of streams do.
+The log needs a folder whose renames are atomic and replace nothing, as those of HDFS are, or a local one with hard links.
 """
 
 from __future__ import annotations
@@ -79,20 +79,33 @@ class State:
         finally:
             stream.close()
 
+    def _put(self, draft, number) -> None:
+        """The draft under a number that is free; an error where it is taken.
+
+        A local rename looks first and then replaces, so two writers may both find a number free, and moves the checksum
+        apart from its file; a link fails where the name is taken, and readers find no checksum beside it.
+        """
+        if self.files.getScheme() == "file":
+            local = lambda path: self.jvm.java.io.File(path.toUri().getPath()).toPath()
+            self.jvm.java.nio.file.Files.createLink(local(number), local(draft))
+            return
+        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf).rename(draft, number, none)
+
     def _landed(self, snap: dict) -> bool:
         """Puts a log file under its number, unless that is taken."""
         draft, number = self._path(f"_log/.{uuid.uuid4().hex}"), self._path(f"_log/{snap['version']:020d}.json")
         out = self.files.create(draft, False)
         out.write(bytearray(json.dumps(snap).encode()))
         out.close()
-        none = self.spark.sparkContext._gateway.new_array(self.jvm.org.apache.hadoop.fs.Options.Rename, 0)
         try:
-            self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri(), self.conf).rename(draft, number, none)
+            self._put(draft, number)
         except Py4JJavaError as error:
-            self.files.delete(draft, False)
             if "FileAlreadyExistsException" not in str(error.java_exception.getClass().getName()):
                 raise
             return False
+        finally:
+            self.files.delete(draft, False)
         if max(self.versions()) >= snap["version"] + LOGGED:
             # The number was free only because its file is long gone.
             self.files.delete(number, False)

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 from concurrent.futures import ThreadPoolExecutor
+from threading import Barrier
 
 import pytest
 from pyspark.sql import functions as F
@@ -72,6 +73,21 @@ def test_writers_at_once_lose_no_row(spark, state):
     assert state.versions() == list(range(1, len(state.versions()) + 1))
 
 
+def test_a_number_is_put_once(spark, tmp_path):
+    """Writers that find a number free at the same moment: one of them lands, and what it wrote stays."""
+    writers, gate = [State(spark, str(tmp_path / "s"), SCHEMA) for _ in range(6)], Barrier(6)
+
+    def put(i, number):
+        gate.wait()
+        return writers[i]._landed({"version": number, "by": i})
+
+    with ThreadPoolExecutor(6) as pool:
+        for number in range(1, 41):
+            landed = list(pool.map(put, range(6), [number] * 6))
+            assert sum(landed) == 1 and writers[0].snapshot(number)["by"] == landed.index(True)
+    assert not [n for s in writers[0].files.listStatus(writers[0]._path("_log")) if (n := s.getPath().getName()).startswith(".")]
+
+
 def test_fifty_batches_against_plain(spark, tmp_path):
     rng = random.Random(4)
     state = latest_state(spark, str(tmp_path / "s"), SCHEMA, "key", "at", "v", buckets=2)
