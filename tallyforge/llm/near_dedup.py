@@ -12,8 +12,8 @@ several components, the one that shares most of its set. A group of near copies
 open after that is joined exactly: shingles are ordered by how many open documents have them, the rarest first, and two
 sets as similar as asked for must meet in the first n - ceil(0.75 n) + 1 shingles of both. Shingles that one document
 alone has come first there and need no join, so documents of mostly own shingles drop out, and so do shingles all of
-whose documents are in one component already. A shingle of many documents is dealt over salts. No link between
-components is lost.
+whose documents are in one component already, and documents that the position of a shingle keeps from linking with any
+there. A shingle of many documents is dealt over salts. No link between components is lost.
 
 Defined results: no words or null text: an empty set, linked with nothing; fewer than five words: the whole sequence
 is one shingle; a null doc_id takes part in no link and is kept; repeated rows are returned each;
@@ -165,6 +165,24 @@ def _prefixes(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _able(each: DataFrame, percent: int) -> DataFrame:
+    """The rows (item, doc_id, root, n, after) that can meet a row of another component at their item.
+
+    What comes after a meeting bounds the size of the other set (its reach), for both sides. So a row stays where its
+    reach takes in the smallest set of the item's other components, and its size lies within their furthest reach:
+    extremes by item and component tell, and the many documents of a common passage drop out before any meet.
+    """
+    reach = F.expr(f"{100 + percent} * after div {percent} - n")
+    own = cut(each.groupBy("item", "root").agg(F.min("n").alias("least"), F.max(reach).alias("reach")), "extremes")
+    first = own.groupBy("item").agg(F.min(F.struct("least", "root")).alias("small"), F.max(F.struct("reach", "root")).alias("far"))
+    others = lambda what, of: F.when(F.col("root") != F.col(f"{of}.root"), F.col(what))
+    # Of the component that holds an extreme, the best of all others counts; an item of one component has none.
+    bounds = own.join(first, "item").groupBy("item").agg(F.first("small").alias("small"), F.first("far").alias("far"), F.min(others("least", "small")).alias("small2"), F.max(others("reach", "far")).alias("far2")).where("small2 is not null")
+    beyond = lambda of, what: F.when(F.col("root") == F.col(f"{of}.root"), F.col(f"{of}2")).otherwise(F.col(f"{of}.{what}"))
+    met = join_checked(each, cut(bounds, "bounds"), "item").where((reach >= beyond("small", "least")) & (F.col("n") <= beyond("far", "reach")))
+    return cut(met.select(*each.columns), "able")
+
+
 def _meeting(rows: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of the documents of rows, in different components, that meet in both prefixes.
 
@@ -173,6 +191,7 @@ def _meeting(rows: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """
     still = cut(rows.select("doc_id", "root").distinct(), "still")
     each = cut(join_checked(prefixes, still, "doc_id").select("doc_id", "root", "n", F.explode("prefix").alias("p")).select("doc_id", "root", "n", "p.item", "p.after"), "prefix")
+    each = _able(each, percent)
     across = each.groupBy("item").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     each = cut(join_checked(each, cut(across.select("item", "m"), "across"), "item"), "prefix")
     salts = F.expr(f"1 + cast(m div {SALTED} as int)")

@@ -275,6 +275,23 @@ def test_near_dedup_of_ids_with_several_texts(spark):
     assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (3, 1), (5, 1), (7, 7), (9, 7), (11, 11)}
 
 
+def test_near_dedup_deals_only_documents_that_can_meet(spark):
+    # Two thousand documents share an item that stands too far back to link them; three of them can meet at it.
+    hot = [(d, 100 + d % 2, d, 1, 84) for d in range(2000)] + [(5000, 100, 5000, 1, 100), (5001, 100, 5001, 1, 100), (5002, 100, 5000, 1, 99)]
+    rng = np.random.default_rng(3)
+    some = [(int(d), int(n), int(d) % 7, int(i), int(n - rng.integers(0, n // 4 + 1))) for d, n, i in zip(range(600), rng.integers(20, 60, 600), rng.integers(2, 40, 600))]
+    rows = [(d + 10_000 * (i > 1), n, r, i, after) for d, n, r, i, after in hot + some]
+    prefixes = spark.createDataFrame([(d, n, n, [(i, after)]) for d, n, _, i, after in rows], "doc_id long, n int, u int, prefix array<struct<item:long,after:int>>")
+    roots = spark.createDataFrame([(d, r) for d, _, r, *_ in rows], "doc_id long, root long")
+    by_item = {}
+    for row in rows:
+        by_item.setdefault(row[3], []).append(row)
+    want = {(a[0], b[0]) for own in by_item.values() for a in own for b in own if a[0] < b[0] and a[2] != b[2] and 175 * min(a[4], b[4]) >= 75 * (a[1] + b[1])}
+    assert {tuple(r) for r in near_dedup._meeting(roots, prefixes, 75).collect()} == want and {(5000, 5001), (5001, 5002)} < want
+    each = spark.createDataFrame([(i, d, r, n, after) for d, n, r, i, after in rows], "item long, doc_id long, root long, n int, after int")
+    assert sorted(r.doc_id for r in near_dedup._able(each, 75).where("item = 1").collect()) == [5000, 5001, 5002]
+
+
 def test_near_dedup_of_templates_just_under_and_over_the_threshold(spark):
     # One template, own words from few to many: similar pairs, near misses and chains in the same buckets.
     rng = np.random.default_rng(9)
