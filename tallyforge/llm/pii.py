@@ -1,4 +1,4 @@
-"""Personal data by base patterns and a boosted candidate classifier, in DataFrame operations only.
+"""Personal data by base patterns and a boosted candidate classifier, in DataFrame operations; Arrow batches sum its histograms.
 
 Base spans come from one pattern per kind with a check (parts of an address, digits of a number, the Luhn sum).
 Beside them, generators with high recall propose overlapping spans: runs around an at sign or a spelled one, runs of
@@ -14,8 +14,9 @@ Candidates over the threshold that touch no base span are added, of overlapping
 always stay.
 
 Matches are placed by splitting the text at them and by running sums over slices of bounded length, so all work is per
-row, inside the JVM, and grows in proportion to a text and its matches; only the table of descriptions reaches the driver,
-with bins made wider until it has at most DESCRIPTIONS rows. Group quantifiers are possessive, which keeps long runs linear and off the
+row, inside the JVM, and grows in proportion to a text and its matches. The counted descriptions stay in their table, of
+any size: the trees grow by histograms that tasks sum over all of them, and only those reach the driver. Group quantifiers
+are possessive, which keeps long runs linear and off the
 stack without changing what matches.
 
 Defined results: null or empty text has no spans; positions are code points, ends exclusive; rows without doc_id
@@ -27,8 +28,10 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +67,10 @@ FORMATS = ("f_digits", "f_dots", "f_spaces", "f_hyphens", "f_brackets", "f_at",
 FEATURES = (*FORMATS, *CONTEXTS)
 #: Features that the trees of a kind see, where that isn't all.
 SEES = {"secret": FORMATS}
-#: Rows of the training table at most; how many of the secrets found must bear a mark in other documents.
+#: Descriptions that a task takes at a time; how many of the secrets found must bear a mark in other documents.
 DESCRIPTIONS, MARKED = 100_000, 0.9
+#: Gradients are whole numbers of 1/UNIT; more than any feature's value; bins of the scores that thresholds are chosen from.
+UNIT, VALUES, BINS = 1 << 20, 64, 1 << 14
 #: Matches in a slice of a running sum; characters of context before a match.
 SLICE, CONTEXT = 64, 24
 
@@ -171,39 +176,41 @@ def _spans(docs: DataFrame) -> DataFrame:
 
 
 class Trees:
-    """Boosted trees of depth two over counted descriptions; `sql` scores a candidate x."""
-
-    def __init__(self, features: np.ndarray, n: np.ndarray, y: np.ndarray, sees: tuple[str, ...] = FEATURES, level: int = 0, rounds: int = 24, rate: float = 0.4, ridge: float = 1.0) -> None:
-        """A row per description: its features, how many candidates have it, and how many of these are positive.
-
-        sees: the features that splits may use; level: by how many bits the features of the rows were coarsened.
-        """
-        self.sees, self.level = [FEATURES.index(f) for f in sees], level
-        yes, every = float(y.sum()), float(n.sum())
-        self.base, self.rate, self.ridge = math.log((yes + 0.5) / (every - yes + 0.5)), rate, ridge
-        self.trees: list = []
-        margin = np.full(len(n), self.base)
-        for _ in range(rounds if 0 < yes < every else 0):
-            p = 1 / (1 + np.exp(-margin))
-            tree = self._grow(features, n * p - y, n * p * (1 - p), np.arange(len(n)), 2)
-            if not isinstance(tree, tuple):
-                break
-            self.trees.append(tree)
-            margin = np.clip(margin + rate * self._values(tree, features), -30, 30)
-
-    def _grow(self, features, g, h, own, depth):
-        sg, sh = g[own].sum(), h[own].sum()
-        best = (1e-6, None, None)
-        for f in self.sees if depth else ():
-            seen, place = np.unique(features[own, f], return_inverse=True)
-            lg, lh = np.cumsum(np.bincount(place, g[own]))[:-1], np.cumsum(np.bincount(place, h[own]))[:-1]
+    """Boosted trees of depth two over counted descriptions; `sql` scores a candidate x.
+
+    A tree grows by histograms alone: sums of gradients by feature and value, whole numbers of `UNIT`, so that they are the
+    same whatever the order and wherever the descriptions lie.
+    """
+
+    def __init__(self, features: np.ndarray, n: np.ndarray, y: np.ndarray, sees: tuple[str, ...] = FEATURES) -> None:
+        """Of a row per description: its features, how many candidates have it, and how many of these are positive."""
+        self._start(float(y.sum()), float(n.sum()), sees)
+        boost([self], lambda splits: _folded(list(_histograms([self], splits, features, n, y[:, None]))))
+
+    @classmethod
+    def open(cls, yes: float, every: float, sees: tuple[str, ...]) -> Trees:
+        """Trees to be grown by `boost`."""
+        out = cls.__new__(cls)
+        out._start(yes, every, sees)
+        return out
+
+    def _start(self, yes: float, every: float, sees: tuple[str, ...]) -> None:
+        # sees: the features that splits may use.
+        self.sees, self.rate, self.ridge = [FEATURES.index(f) for f in sees], 0.4, 1.0
+        self.base, self.trees, self.grows = math.log((yes + 0.5) / (every - yes + 0.5)), [], 0 < yes < every
+
+    def split(self, own: dict) -> tuple | None:
+        """The best (feature, last value of the lower side) by histograms {feature: [(value, g, h)]}, with the values of both leaves."""
+        best = (1e-6, None)
+        for f in self.sees:
+            value, g, h = (np.array(x) for x in zip(*sorted(own.get(f, [(0, 0, 0)]))))
+            g, h = np.cumsum(g) / UNIT, np.cumsum(h) / UNIT
+            (lg, sg), (lh, sh) = (g[:-1], g[-1]), (h[:-1], h[-1])
             gain = lg**2 / (lh + self.ridge) + (sg - lg) ** 2 / (sh - lh + self.ridge) - sg**2 / (sh + self.ridge)
             if len(gain) and gain.max() > best[0]:
-                best = (float(gain.max()), f, int(seen[gain.argmax()]))
-        if best[1] is None:
-            return float(-sg / (sh + self.ridge))
-        low = features[own, best[1]] <= best[2]
-        return best[1], best[2], self._grow(features, g, h, own[low], depth - 1), self._grow(features, g, h, own[~low], depth - 1)
+                k = int(gain.argmax())
+                best = (float(gain[k]), (f, int(value[k]), float(-lg[k] / (lh[k] + self.ridge)), float(-(sg - lg[k]) / (sh - lh[k] + self.ridge))))
+        return best[1]
 
     def _values(self, tree, features) -> np.ndarray:
         if not isinstance(tree, tuple):
@@ -219,14 +226,50 @@ class Trees:
     def _sql(self, tree) -> str:
         if not isinstance(tree, tuple):
             return f"{tree:.9f}D"
-        value = f"shiftright(x.{FEATURES[tree[0]]}, {self.level})" if self.level else f"x.{FEATURES[tree[0]]}"
-        return f"case when {value} <= {tree[1]} then {self._sql(tree[2])} else {self._sql(tree[3])} end"
+        return f"case when x.{FEATURES[tree[0]]} <= {tree[1]} then {self._sql(tree[2])} else {self._sql(tree[3])} end"
 
     def sql(self) -> str:
         total = " + ".join([f"{self.base:.9f}D", *(f"{self.rate}D * ({self._sql(t)})" for t in self.trees)])
         return f"1 / (1 + exp(-greatest(-30D, least(30D, {total}))))"
 
 
+def _histograms(models: list[Trees], splits: list[tuple | None] | None, features: np.ndarray, n: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+    """(model, side of its split, feature, value, sum of g, sum of h) of some descriptions; without splits side 0 is all of them."""
+    for i, model in enumerate(models):
+        if not model.grows or splits and not splits[i]:
+            continue
+        p = model.probabilities(features)
+        g, h = np.rint((n * p - y[:, i]) * UNIT), np.rint(n * p * (1 - p) * UNIT)
+        side = (features[:, splits[i][0]] > splits[i][1]) * VALUES if splits else 0
+        for f in model.sees:
+            cell, place = np.unique(features[:, f] + side, return_inverse=True)
+            for c, a, b in zip(cell, np.bincount(place, g), np.bincount(place, h)):
+                yield i, int(c) // VALUES, f, int(c) % VALUES, int(a), int(b)
+
+
+def _folded(rows: list[tuple]) -> dict:
+    """Summed histograms by (model, side)."""
+    out: dict = {}
+    for i, side, f, value, g, h in rows:
+        out.setdefault((i, side), {}).setdefault(f, []).append((value, g, h))
+    return out
+
+
+def boost(models: list[Trees], histograms: Callable, rounds: int = 24) -> None:
+    """Grows the trees of all models together; histograms(splits) sums over all descriptions, wherever they lie."""
+    for _ in range(rounds):
+        if not any(m.grows for m in models):
+            return
+        whole = histograms(None)
+        splits = [m.split(whole.get((i, 0), {})) if m.grows else None for i, m in enumerate(models)]
+        for m, s in zip(models, splits):
+            m.grows = s is not None
+        parts = histograms(splits) if any(splits) else {}
+        for i, (m, s) in enumerate(zip(models, splits)):
+            if s:
+                m.trees.append((*s[:2], *(m.split(parts.get((i, side), {})) or s[2 + side] for side in (0, 1))))
+
+
 def calibrated(probability: np.ndarray, n: np.ndarray, y: np.ndarray, precision: float, least: float = 20) -> float:
     """The lowest threshold over which other documents' candidates are positive often enough; 2 if there is none."""
     order = np.argsort(-probability, kind="stable")
@@ -236,11 +279,55 @@ def calibrated(probability: np.ndarray, n: np.ndarray, y: np.ndarray, precision:
     return max(float(p[fine[-1]]), 0.5) if len(fine) else 2.0
 
 
-def _described(each: DataFrame, level: int) -> DataFrame:
-    """Candidates counted by side and description, its features coarsened by `level` bits: how many, and how many have each mark."""
-    names = [F.shiftright(F.col(f"x.{f}"), level).alias(f) for f in FEATURES]
+def _summed(table: DataFrame, made: Callable, key: str, values: str) -> list:
+    """Sums of the whole numbers that `made` yields of the table's descriptions, by key; made in tasks, at most DESCRIPTIONS at a time."""
+    most, schema = DESCRIPTIONS, f"{key}, {values}"
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    width = len(key.split(", "))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for whole in batches:
+            for at in range(0, whole.num_rows, most):
+                batch = whole.slice(at, most)
+                column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
+                features = np.stack([column(f) for f in FEATURES], 1).astype(np.int64)
+                for r in made(features, column("n").astype(float), np.stack([column(f"y{i}") for i in range(len(NAMES))], 1).astype(float), column("right").astype(float)):
+                    a, b = total.get(r[:width], (0, 0))
+                    total[r[:width]] = (a + r[width], b + r[width + 1])
+        rows = [k + v for k, v in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
+
+    keys, sums = ([c.split()[0] for c in x.split(", ")] for x in (key, values))
+    return [tuple(r) for r in table.mapInArrow(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).collect()]
+
+
+def _taught(each: DataFrame) -> tuple[list[Trees], dict[int, tuple]]:
+    """The trees of each kind, and (score, n, right) of other documents' candidates by kind. Candidates x are counted by side (teach) and description, and the trees taught where the counts lie.
+
+    The driver gets histograms only: a sum per feature and value, and per bin of a score.
+    """
     marks = [F.count_if(f"x.y{i}").alias(f"y{i}") for i in range(len(NAMES))]
-    return cut(each.groupBy("teach", *names).agg(F.count("*").alias("n"), *marks, F.expr("count_if(x.y4 or x.known)").alias("right")), "described")
+    table = cut(each.groupBy("teach", *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), *marks, F.expr("count_if(x.y4 or x.known)").alias("right")), "described")
+    sides = {r["teach"]: r for r in table.groupBy("teach").agg(F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(NAMES))]).collect()}
+    if len(sides) < 2:
+        return [], {}
+    models = [Trees.open(float(sides[True][f"y{i}"]), float(sides[True]["n"]), SEES.get(name, FEATURES)) for i, name in enumerate(NAMES)]
+    own = table.where("teach")
+    boost(models, lambda splits: _folded(_summed(own, lambda features, n, y, right: _histograms(models, splits, features, n, y), "kind long, side long, feature long, value long", "g long, h long")))
+
+    def binned(features, n, y, right):
+        for i, model in enumerate(models):
+            bins, place = np.unique(np.floor(model.probabilities(features) * BINS).astype(np.int64), return_inverse=True)
+            for b, seen, good in zip(bins, np.bincount(place, n), np.bincount(place, right if NAMES[i] == "secret" else y[:, i])):
+                yield i, int(b), int(seen), int(good)
+
+    scores: dict = {}
+    for i, b, seen, good in sorted(_summed(table.where("not teach"), binned, "kind long, bin long", "n long, good long")):
+        scores.setdefault(i, []).append((b / BINS, float(seen), float(good)))
+    forget(table)
+    return models, {i: tuple(map(np.array, zip(*rows))) for i, rows in scores.items()}
 
 
 def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
@@ -250,21 +337,9 @@ def find(docs: DataFrame, precision: float = 0.98) -> DataFrame:
     keep = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     found = cut(_spans(docs.select(keep.alias("_row"), text.alias("text"))), "spans")
     each = found.select((fold(F.col("_row.doc_id")) < 3).alias("teach"), F.explode("_cand").alias("x"))
-    level, table = 0, _described(each, 0)
-    while table.count() > DESCRIPTIONS:
-        level += 1
-        forget(table)
-        table = _described(each, level)
-    rows = sorted(table.collect())
-    teach, test = ([r for r in rows if r["teach"] == side] for side in (True, False))
-    features, others = (np.array([[r[f] for f in FEATURES] for r in own], np.int64).reshape(-1, len(FEATURES)) for own in (teach, test))
-    column = lambda own, c: np.array([float(r[c]) for r in own])
-    scores = []
-    for i, name in enumerate(NAMES if teach and test else ()):
-        trees = Trees(features, column(teach, "n"), column(teach, f"y{i}"), SEES.get(name, FEATURES), level)
-        p, right = trees.probabilities(others), column(test, "right" if name == "secret" else f"y{i}")
-        wanted = min(precision, MARKED) if name == "secret" else precision
-        edge = calibrated(p, column(test, "n"), right, wanted)
+    scores, (models, others) = [], _taught(each)
+    for i, trees in enumerate(models):
+        edge = calibrated(*others[i], min(precision, MARKED) if NAMES[i] == "secret" else precision)
         if edge <= 1:
             scores.append(f"transform(array({trees.sql()}), p -> named_struct('p', if(p >= {edge - 1e-9:.12f}D, p, -1D), 'k', {i}))[0]")
     if not scores:

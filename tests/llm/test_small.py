@@ -523,6 +523,17 @@ def test_pii_descriptions_are_bounded(spark, monkeypatch):
     assert out.count() == 200 and out.where("size(_spans) < size(_base)").count() == 0
 
 
+def test_pii_results_do_not_depend_on_how_many_descriptions_there_are(spark, monkeypatch):
+    # Keys in two of three documents, and far more descriptions than a task takes at a time.
+    rows = [(i, f"call +1 (2{i % 10}4) 555-{1000 + i} now, {'x' * (i % 30)}{i} a{i}@b{i % 7}.example " + (f"api_key = Zq{i:03d}kX81vbRt72LmPw{i:03d}" if i % 3 else "")) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = lambda: {r.doc_id: r.s for r in pii.find(df).select("doc_id", pii.written("_spans").alias("s")).collect()}
+    want = spans()
+    assert sum("secret" in s for s in want.values()) > 50
+    monkeypatch.setattr(pii, "DESCRIPTIONS", 4)
+    assert spans() == want
+
+
 def test_pii_many_matches_in_one_text(spark):
     text = " ".join(f"a{i}@b.cc 10.0.{i % 300}.1" for i in range(20_000))
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.written("_base").alias("b"), *[pii.counted("_base", k).alias(k) for k in pii.KINDS]).first()
