@@ -90,18 +90,26 @@ def best_table(pages: DataFrame, placeholder: str = r"(?i)no result|will be avai
 
     A row's votes are its first cell of digits from 50 on, the party the cell before it, the share the cell after it.
     """
-    tables = pages.where(~F.col("html").rlike(placeholder)).select("url", F.col("html").rlike(r"\b(?:DECLARED|WINNER)\b").alias("declared"), F.posexplode(all_of(F.col("html"), TABLE)).alias("tbl", "_t"))
-    rows = tables.select("url", "declared", "tbl", F.posexplode(all_of(F.col("_t"), ROW)).alias("row", "_tr"))
-    rows = rows.select("url", "declared", "tbl", "row", F.transform(all_of(F.col("_tr"), ANY_CELL), cell_text).alias("cells")).where(F.size("cells") >= 3)
-    votes_at = F.filter(F.sequence(F.lit(0), F.size("cells") - 1), lambda i: F.get("cells", i).rlike("^[0-9, ]+$") & (digits_value(F.get("cells", i)) >= 50))
-    rows = rows.withColumn("_at", F.get(votes_at, F.lit(0))).where("_at >= 1")
-    share = F.regexp_replace(F.get("cells", F.col("_at") + 1), r"[^\d.]", "").try_cast("double")
-    rows = rows.select("url", "declared", "tbl", "row", F.get("cells", F.lit(0)).alias("name"), F.get("cells", F.greatest(F.lit(1), F.col("_at") - 1)).alias("party"), digits_value(F.get("cells", F.col("_at"))).alias("votes"), F.when(share.between(0, 100), share).alias("share"))
-    rows = rows.where("length(name) between 1 and 100")
-    best = rows.groupBy("url", "tbl").agg(F.count("*").alias("n")).where("n >= 2").groupBy("url").agg(F.min_by("tbl", F.struct(-F.col("n"), "tbl")).alias("tbl"))
-    kept = rows.join(best, ["url", "tbl"])
-    total = F.sum("votes").over(Window.partitionBy("url"))
-    return kept.withColumn("share", F.when(F.coalesce("share", F.lit(0.0)) > 0, F.col("share")).otherwise(ratio(F.col("votes"), total, 100.0))).drop("tbl")
+    # All of a page lies in its row, so its best table and its total need no shuffle.
+    votes_at = lambda cells: F.get(F.filter(F.sequence(F.lit(0), F.size(cells) - 1), lambda i: F.get(cells, i).rlike("^[0-9, ]+$") & (digits_value(F.get(cells, i)) >= 50)), F.lit(0))
+
+    def usable(table: Column) -> Column:
+        """Rows (row, cells, at) of a table that have a name, and a cell of votes, at a place after the first."""
+        cells = F.transform(all_of(table, ROW), lambda tr, i: F.struct(i.alias("row"), F.transform(all_of(tr, ANY_CELL), cell_text).alias("cells")))
+        placed = F.transform(F.filter(cells, lambda r: F.size(r["cells"]) >= 3), lambda r: F.struct(r["row"].alias("row"), r["cells"].alias("cells"), votes_at(r["cells"]).alias("at")))
+        return F.filter(placed, lambda r: (r["at"] >= 1) & F.length(F.get(r["cells"], F.lit(0))).between(1, 100))
+
+    def read(r: Column) -> Column:
+        share = F.regexp_replace(F.get(r["cells"], r["at"] + 1), r"[^\d.]", "").try_cast("double")
+        return F.struct(r["row"].alias("row"), F.get(r["cells"], F.lit(0)).alias("name"), F.get(r["cells"], F.greatest(F.lit(1), r["at"] - 1)).alias("party"), digits_value(F.get(r["cells"], r["at"])).alias("votes"), F.when(share.between(0, 100), share).alias("share"))
+
+    tables = pages.where(~F.col("html").rlike(placeholder)).select("url", F.col("html").rlike(r"\b(?:DECLARED|WINNER)\b").alias("declared"), F.transform(all_of(F.col("html"), TABLE), usable).alias("_t"))
+    most = F.array_max(F.transform("_t", F.size))
+    # The first of the tables with the most rows.
+    best = tables.withColumn("_m", most).where("_m >= 2").select("url", "declared", F.transform(F.get(F.filter("_t", lambda t: F.size(t) == F.col("_m")), F.lit(0)), read).alias("_r"))
+    summed = best.select("url", "declared", F.aggregate("_r", F.lit(None).cast("long"), lambda a, r: F.coalesce(a + r["votes"], a, r["votes"])).alias("_total"), F.explode("_r").alias("_x"))
+    rows = summed.select("url", "declared", "_x.*", "_total")
+    return rows.withColumn("share", F.when(F.coalesce("share", F.lit(0.0)) > 0, F.col("share")).otherwise(ratio(F.col("votes"), F.col("_total"), 100.0))).drop("_total")
 
 
 def listing(pages: DataFrame) -> DataFrame:

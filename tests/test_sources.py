@@ -46,6 +46,15 @@ def test_best_table(spark):
     assert pages.best_table(page(spark, "No result yet")).count() == 0
 
 
+def test_best_table_stays_in_its_row(spark):
+    row = lambda *cells: "<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr>"
+    html = "<table>" + row("Ann", "A", "600", "") + row("x", "y") + row("Bob", "B", "300", "") + "</table><table>" + row("C", "c", "70") + row("D", "d", "80") + "</table>"
+    got = pages.best_table(page(spark, html))
+    # The first of two equal tables, places counted over all rows of it; no page's rows are shuffled.
+    assert [(r.row, r.name, r.votes, round(r.share, 2)) for r in got.collect()] == [(0, "Ann", 600, 66.67), (2, "Bob", 300, 33.33)]
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_listing_detail_index_feed(spark):
     row = "<tr><td>1</td><td><a href=candidate.php?candidate_id=77>Ann B</a></td><td>IND</td><td><b> 3 </b></td><td></td><td>41</td><td>Rs 1,20,000 ~ 1 Lacs+</td><td>Nil</td></tr>"
     r = pages.listing(page(spark, f"<table>{row}</table>")).first()
