@@ -168,6 +168,8 @@ def url_values(spark, d):
 
 _FIRST = ("ASHA", "BIMAL", "CHITRA", "DIPAK", "ESHA", "FARID", "GITA", "HARI")
 _SIDES = ("AITC", "BJP", "CPI(M)", "INC")
+#: Lines of reports that a task makes and reads.
+REPORT_LINES = 500_000
 
 
 @bound(f"""WITH {V_LINES} SELECT 'r' || (o // 20) AS report, CAST(o % 20 + 1 AS BIGINT) AS ac_number, 'SEAT ' || chr(CAST(65 + o % 20 AS INT)) AS constituency, o + 1000 AS electors, o % 60 + 20.25::DOUBLE AS turnout, CAST(n AS BIGINT) AS position,
@@ -175,18 +177,23 @@ CASE WHEN n = 7 THEN 'NOTA' ELSE {list(_FIRST)!r}[n] || ' ROY' || CASE WHEN n =
 CASE WHEN n <> 7 THEN CASE WHEN n % 2 = 0 THEN 'F' ELSE 'M' END ELSE '' END AS sex, CAST(CASE WHEN n <> 7 THEN 30 + n ELSE 0 END AS BIGINT) AS age, CASE WHEN n = 7 THEN 'NOTA' WHEN n % 2 = 0 THEN 'SC' ELSE 'GEN' END AS category,
 v AS votes_general, CAST(n AS BIGINT) AS votes_postal, v + n AS votes, n + 0.25::DOUBLE AS vote_share_pct FROM l""")
 def report_rows(spark, d):
+    # One shuffle, of numbers: a report's lines meet in a row, and its text is written there. A task's share of lines is bounded.
+    every = lines(spark, d).select(F.floor(F.col("o") / 20).alias("r"), "o", "n", "v")
+    tasks = max(spark.sparkContext.defaultParallelism, every.count() // REPORT_LINES + 1)
+    made = every.repartition(tasks, "r").groupBy("r").agg(F.array_sort(F.collect_list(F.struct("o", "n", "v"))).alias("_all"))
     pick = lambda values, i: F.element_at(F.array(*[F.lit(v) for v in values]), i.cast("int"))
-    n = F.col("n")
-    person = said("%s ROY          %s %d %s %s", pick(_FIRST, n), F.when(n % 2 == 0, "F").otherwise("M"), n + 30, F.when(n % 2 == 0, "SC").otherwise("GEN"), pick(_SIDES, n % 4 + 1))
-    middle = F.when(n == 7, "NOTA     NOTA NOTA").otherwise(person)
-    # The share of every third contestant stands on the next line; the fourth one's name goes on there.
-    row = said("   %d  %s   %d %d %d%s%d.25\n%s", n, middle, "v", n, F.col("v") + n, F.when(n % 3 == 0, "\n      ").otherwise("  "), n, F.when(n == 4, "      DEVI\n").otherwise(""))
-    body = lines(spark, d).groupBy("o").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "v", row.alias("_piece")))), lambda x: x["_piece"]), "").alias("_rows"))
-    head = said("DETAILED RESULTS\n  %d. SEAT %s (SC) TOTAL ELECTORS : %d\n\n%sTURN OUT  TOTAL: 10 2 12 %d.25\n  Page 3 of 9\n", F.col("o") % 20 + 1, F.char(F.col("o") % 20 + 65), F.col("o") + 1000, "_rows", F.col("o") % 60 + 20)
-    made = pages_of(body, said("r%d", F.floor(F.col("o") / 20)), ["o"], head)
-    # Few small texts: dealt over as many tasks as there are cores, which one read from files would be by itself.
-    made = made.repartition(spark.sparkContext.defaultParallelism, "url")
-    got = reports.results(made.select(F.col("url").alias("report"), F.col("html").alias("text")))
+
+    def piece(x: Column, i: Column) -> Column:
+        o, n, v, end = x["o"], x["n"], x["v"], F.size("_all")
+        # The share of every third contestant stands on the next line; the fourth one's name goes on there.
+        person = F.concat(pick([f"{f} ROY          " for f in _FIRST], n), F.when(n % 2 == 0, "F ").otherwise("M "), n + 30, F.when(n % 2 == 0, " SC ").otherwise(" GEN "), pick(_SIDES, n % 4 + 1))
+        row = F.concat(F.lit("   "), n, F.lit("  "), F.when(n == 7, "NOTA     NOTA NOTA").otherwise(person), F.lit("   "), v, F.lit(" "), n, F.lit(" "), v + n, F.when(n % 3 == 0, "\n      ").otherwise("  "), n, F.when(n == 4, ".25\n      DEVI\n").otherwise(".25\n"))
+        head = F.concat(F.lit("DETAILED RESULTS\n  "), o % 20 + 1, F.lit(". SEAT "), F.char(o % 20 + 65), F.lit(" (SC) TOTAL ELECTORS : "), o + 1000, F.lit("\n\n"))
+        foot = F.concat(F.lit("TURN OUT  TOTAL: 10 2 12 "), o % 60 + 20, F.lit(".25\n  Page 3 of 9\n"))
+        first, last = (i == 0) | (F.get("_all", i - 1)["o"] != o), (i == end - 1) | (F.get("_all", i + 1)["o"] != o)
+        return F.concat(F.when(first, head).otherwise(""), F.coalesce(row, F.lit("")), F.when(last, foot).otherwise(""))
+
+    got = reports.results(made.select(F.concat(F.lit("r"), "r").alias("report"), F.array_join(F.transform("_all", piece), "").alias("text")))
     return got.withColumns({"ac_number": F.col("ac_number").cast("long"), "age": F.coalesce(F.col("age").cast("long"), F.lit(0)), "position": F.col("position").cast("long")})
 
 

@@ -99,6 +99,27 @@ def test_report_headers_and_parties(spark):
     assert len(reports.PARTIES) == 42
 
 
+def test_usual_report_lines_give_the_rows_of_all_shapes():
+    lines = [
+        "   1. SEAT A (SC) TOTAL ELECTORS : 1000", "   1  ANN LEE          M 31 GEN BJP   450 1 451  1.25", "   2  CARA ROY          F 33 SC CPI(M)   45 3 48", "      3.25", "      DEVI",
+        "   3  BOB NOTA M 40 GEN INC   7 1 8  0.5", "   4  NOTA     NOTA NOTA   4 7 11  7.25", "   5  EVE   X          Z M 50 GEN ZZZ   1 2 3  4", "   6  DAN M 60 SC IND 5 6 11", "   7  FAY F 61 SC IND 5 6 11 2.5", "TURN OUT  TOTAL: 10 2 12 20.25",
+        "   8  lone M 62 GEN IND 1 2 3 4", "   9", "      M 63 GEN IND 5 5 10 6.5",
+    ]
+    words, usual = reports.party_words(reports.PARTIES), reports.usual_parties(reports.PARTIES)
+    for first in range(len(lines)):
+        for text in ("\n".join(lines[:1] + lines[first:]), "\n\n\n\n".join(lines[:1] + lines[first:])):
+            assert reports.contests(text, words, usual) == reports.contests(text, words)
+    assert [r[:3] for r in reports.contests("\n".join(lines), words, usual)[0]["rows"][:2]] == [[1, "ANN LEE", "M"], [2, "CARA ROY DEVI", "F"]]
+    assert not reports.usual_parties(("A B", "INC")) and not reports.usual_parties(("12",))
+
+
+def test_report_rows_are_made_by_one_shuffle(spark):
+    from tallyforge import bindings
+
+    plan = bindings.QUERIES["report_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_files_round_trip(spark, tmp_path):
     (tmp_path / "a.csv").write_text('"AC Name", No.\nNorth , 1\nSouth\n')
     assert [tuple(r) for r in files.plain_csv(spark, str(tmp_path / "a.csv"), ["name", "no"]).collect()] == [("North", "1"), ("South", "")]
