@@ -1,4 +1,4 @@
-"""Personal data by base patterns and a boosted candidate classifier, in DataFrame operations; Arrow batches sum its histograms.
+"""Personal data by base patterns and a boosted candidate classifier, in DataFrame operations.
 
 Base spans come from one pattern per kind with a check (parts of an address, digits of a number, the Luhn sum).
 Beside them, generators with high recall propose overlapping spans: runs around an at sign or a spelled one, runs of
@@ -15,7 +15,7 @@ always stay.
 
 Matches are placed by splitting the text at them and by running sums over slices of bounded length, so all work is per
 row, inside the JVM, and grows in proportion to a text and its matches. The counted descriptions stay in their table, of
-any size: the trees grow by histograms that tasks sum over all of them, and only those reach the driver. Group quantifiers
+any size: the trees grow by histograms that aggregations sum over all of them, and only those reach the driver. Group quantifiers
 are possessive, which keeps long runs linear and off the
 stack without changing what matches.
 
@@ -31,7 +31,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,8 +66,8 @@ FORMATS = ("f_digits", "f_dots", "f_spaces", "f_hyphens", "f_brackets", "f_at",
 FEATURES = (*FORMATS, *CONTEXTS)
 #: Features that the trees of a kind see, where that isn't all.
 SEES = {"secret": FORMATS}
-#: Descriptions that a task takes at a time; how many of the secrets found must bear a mark in other documents.
-DESCRIPTIONS, MARKED = 100_000, 0.9
+#: Descriptions up to which one task sums them, and as many for each task more; how many of the secrets found must bear a mark in other documents.
+DESCRIPTIONS, MARKED = 10_000, 0.9
 #: Gradients are whole numbers of 1/UNIT; more than any feature's value; bins of the scores that thresholds are chosen from.
 UNIT, VALUES, BINS = 1 << 20, 64, 1 << 14
 #: Matches in a slice of a running sum; characters of context before a match.
@@ -225,11 +224,11 @@ class Trees:
 
     def _sql(self, tree) -> str:
         if not isinstance(tree, tuple):
-            return f"{tree:.9f}D"
+            return f"{tree!r}D"
         return f"case when x.{FEATURES[tree[0]]} <= {tree[1]} then {self._sql(tree[2])} else {self._sql(tree[3])} end"
 
     def sql(self) -> str:
-        total = " + ".join([f"{self.base:.9f}D", *(f"{self.rate}D * ({self._sql(t)})" for t in self.trees)])
+        total = " + ".join([f"{self.base!r}D", *(f"{self.rate}D * ({self._sql(t)})" for t in self.trees)])
         return f"1 / (1 + exp(-greatest(-30D, least(30D, {total}))))"
 
 
@@ -279,28 +278,35 @@ def calibrated(probability: np.ndarray, n: np.ndarray, y: np.ndarray, precision:
     return max(float(p[fine[-1]]), 0.5) if len(fine) else 2.0
 
 
-def _summed(table: DataFrame, made: Callable, key: str, values: str) -> list:
-    """Sums of the whole numbers that `made` yields of the table's descriptions, by key; made in tasks, at most DESCRIPTIONS at a time."""
-    most, schema = DESCRIPTIONS, f"{key}, {values}"
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    width = len(key.split(", "))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict = {}
-        for whole in batches:
-            for at in range(0, whole.num_rows, most):
-                batch = whole.slice(at, most)
-                column = lambda c: batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False)
-                features = np.stack([column(f) for f in FEATURES], 1).astype(np.int64)
-                for r in made(features, column("n").astype(float), np.stack([column(f"y{i}") for i in range(len(NAMES))], 1).astype(float), column("right").astype(float)):
-                    a, b = total.get(r[:width], (0, 0))
-                    total[r[:width]] = (a + r[width], b + r[width + 1])
-        rows = [k + v for k, v in total.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(len(names))], names)
-
-    keys, sums = ([c.split()[0] for c in x.split(", ")] for x in (key, values))
-    return [tuple(r) for r in table.mapInArrow(run, schema).groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums]).collect()]
+def _summed(table: DataFrame, models: list[Trees]) -> Callable:
+    """What `boost` grows the models by. One aggregation a round sums over all descriptions x of the table, by the values of every two features, which gives both sides of any split."""
+    held: list[tuple] = []
+
+    def pairs() -> Iterator[tuple]:
+        own = [i for i, m in enumerate(models) if m.grows]
+        scored = table.alias("x").select(F.array(*FEATURES).alias("f"), "n", *[f"y{i}" for i in own], *[F.expr(models[i].sql()).alias(f"p{i}") for i in own])
+        sums = {f"g{i}": f"cast(rint((n * p{i} - y{i}) * {UNIT}) as long)" for i in own} | {f"h{i}": f"cast(rint(n * p{i} * (1 - p{i}) * {UNIT}) as long)" for i in own}
+        each = scored.select("f", *[F.expr(sql).alias(name) for name, sql in sums.items()])
+        for key in (("feature", "value", "f"), ("further", "other", f"slice(f, feature + 1, {len(FEATURES)})")):
+            each = each.select(*each.columns, F.expr(f"posexplode({key[2]}) as ({key[0]}, {key[1]})"))
+        for r in each.groupBy("feature", "value", "further", "other").agg(*[F.sum(name).alias(name) for name in sums]).collect():
+            yield r["feature"], r["value"], r["feature"] + r["further"], r["other"], [(i, r[f"g{i}"], r[f"h{i}"]) for i in own]
+
+    def histograms(splits: list[tuple | None] | None) -> dict:
+        if not splits:
+            held[:] = pairs()
+            return _folded([(i, 0, f, v, g, h) for f, v, e, _, sums in held if f == e for i, g, h in sums])
+        cells: dict = {}
+        for f, v, e, w, sums in held:
+            for at, below, of, value in {(f, v, e, w), (e, w, f, v)}:
+                for i, g, h in sums:
+                    if splits[i] and splits[i][0] == at:
+                        key = i, int(below > splits[i][1]), of, value
+                        a, b = cells.get(key, (0, 0))
+                        cells[key] = a + g, b + h
+        return _folded([(*key, *sums) for key, sums in cells.items()])
+
+    return histograms
 
 
 def _taught(each: DataFrame) -> tuple[list[Trees], dict[int, tuple]]:
@@ -310,21 +316,18 @@ def _taught(each: DataFrame) -> tuple[list[Trees], dict[int, tuple]]:
     """
     marks = [F.count_if(f"x.y{i}").alias(f"y{i}") for i in range(len(NAMES))]
     table = cut(each.groupBy("teach", *[F.col(f"x.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), *marks, F.expr("count_if(x.y4 or x.known)").alias("right")), "described")
-    sides = {r["teach"]: r for r in table.groupBy("teach").agg(F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(NAMES))]).collect()}
+    sides = {r["teach"]: r for r in table.groupBy("teach").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), *[F.sum(f"y{i}").alias(f"y{i}") for i in range(len(NAMES))]).collect()}
     if len(sides) < 2:
         return [], {}
     models = [Trees.open(float(sides[True][f"y{i}"]), float(sides[True]["n"]), SEES.get(name, FEATURES)) for i, name in enumerate(NAMES)]
-    own = table.where("teach")
-    boost(models, lambda splits: _folded(_summed(own, lambda features, n, y, right: _histograms(models, splits, features, n, y), "kind long, side long, feature long, value long", "g long, h long")))
-
-    def binned(features, n, y, right):
-        for i, model in enumerate(models):
-            bins, place = np.unique(np.floor(model.probabilities(features) * BINS).astype(np.int64), return_inverse=True)
-            for b, seen, good in zip(bins, np.bincount(place, n), np.bincount(place, right if NAMES[i] == "secret" else y[:, i])):
-                yield i, int(b), int(seen), int(good)
-
+    # Few descriptions are summed by one task and without a shuffle, for every round is a short job.
+    own, other = (table.where(side).coalesce(sides[teach]["rows"] // DESCRIPTIONS + 1) for teach, side in ((True, "teach"), (False, "not teach")))
+    boost(models, _summed(own, models))
+    right = {i: "right" if name == "secret" else f"y{i}" for i, name in enumerate(NAMES)}
+    bins = ", ".join(f"struct({i} as kind, int(floor(({m.sql()}) * {BINS})) as bin, {right[i]} as good)" for i, m in enumerate(models))
+    binned = other.alias("x").select("n", F.expr(f"inline(array({bins}))")).groupBy("kind", "bin").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     scores: dict = {}
-    for i, b, seen, good in sorted(_summed(table.where("not teach"), binned, "kind long, bin long", "n long, good long")):
+    for i, b, seen, good in sorted(map(tuple, binned.collect())):
         scores.setdefault(i, []).append((b / BINS, float(seen), float(good)))
     forget(table)
     return models, {i: tuple(map(np.array, zip(*rows))) for i, rows in scores.items()}

@@ -534,6 +534,31 @@ def test_pii_results_do_not_depend_on_how_many_descriptions_there_are(spark, mon
     assert spans() == want
 
 
+def test_pii_trees_grow_by_aggregations_alone(spark, monkeypatch):
+    rng, names = np.random.default_rng(5), [f"y{i}" for i in range(len(pii.NAMES))]
+    features, n = rng.integers(0, 6, (300, len(pii.FEATURES))), rng.integers(1, 9, 300)
+    y = np.minimum(n[:, None], (features[:, : len(names)] + features[:, 3:4] > 6) * n[:, None])
+    # One kind without a positive grows no tree.
+    y[:, 1] = 0
+    table = spark.createDataFrame([tuple(map(int, r)) for r in np.c_[features, n, y]], ", ".join([*(f"{f} int" for f in pii.FEATURES), "n long", *(f"{c} long" for c in names)]))
+    opened = lambda: [pii.Trees.open(float(y[:, i].sum()), float(n.sum()), pii.SEES.get(name, pii.FEATURES)) for i, name in enumerate(pii.NAMES)]
+    want, got = opened(), opened()
+    pii.boost(want, lambda splits: pii._folded(list(pii._histograms(want, splits, features, n.astype(float), y.astype(float)))), rounds=3)
+
+    def python(*_):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(table), "mapInArrow", python)
+    pii.boost(got, pii._summed(table.repartition(3), got), rounds=3)
+    assert [len(m.trees) for m in want] == [3, 0, 3, 3, 3]
+    for a, b in zip(want, got):
+        assert [t[:2] for t in a.trees] == [t[:2] for t in b.trees]
+        assert np.allclose(a.probabilities(features), b.probabilities(features), atol=1e-5)
+    # What a candidate's score is computed by in Spark is what the trees say.
+    scored = table.alias("x").selectExpr(f"{got[0].sql()} as p").toPandas().p
+    assert np.allclose(np.sort(scored), np.sort(got[0].probabilities(features)), atol=1e-12)
+
+
 def test_pii_many_matches_in_one_text(spark):
     text = " ".join(f"a{i}@b.cc 10.0.{i % 300}.1" for i in range(20_000))
     row = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(pii.written("_base").alias("b"), *[pii.counted("_base", k).alias(k) for k in pii.KINDS]).first()
